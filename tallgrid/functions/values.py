@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 DIGITS = r"\d+(?:_\d+)*"
 NUMBER = rf"^[+-]?(?:{DIGITS}(?:\.(?:{DIGITS})?)?|\.{DIGITS})(?:[eE][+-]?{DIGITS})?$"
+ANY_NUMBER = rf"(?i)^[+-]?(?:(?:{DIGITS}(?:\.(?:{DIGITS})?)?|\.{DIGITS})(?:e[+-]?{DIGITS})?|inf|infinity|nan)$"
 INFINITE = r"(?i)^[+-]?(?:inf|infinity)$"
 NOT_A_NUMBER = r"(?i)^[+-]?nan$"
 CLOCK = r"(?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?"
@@ -32,8 +33,7 @@ def normalize_header(header: Column, position: Column) -> Column:
 
 def is_numeric(c: Column) -> Column:
     """F6 for text; typed booleans must be screened by the caller."""
-    s = strip(c)
-    return F.coalesce(s.rlike(NUMBER) | s.rlike(INFINITE) | s.rlike(NOT_A_NUMBER), F.lit(False))
+    return F.coalesce(strip(c).rlike(ANY_NUMBER), F.lit(False))
 
 
 def to_numeric(c: Column) -> Column:
@@ -77,7 +77,8 @@ def _iso_week_date(s: Column) -> Column:
 def parse_date(c: Column) -> Column:
     """ISO first, then six patterns; the first hit wins, so 3/4/2024 is 3 April."""
     s = strip(c)
-    return F.coalesce(
+    likely = s.rlike(r"^\d{1,4}[-/\dW]")  # most cells are no dates and stop here
+    return F.when(likely, F.coalesce(
         _by_pattern(s, rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})(?:.{CLOCK})?$", 1, 2, 3),
         _by_pattern(s, rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:.{CLOCK})?$", 1, 2, 3),
         _iso_week_date(s),
@@ -87,7 +88,7 @@ def parse_date(c: Column) -> Column:
         _by_pattern(s, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", 3, 1, 2),
         _by_pattern(s, r"^(\d{1,2})-(\d{1,2})-(\d{4})$", 3, 2, 1),
         _by_pattern(s, r"^(\d{1,2})-(\d{1,2})-(\d{4})$", 3, 1, 2),
-    )
+    ))
 
 
 def year_in(c: Column) -> Column:
@@ -161,3 +162,11 @@ def allowed_or_null(c: Column, allowed: tuple[str, ...]) -> Column:
 
 def optional_text(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
+
+
+def make_unique_headers(df: DataFrame, keys: list[str], header: str, position: str) -> DataFrame:
+    """the n-th repeat of a header inside a block gets the suffix _n (n >= 2)."""
+    order = Window.partitionBy(*keys, header).orderBy(position)  # as many rows as one table has equal headers
+    number = F.row_number().over(order)
+    unique = F.when(number == 1, F.col(header)).otherwise(F.concat(F.col(header), F.lit("_"), number.cast("string")))
+    return df.withColumn(header, unique)
