@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import difflib
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallgrid import catalog
 from tallgrid.functions import text as x
@@ -116,10 +118,13 @@ def _alias_catalogue() -> list[tuple[str, str, list[str]]]:
     return [(section, name, list(aliases)) for section, table in sections for name, aliases in table.items()]
 
 
-@F.pandas_udf("array<struct<ord:int,section:string,canonical_name:string,matched_alias:string>>")
+HINT = T.ArrayType(T.StructType([
+    T.StructField("ord", T.IntegerType()), T.StructField("section", T.StringType()),
+    T.StructField("canonical_name", T.StringType()), T.StructField("matched_alias", T.StringType())]))
+
+
 def _close_aliases(tokens: pd.Series) -> pd.Series:
     """The closest alias of every catalogue name for one token (sequence-matcher ratio)."""
-    import unicodedata
     plain = lambda s: " ".join(unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower().split())
     names = [(i, s, n, {plain(a): a for a in aliases}) for i, (s, n, aliases) in enumerate(_alias_catalogue())]
 
@@ -141,7 +146,7 @@ def fuzzy_aliases(questions: DataFrame) -> DataFrame:
     """
     words = F.split(F.trim(F.regexp_replace(x.fold_ascii(F.col("question")), r"[?,\s]+", " ")), " ")
     tokens = questions.select("question_id", F.posexplode(words).alias("pos", "token")).filter(F.length("token") >= 3)
-    hints = (tokens.select("token").distinct().withColumn("h", F.explode(_close_aliases("token")))
+    hints = (tokens.select("token").distinct().withColumn("h", F.explode(F.pandas_udf(_close_aliases, HINT)("token")))
              .select("token", "h.*"))
     joined = tokens.join(hints, "token")
     # the six first of each section, by position in the question and in the catalogue

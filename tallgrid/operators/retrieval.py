@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallgrid import catalog
 from tallgrid.functions import text as x
 from tallgrid.operators import matching, queries
+from tallgrid.session import cut
 
 DOC_SCHEMA = ("document_id string, part int, ord long, source_type string, title string, text string, "
               "metadata map<string,string>, upload_session_id string")
@@ -265,6 +266,7 @@ def select_context(docs: DataFrame, variable: str | None = None, question: str |
                    include_schema: bool = True, include_raw: bool = True, limit: int = 10) -> DataFrame:
     """Ordered union of preferred documents and hits; the first occurrence of a document counts."""
     c = F.col
+    docs = cut(docs)  # the documents of one scope; every stage reads them
     heads = docs.filter(c("part") == 0)
     stage = lambda df, number: df.select("document_id", F.lit(number).alias("stage"), "ord")
     stages = []

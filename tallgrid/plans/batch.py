@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallgrid import catalog
 from tallgrid.functions import units
 from tallgrid.operators import queries
+from tallgrid.session import cut
 
 FILTERS = {"f_upload_session_id": "upload_session_id", "f_variable": "variable", "f_variety": "variety",
            "f_location": "location", "f_treatment": "treatment", "f_plot_id": "plot_id",
@@ -126,8 +127,9 @@ def execute_aggregates(plans: DataFrame, obs: DataFrame) -> DataFrame:
     Observations are reduced to sums per used filter values and group before they meet the plans, so the join input
     is as small as the catalogue of values, however many plans there are.
     """
-    asked = _per_status(plans.filter((F.col("status") == "supported") & F.col("intent").isin("aggregate", "top_group"))
-                        .withColumn("grouping", F.coalesce("group_by", F.lit(""))))
+    asked = cut(_per_status(
+        plans.filter((F.col("status") == "supported") & F.col("intent").isin("aggregate", "top_group"))
+        .withColumn("grouping", F.coalesce("group_by", F.lit("")))))
     rows, parts = _dated(obs), []
     for signature, grouping in _signatures(asked, "grouping"):
         used = [FILTERS[f] for f in signature.split(",") if f]
@@ -181,7 +183,7 @@ def execute_lists(plans: DataFrame, obs: DataFrame) -> DataFrame:
     No plan may ask for more than 200 rows, so the observations are first cut to the 200 leading rows of every used
     combination of filter values (ranked per task before the shuffle); only those meet the plans.
     """
-    asked = _per_status(plans.filter((F.col("status") == "supported") & (F.col("intent") == "select")))
+    asked = cut(_per_status(plans.filter((F.col("status") == "supported") & (F.col("intent") == "select"))))
     rows, parts = _dated(obs).select(*LISTED, "observation_year"), []
     for (signature,) in _signatures(asked):
         used = [FILTERS[f] for f in signature.split(",") if f]
