@@ -30,3 +30,14 @@ def positions(df: DataFrame, keys: list[str], axis: str, output: str) -> DataFra
     """Add the 1-based position along ``axis`` inside the group."""
     marked = df.withColumn("_one", F.lit(1).cast("long"))
     return running_totals(marked, keys, axis, {output: "_one"}).drop("_one")
+
+
+def running_max(df: DataFrame, keys: list[str], axis: str, value: str, output: str) -> DataFrame:
+    """Add the largest ``value`` (NULLs ignored) of the earlier rows along ``axis``."""
+    chunked = df.withColumn("_chunk", F.floor(F.col(axis) / CHUNK))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = chunked.groupBy(*keys, "_chunk").agg(F.max(value).alias("_m")).select(
+        *keys, "_chunk", F.max("_m").over(before).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(axis).rowsBetween(Window.unboundedPreceding, -1)
+    joined = chunked.withColumn("_inside", F.max(value).over(inside)).join(carried, [*keys, "_chunk"])
+    return joined.select(*df.columns, F.coalesce("_inside", "_carried").alias(output))
