@@ -41,7 +41,7 @@ def fold_letters(c: Column) -> Column:
     out = F.lower(c)
     for char, text in longer:
         if char.lower() == char:
-            out = F.replace(out, F.lit(char), F.lit(text.lower()))
+            out = F.replace(out, F.lit(char), F.lit(text))
     return F.translate(out, source + COMBINING, target)
 
 

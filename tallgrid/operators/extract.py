@@ -125,11 +125,11 @@ def sparse_text_columns(columns: DataFrame, cells: DataFrame, blocks: DataFrame)
 def group_label_columns(columns: DataFrame, cells: DataFrame, blocks: DataFrame) -> DataFrame:
     """Sparse text columns with two distinct labels, or one variety label beside a replicate column."""
     c = F.col
-    sparse = sparse_text_columns(columns, cells, blocks).withColumn("sparse", F.lit(True))
+    sparse = sparse_text_columns(columns, cells, blocks)
     word = F.when(_is_text(), F.lower(v.strip(c("text"))))
+    spread = cells.join(sparse, COLUMN).groupBy(*COLUMN).agg(F.min(word).alias("low"), F.max(word).alias("high"))
     labels = semantics.label_aggregates(c("text"))
-    facts = cells.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("n"), F.min(word).alias("low"), F.max(word).alias("high"),
-                                       *[e.alias(n) for n, e in labels.items()])
+    facts = cells.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("n"), *[e.alias(n) for n, e in labels.items()])
     meaning = F.coalesce(semantics.header_dimension(c("column")), semantics.value_dimension(
         *[c(n) for n in ("n", "all_roman", "any_treatment", "any_variety", "n_numbered")]))
     order = Window.partitionBy(*BLOCK).orderBy("col_pos")  # the columns of one block
@@ -137,7 +137,7 @@ def group_label_columns(columns: DataFrame, cells: DataFrame, blocks: DataFrame)
              .withColumn("beside", F.lead("means").over(order)))
     several = F.coalesce(c("low") != c("high"), F.lit(False))
     alone = F.coalesce((c("beside") == "replicate") & (c("means") == "variety"), F.lit(False))
-    return known.join(sparse, COLUMN).filter(several | alone).select(*COLUMN)
+    return known.join(spread, COLUMN).filter(several | alone).select(*COLUMN)
 
 
 def fill_group_labels(candidates: DataFrame, cells: DataFrame) -> DataFrame:

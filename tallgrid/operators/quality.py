@@ -69,7 +69,8 @@ def validate(df: DataFrame, requires_date: Column | None = None) -> DataFrame:
     return flag_duplicates(df).withColumns({
         "quality_flags": F.array_compact(F.array(
             *flags, F.when(F.col("is_duplicate"), F.lit("duplicate_candidate")))),
-        "validation_status": F.when(blocking, "invalid").when(soft, "warning").otherwise("valid"),
+        # nested, so that "is it invalid" folds to the blocking rules and no longer needs the duplicate count
+        "validation_status": F.when(blocking, "invalid").otherwise(F.when(soft, "warning").otherwise("valid")),
     }).drop("is_duplicate")
 
 

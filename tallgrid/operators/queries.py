@@ -63,12 +63,29 @@ def aggregate(obs: DataFrame, group_by: str, metric: str, filters: dict | None =
         rows = rows.filter(F.col("normalized_value").isNotNull())
     if not filters.get("validation_status") and not include_invalid and group_by != "validation_status":
         rows = rows.filter(F.col("validation_status") != "invalid")
+    groups = _averages(rows, F.col(group_by)) if averaging else _counts(rows, F.col(group_by))
+    return groups.orderBy(F.col("group_value").asc_nulls_last())
+
+
+def _averages(rows: DataFrame, group: Column | None) -> DataFrame:
+    """Average, count and unit of rows with a normalised value.
+
+    Sums per (group, unit) need numeric buffers only, so all rows go through a hash aggregate; the maximum of the
+    unit texts, which would sort its input, sees one row per group and unit.
+    """
+    keys = [] if group is None else [group.alias("group_value")]
+    sums = rows.groupBy(*keys, "normalized_unit").agg(
+        F.sum("normalized_value").alias("s"), F.count(F.lit(1)).alias("n"))
+    return sums.groupBy(*[F.col("group_value") for _ in keys]).agg(
+        (F.sum("s") / F.sum("n")).alias("metric_value"), F.coalesce(F.sum("n"), F.lit(0)).alias("record_count"),
+        F.max("normalized_unit").alias("normalized_unit"))
+
+
+def _counts(rows: DataFrame, group: Column | None) -> DataFrame:
     n = F.count(F.lit(1))
-    metric_value = F.avg("normalized_value") if averaging else n.cast("double")
-    unit = F.max("normalized_unit") if averaging else F.lit(None).cast("string")
-    return (rows.groupBy(F.col(group_by).alias("group_value"))
-            .agg(metric_value.alias("metric_value"), n.alias("record_count"), unit.alias("normalized_unit"))
-            .orderBy(F.col("group_value").asc_nulls_last()))
+    keys = [] if group is None else [group.alias("group_value")]
+    return rows.groupBy(*keys).agg(n.cast("double").alias("metric_value"), n.alias("record_count")).withColumn(
+        "normalized_unit", F.lit(None).cast("string"))
 
 
 DISTINCT_FIELDS = ("variable", "normalized_unit", "variety", "location", "treatment", "plot_id",
@@ -133,14 +150,10 @@ def aggregate_plan(obs: DataFrame, function: str, group_by: str | None, filters:
         rows = rows.filter(F.col("normalized_value").isNotNull())
         if not any(f[0] == "validation_status" for f in filters):
             rows = rows.filter(F.col("validation_status") != "invalid")
-        metric, unit = F.avg("normalized_value"), F.max("normalized_unit")
-    else:
-        metric, unit = F.count(F.lit(1)).cast("double"), F.max(F.lit(None).cast("string"))
-    aggregates = [metric.alias("metric_value"), F.count(F.lit(1)).alias("record_count"),
-                  unit.alias("normalized_unit")]
+    make = _averages if function == "avg" else _counts
     if group_by is None:
-        return rows.agg(*aggregates).select(F.lit(None).cast("string").alias("group_value"), "*")
-    return rows.groupBy(F.col(group_by).alias("group_value")).agg(*aggregates)
+        return make(rows, None).select(F.lit(None).cast("string").alias("group_value"), "*")
+    return make(rows, F.col(group_by))
 
 
 def top_groups(groups: DataFrame, n: int = 1, lowest: bool = False) -> DataFrame:

@@ -136,9 +136,11 @@ def execute_aggregates(plans: DataFrame, obs: DataFrame) -> DataFrame:
         group = F.col(grouping).cast("string") if grouping else F.lit(None).cast("string")
         usable = F.col("normalized_value").isNotNull()
         keys = [F.col(n).alias(f"o_{n}") for n in dict.fromkeys([*used, "validation_status"])]
-        reduced = rows.groupBy(*keys, group.alias("group_value")).agg(
+        # the unit is a key here, not a maximum, so that the large aggregation hashes numbers only
+        unit = F.when(usable, F.col("normalized_unit")).alias("unit")
+        reduced = rows.groupBy(*keys, group.alias("group_value"), unit).agg(
             F.count(F.lit(1)).alias("n"), F.count("normalized_value").alias("n_value"),
-            F.sum("normalized_value").alias("s_value"), F.max(F.when(usable, F.col("normalized_unit"))).alias("unit"))
+            F.sum("normalized_value").alias("s_value"))
         mine = asked.filter((F.col("signature") == signature) & (F.col("grouping") == grouping))
         joined = _join_on(signature, mine, reduced)
         parts.append(joined.filter(~F.col("exclude_invalid") | (F.col("o_validation_status") != "invalid")).select(

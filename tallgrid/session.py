@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    # compressed files are larger in memory: judge broadcast sides by that size
+    "spark.sql.sources.fileCompressionFactor": "3.0",
 }
 
 
