@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallgrid.functions.values import strip
+from tallgrid.functions.values import WHITESPACE, strip
 
 FOLD_RANGES = ((0xA0, 0x24F), (0x1E00, 0x1EFF), (0x2070, 0x209F), (0x2100, 0x214F), (0xFB00, 0xFB06),
                (0xFF01, 0xFF5E))
@@ -35,41 +36,65 @@ def fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(a for a, _ in single), "".join(b for _, b in single), tuple(longer)
 
 
-def fold_letters(c: Column) -> Column:
-    """Case-folded text with accents dropped."""
+ASCII = "".join(chr(i) for i in range(1, 128))
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _only_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def _replace_each(c: Column, pairs) -> Column:
+    for char, text in pairs:
+        c = F.replace(c, F.lit(char), F.lit(text))
+    return c
+
+
+def _fold_words(c: Column, kept: str) -> Column:
+    """Folded words of the kept ASCII characters, one blank between them.
+
+    One character table does nearly all the work; folds to several letters and the removal of other scripts only
+    touch texts that are not plain ASCII by then.
+    """
     source, target, longer = fold_tables()
-    out = F.lower(c)
-    for char, text in longer:
-        if char.lower() == char:
-            out = F.replace(out, F.lit(char), F.lit(text))
-    return F.translate(out, source + COMBINING, target)
+    other = "".join(ch for ch in ASCII if ch not in kept and not ch.isalnum() and ch != " ")
+    sharp = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    mapped = F.translate(sharp, source + other + COMBINING, target + " " * len(other))
+    rare = [(char, text) for char, text in longer if char.lower() == char and char != "ß"]
+    allowed = "a-z0-9" + re.escape(kept)
+    plain = bind(mapped, lambda m: F.when(_only_ascii(m), m).otherwise(
+        F.regexp_replace(_replace_each(m, rare), f"[^{allowed} ]", " ")))
+    return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    blanks = F.translate(c, WHITESPACE, " " * len(WHITESPACE))
+    return F.trim(F.regexp_replace(blanks, " {2,}", " "))
 
 
 def fold_question(c: Column) -> Column:
     """F19 for questions: words of letters, digits, % and /."""
-    return F.trim(F.regexp_replace(fold_letters(c), "[^a-z0-9%/]+", " "))
+    return _fold_words(c, "%/")
 
 
 def fold_document(c: Column) -> Column:
     """F19 for retrieval: also keeps dot, underscore and hyphen."""
-    return F.trim(F.regexp_replace(fold_letters(c), "[^a-z0-9%/._-]+", " "))
+    return _fold_words(c, "%/._-")
 
 
 def fold_ascii(c: Column) -> Column:
     """accents dropped, other non-ASCII removed, punctuation kept."""
-    source, target, longer = fold_tables()
-    out = c
-    for char, text in longer:
-        plain = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
-        if plain:
-            out = F.replace(out, F.lit(char), F.lit(plain))
-    keep = [(a, unicodedata.normalize("NFKD", a).encode("ascii", "ignore").decode()) for a in source]
-    out = F.translate(out, "".join(a for a, b in keep if len(b) == 1), "".join(b for _, b in keep if len(b) == 1))
-    return squeeze(F.lower(F.regexp_replace(out, r"[^\x00-\x7f]", "")))
+    source, _, longer = fold_tables()
+    plain = lambda char: unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
+    single = [(char, plain(char)) for char in source if len(plain(char)) == 1]
+    several = [(char, plain(char)) for char, _ in longer if plain(char)]
+    folded = F.translate(_replace_each(c, several), "".join(a for a, _ in single), "".join(b for _, b in single))
+    kept = F.when(_only_ascii(c), c).otherwise(F.regexp_replace(folded, r"[^\x00-\x7f]", ""))
+    return squeeze(F.lower(kept))
 
 
 def tokens(folded: Column) -> Column:
@@ -79,17 +104,21 @@ def tokens(folded: Column) -> Column:
 
 def snippet(text: Column, query_tokens: Column) -> Column:
     """up to 220 characters around the first token hit."""
-    cleaned = squeeze(text)
-    folded = fold_document(cleaned)
-    hits = F.filter(F.transform(query_tokens, lambda t: F.instr(folded, t)), lambda p: p > 0)
-    first = F.array_min(hits) - 1
-    start = F.greatest(first - 40, F.lit(0))
-    end = F.least(start + SNIPPET, F.length(cleaned))
-    window = F.trim(F.substring(cleaned, start + 1, F.lit(SNIPPET)))
-    cut = F.concat(F.when(start > 0, "...").otherwise(""), window,
-                   F.when(end < F.length(cleaned), "...").otherwise(""))
-    whole = first.isNull() | (F.length(cleaned) <= SNIPPET)
-    return F.when(whole, F.substring(cleaned, 1, SNIPPET)).otherwise(cut)
+    def first_hit(folded: Column) -> Column:
+        places = F.transform(query_tokens, lambda t: F.instr(folded, t))
+        return F.array_min(F.filter(places, lambda p: p > 0)) - 1
+
+    def cut(cleaned: Column, first: Column) -> Column:
+        start = F.greatest(first - 40, F.lit(0))
+        end = F.least(start + SNIPPET, F.length(cleaned))
+        window = F.trim(F.substring(cleaned, start + 1, F.lit(SNIPPET)))
+        around = F.concat(F.when(start > 0, "...").otherwise(""), window,
+                          F.when(end < F.length(cleaned), "...").otherwise(""))
+        whole = first.isNull() | (F.length(cleaned) <= SNIPPET)
+        return F.when(whole, F.substring(cleaned, 1, SNIPPET)).otherwise(around)
+
+    return bind(squeeze(text), lambda cleaned: bind(bind(fold_document(cleaned), first_hit),
+                                                    lambda first: cut(cleaned, first)))
 
 
 def join_counts(pairs: Column) -> Column:

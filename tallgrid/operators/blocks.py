@@ -54,8 +54,8 @@ def axis_counts(boxes: DataFrame, inside: DataFrame, along: str) -> DataFrame:
                .agg(F.count(F.lit(1)).alias("n")))
     axis = data.select(*BOX, slots.alias("slots"), F.explode(F.sequence(low.cast("long"), high.cast("long")))
                        .alias("idx"))
-    filled = axis.join(counted, [*BOX, "idx"], "left").fillna(0, ["n"]).withColumn(
-        "dense", (c("n") / c("slots") >= k.DENSE_RATIO).cast("long"))
+    filled = cut(axis.join(counted, [*BOX, "idx"], "left").fillna(0, ["n"]).withColumn(
+        "dense", (c("n") / c("slots") >= k.DENSE_RATIO).cast("long")))  # one row per line of a box, read four times
     summed = ranks.running_totals(filled, BOX, "idx", {"sum_n": "n", "sum_dense": "dense"})
     following = filled.select(*BOX, (c("idx") - 1).alias("idx"), c("n").alias("next_n"), c("dense").alias("next_dense"))
     totals = filled.groupBy(*BOX).agg(F.sum("n").alias("all_n"), F.sum("dense").alias("all_dense"),

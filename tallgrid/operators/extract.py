@@ -179,7 +179,7 @@ def extract_tables(blocks: DataFrame, cells: DataFrame) -> tuple[DataFrame, Data
     data = cells.join(resolved.select(*BLOCK, "data_row_start"), BLOCK).filter(
         c("r") >= c("data_row_start")).drop("data_row_start")
     sized = resolved.withColumn("data_rows", c("row_count") - c("data_row_start"))
-    filled = fill_group_labels(group_label_columns(columns, data, sized), data)
+    filled = cut(fill_group_labels(cut(group_label_columns(columns, data, sized)), data))
     values = cut(number_rows(drop_annotations(columns, filled, sized)))
     rows = values.groupBy(*BLOCK).agg(F.max("row_no").alias("n_rows"))
     named_year = v.year_in(c("file_name")) if "file_name" in blocks.columns else F.lit(None).cast("int")

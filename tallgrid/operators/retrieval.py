@@ -204,7 +204,7 @@ def score(queries_df: DataFrame, docs: DataFrame) -> DataFrame:
     """
     folded = queries_df.select("query_id", x.fold_document(F.col("query")).alias("_query"))
     asked = folded.select("query_id", F.explode(x.tokens(F.col("_query"))).alias("token"))
-    index = postings(docs)
+    index = cut(postings(docs))  # read for the vocabulary and for the postings
     words = index.select("word").distinct()
     tokens = asked.select("token").distinct()
     matches = matching.contained(words, "word", tokens, "token").select("word", "token")
@@ -214,15 +214,18 @@ def score(queries_df: DataFrame, docs: DataFrame) -> DataFrame:
     scored = (hits.join(asked, "token").groupBy("query_id", "document_id")
               .agg(F.sum("points").alias("points"), F.count(F.lit(1)).alias("matched")))
     need = folded.select("query_id", "_query", F.size(x.tokens(F.col("_query"))).alias("needed"))
-    full = scored.join(need, "query_id").filter(F.col("matched") == F.col("needed"))
-    texts = fold_docs(docs).select("document_id", F.concat_ws(
-        " ", *[F.nullif(F.col(n), F.lit("")) for n in ("_title", "_body", "_meta")]).alias("_all"))
-    phrase = (full.select("query_id", "document_id", "_query").join(texts, "document_id")
-              .filter(F.col("_all").contains(F.col("_query")))
-              .groupBy("query_id", "document_id").agg(F.lit(25).alias("bonus")))
-    return (scored.join(phrase, ["query_id", "document_id"], "left")
-            .select("query_id", "document_id",
-                    (F.col("points") + F.coalesce("bonus", F.lit(0))).cast("double").alias("score")))
+    known = scored.join(need, "query_id")
+    # a query of one word is found wherever its token is; only longer ones are looked up in the texts
+    single = ~F.col("_query").contains(" ")
+    full = known.filter((F.col("matched") == F.col("needed")) & ~single).select("query_id", "document_id", "_query")
+    joined = full.join(docs.select("document_id", "title", "text", "metadata"), "document_id")
+    whole = F.concat_ws(" ", *[F.nullif(x.fold_document(part), F.lit("")) for part in (
+        F.col("title"), F.col("text"), x.metadata_text(F.col("metadata")))])
+    phrase = joined.filter(whole.contains(F.col("_query"))).select("query_id", "document_id", F.lit(25).alias("bonus")) \
+        .distinct()
+    bonus = F.when(single, 25).otherwise(F.coalesce("bonus", F.lit(0)))
+    return (known.join(phrase, ["query_id", "document_id"], "left")
+            .select("query_id", "document_id", (F.col("points") + bonus).cast("double").alias("score")))
 
 
 def top_k(scores: DataFrame, docs: DataFrame, k: int = catalog.CONTEXT_LIMIT_MAX) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallgrid import catalog
 from tallgrid.operators import ranks
+from tallgrid.session import cut
 
 SEPARATORS = (",", ";", "\t", "|")  # fixed value: candidates in order of preference
 SAMPLE_CHARS = 8192  # fixed value
@@ -111,14 +112,17 @@ def stitch_records(lines: DataFrame) -> DataFrame:
     opened = lambda s: rf'(?:{field(s)}{s})*+"(?:[^"]|"")*+$'
     from_out = _per_separator(lambda s: c("text").rlike(rf"(?s)^{opened(s)}"))
     from_in = _per_separator(lambda s: c("text").rlike(rf'(?s)^(?:[^"]|"")*+(?:$|"[^{s}]*+{s}{opened(s)})'))
-    moved = lines.withColumns({"from_out": from_out.cast("int"), "from_in": from_in.cast("int")})
-    flips = moved.withColumn("flip", ((c("from_out") == 1) & (c("from_in") == 0)).cast("long"))
-    counted = ranks.running_totals(flips, ["artifact_id"], "line_no", {"flips": "flip"})
+    # the scans run on numbers only; the texts join once their record is known
+    moved = cut(lines.select("artifact_id", "line_no", from_out.cast("int").alias("from_out"),
+                             from_in.cast("int").alias("from_in"))
+                .withColumn("flip", ((c("from_out") == 1) & (c("from_in") == 0)).cast("long")))
+    counted = cut(ranks.running_totals(moved, ["artifact_id"], "line_no", {"flips": "flip"}))
     setting = F.when(c("from_out") == c("from_in"), F.struct("line_no", c("from_out").alias("state"), "flips"))
     last = ranks.running_max(counted.withColumn("setting", setting), ["artifact_id"], "line_no", "setting", "last")
     state = (F.coalesce("last.state", F.lit(0)) + c("flips") - c("flip") - F.coalesce("last.flips", F.lit(0))) % 2
-    begun = last.withColumn("begins", (state == 0).cast("long"))
-    numbered = ranks.running_totals(begun, ["artifact_id"], "line_no", {"record_no": "begins"})
+    begun = cut(last.select("artifact_id", "line_no", (state == 0).cast("long").alias("begins")))
+    numbers = ranks.running_totals(begun, ["artifact_id"], "line_no", {"record_no": "begins"})
+    numbered = lines.join(numbers.select("artifact_id", "line_no", "record_no"), ["artifact_id", "line_no"])
     parts = F.array_sort(F.collect_list(F.struct("line_no", "text")))  # the lines of one record
     return numbered.groupBy("artifact_id", "sep", "record_no").agg(
         F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("record"))
