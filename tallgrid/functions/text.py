@@ -62,6 +62,7 @@ def _fold_words(c: Column, kept: str) -> Column:
     """
     source, target, longer = fold_tables()
     other = "".join(ch for ch in ASCII if ch not in kept and not ch.isalnum() and ch != " ")
+    target = "".join(t if t in kept or t.isdigit() or t.islower() else " " for t in target)
     sharp = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
     mapped = F.translate(sharp, source + other + COMBINING, target + " " * len(other))
     rare = [(char, text) for char, text in longer if char.lower() == char and char != "ß"]
