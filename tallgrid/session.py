@@ -35,13 +35,15 @@ def apply_settings(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: what the cluster names, else (tests) a fresh local one."""
+    """The shared checkpoint folder: what the cluster names; on one machine, where none is named, a fresh local one."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="spark-")
     context.setCheckpointDir(named)
     return named
