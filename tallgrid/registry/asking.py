@@ -152,7 +152,7 @@ MEETS_B = MEETS + """ AND (f_day IS NULL OR o.observation_date = f_day) AND (f_y
 KEYS = ("upload_session_id, block_id, source_sheet, source_row_index, source_column, variable, plot_id, "
         "CAST(observation_date AS VARCHAR) AS observation_date, validation_status")
 LIST_KEYS = ["question_id", "rank", "upload_session_id", "block_id", "source_sheet", "source_row_index",
-             "source_column", "variable", "plot_id", F.col("observation_date").cast("string").alias("observation_date")]
+             "source_column", "variable", "plot_id", "CAST(observation_date AS STRING) AS observation_date"]
 
 AGG_B_SQL = TAG_B + f""", mine AS (SELECT * FROM pb WHERE question_id >= 1000000 AND intent = 'aggregate'),
   hit AS (SELECT p.*, o.normalized_value AS nv, o.normalized_unit AS nu, CASE p.group_by WHEN 'plot_id' THEN o.plot_id
@@ -357,10 +357,10 @@ QUERIES = {
         AGG_B_SQL + "SELECT question_id, rank, group_value, round(CAST(metric_value AS DOUBLE), 6) AS metric_value, "
                     "record_count, normalized_unit FROM ranked WHERE rank <= coalesce(top, row_limit)"),
     "n12_execute_lists_a": (
-        lambda spark, sf: lists(spark, sf, "a").select(*LIST_KEYS, "validation_status"),
+        lambda spark, sf: lists(spark, sf, "a").selectExpr(*LIST_KEYS, "validation_status"),
         LIST_A_SQL + f"SELECT question_id, rank, {KEYS} FROM listed WHERE rank <= row_limit"),
     "n12_execute_lists_b": (
-        lambda spark, sf: lists(spark, sf, "b").select(*LIST_KEYS),
+        lambda spark, sf: lists(spark, sf, "b").selectExpr(*LIST_KEYS),
         LIST_B_SQL + f"SELECT question_id, rank, {KEYS.replace(', validation_status', '')} FROM listed WHERE rank <= "
                      "row_limit"),
     "n13_fuzzy_aliases": (lambda spark, sf: nq.fuzzy_aliases(asked(spark, sf)), None),
