@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrid.llm import window_dedup
+from tallgrid.llm import suffix_levels, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"), "n_spans")
 
 
+def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_levels.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("_row.doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", "n_spans",
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op3_window_dedup": (op3_window_dedup, None),
+    "op9_suffix_levels": (op9_suffix_levels, None),
 }
