@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrid.llm import suffix_levels, window_dedup
+from tallgrid.llm import chosen_path, suffix_levels, window_dedup
+from tallgrid.llm.shared import LAST_ID
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,15 @@ def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
+    own, label = (F.when(F.col(c) != LAST_ID, F.col(c)) for c in ("_id", "component_id"))
+    return out.select(own.alias("doc_id"), "n_shingles", label.alias("component_id"),
+                      (F.col("_id") == F.col("component_id")).alias("kept"))
+
+
 QUERIES = {
     "op3_window_dedup": (op3_window_dedup, None),
+    "op10_chosen_path": (op10_chosen_path, None),
     "op9_suffix_levels": (op9_suffix_levels, None),
 }
