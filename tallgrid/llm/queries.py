@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrid.llm import chosen_path, suffix_levels, window_dedup
+from tallgrid.llm import chosen_path, packing, repair, suffix_levels, window_dedup
 from tallgrid.llm.shared import LAST_ID
 
 
@@ -13,6 +13,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    """The vocabulary file that the queries name; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _id(column: str = "_id"):
+    """A document's id again, null where it was null."""
+    return F.when(F.col(column) != LAST_ID, F.col(column))
+
+
+def op1_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = repair.write_shards(_table(spark, sf_dir, "documents"), _tokenizer())
+    return repair.read_shards(files).select(_id().alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048)
+    return out.select(_id().alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = window_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("_row.doc_id", F.col("n_symbols").alias("n_words"), "n_removed",
@@ -27,12 +49,13 @@ def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
-    own, label = (F.when(F.col(c) != LAST_ID, F.col(c)) for c in ("_id", "component_id"))
-    return out.select(own.alias("doc_id"), "n_shingles", label.alias("component_id"),
+    return out.select(_id().alias("doc_id"), "n_shingles", _id("component_id").alias("component_id"),
                       (F.col("_id") == F.col("component_id")).alias("kept"))
 
 
 QUERIES = {
+    "op1_repair_shards": (op1_repair_shards, None),
+    "op5_best_fit_packing": (op5_best_fit_packing, None),
     "op3_window_dedup": (op3_window_dedup, None),
     "op10_chosen_path": (op10_chosen_path, None),
     "op9_suffix_levels": (op9_suffix_levels, None),
