@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrid.llm import chosen_path, packing, repair, suffix_levels, window_dedup
-from tallgrid.llm.shared import LAST_ID
+from tallgrid.llm import chosen_path, packing, repair, suffix_levels, tiling, toxicity, window_dedup
+from tallgrid.llm.shared import LAST_ID, in_training
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,18 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_id().alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tiling.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select(_id().alias("doc_id"), "item_id", "n_words", "n_covered", "n_tiles", "coverage")
+
+
+def op7_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return out.select("_row.doc_id", (~in_training("_row.doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = window_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("_row.doc_id", F.col("n_symbols").alias("n_words"), "n_removed",
@@ -56,6 +68,8 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_repair_shards": (op1_repair_shards, None),
     "op5_best_fit_packing": (op5_best_fit_packing, None),
+    "op2_string_tiling": (op2_string_tiling, None),
+    "op7_ftrl_toxicity": (op7_ftrl_toxicity, None),
     "op3_window_dedup": (op3_window_dedup, None),
     "op10_chosen_path": (op10_chosen_path, None),
     "op9_suffix_levels": (op9_suffix_levels, None),

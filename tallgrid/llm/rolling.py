@@ -15,6 +15,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: everything but ASCII letters and digits and what is outside ASCII
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -80,9 +83,10 @@ def slices(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, np.nda
         row = last
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of every word that ASCII white space delimits, and the word bounds of each document."""
-    inside = ~SPACE[data]
+def words(data: np.ndarray, bounds: np.ndarray,
+          blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of every word that ``blank`` bytes (ASCII white space) delimit, and each document's word bounds."""
+    inside = ~blank[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[bounds] = True
     before = np.empty(len(data), bool)
