@@ -82,16 +82,17 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     documents = spans.keyed(docs, id_column, text_column)
     runs = keep(word_runs(documents, length))
     first = keep(runs.groupBy("seed", "run").agg(F.min("_id").alias("first_id"), F.count("*").alias("n")))
-    shared = first.groupBy("seed").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("n > 1")
-    # runs that stand alone in the corpus leave here
-    rows = keep(runs.join(shared.select("seed", "kinds"), "seed").join(first.select("seed", "run", "first_id"),
-                                                                       ["seed", "run"]))
+    shared = keep(first.groupBy("seed").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("n > 1")
+                  .select("seed", "kinds"))
+    # runs that stand alone in the corpus leave here; both sides are tables, so a hot seed's rows can be split
+    rows = keep(keep(runs.join(shared, "seed")).join(first.select("seed", "run", "first_id"), ["seed", "run"]))
     whole = rows.where("_id > first_id").select("_id", "_key", "start", "count")
     parts = packed(rows.where("_id = first_id and kinds > 1").select("_id", "_key", "start", "count"))
     opened = documents.select("_id", "_key", "_text").join(parts.hint("shuffle_hash"), ["_id", "_key"])
     windows = keep(run_windows(opened, length))
-    least = windows.groupBy("hash").agg(F.min("_id").alias("first_id"), F.max("_id").alias("last_id"))
-    single = (windows.join(least.where("first_id < last_id"), "hash").where("_id > first_id")
+    least = keep(windows.groupBy("hash").agg(F.min("_id").alias("first_id"), F.max("_id").alias("last_id"))
+                 .where("first_id < last_id").select("hash", "first_id"))
+    single = (windows.join(least, "hash").where("_id > first_id")
               .select("_id", "_key", "start", F.lit(1).cast("long").alias("count")))
     marks = packed(whole.unionByName(single))
     return spans.cut_out(documents, marks, length, True)
