@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrid.llm import chosen_path, packing, repair, suffix_levels, tiling, toxicity, window_dedup
+from tallgrid.llm import chosen_path, language, packing, repair, suffix_levels, tiling, toxicity, window_dedup
 from tallgrid.llm.shared import LAST_ID, in_training
 
 
@@ -40,6 +40,11 @@ def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_id().alias("doc_id"), "item_id", "n_words", "n_covered", "n_tiles", "coverage")
 
 
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language.identify(_table(spark, sf_dir, "documents"))
+    return out.select("_row.doc_id", (~in_training("_row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -69,6 +74,7 @@ QUERIES = {
     "op1_repair_shards": (op1_repair_shards, None),
     "op5_best_fit_packing": (op5_best_fit_packing, None),
     "op2_string_tiling": (op2_string_tiling, None),
+    "op6_language_mixture": (op6_language_mixture, None),
     "op7_ftrl_toxicity": (op7_ftrl_toxicity, None),
     "op3_window_dedup": (op3_window_dedup, None),
     "op10_chosen_path": (op10_chosen_path, None),
