@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrid.llm import chat, chosen_path, language, packing, repair, suffix_levels, tiling, toxicity, window_dedup
+from tallgrid.llm import chat, chosen_path, language, packing, repair, stable_search, suffix_levels, tiling, toxicity, window_dedup
 from tallgrid.llm.shared import LAST_ID, in_training
 
 
@@ -30,6 +30,11 @@ def op1_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_shards(files).select(_id().alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op4_stable_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return stable_search.nearest(table, table.where("vec_id % 100 = 0"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048)
     return out.select(_id().alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -102,6 +107,7 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_repair_shards": (op1_repair_shards, None),
+    "op4_stable_search": (op4_stable_search, None),
     "op5_best_fit_packing": (op5_best_fit_packing, None),
     "op2_string_tiling": (op2_string_tiling, None),
     "op6_language_mixture": (op6_language_mixture, None),
