@@ -1,9 +1,10 @@
 """Plans of many questions, and their joint execution on the observations.
 
 A plan row holds: question_id, supported, intent (select, aggregate, top_group), group_by, function (avg, count),
-direction (asc, desc, NULL), top (rows to keep of an ordered aggregate), row_limit, exclude_invalid, dedupe, the equality filters
-f_* and the status list. Every filter is an equality, so plans meet observations in equi-joins, one join per
-combination of used filters (at most 2^10 combinations exist, a handful occur).
+direction (asc, desc, NULL), top (rows to keep of an ordered aggregate), row_limit (NULL: no limit), exclude_invalid, dedupe, the
+equality filters f_* and the status list. Every filter is an equality. The combinations of used filters that occur (a handful;
+at most 2^10 exist) are numbered; one scan gives each observation a key per combination, and plans meet them in one equi-join
+on (combination, key), also plans without a filter.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def plan_a(tags: DataFrame, upload_session_id: str | None = None, variable: str
         F.lit(None).cast("string").alias("note"),
         F.when(~listed, c("group_by")).alias("group_by"), F.when(~listed, "avg").alias("function"),
         F.lit(None).cast("string").alias("direction"), F.when(intent == "top_group", 1).alias("top"),
-        F.when(listed & (F.size("statuses") > 1), catalog.A_LIMIT_MANY).otherwise(catalog.A_LIMIT).alias("row_limit"),
+        F.when(listed, F.when(F.size("statuses") > 1, catalog.A_LIMIT_MANY).otherwise(catalog.A_LIMIT)).alias("row_limit"),
         F.coalesce(~listed, F.lit(False)).alias("exclude_invalid"),
         F.coalesce(listed & (F.size("statuses") > 1), F.lit(False)).alias("dedupe"),
         F.when(listed, c("statuses")).otherwise(F.array().cast("array<string>")).alias("statuses"),
@@ -103,22 +104,45 @@ def _per_status(plans: DataFrame) -> DataFrame:
         "signature", F.concat_ws(",", *[F.when(F.col(f).isNotNull(), F.lit(f)) for f in FILTERS]))
 
 
-def _signatures(plans: DataFrame, *extra: str) -> list:
+def _combinations(plans: DataFrame, *extra: str) -> list[tuple]:
     """The filter combinations that occur: bounded by the number of filter fields, not by the data."""
-    return plans.select("signature", *extra).distinct().collect()
+    return sorted(tuple(r) for r in plans.select("signature", *extra).distinct().collect())
 
 
 def _dated(obs: DataFrame) -> DataFrame:
     return obs.withColumn("observation_year", F.year("observation_date"))
 
 
-def _join_on(signature: str, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Equi-join of plans (f_ columns) and rows (observation columns, prefixed o_ in ``right``)."""
-    fields = [f for f in signature.split(",") if f]
+def _key(fields: list[str]) -> Column:
+    """The values of these fields as one text; NULL if any is missing, since no equality holds then."""
     if not fields:
-        return left.withColumn("_k", F.lit(1)).join(right.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    condition = reduce(lambda a, b: a & b, [F.col(f) == F.col("o_" + FILTERS[f]) for f in fields])
-    return left.join(right, condition)
+        return F.lit("")
+    there = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in fields])
+    return F.when(there, F.concat_ws("\u001f", *[F.col(f).cast("string") for f in fields]))
+
+
+def _plan_keys(plans: DataFrame, combinations: list[tuple], *extra: str) -> DataFrame:
+    """Plans with the number of their combination and their key in it."""
+    number, key = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for i, (signature, *rest) in enumerate(combinations):
+        own = F.col("signature") == signature
+        for name, value in zip(extra, rest):
+            own = own & (F.col(name) == value)
+        number = F.when(own, i).otherwise(number)
+        key = F.when(own, _key([f for f in signature.split(",") if f])).otherwise(key)
+    return plans.withColumns({"combination": number, "key": key})
+
+
+def _row_keys(rows: DataFrame, combinations: list[tuple], group=None) -> DataFrame:
+    """One row per observation and combination, with its key (and group value) there; a single scan of the rows."""
+    entries = []
+    for i, (signature, *rest) in enumerate(combinations):
+        fields = [F.lit(i).alias("combination"), _key([FILTERS[f] for f in signature.split(",") if f]).alias("key")]
+        if group:
+            fields.append(group(rest[0]).alias("group_value"))
+        entries.append(F.struct(*fields))
+    return rows.withColumn("_entry", F.explode(F.array(*entries))).select("*", "_entry.*").drop("_entry").filter(
+        F.col("key").isNotNull())
 
 
 def execute_aggregates(plans: DataFrame, obs: DataFrame) -> DataFrame:
@@ -130,27 +154,23 @@ def execute_aggregates(plans: DataFrame, obs: DataFrame) -> DataFrame:
     asked = cut(_per_status(
         plans.filter((F.col("status") == "supported") & F.col("intent").isin("aggregate", "top_group"))
         .withColumn("grouping", F.coalesce("group_by", F.lit("")))))
-    rows, parts = _dated(obs), []
-    for signature, grouping in _signatures(asked, "grouping"):
-        used = [FILTERS[f] for f in signature.split(",") if f]
-        group = F.col(grouping).cast("string") if grouping else F.lit(None).cast("string")
-        usable = F.col("normalized_value").isNotNull()
-        keys = [F.col(n).alias(f"o_{n}") for n in dict.fromkeys([*used, "validation_status"])]
-        # the unit is a key here, not a maximum, so that the large aggregation hashes numbers only
-        unit = F.when(usable, F.col("normalized_unit")).alias("unit")
-        reduced = rows.groupBy(*keys, group.alias("group_value"), unit).agg(
-            F.count(F.lit(1)).alias("n"), F.count("normalized_value").alias("n_value"),
-            F.sum("normalized_value").alias("s_value"))
-        mine = asked.filter((F.col("signature") == signature) & (F.col("grouping") == grouping))
-        joined = _join_on(signature, mine, reduced)
-        parts.append(joined.filter(~F.col("exclude_invalid") | (F.col("o_validation_status") != "invalid")).select(
-            "question_id", "function", "intent", "direction", "top", "row_limit", "group_value", "n", "n_value",
-            "s_value", "unit"))
-    if not parts:
+    combinations = _combinations(asked, "grouping")
+    if not combinations:
         return _empty_aggregates(plans)
+    usable = F.col("normalized_value").isNotNull()
+    keyed = _row_keys(_dated(obs), combinations,
+                      lambda name: F.col(name).cast("string") if name else F.lit(None).cast("string"))
+    # the unit is a key here, not a maximum, so that the large aggregation hashes numbers only
+    reduced = keyed.groupBy("combination", "key", "group_value", "validation_status",
+                            F.when(usable, F.col("normalized_unit")).alias("unit")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("normalized_value").alias("n_value"),
+        F.sum("normalized_value").alias("s_value"))
+    mine = _plan_keys(asked, combinations, "grouping").drop("validation_status")
+    joined = mine.join(reduced, ["combination", "key"]).filter(
+        ~F.col("exclude_invalid") | (F.col("validation_status") != "invalid"))
     averaging = F.col("function") == "avg"
     plan = ["question_id", "function", "intent", "direction", "top", "row_limit"]
-    summed = reduce(DataFrame.unionByName, parts).groupBy(*plan, "group_value").agg(
+    summed = joined.groupBy(*plan, "group_value").agg(
         F.sum("n").alias("n"), F.sum("n_value").alias("n_value"), F.sum("s_value").alias("s_value"),
         F.max("unit").alias("unit"))
     measured = summed.filter(~averaging | (F.col("n_value") > 0)).select(
@@ -166,8 +186,15 @@ def execute_aggregates(plans: DataFrame, obs: DataFrame) -> DataFrame:
              F.when(F.col("intent") == "top_group", F.coalesce(name, F.lit(""))).desc_nulls_last(),
              name.asc_nulls_last()]
     ranked = measured.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order)))
-    return ranked.filter(F.col("rank") <= F.coalesce("top", "row_limit")).select(
+    shown = ranked.filter(F.col("rank") <= F.coalesce("top", "row_limit", F.lit(2**31 - 1))).select(
         "question_id", "rank", "group_value", "metric_value", "record_count", "normalized_unit")
+    # an aggregate without grouping has one row, also over nothing
+    nothing = (asked.filter("grouping = ''").select("question_id", "function").distinct()
+               .join(shown.select("question_id"), "question_id", "left_anti"))
+    return shown.unionByName(nothing.select(
+        "question_id", F.lit(1).alias("rank"), F.lit(None).cast("string").alias("group_value"),
+        F.when(F.col("function") == "count", 0.0).alias("metric_value"), F.lit(0).cast("long").alias("record_count"),
+        F.lit(None).cast("string").alias("normalized_unit")))
 
 
 def _empty_aggregates(plans: DataFrame) -> DataFrame:
@@ -182,29 +209,20 @@ LISTED = tuple(catalog.LIST_COLUMNS)
 def execute_lists(plans: DataFrame, obs: DataFrame) -> DataFrame:
     """(question_id, rank, observation columns) of record plans.
 
-    No plan may ask for more than 200 rows, so the observations are first cut to the 200 leading rows of every used
-    combination of filter values (ranked per task before the shuffle); only those meet the plans.
+    No plan asks for more than ``PLAN_LIMIT_MAX`` rows, so only that many leading rows of every key meet the plans (ranked
+    per task before the shuffle).
     """
     asked = cut(_per_status(plans.filter((F.col("status") == "supported") & (F.col("intent") == "select"))))
-    rows, parts = _dated(obs).select(*LISTED, "observation_year"), []
-    for (signature,) in _signatures(asked):
-        used = [FILTERS[f] for f in signature.split(",") if f]
-        order = [*queries.list_order(), F.col("upload_session_id")]
-        if used:
-            place = F.row_number().over(Window.partitionBy(*used).orderBy(*order))
-            leading = rows.withColumn("_n", place).filter(F.col("_n") <= catalog.PLAN_LIMIT_MAX).drop("_n")
-        else:
-            leading = rows.orderBy(*order).limit(catalog.PLAN_LIMIT_MAX)
-        renamed = leading.select(*[F.col(n).alias(f"o_{n}") for n in leading.columns])
-        mine = asked.filter(F.col("signature") == signature).select(
-            "question_id", "row_limit", "dedupe", "statuses", *FILTERS)
-        joined = _join_on(signature, mine, renamed).select(
-            "question_id", "row_limit", "dedupe", F.array_position("statuses", F.col("f_status")).alias("status_no"),
-            *[F.col(f"o_{n}").alias(n) for n in LISTED])
-        parts.append(joined)
-    if not parts:
+    combinations = _combinations(asked)
+    if not combinations:
         return plans.limit(0).select("question_id", F.lit(1).alias("rank")).join(obs.limit(0).select(*LISTED), F.lit(False))
-    united = reduce(DataFrame.unionByName, parts)
+    first = Window.partitionBy("combination", "key").orderBy(*queries.list_order(), F.col("upload_session_id"))
+    leading = (_row_keys(_dated(obs).select(*LISTED, "observation_year"), combinations)
+               .withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= catalog.PLAN_LIMIT_MAX))
+    mine = _plan_keys(asked, combinations).select(
+        "combination", "key", "question_id", "row_limit", "dedupe",
+        F.array_position("statuses", F.col("f_status")).alias("status_no"))
+    united = mine.join(leading, ["combination", "key"]).select("question_id", "row_limit", "dedupe", "status_no", *LISTED)
     order = [*queries.list_order(), F.col("upload_session_id")]
     per_status = Window.partitionBy("question_id", "status_no").orderBy(*order)
     limited = united.withColumn("_s", F.row_number().over(per_status)).filter(F.col("_s") <= F.col("row_limit"))

@@ -10,7 +10,7 @@ from tallgrid.operators import questions as nq
 from tallgrid.plans import batch
 from tallgrid.registry.read_queries import SQL_ORDER
 from tallgrid.registry.scalars import FOLD_ASCII, FOLD_QUESTION, sql_first_token
-from tallgrid.session import cut
+from tallgrid.session import cut, stored
 from tallgrid.registry.tables import OBS_SQL, observations, table
 
 # question templates; @N is a nation, @B a brand number
@@ -35,10 +35,6 @@ def asked(spark, sf):
     return made.unionByName(said)
 
 
-def made_questions(spark, sf):
-    return asked(spark, sf).filter("question_id >= 1000000")
-
-
 def known_values(spark, sf):
     return q.distinct_values(observations(spark, sf), nq.VALUE_FIELDS)
 
@@ -52,13 +48,13 @@ def tags_b(spark, sf):
 
 
 def stored_observations(spark, sf):
-    """Observations as a written table: the batch plans read it once per combination of filters."""
-    return cut(observations(spark, sf))
+    """Observations as a written table with its own statistics and columns to prune."""
+    return stored(observations(spark, sf))
 
 
 def plans(spark, sf, rules):
     tag, plan = {"a": (nq.tag_a, batch.plan_a), "b": (nq.tag_b, batch.plan_b)}[rules]
-    return plan(tag(made_questions(spark, sf), known_values(spark, sf)))
+    return plan(tag(asked(spark, sf), known_values(spark, sf)))
 
 
 def _word(keywords) -> str:
@@ -108,7 +104,7 @@ TAG_A = OBS_SQL + ASKED_SQL + f", fq AS (SELECT question_id, {FOLD_QUESTION} AS
   pa AS (SELECT question_id, CASE WHEN it IS NULL THEN 'unsupported' ELSE 'supported' END AS status, coalesce(it,
     'unsupported') AS intent, CASE WHEN it <> 'select' THEN group_by END AS group_by, measure AS f_variable, f_variety,
     f_location, f_treatment, f_plot_id, CASE WHEN it = 'select' THEN statuses ELSE [] END AS statuses,
-    CASE WHEN it = 'select' AND len(statuses) > 1 THEN 100 ELSE 50 END AS row_limit FROM pa1)"""
+    CASE WHEN it = 'select' AND len(statuses) > 1 THEN 100 WHEN it = 'select' THEN 50 END AS row_limit FROM pa1)"""
 
 TAG_B = OBS_SQL + ASKED_SQL + f", fq AS (SELECT question_id, {FOLD_ASCII} AS q FROM qs)" + _values(FOLD_ASCII) + \
     f""", tb AS (SELECT fq.question_id, q, {_list(catalog.MEASURE_TOKENS.items(), _word)} AS measures,
@@ -154,7 +150,7 @@ KEYS = ("upload_session_id, block_id, source_sheet, source_row_index, source_col
 LIST_KEYS = ["question_id", "rank", "upload_session_id", "block_id", "source_sheet", "source_row_index",
              "source_column", "variable", "plot_id", "CAST(observation_date AS STRING) AS observation_date"]
 
-AGG_B_SQL = TAG_B + f""", mine AS (SELECT * FROM pb WHERE question_id >= 1000000 AND intent = 'aggregate'),
+AGG_B_SQL = TAG_B + f""", mine AS (SELECT * FROM pb WHERE intent = 'aggregate'),
   hit AS (SELECT p.*, o.normalized_value AS nv, o.normalized_unit AS nu, CASE p.group_by WHEN 'plot_id' THEN o.plot_id
     WHEN 'variety' THEN o.variety WHEN 'treatment' THEN o.treatment WHEN 'location' THEN o.location WHEN
     'validation_status' THEN o.validation_status END AS g FROM mine p JOIN obs o ON {MEETS_B} AND (function = 'count' OR
@@ -162,10 +158,12 @@ AGG_B_SQL = TAG_B + f""", mine AS (SELECT * FROM pb WHERE question_id >= 1000000
   grp AS (SELECT question_id, function, direction, top, row_limit, g AS group_value, CASE WHEN function = 'avg' THEN
     avg(nv) ELSE count(*) END AS metric_value, count(*) AS record_count, CASE WHEN function = 'avg' THEN max(nu) END AS
     normalized_unit FROM hit GROUP BY question_id, function, direction, top, row_limit, g),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN direction = 'asc' THEN metric_value
+  counted AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN direction = 'asc' THEN metric_value
     END NULLS LAST, CASE WHEN direction = 'desc' THEN metric_value END DESC NULLS LAST, group_value NULLS LAST) AS rank
-    FROM grp)"""
-AGG_A_SQL = TAG_A + f""", mine AS (SELECT * FROM pa WHERE question_id >= 1000000 AND intent IN ('aggregate',
+    FROM grp),
+  ranked AS (FROM counted UNION ALL SELECT question_id, function, direction, top, row_limit, NULL, CASE WHEN function = 'count'
+    THEN 0 END, 0, NULL, 1 FROM mine WHERE group_by IS NULL AND question_id NOT IN (SELECT question_id FROM counted))"""
+AGG_A_SQL = TAG_A + f""", mine AS (SELECT * FROM pa WHERE intent IN ('aggregate',
     'top_group')),
   grp AS (SELECT question_id, intent, CASE p.group_by WHEN 'variety' THEN o.variety WHEN 'treatment' THEN o.treatment ELSE
     o.location END AS group_value, avg(o.normalized_value) AS metric_value, count(*) AS record_count,
@@ -176,10 +174,10 @@ AGG_A_SQL = TAG_A + f""", mine AS (SELECT * FROM pa WHERE question_id >= 1000000
     group_value NULLS LAST) AS rank FROM grp)"""
 O_ORDER = ", ".join(f"o.{c} NULLS LAST" for c in ("observation_date", "variable", "plot_id", "source_sheet", "block_id",
                                                   "source_row_index", "source_column", "upload_session_id"))
-LIST_B_SQL = TAG_B + f""", mine AS (SELECT * FROM pb WHERE question_id >= 1000000 AND intent = 'select'),
+LIST_B_SQL = TAG_B + f""", mine AS (SELECT * FROM pb WHERE intent = 'select'),
   listed AS (SELECT p.question_id, p.row_limit, o.*, row_number() OVER (PARTITION BY p.question_id ORDER BY {O_ORDER}) AS
     rank FROM mine p JOIN obs o ON {MEETS_B})"""
-LIST_A_SQL = TAG_A + f""", mine AS (SELECT * FROM pa WHERE question_id >= 1000000 AND intent = 'select'),
+LIST_A_SQL = TAG_A + f""", mine AS (SELECT * FROM pa WHERE intent = 'select'),
   per AS (SELECT p.question_id, p.row_limit, len(statuses) > 1 AS dd, list_position(statuses, o.validation_status) AS sn,
     o.*, row_number() OVER (PARTITION BY p.question_id, CASE WHEN len(statuses) > 1 THEN o.validation_status END ORDER BY
     {O_ORDER}) AS k FROM mine p JOIN obs o ON {MEETS} AND (len(statuses) = 0 OR list_contains(statuses,
@@ -351,7 +349,7 @@ QUERIES = {
     "n12_execute_aggregates_a": (
         lambda spark, sf: aggregates(spark, sf, "a").withColumn("metric_value", F.round("metric_value", 6)),
         AGG_A_SQL + "SELECT question_id, rank, group_value, round(metric_value, 6) AS metric_value, record_count, "
-                    "normalized_unit FROM ranked WHERE rank <= CASE WHEN intent = 'top_group' THEN 1 ELSE 50 END"),
+                    "normalized_unit FROM ranked WHERE intent <> 'top_group' OR rank = 1"),
     "n12_execute_aggregates_b": (
         lambda spark, sf: aggregates(spark, sf, "b").withColumn("metric_value", F.round("metric_value", 6)),
         AGG_B_SQL + "SELECT question_id, rank, group_value, round(CAST(metric_value AS DOUBLE), 6) AS metric_value, "
@@ -371,7 +369,7 @@ QUERIES = {
         lambda spark, sf: digested(spark, sf, "b", digest.key_findings)
         .filter(F.col("finding_id").isin("record_count", "aggregation_group_count", "support_status"))
         .select("question_id", "finding_id", "statement"),
-        AGG_B_SQL + f""", mineb AS (SELECT * FROM pb WHERE question_id >= 1000000),
+        AGG_B_SQL + f""", mineb AS (SELECT * FROM pb),
           listed AS (SELECT p.question_id, row_limit, row_number() OVER (PARTITION BY p.question_id) AS rank FROM
             mineb p JOIN obs o ON intent = 'select' AND {MEETS_B}),
           sizes AS (SELECT question_id, count(*) AS n FROM listed WHERE rank <= row_limit GROUP BY 1),
@@ -391,7 +389,7 @@ QUERIES = {
             (SELECT question_id, validation_status, count(*) AS n FROM shown WHERE validation_status IN ('warning',
             'invalid') GROUP BY 1, 2) GROUP BY 1)
           SELECT question_id, 'aggregation_scope' AS note_id, 'info' AS level, 'Invalid harmonized rows are excluded from this aggregation scope.'
-            AS text FROM pa WHERE question_id >= 1000000 AND intent IN ('aggregate', 'top_group')
+            AS text FROM pa WHERE intent IN ('aggregate', 'top_group')
           UNION ALL SELECT question_id, 'validation_status', CASE WHEN t IS NULL THEN 'info' ELSE 'warning' END,
             CASE WHEN t IS NULL THEN 'Returned records are valid in the current answer slice.' ELSE
             'Returned records include ' || t || '.' END FROM mine LEFT JOIN mix USING (question_id)"""),
