@@ -2,14 +2,13 @@
 
 A document's set holds its distinct shingles of ``words`` lower-cased words. Documents with equal sets are one vertex. Each of
 ``TREES`` independent trees branches the vertices recursively: a node selects one token of each set, the least under the
-node's own hash, and the token names the child. Nodes of at most ``NODE`` vertices are compared exhaustively: sketches of one
+node's own hash, and the token names the child. Nodes of at most ``NODE`` vertices and ``NODE_SHINGLES`` shingles are compared
+exhaustively: sketches of one
 byte per selected token leave plausible partners (a linked pair fails that test about once in 10^7), and full sets confirm
 every link. Nodes that stay larger after ``DEPTH`` levels are near copies of each other; they are compared in blocks that all
 meet the node's pivots, and vertices that no pivot reaches become the next pivots, until none is left.
 
-The links of the first trees are contracted to components before the later trees look again, so copies cost one comparison
-and later trees only work on nodes that still hold several components. Over all trees a pair at the threshold is missed with
-probability (1 - J)^TREES in nodes that need no branching.
+A pair at the threshold is missed with probability (1 - J)^TREES in nodes that need no branching.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; fewer words than a shingle make one shingle
 of the whole sequence; equal rows are equal vertices; a null id comes after all others.
@@ -25,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallgrid.llm import graph, rolling, spans
-from tallgrid.llm.shared import keep, partitions, prepare
+from tallgrid.llm.shared import keep, partitions, prepare, tasks_for
 
-TREES, DEPTH, FIRST_TREES = 10, 5, 2
-NODE = 512
+TREES, DEPTH = 10, 5
+NODE, NODE_SHINGLES = 4096, 1 << 21
 PIVOTS = 32
 SKETCH = TREES * DEPTH
 #: matches among the sketch bytes that a pair at 0.85 reaches but for about one in 10^7; other thresholds scale from there
@@ -114,63 +113,61 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tup
         yield marked(rest.combine_chunks())
 
 
-def likely(sketch: np.ndarray, sizes: np.ndarray, comp: np.ndarray, least: int, percent: int) -> np.ndarray:
-    """Matrix of pairs of different components that may be linked, by sizes and sketches."""
+def likely(sketch: np.ndarray, sizes: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """Matrix of pairs that may be linked, by sizes and sketches."""
     n = len(sizes)
     out = np.zeros((n, n), bool)
     for i in range(n - 1):
         rest = slice(i + 1, n)
         small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-        near = (comp[rest] != comp[i]) & (100 * small >= percent * large)
+        near = 100 * small >= percent * large
         if near.any():
             near &= (sketch[rest] == sketch[i]).sum(1) >= least
-            out[i, rest] = near
-    return out | out.T
+            out[i, rest] = out[rest, i] = near
+    return out
 
 
 def _sketches(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
-def plausible_members(nodes: DataFrame, percent: int) -> DataFrame:
-    """The rows of (``node``, ``v``, ``comp``, ``n_shingles``, ``sketch``, ...) with a plausible partner in their node."""
+def _dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "node").coalesce(tasks).sortWithinPartitions("node")
+
+
+def plausible_members(nodes: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """The rows of (``node``, ``v``, ``n_shingles``, ``sketch``) with a plausible partner in their node."""
     least = PLAUSIBLE * percent // 85
-    dealt = nodes.repartition(partitions(nodes.sparkSession), "node").sortWithinPartitions("node")
 
     def apply(batches):
         for table, cuts in whole_groups(batches, "node"):
             sketch, sizes = _sketches(table.column("sketch")), table.column("n_shingles").to_numpy()
-            comp = np.array(table.column("comp").to_pylist(), object)
-            _, comp = np.unique(comp, return_inverse=True)
             keep_rows = np.zeros(table.num_rows, bool)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b - a > 1:
-                    keep_rows[a:b] = likely(sketch[a:b], sizes[a:b], comp[a:b], least, percent).any(1)
+                    keep_rows[a:b] = likely(sketch[a:b], sizes[a:b], least, percent).any(1)
             yield from table.filter(pa.array(keep_rows)).to_batches()
 
-    return dealt.mapInArrow(apply, nodes.schema)
+    return _dealt(nodes, tasks).mapInArrow(apply, nodes.schema)
 
 
-def confirmed_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed_links(members: DataFrame, texts: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
     """Links (``a``, ``b``) that full sets confirm, enough to connect what is linked inside each node."""
     least = PLAUSIBLE * percent // 85
-    dealt = (members.select("node", "v", "comp", "n_shingles", "sketch").join(texts, "v")
-             .repartition(partitions(members.sparkSession), "node").sortWithinPartitions("node"))
+    dealt = _dealt(members.select("node", "v", "n_shingles", "sketch").join(texts, "v"), tasks)
 
-    def of_node(table, a, b, labels):
-        part = table.slice(a, b - a)
+    def of_node(part):
         sizes, sketch = part.column("n_shingles").to_numpy(), _sketches(part.column("sketch"))
-        label = labels[a:b].copy()
-        pairs = likely(sketch, sizes, label, least, percent)
-        body = part.column("_text").combine_chunks()
+        pairs, label = likely(sketch, sizes, least, percent), np.arange(part.num_rows)
         data, starts = [], [0]
-        for _, piece, bounds in rolling.slices(body):
+        for _, piece, bounds in rolling.slices(part.column("_text").combine_chunks()):
             tokens, at = shingle_sets(piece, bounds, width)
             data.append(tokens)
             starts.extend((starts[-1] + at[1:]).tolist())
         tokens, starts = np.concatenate(data), np.array(starts)
         _, tokens = np.unique(tokens, return_inverse=True)
         present = np.zeros(int(tokens.max()) + 1, bool)
+        # those with most plausible partners first: one of them connects most of a group of copies
         for i in np.argsort(-pairs.sum(1), kind="stable"):
             others = np.flatnonzero(pairs[i] & (label != label[i]))
             if not len(others):
@@ -186,10 +183,9 @@ def confirmed_links(members: DataFrame, texts: DataFrame, width: int, percent: i
 
     def apply(batches):
         for table, cuts in whole_groups(batches, "node"):
-            _, labels = np.unique(np.array(table.column("comp").to_pylist(), object), return_inverse=True)
             vertex, left, right = table.column("v").to_pylist(), [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                for i, j in of_node(table, a, b, labels) if b - a > 1 else ():
+                for i, j in of_node(table.slice(a, b - a)) if b - a > 1 else ():
                     left.append(vertex[a + i])
                     right.append(vertex[a + j])
             if left:
@@ -198,38 +194,40 @@ def confirmed_links(members: DataFrame, texts: DataFrame, width: int, percent: i
     return dealt.mapInArrow(apply, "a binary, b binary")
 
 
-def branched(vertices: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Nodes of at most ``NODE`` vertices of every tree, and what is still larger at the last level (None if nothing)."""
+def branched(vertices: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame | None]:
+    """The nodes of every tree that are small enough, and what is still larger at the last level (None if nothing)."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = vertices.select("v", "n_shingles", "sketch", "paths", tree.alias("tree"))
-    rows = rows.select("v", "n_shingles", "sketch", "tree", F.slice("paths", F.col("tree") * DEPTH + 1, DEPTH).alias("path"))
+    rows = rows.select("v", "n_shingles", "sketch", F.slice("paths", F.col("tree") * DEPTH + 1, DEPTH).alias("path"))
+    small = (F.col("size") <= NODE) & (F.col("shingles") <= NODE_SHINGLES)
     done = None
     for level in range(DEPTH):
         rows = rows.withColumn("node", F.col("path")[level])
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        rows = keep(rows.drop("size").join(sizes, "node"))
-        small = rows.where(F.col("size") <= NODE).select("node", "v", "n_shingles", "sketch", "tree")
-        done = small if done is None else done.unionByName(small)
-        rows = rows.where(F.col("size") > NODE)
-        if rows.isEmpty():
+        sizes = keep(rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"))
+                     .where("size > 1"), tasks)
+        # both sides are tables, so a hot node's rows can be split
+        rows = keep(rows.drop("size", "shingles").join(sizes, "node"), tasks)
+        part = rows.where(small).select("node", "v", "n_shingles", "sketch")
+        done = part if done is None else done.unionByName(part)
+        if sizes.where(~small).isEmpty():
             return done, None
+        rows = rows.where(~small)
     return done, rows
 
 
-def in_blocks(large: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One round on nodes that no level made small: (nodes, pivots).
+def in_blocks(large: DataFrame, state: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """One round on nodes that no level made small: (blocks as nodes, pivots).
 
     ``state`` has the vertices of ``large`` that no pivot has reached, by node. Every block of a node meets its pivots.
     """
+    parts = F.greatest(F.ceil(F.col("size") / NODE), F.ceil(F.col("shingles") / NODE_SHINGLES))
     slot = F.pmod(F.xxhash64("v", F.lit(7)), F.lit(PIVOTS))
-    pivots = (state.groupBy("node", slot.alias("slot")).agg(F.min("v").alias("v")).select("node", "v"))
-    block = F.pmod(F.xxhash64("v"), F.ceil(F.col("size") / NODE))
-    blocked = large.withColumn("block", block)
-    pivot_rows = large.join(pivots, ["node", "v"]).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / NODE) - 1)))
+    pivots = keep(state.groupBy("node", slot.alias("slot")).agg(F.min("v").alias("v")).select("node", "v"), tasks)
+    blocked = large.withColumn("block", F.pmod(F.xxhash64("v"), parts))
+    everywhere = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+    pivot_rows = large.join(pivots, ["node", "v"]).withColumn("block", everywhere)
     rows = blocked.unionByName(pivot_rows).dropDuplicates(["node", "block", "v"])
-    named = rows.withColumn("node", F.xxhash64("node", "block"))
-    return named.select("node", "v", "n_shingles", "sketch", "tree"), pivots
+    return rows.withColumn("node", F.xxhash64("node", "block")).select("node", "v", "n_shingles", "sketch"), pivots
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5,
@@ -240,48 +238,33 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     prepare(spark)
     documents = spans.keyed(docs, id_column, text_column)
     rows = keep(signatures(documents, width))
+    tasks = tasks_for(rows.count(), spark)
     vertices = keep(rows.where("n_shingles > 0").groupBy("v").agg(
         F.min("_id").alias("least_id"), F.min(F.struct("_id", "_key")).alias("at"), F.first("n_shingles").alias("n_shingles"),
-        F.first("paths").alias("paths"), F.first("sketch").alias("sketch")))
-    nodes, large = branched(vertices)
-    members = keep(plausible_members(nodes.withColumn("comp", F.col("v")), percent))
-    wanted = members.select("v").distinct()
-    if large is not None:
-        wanted = wanted.unionByName(large.select("v")).distinct()
-    places = vertices.select("v", "at._id", "at._key").join(wanted, "v")
-    texts = keep(documents.select("_id", "_key", "_text").join(places.hint("shuffle_hash"), ["_id", "_key"])
-                 .select("v", "_text").dropDuplicates(["v"]))
-    first = members.where(F.col("tree") < FIRST_TREES)
-    links = keep(confirmed_links(first, texts, width, percent))
-
-    def regrouped(rows, found):
-        """Rows of nodes that still hold several components, with these as ``comp``."""
-        roots = keep(graph.components(found))
-        known = rows.drop("comp").join(roots, "v", "left").withColumn("comp", F.coalesce("root", "v")).drop("root")
-        mixed = known.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        return known.join(mixed.select("node"), "node"), roots
-
-    later, roots = regrouped(members.where(F.col("tree") >= FIRST_TREES), links)
-    later = keep(plausible_members(later.select(members.columns), percent))
-    links = keep(links.unionByName(confirmed_links(later, texts, width, percent)))
-    if large is not None:
-        large = large.select("node", "v", "n_shingles", "sketch", "tree", "size")
-        state = large
-        while True:
-            blocks, pivots = in_blocks(large, state)
-            pivots = keep(pivots)
-            mixed, _ = regrouped(blocks, links)
-            shown = keep(plausible_members(mixed.select(members.columns), percent))
-            links = keep(links.unionByName(confirmed_links(shown, texts, width, percent)))
-            roots = keep(graph.components(links))
-            reached = (pivots.join(roots, "v", "left").select("node", F.coalesce("root", "v").alias("comp")).distinct())
-            state = keep(state.join(roots, "v", "left").withColumn("comp", F.coalesce("root", "v"))
-                         .join(reached, ["node", "comp"], "left_anti").select(large.columns))
-            if state.isEmpty():
-                break
-    roots = keep(graph.components(links))
-    labelled = vertices.select("v", "least_id").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    labels = labelled.join(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select(
-        "v", "component_id")
-    return rows.select("_id", "_key", "v", "n_shingles").join(labels, "v", "left").select(
+        F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), tasks)
+    nodes, large = branched(vertices, tasks)
+    members = keep(plausible_members(nodes, percent, tasks), tasks)
+    wanted = members.select("v") if large is None else members.select("v").unionByName(large.select("v"))
+    places = vertices.select("v", "at._id", "at._key").join(wanted.distinct(), "v", "left_semi")
+    found = documents.select("_id", "_key", "_text").join(places.hint("shuffle_hash"), ["_id", "_key"])
+    texts = keep(found.select("v", "_text").dropDuplicates(["v"]), tasks)
+    links = keep(confirmed_links(members, texts, width, percent, tasks), tasks)
+    state = large
+    while state is not None and not state.isEmpty():
+        blocks, pivots = in_blocks(large, state, tasks)
+        shown = keep(plausible_members(blocks, percent, tasks), tasks)
+        links = keep(links.unionByName(confirmed_links(shown, texts, width, percent, tasks)), tasks)
+        roots = graph.components(links, tasks)
+        reached = keep(pivots.join(roots, "v", "left").select("node", F.coalesce("root", "v").alias("comp")).distinct(), tasks)
+        state = keep(state.join(roots, "v", "left").withColumn("comp", F.coalesce("root", "v"))
+                     .join(reached, ["node", "comp"], "left_anti").select(large.columns), tasks)
+    roots = graph.components(links, tasks)
+    # vertices that are linked: the least id of their component
+    ends = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
+    linked = keep(ends.join(vertices.select("v", "least_id"), "v"), tasks)
+    least = keep(linked.groupBy("root").agg(F.min("least_id").alias("component_id")), tasks)
+    labels = keep(linked.join(least, "root").select("v", "component_id"), tasks)
+    classes = vertices.select("v", "least_id").join(labels, "v", "left").select(
+        "v", F.coalesce("component_id", "least_id").alias("component_id"))
+    return rows.select("_id", "_key", "v", "n_shingles").join(classes, "v", "left").select(
         "_id", "_key", "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))

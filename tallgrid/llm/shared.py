@@ -21,13 +21,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` written to a new Parquet table of the shared folder and read back."""
-    return keep_at(df)[0]
+def tasks_for(rows: int, spark: SparkSession, each: int = 8192) -> int:
+    """Tasks that a table of so many small rows deserves: one for ``each`` rows, at most the shuffle partitions."""
+    return max(1, min(partitions(spark), -(-rows // each)))
 
 
-def keep_at(df: DataFrame) -> tuple[DataFrame, str]:
+def keep(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``df`` written to a new Parquet table of the shared folder, by at most ``tasks`` tasks, and read back."""
+    return keep_at(df, tasks)[0]
+
+
+def keep_at(df: DataFrame, tasks: int | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
+    if tasks:
+        df = df.coalesce(tasks)
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
