@@ -232,8 +232,8 @@ def in_blocks(large: DataFrame, state: DataFrame, tasks: int) -> tuple[DataFrame
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5,
                     percent: int = 85) -> DataFrame:
-    """Per input row: ``_id`` and ``_key`` (see ``spans.keyed``), ``n_shingles`` and ``component_id``, the least id of its
-    component."""
+    """Per input row: ``_id`` and ``_key`` (see ``spans.keyed``), ``n_shingles``, ``component_id``, the least id of its
+    component, and ``root``, a name of the component (null for an empty set)."""
     spark = docs.sparkSession
     prepare(spark)
     documents = spans.keyed(docs, id_column, text_column)
@@ -263,8 +263,24 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ends = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
     linked = keep(ends.join(vertices.select("v", "least_id"), "v"), tasks)
     least = keep(linked.groupBy("root").agg(F.min("least_id").alias("component_id")), tasks)
-    labels = keep(linked.join(least, "root").select("v", "component_id"), tasks)
+    labels = keep(linked.join(least, "root").select("v", "root", "component_id"), tasks)
     classes = vertices.select("v", "least_id").join(labels, "v", "left").select(
-        "v", F.coalesce("component_id", "least_id").alias("component_id"))
+        "v", F.coalesce("root", "v").alias("root"), F.coalesce("component_id", "least_id").alias("component_id"))
     return rows.select("_id", "_key", "v", "n_shingles").join(classes, "v", "left").select(
-        "_id", "_key", "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
+        "_id", "_key", "n_shingles", F.coalesce("component_id", "_id").alias("component_id"), "root")
+
+
+def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5,
+                    percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of every component the row with the least id (of equal ids, the least
+    text hash) stays, once; rows with an empty set all stay. Columns are unchanged."""
+    found = keep(near_duplicates(docs, id_column, text_column, width, percent))
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("at"))
+    kept = first.select("at._id", "at._key").unionByName(found.where("root is null").select("_id", "_key").distinct())
+    documents = spans.keyed(docs, id_column, text_column)
+    rows = documents.select("_id", "_key", "_row").join(kept.hint("shuffle_hash"), ["_id", "_key"])
+    repeated = found.where("root is not null").groupBy("_id", "_key").count().where("count > 1")
+    if not repeated.isEmpty():
+        once = rows.join(repeated.select("_id", "_key"), ["_id", "_key"]).dropDuplicates(["_id", "_key"])
+        rows = rows.join(repeated.select("_id", "_key"), ["_id", "_key"], "left_anti").unionByName(once)
+    return rows.select("_row.*")

@@ -13,21 +13,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     """The vocabulary file that the queries name; the operators take any path."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _id(column: str = "_id"):
+def plain_id(column: str = "_id"):
     """A document's id again, null where it was null."""
     return F.when(F.col(column) != LAST_ID, F.col(column))
 
 
 def op1_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = repair.write_shards(_table(spark, sf_dir, "documents"), _tokenizer())
-    return repair.read_shards(files).select(_id().alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    files = repair.write_shards(_table(spark, sf_dir, "documents"), tokenizer())
+    return repair.read_shards(files).select(plain_id().alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def op4_stable_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,13 +36,13 @@ def op4_stable_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048)
-    return out.select(_id().alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    out = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer(), capacity=2048)
+    return out.select(plain_id().alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tiling.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return out.select(_id().alias("doc_id"), "item_id", "n_words", "n_covered", "n_tiles", "coverage")
+    return out.select(plain_id().alias("doc_id"), "item_id", "n_words", "n_covered", "n_tiles", "coverage")
 
 
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
-    return out.select(_id().alias("doc_id"), "n_shingles", _id("component_id").alias("component_id"),
+    return out.select(plain_id().alias("doc_id"), "n_shingles", plain_id("component_id").alias("component_id"),
                       (F.col("_id") == F.col("component_id")).alias("kept"))
 
 

@@ -86,6 +86,8 @@ class Encoder:
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the documents of one slice, end to end, and where each document's begin."""
         n = len(data)
+        if n == 0:
+            return self.ids[:0], np.zeros(len(bounds), np.int64)
         space, glyph, mark = rolling.SPACE[data], _GLYPH[data], _MARK[data]
         cut = np.zeros(n + 1, bool)
         cut[bounds] = True
