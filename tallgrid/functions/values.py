@@ -122,15 +122,12 @@ def serialize_cell(kind: Column, text: Column, number: Column, day: Column, flag
 
 
 def column_letters(position: Column) -> Column:
-    """Spreadsheet letters of a 1-based column (bijective base 26, up to three letters)."""
-    letter = lambda n: F.char(F.lit(65) + n)
-    i = position.cast("int")
-    ones = letter(F.pmod(i - 1, F.lit(26)))
-    i2 = F.floor((i - 1) / 26).cast("int")
-    tens = F.when(i2 > 0, letter(F.pmod(i2 - 1, F.lit(26)))).otherwise("")
-    i3 = F.floor((i2 - 1) / 26).cast("int")
-    hundreds = F.when(i3 > 0, letter(F.pmod(i3 - 1, F.lit(26)))).otherwise("")
-    return F.concat(hundreds, tens, ones)
+    """Spreadsheet letters of a 1-based column (bijective base 26; seven letters name every int)."""
+    rest, letters = position.cast("long"), []
+    for _ in range(7):
+        letters.append(F.when(rest > 0, F.char(F.lit(65) + F.pmod(rest - 1, F.lit(26)))).otherwise(""))
+        rest = F.floor((rest - 1) / 26)
+    return F.concat(*reversed(letters))
 
 
 def range_label(row_start: Column, row_end: Column, col_start: Column, col_end: Column) -> Column:

@@ -322,7 +322,7 @@ def context_dates(blocks: DataFrame, cells: DataFrame) -> DataFrame:
     c = F.col
     area = blocks.filter("r0 >= 1").select(
         *SHEET, "block_no", F.greatest(c("r0") - k.DATE_CONTEXT_ROWS, F.lit(0)).alias("r0"), (c("r0") - 1).alias("r1"),
-        F.lit(0).alias("c0"), F.lit(components.NODE_COLUMNS).alias("c1"))
+        F.lit(0).alias("c0"), F.lit(2**31 - 1).alias("c1"))
     day = F.coalesce(cell_date(c("kind"), c("text")), F.when(_is_text(), v.dotted_date(c("text"))))
     return (cells_in(area, cells).withColumn("day", day).filter(c("day").isNotNull()).groupBy(*SHEET, "block_no")
             .agg(F.min_by("day", F.struct("row_idx", "col_idx")).alias("context_date")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallgrid.session import cut
 
 ROW_CHUNK, COL_BUCKET = 4096, 64
-NODE_COLUMNS = 1 << 20  # a sheet has fewer columns than this
+NODE_COLUMNS = 1 << 31  # a column index is an int, so a row and a column make one long
 
 
 def label_components(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -38,9 +38,11 @@ def edit(shown: Preview, edits: DataFrame | None = None, year_overrides: DataFra
 
 
 def violations(shown: Preview) -> DataFrame:
-    """Everything that forbids a commit: mapping rules and missing years."""
-    years = mapping.lint_year(shown.columns, shown.blocks).withColumn("column", F.lit(None).cast("string"))
-    return mapping.lint_mapping(shown.columns).unionByName(years)
+    """Everything that forbids a commit: mapping rules, missing years and years out of range."""
+    none = F.lit(None).cast("string").alias("column")
+    years = mapping.lint_year(shown.columns, shown.blocks).select("*", none)
+    ranges = mapping.lint_year_range(shown.blocks).select(*BLOCK, none, F.lit("year_out_of_range").alias("violation"))
+    return mapping.lint_mapping(shown.columns).unionByName(years).unionByName(ranges)
 
 
 def commit(shown: Preview) -> DataFrame:

@@ -39,16 +39,12 @@ def column_aggregates(values: DataFrame) -> DataFrame:
         cell_is_numeric(c("kind"), c("text")).alias("is_num"),
         cell_date(c("kind"), c("text")).isNotNull().alias("is_date"),
         F.when(c("kind") == "str", v.strip(c("text"))).alias("word"))
-    head = c("row_no") <= catalog.TYPE_ROWS
     textual = c("word").isNotNull() & ~c("is_num")
     short = textual & ~c("word").contains(" ") & (F.length("word") <= catalog.GENERIC_DIM_LENGTH)
     return marked.groupBy(*COLUMN).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(c("is_num")).alias("n_num"),
         F.count_if(c("is_date")).alias("n_date"),
-        F.count_if(head).alias("head_n"),
-        F.count_if(head & c("is_num")).alias("head_num"),
-        F.count_if(head & c("is_date")).alias("head_date"),
         F.count("word").alias("n_str"),
         F.count_if(textual).alias("n_text"),
         F.count_if(short).alias("n_short"),
@@ -57,11 +53,11 @@ def column_aggregates(values: DataFrame) -> DataFrame:
 
 
 def suggested_type() -> Column:
-    """T10."""
+    """T10, decided on all values of the column."""
     c = F.col
-    return (F.when(c("head_n") == 0, "text")
-            .when(c("head_num") / c("head_n") >= catalog.NUMERIC_SHARE, "numeric")
-            .when(c("head_date") / c("head_n") >= catalog.DATE_SHARE, "date")
+    return (F.when(c("n") == 0, "text")
+            .when(c("n_num") / c("n") >= catalog.NUMERIC_SHARE, "numeric")
+            .when(c("n_date") / c("n") >= catalog.DATE_SHARE, "date")
             .otherwise("text"))
 
 
@@ -76,14 +72,14 @@ def generic_dimension() -> Column:
     return unnamed & (short | repeated)
 
 
-def date_issues(values: DataFrame, typed: DataFrame) -> DataFrame:
-    """Up to five distinct unparseable texts per date column, in order of appearance."""
+def date_issues(values: DataFrame, typed: DataFrame, examples: int = catalog.MAX_DATE_EXAMPLES) -> DataFrame:
+    """The first ``examples`` distinct unparseable texts of each date column, in order of appearance."""
     dated = typed.filter(F.col("suggested") == "date").select(*COLUMN)
-    bad = (values.filter(F.col("row_no") <= catalog.TYPE_ROWS).join(dated, COLUMN)
+    bad = (values.join(dated, COLUMN)
            .filter(cell_date(F.col("kind"), F.col("text")).isNull())
            .groupBy(*COLUMN, "text").agg(F.min("row_no").alias("row_no")))
-    order = Window.partitionBy(*COLUMN).orderBy("row_no")  # at most 200 rows per column
-    return (bad.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= catalog.MAX_DATE_EXAMPLES)
+    order = Window.partitionBy(*COLUMN).orderBy("row_no")
+    return (bad.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= examples)
             .groupBy(*COLUMN)
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "text"))), lambda x: x["text"])
                  .alias("example_values")))
@@ -95,7 +91,7 @@ def profile_columns(values: DataFrame, columns: DataFrame, blocks: DataFrame) ->
     measured = (columns.select(*COLUMN, "column")
                 .join(blocks.select(*BLOCK, "n_rows", "inferred_unit"), BLOCK)
                 .join(column_aggregates(values), COLUMN, "left"))
-    counts = ("n", "n_num", "n_date", "head_n", "head_num", "head_date", "n_str", "n_text", "n_short", "n_distinct",
+    counts = ("n", "n_num", "n_date", "n_str", "n_text", "n_short", "n_distinct",
               "n_numbered")
     filled = measured.fillna(0, list(counts)).fillna(False, ["all_roman", "any_treatment", "any_variety"])
     typed = (filled.withColumn("suggested", suggested_type())

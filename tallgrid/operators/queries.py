@@ -42,8 +42,7 @@ def filter_observations(obs: DataFrame, filters: dict | None = None) -> DataFram
 def list_observations(obs: DataFrame, filters: dict | None = None,
                       limit: int = catalog.LIST_LIMIT_DEFAULT) -> DataFrame:
     """Q1."""
-    if not 1 <= limit <= catalog.LIST_LIMIT_MAX:
-        raise ValueError(f"limit must be between 1 and {catalog.LIST_LIMIT_MAX}")
+    catalog.check_limit(limit, catalog.LIST_LIMIT_MAX)
     return filter_observations(obs, filters).select(*catalog.LIST_COLUMNS).orderBy(*list_order()).limit(limit)
 
 
@@ -135,10 +134,11 @@ def safe_view(obs: DataFrame) -> DataFrame:
 def select_records(obs: DataFrame, filters: list[tuple], order: list[tuple[str, str]] | None = None,
                    limit: int = catalog.PLAN_LIMIT_DEFAULT) -> DataFrame:
     """Q12."""
+    catalog.check_limit(limit, catalog.PLAN_LIMIT_MAX)
     order = order or [("observation_date", "asc"), ("variable", "asc"), ("plot_id", "asc")]
     keys = [F.col(f).asc_nulls_last() if d == "asc" else F.col(f).desc_nulls_last() for f, d in order]
     return (apply_plan_filters(safe_view(obs), filters).orderBy(*keys)
-            .limit(min(limit, catalog.PLAN_LIMIT_MAX)))
+            .limit(limit))
 
 
 def aggregate_plan(obs: DataFrame, function: str, group_by: str | None, filters: list[tuple]) -> DataFrame:
@@ -227,11 +227,12 @@ def flag_counts(obs: DataFrame) -> DataFrame:
             .groupBy("flag").agg(F.count(F.lit(1)).alias("n")))
 
 
-def scope_query(obs: DataFrame, upload_session_id: str | None = None, variable: str | None = None) -> DataFrame:
+def scope_query(obs: DataFrame, upload_session_id: str | None = None, variable: str | None = None,
+                limit: int = catalog.SCOPE_LIMIT) -> DataFrame:
     """Q22."""
     unit = catalog.CANONICAL_UNIT.get(variable) if variable else None
     return list_observations(obs, {"upload_session_id": upload_session_id, "variable": variable,
-                                   "normalized_unit": unit}, catalog.SCOPE_LIMIT)
+                                   "normalized_unit": unit}, limit)
 
 
 def catalogue(obs: DataFrame) -> DataFrame:

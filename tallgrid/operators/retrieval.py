@@ -231,10 +231,11 @@ def score(queries_df: DataFrame, docs: DataFrame) -> DataFrame:
 def top_k(scores: DataFrame, docs: DataFrame, k: int = catalog.CONTEXT_LIMIT_MAX) -> DataFrame:
     """(query_id, rank, document_id, score). Ranking keeps k rows per query and task before the shuffle."""
     heads = docs.filter(F.col("part") == 0).select("document_id", "source_type", "title")
+    catalog.check_limit(k, catalog.CONTEXT_LIMIT_MAX)
     order = Window.partitionBy("query_id").orderBy(
         F.col("score").desc(), "source_type", F.lower("title"), "document_id")
     ranked = scores.join(heads, "document_id").withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= min(k, catalog.CONTEXT_LIMIT_MAX)).select(
+    return ranked.filter(F.col("rank") <= k).select(
         "query_id", "rank", "document_id", "source_type", "title", "score")
 
 
@@ -290,10 +291,9 @@ def select_context(docs: DataFrame, variable: str | None = None, question: str |
     if question:
         stages.append(_hits_as_stage(docs, question, limit, 7))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    short = not stages or union(stages).dropDuplicates(["document_id", "stage"]).limit(limit).count() < limit
-    if variable and short:
+    if variable:  # stages are taken in order, so this one only fills what the limit leaves
         stages.append(_hits_as_stage(docs, variable, limit, 8))
-    if not stages or union(stages).limit(1).count() == 0:
+    if not stages or union(stages).isEmpty():
         stages = [stage(heads, 9)]
     first = union(stages).groupBy("document_id").agg(F.min(F.struct("stage", "ord")).alias("place"))
     chosen = first.orderBy("place", "document_id").limit(limit)

@@ -261,12 +261,12 @@ def _order_artifacts(spark, sf):
 
 
 def _rebuilt(spark, sf):
-    """Commit all uploads, then commit two of them again with doubled values: their partitions are replaced."""
+    """Commit all uploads, then three again: two with doubled values, replaced, and one without rows, cleared."""
     path = f"{ensure_checkpoint_dir(spark)}/observations-{uuid.uuid4().hex}"
     obs = cut(raw_observations(spark, sf))
     store.rebuild_partition(obs, path)
     store.rebuild_partition(obs.filter(F.col("upload_session_id").isin("u1", "u2"))
-                            .withColumn("value", F.col("value") * 2), path)
+                            .withColumn("value", F.col("value") * 2), path, ["u1", "u2", "u3"])
     return spark.read.parquet(path).groupBy("upload_session_id").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
@@ -391,7 +391,7 @@ QUERIES = {
         "'no_blocks_detected:' END || s_name AS warning FROM supplier WHERE s_suppkey % 9 = 0 OR s_suppkey % 4 > 0"),
     "s08_rebuild_partition": (
         _rebuilt, OBS_SQL + "SELECT upload_session_id, count(*) AS n, round(sum(value) * CASE WHEN upload_session_id IN ('u1', "
-                            "'u2') THEN 2 ELSE 1 END, 2) AS total FROM obs GROUP BY 1"),
+                            "'u2') THEN 2 ELSE 1 END, 2) AS total FROM obs WHERE upload_session_id <> 'u3' GROUP BY 1"),
     "s09_promote": (
         lambda spark, sf: store.promote(raw_observations(spark, sf).withColumn("variable", F.when(
             F.col("source_row_index") % 3 > 0, F.col("variable")).when(F.col("source_row_index") % 2 == 0, " ")))

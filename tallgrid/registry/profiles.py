@@ -82,9 +82,9 @@ blocks AS (SELECT artifact_id, count(*) AS n_rows, CASE artifact_id WHEN 'e1' TH
 cols AS (SELECT artifact_id, n_rows, inferred_unit, pos - 1 AS col_pos, {HEADERS}[pos] AS header
     FROM blocks, (SELECT unnest(range(1, {len(HEADERS) + 1})) AS pos)),
 agg AS (SELECT artifact_id, col_pos, count(*) AS n, count(*) FILTER (WHERE is_num) AS n_num,
-    count(*) FILTER (WHERE is_date) AS n_date, count(*) FILTER (WHERE row_no <= 200) AS head_n,
-    count(*) FILTER (WHERE row_no <= 200 AND is_num) AS head_num,
-    count(*) FILTER (WHERE row_no <= 200 AND is_date) AS head_date,
+    count(*) FILTER (WHERE is_date) AS n_date, count(*) AS head_n,
+    count(*) FILTER (WHERE is_num) AS head_num,
+    count(*) FILTER (WHERE is_date) AS head_date,
     count(*) FILTER (WHERE NOT is_num AND NOT contains(trim(text), ' ') AND len(trim(text)) <= 16) AS n_short,
     count(DISTINCT lower(trim(text))) AS n_distinct,
     bool_and(lower(trim(text)) IN {catalog.ROMAN_REPLICATES}) AS all_roman,
@@ -103,7 +103,7 @@ typed AS (SELECT cols.*, coalesce(n, 0) AS n, coalesce(n_num, 0) AS n_num, coale
 issues AS (SELECT artifact_id, col_pos, string_agg(text, '|' ORDER BY first) AS examples FROM (
     SELECT *, row_number() OVER (PARTITION BY artifact_id, col_pos ORDER BY first) AS k FROM (
       SELECT artifact_id, col_pos, text, min(row_no) AS first FROM marked JOIN typed USING (artifact_id, col_pos)
-      WHERE suggested = 'date' AND row_no <= 200 AND NOT is_date GROUP BY 1, 2, 3)) WHERE k <= 5 GROUP BY 1, 2),
+      WHERE suggested = 'date' AND NOT is_date GROUP BY 1, 2, 3)) WHERE k <= 5 GROUP BY 1, 2),
 known AS (SELECT typed.*, examples,
     suggested = 'text' AND header LIKE 'column\\_%' ESCAPE '\\' AND missing_ratio <= 0.35 AND n >= 3 AND (
       n_short / n >= 0.7 OR (n_distinct BETWEEN 2 AND 32 AND n_distinct / n <= 0.6)) AS like_dim,

@@ -16,7 +16,6 @@ from tallgrid.operators import ranks
 from tallgrid.session import cut
 
 SEPARATORS = (",", ";", "\t", "|")  # fixed value: candidates in order of preference
-SAMPLE_CHARS = 8192  # fixed value
 UNDEFINED_1250 = r"[\x{81}\x{83}\x{88}\x{90}\x{98}]"  # bytes without a meaning in cp1250
 MIME_TYPES = {"csv": "text/csv", "tsv": "text/tab-separated-values", "xls": "application/vnd.ms-excel",
               "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"}
@@ -76,13 +75,10 @@ def decode_text(lines: DataFrame) -> DataFrame:
 
 
 def detect_delimiter(lines: DataFrame) -> DataFrame:
-    """S3: (artifact_id, sep). Tab for .tsv; else the candidate whose count per line is most constant in the first
-    8,192 characters (quoted parts left out); comma when nothing fits."""
+    """S3: (artifact_id, sep). Tab for .tsv; else the candidate whose count per line is most constant over all lines
+    (quoted parts left out); comma when nothing fits."""
     c = F.col
-    head = lines.filter(c("line_no") < SAMPLE_CHARS)  # a line has at least its line end
-    running = Window.partitionBy("artifact_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    sample = head.withColumn("used", F.coalesce(F.sum(F.length("text") + 1).over(running), F.lit(0))).filter(
-        (c("used") < SAMPLE_CHARS) & (F.trim("text") != ""))
+    sample = lines.filter(F.trim("text") != "")
     bare = F.regexp_replace("text", '"[^"]*"', "")
     counts = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(s).alias("sep"),
                                 (F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))).alias("hits"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,25 +16,41 @@ def promote(staging: DataFrame) -> DataFrame:
     return staging.filter(F.length(F.trim("variable")) > 0)
 
 
-def rebuild_partition(observations: DataFrame, path: str) -> None:
+def rebuild_partition(observations: DataFrame, path: str, uploads: list[str] | None = None) -> None:
     """Replace the partitions of the uploads in ``observations``; other uploads stay. Safe to repeat.
 
-    Rows are spread by upload and a bounded salt, so one very large upload is still written by many tasks.
+    ``uploads`` names all uploads of this commit: those that yield no rows any more are cleared. Rows are rebalanced by
+    upload, so Spark splits a large upload over as many tasks as its size asks for.
     """
-    salt = F.pmod(F.xxhash64("block_id", "source_row_index"), F.lit(32))
-    (observations.repartition(F.col("upload_session_id"), salt)
+    (observations.hint("rebalance", "upload_session_id")
      .sortWithinPartitions("upload_session_id", "variable", "observation_date")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("upload_session_id").parquet(path))
+    if uploads:
+        clear_uploads(observations, path, uploads)
+
+
+def clear_uploads(observations: DataFrame, path: str, uploads: list[str]) -> None:
+    """Remove the partitions of those ``uploads`` that have no row in ``observations``."""
+    spark = observations.sparkSession
+    kept = {r[0] for r in observations.filter(F.col("upload_session_id").isin(uploads))
+            .select("upload_session_id").distinct().collect()}  # at most the named uploads
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in files.listStatus(folder):
+        name, _, value = entry.getPath().getName().partition("=")
+        if name == "upload_session_id" and unquote(value) in set(uploads) - kept:
+            files.delete(entry.getPath(), True)
 
 
 def list_sessions(sessions: DataFrame, artifacts: DataFrame, limit: int = 50) -> DataFrame:
     """Sessions with their artifact facts, newest first."""
+    catalog.check_limit(limit, catalog.SESSION_LIMIT_MAX)
     joined = sessions.join(artifacts, "artifact_id", "left")
     return (joined.withColumn("sheet_count", F.coalesce(F.size("sheet_manifest"), F.lit(0)))
             .withColumn("sheet_count", F.greatest("sheet_count", F.lit(0))).drop("sheet_manifest")
             .orderBy(F.coalesce("uploaded_at", "created_at").desc(), "session_id")
-            .limit(min(max(limit, 1), catalog.SESSION_LIMIT_MAX)))
+            .limit(limit))
 
 
 def session_detail(sessions: DataFrame, artifacts: DataFrame, session_id: str) -> DataFrame:
@@ -64,9 +81,10 @@ def append_audit(entries: DataFrame, path: str) -> None:
 
 def tail_audit(log: DataFrame, correlation_id: str | None = None,
                limit: int = catalog.AUDIT_LIMIT_DEFAULT) -> DataFrame:
-    """Newest entries first, at most 500."""
+    """Newest entries first."""
+    catalog.check_limit(limit, catalog.AUDIT_LIMIT_MAX)
     rows = log if not correlation_id else log.filter(F.col("correlation_id") == correlation_id)
-    return rows.orderBy(F.col("id").desc()).limit(min(max(limit, 1), catalog.AUDIT_LIMIT_MAX))
+    return rows.orderBy(F.col("id").desc()).limit(limit)
 
 
 def _broken(df: DataFrame, rule: str, key: Column) -> DataFrame:

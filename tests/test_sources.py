@@ -78,6 +78,8 @@ def test_recommit_replaces_only_its_uploads(spark, seed, tmp_path):
     assert stored.count() == 6
     assert {r.value for r in stored.filter("upload_session_id = 'u1'").collect()} == {1.0}
     assert {r.value for r in stored.filter("upload_session_id = 'u2'").collect()} == {11000.0}
+    store.rebuild_partition(seed.filter("upload_session_id = 'u1'"), path, ["u1", "u2"])
+    assert {r[0] for r in spark.read.parquet(path).select("upload_session_id").distinct().collect()} == {"u1", "u3", "u4"}
 
 
 def test_audit_and_status(spark):
