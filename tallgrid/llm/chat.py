@@ -60,7 +60,8 @@ LAYOUTS = (
     Layout("system_prompt", ("system", "prompt", "response"),
            fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
 )
-KNOWN = frozenset(p for layout in LAYOUTS for p in layout.paths)
+ROW_PATHS = frozenset(p for layout in LAYOUTS if layout.rows for p in layout.paths)
+RECORD_PATHS = frozenset(p for layout in LAYOUTS if not layout.rows for p in layout.paths)
 BY_PRINT = {layout.fingerprint: layout for layout in LAYOUTS}
 
 
@@ -76,12 +77,13 @@ def schema_paths(schema: StructType, prefix: str = "") -> list[str]:
 
 
 def layout_of(df: DataFrame) -> Layout:
-    """The layout of a frame, by the fingerprint of its known field paths."""
-    paths = sorted(KNOWN & set(schema_paths(df.schema)))
-    layout = BY_PRINT.get(fingerprint_of(paths))
-    if layout is None:
-        raise ValueError(f"no layout has the field paths {paths}")
-    return layout
+    """The layout of a frame, by the fingerprint of its field paths: those that records know, else those of turn rows."""
+    paths = set(schema_paths(df.schema))
+    for known in (RECORD_PATHS, ROW_PATHS):
+        layout = BY_PRINT.get(fingerprint_of(known & paths))
+        if layout is not None:
+            return layout
+    raise ValueError(f"no layout has the field paths {sorted(paths)}")
 
 
 def _text(column: Column) -> Column:
@@ -134,7 +136,7 @@ def canonical_turns(df: DataFrame) -> DataFrame:
 def record_paths(value: Column) -> Column:
     """Sorted known field paths of a variant, arrays by their first element."""
     found = [F.when(F.schema_of_variant(F.variant_get(value, f"$.{p.replace('.', '[0].')}", "variant")).isNotNull(), F.lit(p))
-             for p in sorted(KNOWN)]
+             for p in sorted(RECORD_PATHS)]
     return F.array_compact(F.array(*found))
 
 
