@@ -26,33 +26,33 @@ def _fixed_docs() -> list[tuple]:
     join = ", ".join
     words = " ".join
     docs = [
-        ("schema:overview", "schema_doc", "System schema overview",
-         "The harmonized read layer exposes canonical measures, canonical dimensions, normalized units, validation "
-         "statuses and quality flags. Query endpoints are read-only and operate on harmonized observations.",
+        ("schema:overview", "schema_doc", "What the observations hold",
+         "Every observation has a measure, its dimensions, a value in the measure's own unit, a status and flags. "
+         "Queries read observations and never change them.",
          {"canonical_date_field": catalog.DATE_FIELD, "canonical_dimensions": words(catalog.DIMENSIONS),
           "canonical_measures": words(catalog.MEASURES)}),
-        ("validation:overview", "validation_doc", "Validation and quality overview",
+        ("validation:overview", "validation_doc", "How observations are judged",
          " ".join(f"{s}: {t}" for s, t in catalog.STATUS_TEXT.items())
-         + f" Blocking flags: {join(sorted(catalog.BLOCKING_FLAGS))}. Outlier ranges: "
+         + f" Flags that make an observation invalid: {join(sorted(catalog.BLOCKING_FLAGS))}. Expected values: "
          + join(f"{m}:{low}..{high}" for m, (low, high) in catalog.OUTLIER_RANGES.items()) + ".",
          {"validation_statuses": words(catalog.STATUSES), "invalid_flags": words(sorted(catalog.BLOCKING_FLAGS)),
           "outlier_ranges": words(f"{m}:{low}-{high}" for m, (low, high) in catalog.OUTLIER_RANGES.items())}),
     ]
     for d in catalog.DIMENSIONS:
-        docs.append((f"canonical:dimension:{d}", "canonical_catalog", f"Canonical dimension: {d}",
-                     f"{catalog.DIMENSION_TEXT[d]} Known matching tokens: {join(catalog.DIMENSION_TOKENS[d])}.",
+        docs.append((f"canonical:dimension:{d}", "canonical_catalog", f"Dimension {d}",
+                     f"{catalog.DIMENSION_TEXT[d]} Found by the words {join(catalog.DIMENSION_TOKENS[d])}.",
                      {"canonical_dimension": d, "token_examples": words(catalog.DIMENSION_TOKENS[d])}))
     for m in catalog.MEASURES:
         accepted = [u for mm, u, _ in catalog.UNIT_FACTORS if mm == m]
-        docs.append((f"canonical:measure:{m}", "canonical_catalog", f"Canonical measure: {m}",
-                     f"{catalog.MEASURE_TEXT[m]} Known matching tokens: {join(catalog.MEASURE_TOKENS[m])}.",
+        docs.append((f"canonical:measure:{m}", "canonical_catalog", f"Measure {m}",
+                     f"{catalog.MEASURE_TEXT[m]} Found by the words {join(catalog.MEASURE_TOKENS[m])}.",
                      {"canonical_measure": m, "token_examples": words(catalog.MEASURE_TOKENS[m])}))
-        docs.append((f"units:{m}", "unit_doc", f"Unit model for {m}",
-                     f"{m} accepts source units {join(accepted)} and is normalized to {catalog.CANONICAL_UNIT[m]}.",
+        docs.append((f"units:{m}", "unit_doc", f"Units of {m}",
+                     f"Values of {m} may come in {join(accepted)}; they are stored in {catalog.CANONICAL_UNIT[m]}.",
                      {"canonical_measure": m, "supported_units": words(accepted),
                       "canonical_unit": catalog.CANONICAL_UNIT[m]}))
     for f, text in catalog.FLAG_TEXT.items():
-        docs.append((f"validation:flag:{f}", "validation_doc", f"Validation flag: {f}", text,
+        docs.append((f"validation:flag:{f}", "validation_doc", f"Flag {f}", text,
                      {"quality_flag": f, "blocking": str(f in catalog.BLOCKING_FLAGS)}))
     return docs
 
@@ -77,17 +77,17 @@ def schema_docs(spark: SparkSession, obs: DataFrame) -> DataFrame:
     main = values.filter(F.col("field").isin("variable", "normalized_unit")).agg(
         listing("variable").alias("variables"), listing("normalized_unit").alias("units")).select(
         F.lit("query:metadata").alias("document_id"), F.lit(0).alias("part"), F.lit(1).cast("long").alias("ord"),
-        F.lit("query_metadata").alias("source_type"), F.lit("Harmonized query metadata").alias("title"),
-        F.concat(F.lit("Supported filters: " + ", ".join(catalog.LIST_FILTERS) + ". Supported group by values: "
-                       + ", ".join(catalog.LIST_GROUPS) + ". Supported metrics: " + ", ".join(catalog.LIST_METRICS)
-                       + ". Available variables: "), some(F.col("variables")),
-                 F.lit(". Available normalized units: "), some(F.col("units")), F.lit(".")).alias("text"),
+        F.lit("query_metadata").alias("source_type"), F.lit("What can be asked").alias("title"),
+        F.concat(F.lit("Filters: " + ", ".join(catalog.LIST_FILTERS) + ". Groupings: "
+                       + ", ".join(catalog.LIST_GROUPS) + ". Metrics: " + ", ".join(catalog.LIST_METRICS)
+                       + ". Variables in the data: "), some(F.col("variables")),
+                 F.lit(". Units in the data: "), some(F.col("units")), F.lit(".")).alias("text"),
         F.create_map(*[F.lit(t) for k, names in supported.items() for t in (k, " ".join(names))]).alias("metadata"),
         F.lit(None).cast("string").alias("upload_session_id"))
     label = F.create_map(*[F.lit(t) for pair in AVAILABLE.items() for t in pair])
     parts = values.select(
         F.lit("query:metadata").alias("document_id"), F.lit(1).alias("part"), F.lit(1).cast("long").alias("ord"),
-        F.lit("query_metadata").alias("source_type"), F.lit("Harmonized query metadata").alias("title"),
+        F.lit("query_metadata").alias("source_type"), F.lit("What can be asked").alias("title"),
         F.lit("").alias("text"), F.create_map(label[F.col("field")], F.col("value")).alias("metadata"),
         F.lit(None).cast("string").alias("upload_session_id"))
     return reduce(DataFrame.unionByName, [docs, main, parts])
@@ -114,9 +114,8 @@ def artifact_docs(artifacts: DataFrame) -> DataFrame:
     """R2."""
     c = F.col
     return _doc(artifacts, 1, F.lit(0), "raw_artifact", _fmt("upload:{}:artifact", c("upload_session_id")),
-                _fmt("Raw artifact for upload {}", c("upload_session_id")),
-                _fmt("Raw workbook {} was uploaded with parser version {}. MIME type: {}. File size: {} bytes. "
-                     "SHA-256: {}.", c("original_filename"), c("parser_version"), c("mime_type"), c("file_size_bytes"),
+                _fmt("File of upload {}", c("upload_session_id")),
+                _fmt("The file {} was read by parser {} as {}; it has {} bytes and the checksum {}.", c("original_filename"), c("parser_version"), c("mime_type"), c("file_size_bytes"),
                      c("file_hash_sha256")),
                 {n: c(n) for n in ("upload_session_id", "original_filename", "parser_version", "mime_type",
                                    "file_size_bytes", "file_hash_sha256")})
@@ -127,8 +126,8 @@ def sheet_docs(sheets: DataFrame) -> DataFrame:
     c = F.col
     return _doc(sheets, 2, c("sheet_index"), "sheet_manifest",
                 _fmt("upload:{}:sheet:{}", c("upload_session_id"), c("sheet_name")),
-                _fmt("Sheet manifest: {}", c("sheet_name")),
-                _fmt("Sheet {} has {} rows, {} columns at maximum, {} non-empty cells and {} detected blocks.",
+                _fmt("Extent of sheet {}", c("sheet_name")),
+                _fmt("On sheet {} there are {} rows of up to {} columns, {} filled cells and {} tables.",
                      c("sheet_name"), c("row_count"), c("max_column_count"), c("non_empty_cell_count"),
                      c("detected_block_count")),
                 {n: c(n) for n in ("upload_session_id", "sheet_name", "sheet_index", "row_count", "max_column_count",
@@ -141,8 +140,8 @@ def warning_docs(warnings: DataFrame) -> DataFrame:
     numbered = warnings.withColumn("n", F.row_number().over(
         Window.partitionBy("upload_session_id").orderBy("sheet_index")))
     return _doc(numbered, 3, c("n"), "parse_warning", _fmt("upload:{}:warning:{}", c("upload_session_id"), c("n")),
-                _fmt("Parse warning {} for upload {}", c("n"), c("upload_session_id")),
-                _fmt("Parser warning: {}.", c("warning")),
+                _fmt("Doubt {} about upload {}", c("n"), c("upload_session_id")),
+                _fmt("Reading it gave: {}.", c("warning")),
                 {n: c(n) for n in ("upload_session_id", "warning")})
 
 
@@ -159,9 +158,8 @@ def block_docs(blocks: DataFrame, columns: DataFrame) -> DataFrame:
     shown = lambda name, empty: F.coalesce(F.nullif(F.array_join(name, ", "), F.lit("")), F.lit(empty))
     spaced = lambda name: F.coalesce(F.array_join(name, " "), F.lit(""))
     return _doc(joined, 4, c("block_no"), "preview_block", _fmt("upload:{}:block:{}", c(key[0]), c("block_id")),
-                _fmt("Preview block {} on {}", c("block_id"), c("sheet_name")),
-                _fmt("Preview block {} on sheet {} covers range {}. Headers: {}. Canonical measures: {}. Canonical "
-                     "dimensions: {}. Warning codes: {}.", c("block_id"), c("sheet_name"), c("range"),
+                _fmt("Table {} of {}", c("block_id"), c("sheet_name")),
+                _fmt("Table {} of sheet {} lies at {}. Its columns: {}. Measures: {}. Dimensions: {}. Doubts: {}.", c("block_id"), c("sheet_name"), c("range"),
                      shown("heads", "n/a"), shown("measures", "none"), shown("dims", "none"), shown("codes", "none")),
                 {"upload_session_id": c(key[0]), "block_id": c("block_id"), "sheet": c("sheet_name"),
                  "range": c("range"), "headers": spaced("heads"), "canonical_measures": spaced("measures"),
@@ -316,15 +314,15 @@ def context_sections(selected: DataFrame, variable: str | None = None, question:
     grouped = selected.groupBy(schema.alias("is_schema")).agg(F.count(F.lit(1)).alias("n"), ids.alias("ids"))
     sections = grouped.select(
         F.when(c("is_schema"), 2).otherwise(3).alias("section_no"),
-        F.when(c("is_schema"), "Schema context").otherwise("Raw provenance context").alias("title"),
-        F.when(c("is_schema"), _fmt("Included {} schema or system context documents.", c("n")))
-        .otherwise(_fmt("Included {} upload-linked provenance or preview context documents.", c("n"))).alias("body"),
+        F.when(c("is_schema"), "About the data model").otherwise("About the files").alias("title"),
+        F.when(c("is_schema"), _fmt("{} documents describe the model.", c("n")))
+        .otherwise(_fmt("{} documents describe uploads.", c("n"))).alias("body"),
         c("ids").alias("source_document_ids"))
-    scope = [p for p in (f"canonical variable={variable}" if variable else None,
+    scope = [p for p in (f"variable={variable}" if variable else None,
                          f"question={question}" if question else None) if p]
     if scope:
         head = selected.sparkSession.createDataFrame(
-            [(1, "Query scope", "Context assembled for " + ", ".join(scope) + ".", [])],
+            [(1, "Asked for", "Chosen by " + ", ".join(scope) + ".", [])],
             "section_no int, title string, body string, source_document_ids array<string>")
         sections = head.unionByName(sections)
     return sections
@@ -338,5 +336,5 @@ def context_summary(selected: DataFrame, variable: str | None = None,
     suffix = " for " + ", ".join(scope) if scope else ""
     types = F.array_join(F.array_sort(F.collect_set("source_type")), ", ")
     return selected.agg(F.concat(
-        F.lit("Retrieved "), F.count(F.lit(1)).cast("string"), F.lit(f" context documents{suffix} from "),
-        F.coalesce(F.nullif(types, F.lit("")), F.lit("no sources")), F.lit(".")).alias("summary"))
+        F.lit("Found "), F.count(F.lit(1)).cast("string"), F.lit(f" documents{suffix}; their kinds: "),
+        F.coalesce(F.nullif(types, F.lit("")), F.lit("none")), F.lit(".")).alias("summary"))

@@ -374,12 +374,12 @@ QUERIES = {
             mineb p JOIN obs o ON intent = 'select' AND {MEETS_B}),
           sizes AS (SELECT question_id, count(*) AS n FROM listed WHERE rank <= row_limit GROUP BY 1),
           kept AS (SELECT question_id, count(*) AS n FROM ranked WHERE rank <= coalesce(top, row_limit) GROUP BY 1)
-          SELECT question_id, 'support_status' AS finding_id, 'The question is outside the supported read-only NL-query patterns.'
+          SELECT question_id, 'support_status' AS finding_id, 'This kind of question cannot be answered.'
             AS statement FROM mineb WHERE status <> 'supported'
-          UNION ALL SELECT question_id, 'record_count', 'The query returned ' || coalesce(n, 0) || ' harmonized records.'
+          UNION ALL SELECT question_id, 'record_count', coalesce(n, 0) || ' observations match.'
             FROM mineb LEFT JOIN sizes USING (question_id) WHERE intent = 'select'
-          UNION ALL SELECT question_id, 'aggregation_group_count', 'The query returned ' || coalesce(n, 0) || ' ' ||
-            coalesce(group_by, 'None') || ' groups for average normalized ' || coalesce(f_variable, 'None') || '.'
+          UNION ALL SELECT question_id, 'aggregation_group_count', coalesce(n, 0) || ' groups by ' ||
+            coalesce(group_by, 'None') || ' have a value of ' || coalesce(f_variable, 'None') || '.'
             FROM mineb LEFT JOIN kept USING (question_id) WHERE intent = 'aggregate'"""),
     "a02_quality_notes": (
         lambda spark, sf: digested(spark, sf, "a", lambda p, _, records: digest.quality_notes(p, records)).filter(
@@ -388,11 +388,11 @@ QUERIES = {
           mix AS (SELECT question_id, string_agg(validation_status || '=' || n, ', ' ORDER BY validation_status) AS t FROM
             (SELECT question_id, validation_status, count(*) AS n FROM shown WHERE validation_status IN ('warning',
             'invalid') GROUP BY 1, 2) GROUP BY 1)
-          SELECT question_id, 'aggregation_scope' AS note_id, 'info' AS level, 'Invalid harmonized rows are excluded from this aggregation scope.'
+          SELECT question_id, 'aggregation_scope' AS note_id, 'info' AS level, 'Invalid observations do not count here.'
             AS text FROM pa WHERE intent IN ('aggregate', 'top_group')
           UNION ALL SELECT question_id, 'validation_status', CASE WHEN t IS NULL THEN 'info' ELSE 'warning' END,
-            CASE WHEN t IS NULL THEN 'Returned records are valid in the current answer slice.' ELSE
-            'Returned records include ' || t || '.' END FROM mine LEFT JOIN mix USING (question_id)"""),
+            CASE WHEN t IS NULL THEN 'All that is shown is valid.' ELSE
+            'Not all are valid: ' || t || '.' END FROM mine LEFT JOIN mix USING (question_id)"""),
     "e01_compare_plan": (
         lambda spark, sf: _bits(fields_of(spark, sf)),
         FIELDS_SQL + "SELECT question_id, field, CAST(matched AS INTEGER) AS matched FROM fields"),

@@ -391,25 +391,25 @@ QUERIES = {
         lambda spark, sf: mapping.draft_issues(_dateless(edited(spark, sf)), event_blocks(spark, sf)).select(
             "artifact_id", F.coalesce("column", F.lit("-")).alias("column"), "level", "message"),
         DATELESS_SQL + BLOCK_FACTS + f""", j AS (SELECT *, {FINAL_TYPE} AS ft FROM edited)
-          SELECT artifact_id, "column", 'error' AS level, 'Measure columns must use a numeric type.' AS message FROM j
+          SELECT artifact_id, "column", 'error' AS level, 'measure_not_numeric: a measure needs numbers.' AS message FROM j
             WHERE semantic_role = 'measure' AND ft <> 'numeric'
-          UNION ALL SELECT artifact_id, "column", 'warning', 'No canonical measure selected — column will be stored under its raw name.'
+          UNION ALL SELECT artifact_id, "column", 'warning', 'measure_unnamed: stored under the header as it stands.'
             FROM j WHERE semantic_role = 'measure' AND canonical_measure IS NULL
-          UNION ALL SELECT artifact_id, "column", 'warning', 'No source unit selected — value will be stored without unit normalisation.'
+          UNION ALL SELECT artifact_id, "column", 'warning', 'unit_unknown: stored as given, not converted.'
             FROM j WHERE semantic_role = 'measure' AND canonical_measure IS NOT NULL AND unit IS NULL
-          UNION ALL SELECT artifact_id, "column", 'warning', 'No canonical dimension selected — values will be stored under the raw column name.'
+          UNION ALL SELECT artifact_id, "column", 'warning', 'dimension_unnamed: kept under the header as it stands.'
             FROM j WHERE semantic_role = 'dimension' AND canonical_dimension IS NULL
-          UNION ALL SELECT artifact_id, "column", 'error', 'Date columns must use the date type.' FROM j WHERE
+          UNION ALL SELECT artifact_id, "column", 'error', 'date_not_dates: a date column needs dates.' FROM j WHERE
             semantic_role = 'date' AND ft <> 'date'
-          UNION ALL SELECT artifact_id, "column", 'warning', 'mixed_or_unparseable_dates. Examples: ' ||
+          UNION ALL SELECT artifact_id, "column", 'warning', 'dates_unreadable: ' ||
             replace(examples, '|', ', ') FROM j WHERE examples IS NOT NULL
-          UNION ALL SELECT artifact_id, "column", 'warning', 'High missingness: ' || missing || '/' || total ||
-            ' values are empty.' FROM j WHERE missing_ratio >= 0.4
-          UNION ALL SELECT artifact_id, "column", 'warning', 'Parser warning: ' || w || '.' FROM (SELECT artifact_id,
+          UNION ALL SELECT artifact_id, "column", 'warning', 'often_empty: ' || missing || '/' || total ||
+            ' rows have no value.' FROM j WHERE missing_ratio >= 0.4
+          UNION ALL SELECT artifact_id, "column", 'warning', 'reading: ' || w || '.' FROM (SELECT artifact_id,
             "column", unnest(warnings) AS w FROM j)
-          UNION ALL SELECT artifact_id, '-', 'error', 'Only one column can be marked as date in a single block.' FROM j
+          UNION ALL SELECT artifact_id, '-', 'error', 'several_dates: a table has one date column at most.' FROM j
             WHERE semantic_role = 'date' GROUP BY 1 HAVING count(*) > 1
-          UNION ALL SELECT artifact_id, '-', 'error', 'No observation year available. Either add a date column or set a year override — the data cannot be committed without a date.'
+          UNION ALL SELECT artifact_id, '-', 'error', 'no_year: set a year or name a date column before the commit.'
             FROM undated WHERE year IS NULL"""),
     "t29_default_year_override": (
         lambda spark, sf: mapping.default_year_override(_dateless(edited(spark, sf)), event_blocks(spark, sf)),

@@ -79,15 +79,15 @@ SHEETS_SQL = """sheets AS (SELECT CAST(l_suppkey AS VARCHAR) AS u, l_returnflag
     FROM lineitem GROUP BY 1, 2)"""
 RAW_DOCS_SQL = f"""WITH {SHEETS_SQL}, warned AS (SELECT u, s, row_number() OVER (PARTITION BY u ORDER BY s) AS n FROM
     sheets WHERE blocks = 0)
-  SELECT 'upload:' || s_suppkey || ':artifact' AS document_id, 'raw_artifact' AS source_type, 'Raw artifact for upload '
-    || s_suppkey AS title, 'Raw workbook ' || s_name || '.csv was uploaded with parser version v1. MIME type: ' ||
-    CASE WHEN s_suppkey % 9 = 0 THEN 'None' ELSE 'text/csv' END || '. File size: ' || s_nationkey || ' bytes. SHA-256: '
+  SELECT 'upload:' || s_suppkey || ':artifact' AS document_id, 'raw_artifact' AS source_type, 'File of upload '
+    || s_suppkey AS title, 'The file ' || s_name || '.csv was read by parser v1 as ' ||
+    CASE WHEN s_suppkey % 9 = 0 THEN 'None' ELSE 'text/csv' END || '; it has ' || s_nationkey || ' bytes and the checksum '
     || sha256(s_name) || '.' AS text FROM supplier
-  UNION ALL SELECT 'upload:' || u || ':sheet:' || s, 'sheet_manifest', 'Sheet manifest: ' || s, 'Sheet ' || s || ' has '
-    || rows || ' rows, ' || cols || ' columns at maximum, ' || filled || ' non-empty cells and ' || blocks ||
-    ' detected blocks.' FROM sheets
-  UNION ALL SELECT 'upload:' || u || ':warning:' || n, 'parse_warning', 'Parse warning ' || n || ' for upload ' || u,
-    'Parser warning: no_blocks_detected:' || s || '.' FROM warned"""
+  UNION ALL SELECT 'upload:' || u || ':sheet:' || s, 'sheet_manifest', 'Extent of sheet ' || s, 'On sheet ' || s || ' there are '
+    || rows || ' rows of up to ' || cols || ' columns, ' || filled || ' filled cells and ' || blocks ||
+    ' tables.' FROM sheets
+  UNION ALL SELECT 'upload:' || u || ':warning:' || n, 'parse_warning', 'Doubt ' || n || ' about upload ' || u,
+    'Reading it gave: no_blocks_detected:' || s || '.' FROM warned"""
 
 
 def block_docs(spark, sf):
@@ -126,11 +126,11 @@ QUERIES = {
         lambda spark, sf: raw_docs(spark, sf).select("document_id", "source_type", "title", "text"), RAW_DOCS_SQL),
     "r02_block_docs": (
         lambda spark, sf: block_docs(spark, sf).select("document_id", "title", "text"),
-        PROFILE_SQL + """SELECT 'upload:' || artifact_id || ':block:S1_B1' AS document_id, 'Preview block S1_B1 on Events'
-          AS title, 'Preview block S1_B1 on sheet Events covers range A1:K9. Headers: ' || string_agg("column", ', ' ORDER
-          BY col_pos) || '. Canonical measures: ' || coalesce(string_agg(DISTINCT canonical_measure, ', ' ORDER BY
-          canonical_measure), 'none') || '. Canonical dimensions: ' || coalesce(string_agg(DISTINCT canonical_dimension,
-          ', ' ORDER BY canonical_dimension), 'none') || '. Warning codes: ' || coalesce(array_to_string(list_sort(
+        PROFILE_SQL + """SELECT 'upload:' || artifact_id || ':block:S1_B1' AS document_id, 'Table S1_B1 of Events'
+          AS title, 'Table S1_B1 of sheet Events lies at A1:K9. Its columns: ' || string_agg("column", ', ' ORDER
+          BY col_pos) || '. Measures: ' || coalesce(string_agg(DISTINCT canonical_measure, ', ' ORDER BY
+          canonical_measure), 'none') || '. Dimensions: ' || coalesce(string_agg(DISTINCT canonical_dimension,
+          ', ' ORDER BY canonical_dimension), 'none') || '. Doubts: ' || coalesce(array_to_string(list_sort(
           list_distinct(flatten(list(warnings)))), ', '), 'none') || '.' AS text FROM profiled GROUP BY artifact_id"""),
     "r03_score": (lambda spark, sf: r.score(asked(spark, sf), corpus(spark, sf)),
                   SCORE_SQL + "SELECT query_id, document_id, score FROM scores WHERE score > 0"),

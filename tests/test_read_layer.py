@@ -96,9 +96,9 @@ def test_rule_set_a(asked, seed):
         by.setdefault(r.question_id, []).append(r.plot_id)
     assert by["bad"] == ["P2", "P3"] and by["north"] == ["M1"]
     said = {(r.question_id, r.finding_id): r.statement for r in digest.key_findings(plans, aggregates, lists).collect()}
-    assert said[("bad", "record_count")] == "The query returned 2 harmonized records."
-    assert said[("bad", "status_mix")] == "Returned records include invalid=1, warning=1."
-    assert said[("top", "top_group")].startswith("north is the highest location for average normalized yield at 13500.0 kg/ha")
+    assert said[("bad", "record_count")] == "2 observations match."
+    assert said[("bad", "status_mix")] == "Not all are valid: invalid=1, warning=1."
+    assert said[("top", "top_group")].startswith("north leads every other location in mean yield with 13500.0 kg/ha")
 
 
 def test_rule_set_b(asked, seed):
