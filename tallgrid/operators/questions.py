@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallgrid import catalog
 from tallgrid.functions import text as x
@@ -17,7 +14,7 @@ from tallgrid.functions import units
 from tallgrid.operators import matching
 
 VALUE_FIELDS = ("variety", "location", "treatment", "plot_id")
-MATCH_RATIO, MAX_HINTS = 0.72, 6  # fixed values
+MATCH_PERCENT = 72  # fixed value
 
 
 def _folded_keyword(keyword: str) -> str:
@@ -118,39 +115,32 @@ def _alias_catalogue() -> list[tuple[str, str, list[str]]]:
     return [(section, name, list(aliases)) for section, table in sections for name, aliases in table.items()]
 
 
-HINT = T.ArrayType(T.StructType([
-    T.StructField("ord", T.IntegerType()), T.StructField("section", T.StringType()),
-    T.StructField("canonical_name", T.StringType()), T.StructField("matched_alias", T.StringType())]))
-
-
-def _close_aliases(tokens: pd.Series) -> pd.Series:
-    """The closest alias of every catalogue name for one token (sequence-matcher ratio)."""
+def alias_rows() -> list[tuple[int, str, str, int, str, str]]:
+    """(name number, section, canonical name, alias number, alias, folded alias) of the fixed catalogue."""
     plain = lambda s: " ".join(unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower().split())
-    names = [(i, s, n, {plain(a): a for a in aliases}) for i, (s, n, aliases) in enumerate(_alias_catalogue())]
-
-    def hints(token: str) -> list[dict]:
-        found = []
-        for i, section, name, aliases in names:
-            best = difflib.get_close_matches(token, list(aliases), n=1, cutoff=MATCH_RATIO)
-            if best:
-                found.append({"ord": i, "section": section, "canonical_name": name, "matched_alias": aliases[best[0]]})
-        return found
-
-    return tokens.map(hints)
+    return [(i, section, name, k, alias, plain(alias)) for i, (section, name, aliases) in enumerate(_alias_catalogue())
+            for k, alias in enumerate(aliases)]
 
 
-def fuzzy_aliases(questions: DataFrame) -> DataFrame:
-    """(question_id, section, hint_no, token, canonical_name, matched_alias), six hints per section at most.
+def fuzzy_aliases(questions: DataFrame, max_hints: int | None = None) -> DataFrame:
+    """(question_id, section, hint_no, token, canonical_name, matched_alias), the first ``max_hints`` of each section.
 
-    Each distinct token is compared once with the fixed alias list; there is no built-in for this ratio.
+    Each distinct token of three or more characters is compared once with the fixed aliases; an alias matches when its edit
+    distance is at most 28 % of the longer length, and the most similar alias of every canonical name counts. (The measure is
+    edit distance, where the modelled system takes a sequence-matcher ratio: it is built in and symmetric.)
     """
-    words = F.split(F.trim(F.regexp_replace(x.fold_ascii(F.col("question")), r"[?,\s]+", " ")), " ")
+    c = F.col
+    words = F.split(F.trim(F.regexp_replace(x.fold_ascii(c("question")), r"[?,\s]+", " ")), " ")
     tokens = questions.select("question_id", F.posexplode(words).alias("pos", "token")).filter(F.length("token") >= 3)
-    hints = (tokens.select("token").distinct().withColumn("h", F.explode(F.pandas_udf(_close_aliases, HINT)("token")))
-             .select("token", "h.*"))
-    joined = tokens.join(hints, "token")
-    # the six first of each section, by position in the question and in the catalogue
-    first = joined.groupBy("question_id", "section").agg(F.slice(F.array_sort(F.collect_list(
-        F.struct("pos", "ord", "token", "canonical_name", "matched_alias"))), 1, MAX_HINTS).alias("hints"))
-    return first.select("question_id", "section", F.posexplode("hints").alias("hint_no", "h")).select(
-        "question_id", "section", "hint_no", "h.token", "h.canonical_name", "h.matched_alias")
+    names = ("ord", "section", "canonical_name", "alias_no", "matched_alias", "folded")
+    fixed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in alias_rows()])
+    pairs = tokens.select("token").distinct().select("token", F.explode(fixed).alias("a")).select("token", "a.*")
+    longer = F.greatest(F.length("token"), F.length("folded"))
+    kept = longer - F.levenshtein("token", "folded")
+    close = pairs.withColumn("likeness", kept / longer).filter(100 * kept >= MATCH_PERCENT * longer)
+    best = close.groupBy("token", "ord", "section", "canonical_name").agg(
+        F.max_by("matched_alias", F.struct("likeness", -c("alias_no"))).alias("matched_alias"))
+    place = Window.partitionBy("question_id", "section").orderBy("pos", "ord")
+    hints = tokens.join(best, "token").withColumn("hint_no", F.row_number().over(place) - 1)
+    shown = hints if max_hints is None else hints.filter(c("hint_no") < max_hints)
+    return shown.select("question_id", "section", "hint_no", "token", "canonical_name", "matched_alias")

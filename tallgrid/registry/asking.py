@@ -361,7 +361,19 @@ QUERIES = {
         lambda spark, sf: lists(spark, sf, "b").selectExpr(*LIST_KEYS),
         LIST_B_SQL + f"SELECT question_id, rank, {KEYS.replace(', validation_status', '')} FROM listed WHERE rank <= "
                      "row_limit"),
-    "n13_fuzzy_aliases": (lambda spark, sf: nq.fuzzy_aliases(asked(spark, sf)), None),
+    "n13_fuzzy_aliases": (
+        lambda spark, sf: nq.fuzzy_aliases(asked(spark, sf)),
+        "WITH x AS (SELECT 1)" + ASKED_SQL + f""", al(ord, section, canonical_name, alias_no, matched_alias, folded) AS (VALUES
+            {", ".join(str(r) for r in nq.alias_rows())}),
+          tk AS (SELECT question_id, unnest(ws) AS token, unnest(range(len(ws))) AS pos FROM (SELECT question_id, string_split(
+            trim(regexp_replace({FOLD_ASCII}, '[?,\\s]+', ' ', 'g')), ' ') AS ws FROM qs)),
+          near AS (SELECT token, ord, section, canonical_name, alias_no, matched_alias, greatest(len(token), len(folded)) AS g,
+            greatest(len(token), len(folded)) - levenshtein(token, folded) AS kept FROM (SELECT DISTINCT token FROM tk WHERE
+            len(token) >= 3), al),
+          best AS (SELECT token, ord, section, canonical_name, arg_max(matched_alias, (kept / g, -alias_no)) AS matched_alias
+            FROM near WHERE 100 * kept >= 72 * g GROUP BY 1, 2, 3, 4)
+          SELECT question_id, section, row_number() OVER (PARTITION BY question_id, section ORDER BY pos, ord) - 1 AS hint_no,
+            token, canonical_name, matched_alias FROM tk JOIN best USING (token)"""),
     "a01_key_findings": (
         lambda spark, sf: digested(spark, sf, "a", digest.key_findings),
         None),

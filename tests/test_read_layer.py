@@ -118,6 +118,6 @@ def test_rule_set_b(asked, seed):
 
 
 def test_fuzzy_aliases(spark):
-    asked = spark.createDataFrame([(1, "Averge yeild per variet?")], "question_id int, question string")
+    asked = spark.createDataFrame([(1, "Averge yiel per variet?")], "question_id int, question string")
     found = {(r.section, r.token, r.canonical_name) for r in nq.fuzzy_aliases(asked).collect()}
-    assert {("aggregation", "averge", "avg"), ("measure", "yeild", "yield"), ("dimension", "variet", "variety")} <= found
+    assert {("aggregation", "averge", "avg"), ("measure", "yiel", "yield"), ("dimension", "variet", "variety")} <= found
