@@ -10,7 +10,7 @@ from tallgrid.operators import questions as nq
 from tallgrid.plans import batch
 from tallgrid.registry.read_queries import SQL_ORDER
 from tallgrid.registry.scalars import FOLD_ASCII, FOLD_QUESTION, sql_first_token
-from tallgrid.session import cut, stored
+from tallgrid.session import cut
 from tallgrid.registry.tables import OBS_SQL, observations, table
 
 # question templates; @N is a nation, @B a brand number
@@ -47,11 +47,6 @@ def tags_b(spark, sf):
     return nq.tag_b(asked(spark, sf), known_values(spark, sf))
 
 
-def stored_observations(spark, sf):
-    """Observations as a written table with its own statistics and columns to prune."""
-    return stored(observations(spark, sf))
-
-
 def plans(spark, sf, rules):
     tag, plan = {"a": (nq.tag_a, batch.plan_a), "b": (nq.tag_b, batch.plan_b)}[rules]
     return plan(tag(asked(spark, sf), known_values(spark, sf)))
@@ -189,16 +184,16 @@ LIST_A_SQL = TAG_A + f""", mine AS (SELECT * FROM pa WHERE intent = 'select'),
 
 
 def aggregates(spark, sf, rules):
-    return batch.execute_aggregates(plans(spark, sf, rules), stored_observations(spark, sf))
+    return batch.execute_aggregates(plans(spark, sf, rules), observations(spark, sf))
 
 
 def lists(spark, sf, rules):
-    return batch.execute_lists(plans(spark, sf, rules), stored_observations(spark, sf))
+    return batch.execute_lists(plans(spark, sf, rules), observations(spark, sf))
 
 
 def digested(spark, sf, rules, make):
     """Digests read the same plans and result lists several times, so these are written down first."""
-    made, obs = cut(plans(spark, sf, rules)), stored_observations(spark, sf)
+    made, obs = cut(plans(spark, sf, rules)), observations(spark, sf)
     return make(made, cut(batch.execute_aggregates(made, obs)), cut(batch.execute_lists(made, obs)))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrid.operators import quality
+from tallgrid.session import ensure_checkpoint_dir
+from tallgrid.sources import store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,11 +53,27 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Harmonised observations with normalised values, flags and status."""
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Harmonised observations with normalised values, flags and status, as a commit computes them."""
     return quality.validate(quality.normalise_observation(raw_observations(spark, sf_dir)))
 
 
+_committed: dict[tuple[str, str], str] = {}
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table that the commit of ``validated`` observations wrote, partitioned by upload; once per application.
+
+    Flags are settled at the commit, so reading is a scan of one table with its columns pruned and its filters pushed down.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _committed:
+        path = f"{ensure_checkpoint_dir(spark)}/observations-{uuid.uuid4().hex}"
+        store.rebuild_partition(validated(spark, sf_dir), path)
+        _committed[key] = path
+    return spark.read.parquet(_committed[key])
+
+
 RAW_SQL = """
 raw AS (
   SELECT

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,10 +53,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise an iteration's result in the reliable checkpoint folder and drop its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: later scans prune columns and push filters down."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
