@@ -20,7 +20,8 @@ SETTINGS = {
 
 def build_session(master: str | None = None, app: str = "tallgrid", **extra: str) -> SparkSession:
     """A session with the library's settings; on a cluster leave ``master`` unset."""
-    builder = SparkSession.builder.appName(app)
+    # checkpoint files go when nothing refers to them any more
+    builder = SparkSession.builder.appName(app).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
