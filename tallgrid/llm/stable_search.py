@@ -2,7 +2,7 @@
 
 Vectors are projected on ``AXES`` Gaussian directions: a projected squared distance, divided by the true one, follows a
 chi-square law with that many degrees of freedom. Each block of at most about ``BLOCK`` vectors holds its projections in a
-kd-tree. A query takes the block's vectors in order of projected distance, verifies true distances, and stops as soon as any
+kd-tree. A query takes the block's leaves in order of projected distance, verifies true distances, and stops as soon as any
 vector still as near as its k-th best would have shown up already with probability ``SURE``. The best of all blocks are merged.
 
 Equal vectors of a block are one point with a list of ids, so a vector that a third of the rows share is verified once. Queries
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallgrid.llm.shared import keep, prepare
 
-AXES, LEAF, BLOCK, QUERIES, SURE, STEP = 8, 32, 16_384, 8_192, 0.97, 64
+AXES, LEAF, BLOCK, QUERIES, SURE = 8, 256, 16_384, 8_192, 0.97
 
 
 def chi_square(x: np.ndarray, degrees: int = AXES) -> np.ndarray:
@@ -49,16 +49,16 @@ def directions(dimension: int) -> np.ndarray:
 
 
 class Tree:
-    """A kd-tree over points, split at medians down to leaves; yields points by rising distance."""
+    """A kd-tree over points, split at medians down to leaves; yields leaves by rising distance."""
 
     def __init__(self, points: np.ndarray):
-        self.points, self.order = points, np.arange(len(points))
+        self.order = np.arange(len(points))
         self.low, self.high, self.spans, self.children = [], [], [], []
-        self._build(0, len(points))
-        self.low, self.high = np.array(self.low), np.array(self.high)
+        self._build(points, 0, len(points))
+        self.low, self.high, self.points = np.array(self.low), np.array(self.high), points[self.order]
 
-    def _build(self, a: int, b: int) -> int:
-        own, node = self.points[self.order[a:b]], len(self.spans)
+    def _build(self, points: np.ndarray, a: int, b: int) -> int:
+        own, node = points[self.order[a:b]], len(self.spans)
         self.low.append(own.min(0))
         self.high.append(own.max(0))
         self.spans.append((a, b))
@@ -66,64 +66,65 @@ class Tree:
         if b - a > LEAF:
             axis, mid = int(np.argmax(self.high[node] - self.low[node])), (b - a) // 2
             self.order[a:b] = self.order[a:b][np.argpartition(own[:, axis], mid)]
-            self.children[node] = (self._build(a, a + mid), self._build(a + mid, b))
+            self.children[node] = (self._build(points, a, a + mid), self._build(points, a + mid, b))
         return node
 
-    def _gap(self, query: np.ndarray, node: int) -> float:
-        away = np.maximum(np.maximum(self.low[node] - query, query - self.high[node]), 0.0)
-        return float(away @ away)
-
-    def nearest(self, query: np.ndarray):
-        """Batches of (squared distances, points), rising: no later point is nearer than any of an earlier batch."""
-        nodes, found = [(self._gap(query, 0), 0)], []
-        while nodes or found:
-            while nodes and (len(found) < STEP or nodes[0][0] < found[0][0]):
-                _, node = heapq.heappop(nodes)
-                if self.children[node] is None:
-                    a, b = self.spans[node]
-                    own = self.order[a:b]
-                    gaps = ((self.points[own] - query) ** 2).sum(1)
-                    for pair in zip(gaps.tolist(), own.tolist()):
-                        heapq.heappush(found, pair)
-                else:
-                    for child in self.children[node]:
-                        heapq.heappush(nodes, (self._gap(query, child), child))
-            edge, batch = (nodes[0][0] if nodes else np.inf), []
-            while found and found[0][0] <= edge and len(batch) < STEP:
-                batch.append(heapq.heappop(found))
-            if batch:
-                yield np.array([g for g, _ in batch]), np.array([p for _, p in batch])
+    def leaves(self, query: np.ndarray):
+        """(least squared distance, first, end) of leaves, rising: no later leaf is nearer than an earlier one."""
+        away = np.maximum(np.maximum(self.low - query, query - self.high), 0.0)
+        gaps = (away * away).sum(1).tolist()
+        nodes = [(gaps[0], 0)]
+        while nodes:
+            gap, node = heapq.heappop(nodes)
+            if self.children[node] is None:
+                yield gap, *self.spans[node]
+            else:
+                for child in self.children[node]:
+                    heapq.heappush(nodes, (gaps[child], child))
 
 
 class Block:
-    """Vectors of one length with their ids, equal vectors joined."""
+    """Vectors of one length with their ids, equal vectors joined, in the order of the tree."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         vectors = np.ascontiguousarray(vectors + 0.0)  # no negative zero
         raw = vectors.view(np.dtype((np.void, vectors.shape[1] * 8))).reshape(-1)
         _, first, which = np.unique(raw, return_index=True, return_inverse=True)
-        order = np.lexsort((ids, which))
-        self.ids, self.cuts = ids[order], np.append(0, np.cumsum(np.bincount(which)))
-        self.vectors = vectors[first]
         self.axes = directions(vectors.shape[1])
-        self.tree = Tree(self.vectors @ self.axes)
+        self.tree = Tree(vectors[first] @ self.axes)
+        place = np.empty(len(first), np.int64)
+        place[self.tree.order] = np.arange(len(first))
+        order = np.lexsort((ids, place[which]))
+        self.ids, self.cuts = ids[order], np.append(0, np.cumsum(np.bincount(place[which])))
+        self.vectors = vectors[first][self.tree.order]
 
     def search(self, own: int, query: np.ndarray, k: int, bar: float) -> list[tuple[float, int]]:
-        best: list[tuple[float, int]] = []
-        for gaps, points in self.tree.nearest(query @ self.axes):
-            if len(best) >= k and (best[-1][0] == 0 and gaps[0] > 0 or gaps[0] > bar * best[-1][0] ** 2):
+        """The ``k`` nearest ids found; leaves are verified by rising projected distance until the test holds."""
+        projected = query @ self.axes
+        away, points, limit = np.zeros(0), np.zeros(0, np.int64), np.inf
+        for gap, a, b in self.tree.leaves(projected):
+            reach = bar * limit ** 2
+            if gap > reach:
                 break
-            away = np.sqrt(((self.vectors[points] - query) ** 2).sum(1))
-            limit = best[-1][0] if len(best) >= k else np.inf
-            for distance, p in zip(away.tolist(), points.tolist()):
-                if distance <= limit:
-                    # of equal vectors only the k least other ids can be among the best
-                    some = self.ids[self.cuts[p]:self.cuts[p + 1]]
-                    repeats = np.searchsorted(some, own, "right") - np.searchsorted(some, own)
-                    some = some[:k + repeats]
-                    best += [(distance, i) for i in some.tolist() if i != own]
-            best = sorted(best)[:k]
-        return best
+            at = np.arange(a, b)
+            if limit < np.inf:
+                at = at[((self.tree.points[a:b] - projected) ** 2).sum(1) <= reach]
+            found = np.sqrt(((self.vectors[at] - query) ** 2).sum(1))
+            if (found == 0).any():  # the query's own row is no candidate
+                same = at[found == 0][0]
+                if (self.ids[self.cuts[same]:self.cuts[same + 1]] == own).all():
+                    at, found = at[found > 0], found[found > 0]
+            away, points = np.append(away, found), np.append(points, at)
+            if len(away) >= k:
+                limit = np.partition(away, k - 1)[k - 1]
+                away, points = away[away <= limit], points[away <= limit]
+        best = []
+        for distance, p in zip(away.tolist(), points.tolist()):
+            # of equal vectors only the k least other ids can be among the best
+            some = self.ids[self.cuts[p]:self.cuts[p + 1]]
+            repeats = np.searchsorted(some, own, "right") - np.searchsorted(some, own)
+            best += [(distance, i) for i in some[:k + repeats].tolist() if i != own]
+        return sorted(best)[:k]
 
 
 def usable(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
