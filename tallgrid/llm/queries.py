@@ -105,6 +105,55 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("_id") == F.col("component_id")).alias("kept"))
 
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x09-\\x0D\\x20]+'), lambda w: w <> '')"
+
+# a symbol goes if the last removable window at or before it starts less than 50 symbols back
+OP3_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+  starts AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS p, ws FROM w WHERE len(ws) >= 50),
+  windows AS (SELECT doc_id, p, array_to_string(ws[p:p + 49], ' ') AS h FROM starts),
+  flagged AS (SELECT doc_id, p, p AS fp FROM windows JOIN (SELECT h, min(doc_id) AS first FROM windows GROUP BY h) USING (h)
+    WHERE first < doc_id),
+  symbols AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+  marked AS (SELECT doc_id, word, p, coalesce(p - max(fp) OVER (PARTITION BY doc_id ORDER BY p) < 50, FALSE) AS gone
+    FROM symbols LEFT JOIN flagged USING (doc_id, p)),
+  edged AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS opens FROM marked),
+  sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+    string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM edged GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
+  coalesce(n_spans, 0) AS n_spans FROM documents LEFT JOIN sums USING (doc_id)"""
+
+OP9_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+  windows AS MATERIALIZED (SELECT doc_id, p, md5_number(substr(x, 2 * p - 1, 100)) AS s FROM (SELECT doc_id, x, unnest(range(1, len(x) // 2 - 48)) AS p
+    FROM h WHERE len(x) >= 100)),
+  flagged AS (SELECT doc_id, p FROM windows JOIN (SELECT s, min(doc_id) AS first FROM windows GROUP BY s) USING (s)
+    WHERE first < doc_id),
+  runs AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS r
+    FROM (SELECT doc_id, p, CAST(coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50, TRUE) AS INTEGER) AS opens
+      FROM flagged)) GROUP BY doc_id, r),
+  cuts AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM runs GROUP BY doc_id),
+  kept AS (SELECT doc_id, x, a, z, CASE WHEN a IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(a) + 1),
+    lambda i: substr(x, CASE WHEN i = 0 THEN 1 ELSE 2 * z[i] - 1 END, 2 * ((CASE WHEN i = len(a) THEN len(x) // 2 + 1 ELSE
+      a[i + 1] END) - (CASE WHEN i = 0 THEN 1 ELSE z[i] END)))), '') END AS y FROM h LEFT JOIN cuts USING (doc_id))
+SELECT doc_id, len(x) // 2 AS n_bytes, (len(x) - len(y)) // 2 AS n_removed, coalesce(len(a), 0) AS n_spans,
+  sha256(unhex(y)) AS kept_sha256 FROM kept"""
+
+OP10_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}')")} AS ws
+    FROM documents),
+  sets AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i:
+    array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+  x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM sets),
+  pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+  reach(v, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, m FROM reach JOIN links ON a = v)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(m) AS component_id, doc_id = min(m) AS kept
+FROM sets JOIN reach ON v = doc_id GROUP BY doc_id, len(sh)"""
+
+
 QUERIES = {
     "op1_repair_shards": (op1_repair_shards, None),
     "op4_stable_search": (op4_stable_search, None),
@@ -112,8 +161,8 @@ QUERIES = {
     "op2_string_tiling": (op2_string_tiling, None),
     "op6_language_mixture": (op6_language_mixture, None),
     "op7_ftrl_toxicity": (op7_ftrl_toxicity, None),
-    "op3_window_dedup": (op3_window_dedup, None),
-    "op10_chosen_path": (op10_chosen_path, None),
+    "op3_window_dedup": (op3_window_dedup, OP3_SQL),
+    "op10_chosen_path": (op10_chosen_path, OP10_SQL),
     "op8_schema_fingerprints": (op8_schema_fingerprints, OP8_SQL),
-    "op9_suffix_levels": (op9_suffix_levels, None),
+    "op9_suffix_levels": (op9_suffix_levels, OP9_SQL),
 }
