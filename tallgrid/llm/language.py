@@ -140,7 +140,7 @@ def predicted(docs: DataFrame, names: list[str], model: np.ndarray, text_column:
         own, logs = sent.value
         for batch in batches:
             best, score, sets = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), [{}] * batch.num_rows
-            for row, data, bounds in rolling.slices(batch.column("_text"), 1 << 20) if own else ():
+            for row, data, bounds in rolling.slices(batch.column("_text")) if own else ():
                 letters = _has_letter(data, bounds)
                 found, share, _ = mixtures(*trigrams(data, bounds), logs)
                 top = share.argmax(1) if len(found) else found

@@ -66,7 +66,7 @@ class Prefix:
         return mix(h)
 
 
-def slices(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, bounds) of consecutive rows of about ``limit`` bytes; a longer row comes alone, null is empty."""
     n = len(column)
     if n == 0:

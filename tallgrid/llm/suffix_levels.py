@@ -31,7 +31,7 @@ from tallgrid.llm.shared import keep_at, partitions, prepare
 
 ENTRY = np.dtype([("order", "<u8"), ("rest", "<u4"), ("id", "<i8"), ("key", "<i4"), ("start", "<u4"), ("count", "<u4")])
 PLACE = ["id", "key", "start", "count"]
-FLUSH = 1 << 21  # entries of one batch
+FLUSH = 1 << 20  # entries of one batch
 BATCH = "bucket int, low long, n int, digests binary, places binary, gone int, gone_places binary"
 MARK = "_id long, _key int, partial boolean, _pairs binary"
 
