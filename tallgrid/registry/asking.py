@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tallgrid import catalog
@@ -53,7 +55,6 @@ def plans(spark, sf, rules):
 
 
 def _word(keywords) -> str:
-    import re
     plain = "|".join(re.escape(k) for k in keywords if k.isascii())
     return f"regexp_matches(' ' || q || ' ', '[^a-z0-9_](?:{plain})[^a-z0-9_]')"
 
@@ -183,6 +184,34 @@ LIST_A_SQL = TAG_A + f""", mine AS (SELECT * FROM pa WHERE intent = 'select'),
     WHERE NOT dd OR d = 1)"""
 
 
+FINDINGS_A_SQL = AGG_A_SQL + re.sub(r"\bmine\b", "asked_lists", LIST_A_SQL[len(TAG_A):]) + """,
+  shown AS (SELECT * FROM ranked WHERE intent <> 'top_group' OR rank = 1),
+  best AS (SELECT question_id, count(*) AS groups, arg_max({'g': group_value, 'm': metric_value, 'c': record_count, 'u':
+    normalized_unit}, (metric_value, coalesce(group_value, ''))) AS b FROM shown GROUP BY 1),
+  told AS (SELECT pa.*, groups, b, coalesce(nullif(b.g, ''), 'n/a') AS name, CAST(round(b.m, 6) AS VARCHAR) ||
+    coalesce(' ' || nullif(b.u, ''), '') AS amount FROM pa LEFT JOIN best USING (question_id)),
+  recs AS (SELECT * FROM listed WHERE rank <= row_limit),
+  sizes AS (SELECT question_id, count(*) AS n FROM recs GROUP BY 1),
+  states AS (SELECT question_id, string_agg(k || '=' || n, ', ' ORDER BY k) AS t FROM (SELECT question_id, validation_status AS
+    k, count(*) AS n FROM recs WHERE validation_status IN ('warning', 'invalid') GROUP BY 1, 2) GROUP BY 1),
+  flags AS (SELECT question_id, string_agg(k || '=' || n, ', ' ORDER BY k) AS t FROM (SELECT question_id, k, count(*) AS n FROM
+    (SELECT question_id, unnest(quality_flags) AS k FROM recs) WHERE k <> '' GROUP BY 1, 2) GROUP BY 1)
+SELECT question_id, 'support_status' AS finding_id, 'Answerable' AS label, 'This kind of question cannot be answered.' AS
+  statement FROM pa WHERE status <> 'supported'
+UNION ALL SELECT question_id, 'top_group', 'Leader', name || ' leads every other ' || group_by || ' in mean ' || f_variable ||
+  ' with ' || amount || '.' FROM told WHERE intent = 'top_group' AND b IS NOT NULL
+UNION ALL SELECT question_id, 'top_group_record_count', 'Observations behind it', 'Its mean rests on ' || b.c ||
+  ' observations.' FROM told WHERE intent = 'top_group' AND b IS NOT NULL
+UNION ALL SELECT question_id, 'aggregation_group_count', 'Groups', coalesce(groups, 0) || ' groups by ' || coalesce(group_by,
+  'None') || ' have a value of ' || coalesce(f_variable, 'None') || '.' FROM told WHERE intent = 'aggregate'
+UNION ALL SELECT question_id, 'highest_group', 'Largest group', 'Largest: ' || name || ' with ' || amount || '.' FROM told
+  WHERE intent = 'aggregate' AND b IS NOT NULL
+UNION ALL SELECT question_id, 'record_count', 'Matches', coalesce(n, 0) || ' observations match.' FROM pa LEFT JOIN sizes USING
+  (question_id) WHERE intent = 'select'
+UNION ALL SELECT question_id, 'status_mix', 'Statuses', 'Not all are valid: ' || t || '.' FROM states
+UNION ALL SELECT question_id, 'quality_flags', 'Flags', 'Flags on them: ' || t || '.' FROM flags"""
+
+
 def aggregates(spark, sf, rules):
     return batch.execute_aggregates(plans(spark, sf, rules), observations(spark, sf))
 
@@ -370,8 +399,7 @@ QUERIES = {
           SELECT question_id, section, row_number() OVER (PARTITION BY question_id, section ORDER BY pos, ord) - 1 AS hint_no,
             token, canonical_name, matched_alias FROM tk JOIN best USING (token)"""),
     "a01_key_findings": (
-        lambda spark, sf: digested(spark, sf, "a", digest.key_findings),
-        None),
+        lambda spark, sf: digested(spark, sf, "a", digest.key_findings), FINDINGS_A_SQL),
     "a01_record_findings": (
         lambda spark, sf: digested(spark, sf, "b", digest.key_findings)
         .filter(F.col("finding_id").isin("record_count", "aggregation_group_count", "support_status"))
@@ -389,8 +417,7 @@ QUERIES = {
             coalesce(group_by, 'None') || ' have a value of ' || coalesce(f_variable, 'None') || '.'
             FROM mineb LEFT JOIN kept USING (question_id) WHERE intent = 'aggregate'"""),
     "a02_quality_notes": (
-        lambda spark, sf: digested(spark, sf, "a", lambda p, _, records: digest.quality_notes(p, records)).filter(
-            "note_id <> 'quality_flags'"),
+        lambda spark, sf: digested(spark, sf, "a", lambda p, _, records: digest.quality_notes(p, records)),
         LIST_A_SQL + """, shown AS (SELECT * FROM listed WHERE rank <= row_limit),
           mix AS (SELECT question_id, string_agg(validation_status || '=' || n, ', ' ORDER BY validation_status) AS t FROM
             (SELECT question_id, validation_status, count(*) AS n FROM shown WHERE validation_status IN ('warning',
@@ -399,7 +426,10 @@ QUERIES = {
             AS text FROM pa WHERE intent IN ('aggregate', 'top_group')
           UNION ALL SELECT question_id, 'validation_status', CASE WHEN t IS NULL THEN 'info' ELSE 'warning' END,
             CASE WHEN t IS NULL THEN 'All that is shown is valid.' ELSE
-            'Not all are valid: ' || t || '.' END FROM mine LEFT JOIN mix USING (question_id)"""),
+            'Not all are valid: ' || t || '.' END FROM mine LEFT JOIN mix USING (question_id)
+          UNION ALL SELECT question_id, 'quality_flags', 'warning', 'Flags on them: ' || string_agg(k || '=' || n, ', ' ORDER BY
+            k) || '.' FROM (SELECT question_id, k, count(*) AS n FROM (SELECT question_id, unnest(quality_flags) AS k FROM shown)
+            WHERE k <> '' GROUP BY 1, 2) GROUP BY 1"""),
     "e01_compare_plan": (
         lambda spark, sf: _bits(fields_of(spark, sf)),
         FIELDS_SQL + "SELECT question_id, field, CAST(matched AS INTEGER) AS matched FROM fields"),
