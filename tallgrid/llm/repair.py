@@ -26,7 +26,7 @@ from tallgrid.llm import spans, tokens
 from tallgrid.llm.shared import keep, partitions, prepare
 
 BLOCK, STRIDE = 1 << 20, 1024
-PAIRS, LEAST, SLOTS = 4096, 8, 20
+PAIRS, LEAST, SLOTS = 4096, 8, 18
 FILE = ("shard int, block int, start long, n_tokens long, base long, doc_ids binary, doc_sizes binary, rules binary, "
         "rule_lengths binary, symbols binary, marks binary")
 
