@@ -34,6 +34,29 @@ def test_score_equals_brute_force(spark):
     assert got == want
 
 
+def test_benchmark_queries_are_whole_texts(spark):
+    docs, want, hits = [], {}, {}
+    for d in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        parts = [fold_python(p, KEEP) for p in (f"{d.lang} {d.source}", d.text or "", f"lang {d.lang} source {d.source}")]
+        docs.append((f"doc:{d.doc_id}", d.source, f"{d.lang} {d.source}".lower(), parts, " ".join(p for p in parts if p)))
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()
+    assert all(len(i.text.split()) > 5 for i in items)
+    for i in items:
+        folded = fold_python(i.text, KEEP)
+        tokens = {t for t in folded.split(" ") if len(t) >= 2}
+        for name, source, title, parts, whole in docs:
+            points = sum(n * (t in part) for n, part in zip((5, 2, 1), parts) for t in tokens) + 25 * (folded in whole)
+            if points:
+                want[i.item_id, name] = float(points)
+                hits.setdefault(i.item_id, []).append((-points, source, title, name))
+    ranked = {(i, rank): h[3] for i, rows in hits.items() for rank, h in enumerate(sorted(rows)[:10], start=1)}
+    run = lambda name: entry.queries()[name](spark, SMALL).collect()
+    assert {(x.query_id, x.document_id): x.score for x in run("r03_score")} == want
+    assert {(x.query_id, x.rank): x.document_id for x in run("r04_top_k")} == ranked
+    assert {(x.query_id, x.rank): x.document_id for x in run("r05_search_with_snippets")} == {
+        k: v for k, v in ranked.items() if k[1] <= 5}
+
+
 def test_context_prefers_schema_documents(spark, seed):
     docs = r.schema_docs(spark, seed)
     chosen = r.select_context(docs, variable="yield", question="moisture percent", limit=8).orderBy("stage", "ord").collect()
