@@ -5,8 +5,10 @@ A document's set holds its distinct shingles of ``words`` lower-cased words. Doc
 node's own hash, and the token names the child. Nodes of at most ``NODE`` vertices and ``NODE_SHINGLES`` shingles are compared
 exhaustively: sketches of one
 byte per selected token leave plausible partners (a linked pair fails that test about once in 10^7), and full sets confirm
-every link. Nodes that stay larger after ``DEPTH`` levels are near copies of each other; they are compared in blocks that all
-meet the node's pivots, and vertices that no pivot reaches become the next pivots, until none is left.
+every link. Nodes that stay larger after ``DEPTH`` levels are mostly near copies of each other; they are compared in blocks
+that all meet the node's pivots, and vertices that no pivot reaches become the next pivots, as long as that pays. What may be
+linked then but lies in different components is joined exactly: of two linked sets, the rarest shingles, ``1 - J`` of each set
+and one more, have one in common, so each such shingle is a node, compared exhaustively in pairs of blocks if it is large.
 
 A pair at the threshold is missed with probability (1 - J)^TREES in nodes that need no branching.
 
@@ -29,6 +31,10 @@ from tallgrid.llm.shared import keep, partitions, prepare, tasks_for
 TREES, DEPTH = 10, 5
 NODE, NODE_SHINGLES = 4096, 1 << 21
 PIVOTS = 32
+#: rounds of pivots go on while one settles this part of the vertices that were left
+WORTHWHILE = 0.1
+#: counters that tell common shingles from rare ones; any order of shingles is exact, this one only keeps nodes small
+SLOT_BITS = 18
 SKETCH = TREES * DEPTH
 #: matches among the sketch bytes that a pair at 0.85 reaches but for about one in 10^7; other thresholds scale from there
 PLAUSIBLE = 28
@@ -113,14 +119,16 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tup
         yield marked(rest.combine_chunks())
 
 
-def likely(sketch: np.ndarray, sizes: np.ndarray, least: int, percent: int) -> np.ndarray:
-    """Matrix of pairs that may be linked, by sizes and sketches."""
+def likely(sketch: np.ndarray, sizes: np.ndarray, least: int, percent: int, comps: np.ndarray | None = None) -> np.ndarray:
+    """Matrix of pairs that may be linked, by sizes and sketches; with ``comps`` only pairs of different components."""
     n = len(sizes)
     out = np.zeros((n, n), bool)
     for i in range(n - 1):
         rest = slice(i + 1, n)
         small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
         near = 100 * small >= percent * large
+        if comps is not None:
+            near &= comps[rest] != comps[i]
         if near.any():
             near &= (sketch[rest] == sketch[i]).sum(1) >= least
             out[i, rest] = out[rest, i] = near
@@ -131,6 +139,10 @@ def _sketches(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
+def _comps(table: pa.Table) -> np.ndarray | None:
+    return table.column("comp").to_numpy() if "comp" in table.column_names else None
+
+
 def _dealt(rows: DataFrame, tasks: int) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "node").coalesce(tasks).sortWithinPartitions("node")
 
@@ -142,10 +154,11 @@ def plausible_members(nodes: DataFrame, percent: int, tasks: int) -> DataFrame:
     def apply(batches):
         for table, cuts in whole_groups(batches, "node"):
             sketch, sizes = _sketches(table.column("sketch")), table.column("n_shingles").to_numpy()
-            keep_rows = np.zeros(table.num_rows, bool)
+            keep_rows, comps = np.zeros(table.num_rows, bool), _comps(table)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b - a > 1:
-                    keep_rows[a:b] = likely(sketch[a:b], sizes[a:b], least, percent).any(1)
+                    own = None if comps is None else comps[a:b]
+                    keep_rows[a:b] = likely(sketch[a:b], sizes[a:b], least, percent, own).any(1)
             yield from table.filter(pa.array(keep_rows)).to_batches()
 
     return _dealt(nodes, tasks).mapInArrow(apply, nodes.schema)
@@ -154,11 +167,11 @@ def plausible_members(nodes: DataFrame, percent: int, tasks: int) -> DataFrame:
 def confirmed_links(members: DataFrame, texts: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
     """Links (``a``, ``b``) that full sets confirm, enough to connect what is linked inside each node."""
     least = PLAUSIBLE * percent // 85
-    dealt = _dealt(members.select("node", "v", "n_shingles", "sketch").join(texts, "v"), tasks)
+    dealt = _dealt(members.join(texts, "v"), tasks)
 
     def of_node(part):
         sizes, sketch = part.column("n_shingles").to_numpy(), _sketches(part.column("sketch"))
-        pairs, label = likely(sketch, sizes, least, percent), np.arange(part.num_rows)
+        pairs, label = likely(sketch, sizes, least, percent, _comps(part)), np.arange(part.num_rows)
         data, starts = [], [0]
         for _, piece, bounds in rolling.slices(part.column("_text").combine_chunks()):
             tokens, at = shingle_sets(piece, bounds, width)
@@ -223,13 +236,86 @@ def in_blocks(large: DataFrame, state: DataFrame, tasks: int) -> tuple[DataFrame
     parts = F.greatest(F.ceil(F.col("size") / NODE), F.ceil(F.col("shingles") / NODE_SHINGLES))
     slot = F.pmod(F.xxhash64("v", F.lit(7)), F.lit(PIVOTS))
     pivots = keep(state.groupBy("node", slot.alias("slot")).agg(F.min("v").alias("v")).select("node", "v"), tasks)
-    blocked = large.withColumn("block", F.pmod(F.xxhash64("v"), parts))
+    blocked = large.withColumn("block", F.pmod(F.xxhash64("v", "node"), parts))
     everywhere = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
     pivot_rows = large.join(pivots, ["node", "v"]).withColumn("block", everywhere)
     rows = blocked.unionByName(pivot_rows).dropDuplicates(["node", "block", "v"])
     return rows.withColumn("node", F.xxhash64("node", "block")).select("node", "v", "n_shingles", "sketch"), pivots
 
 
+def frequencies(texts: DataFrame, width: int) -> np.ndarray:
+    """How many sets of ``texts`` hold a shingle of each slot, the leading bits of the shingle."""
+    def apply(batches):
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for _, data, bounds in rolling.slices(batch.column("_text")):
+                tokens, _ = shingle_sets(data, bounds, width)
+                total += np.bincount((tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    found = texts.select("_text").mapInArrow(apply, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(``node``, ``v``, ``comp``, ``n_shingles``): the rarest shingles of every set of (``v``, ``comp``, ``_text``), as many
+    that two sets of the wanted similarity have one in common."""
+    common = texts.sparkSession.sparkContext.broadcast(frequencies(texts, width))
+
+    def apply(batches):
+        for batch in batches:
+            for row, data, bounds in rolling.slices(batch.column("_text")):
+                tokens, starts = shingle_sets(data, bounds, width)
+                sizes = np.diff(starts)
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((tokens, common.value[(tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], of))
+                wanted = sizes - -(-percent * sizes // 100) + 1
+                order = order[np.arange(len(of)) - starts[of] < wanted[of]]
+                at = pa.array(row + of[order])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tokens[order].view(np.int64)), batch.column("v").take(at), batch.column("comp").take(at),
+                     pa.array(sizes[of[order]])], ["node", "v", "comp", "n_shingles"])
+
+    return texts.select("v", "comp", "_text").mapInArrow(apply, "node long, v binary, comp long, n_shingles long")
+
+
+def across_components(vertices: DataFrame, roots: DataFrame, texts: DataFrame, width: int, percent: int,
+                      tasks: int) -> DataFrame:
+    """Nodes in which every two of ``vertices`` (``v``, ``sketch``) meet that may be linked and have different roots."""
+    known = vertices.join(roots, "v", "left").select("v", F.xxhash64(F.coalesce("root", "v")).alias("comp"))
+    rows = keep(prefixes(keep(known.join(texts, "v"), tasks), width, percent))
+    sizes = rows.groupBy("node").agg(
+        F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"), F.min("comp").alias("low"),
+        F.max("comp").alias("high"), F.expr("bit_xor(xxhash64(v))").alias("members"))
+    # nodes of the same vertices count once
+    nodes = keep(sizes.where("low < high").groupBy("size", "shingles", "low", "high", "members")
+                 .agg(F.min("node").alias("node")).select("node", "size", "shingles"), tasks)
+    rows = keep(rows.join(nodes, "node"))
+    small = (F.col("size") <= NODE) & (F.col("shingles") <= NODE_SHINGLES)
+    out = rows.where(small).select("node", "v", "comp")
+    if not nodes.where(~small).isEmpty():
+        # the largest component of a node meets all others, but not itself
+        large = rows.where(~small)
+        groups = keep(large.groupBy("node", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")), tasks)
+        main = groups.groupBy("node").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"),
+                                          F.max(F.struct("n", "comp", "s")).alias("most"), F.sum("n").alias("n"),
+                                          F.sum("s").alias("s"))
+        parts = lambda n, s: F.greatest(F.ceil(2 * n / NODE), F.ceil(2 * s / NODE_SHINGLES))
+        main = keep(main.select("node", "main", parts(F.col("most.n"), F.col("most.s")).alias("own"),
+                                parts(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("others")), tasks)
+        is_main, slot = F.col("comp") == F.col("main"), F.xxhash64("v", "node")
+        block = F.when(is_main, F.col("others") + F.pmod(slot, "own")).otherwise(F.pmod(slot, "others"))
+        last = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1
+        met = large.join(main, "node").withColumn("block", block).withColumn(
+            "other", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        out = out.unionByName(met.select(
+            F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "v", "comp"))
+    return keep(out.join(vertices.select("v", "n_shingles", "sketch"), "v").select("node", "v", "n_shingles", "sketch", "comp"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5,
                     percent: int = 85) -> DataFrame:
     """Per input row: ``_id`` and ``_key`` (see ``spans.keyed``), ``n_shingles``, ``component_id``, the least id of its
@@ -244,20 +330,29 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), tasks)
     nodes, large = branched(vertices, tasks)
     members = keep(plausible_members(nodes, percent, tasks), tasks)
-    wanted = members.select("v") if large is None else members.select("v").unionByName(large.select("v"))
+    hot = None if large is None else keep(large.select("v", "n_shingles", "sketch").dropDuplicates(["v"]), tasks)
+    wanted = members.select("v") if hot is None else members.select("v").unionByName(hot.select("v"))
     places = vertices.select("v", "at._id", "at._key").join(wanted.distinct(), "v", "left_semi")
     found = documents.select("_id", "_key", "_text").join(places.hint("shuffle_hash"), ["_id", "_key"])
     texts = keep(found.select("v", "_text").dropDuplicates(["v"]), tasks)
     links = keep(confirmed_links(members, texts, width, percent, tasks), tasks)
     state = large
-    while state is not None and not state.isEmpty():
+    while state is not None:
         blocks, pivots = in_blocks(large, state, tasks)
         shown = keep(plausible_members(blocks, percent, tasks), tasks)
         links = keep(links.unionByName(confirmed_links(shown, texts, width, percent, tasks)), tasks)
         roots = graph.components(links, tasks)
         reached = keep(pivots.join(roots, "v", "left").select("node", F.coalesce("root", "v").alias("comp")).distinct(), tasks)
+        before = state.count()
         state = keep(state.join(roots, "v", "left").withColumn("comp", F.coalesce("root", "v"))
                      .join(reached, ["node", "comp"], "left_anti").select(large.columns), tasks)
+        left = state.count()
+        if not left or before - left < WORTHWHILE * before:
+            break
+    if hot is not None:
+        nodes = across_components(hot, graph.components(links, tasks), texts, width, percent, tasks)
+        shown = keep(plausible_members(nodes, percent, tasks), tasks)
+        links = keep(links.unionByName(confirmed_links(shown, texts, width, percent, tasks)), tasks)
     roots = graph.components(links, tasks)
     # vertices that are linked: the least id of their component
     ends = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())

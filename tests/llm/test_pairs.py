@@ -73,6 +73,23 @@ def test_large_nodes_go_through_pivots(make_docs, monkeypatch, node):
     assert found(make_docs(rows)) == components(rows)
 
 
+def templates(groups, own, shared, template=150):
+    """Pairs on one template: each pair has ``shared`` words of its own, each text ``own`` more."""
+    base, rows = [f"t{i}" for i in range(template)], []
+    for g in range(groups):
+        mine = [f"g{g}s{i}" for i in range(shared)]
+        rows += [(10 * g + k, " ".join(base + mine + [f"g{g}k{k}o{i}" for i in range(own)])) for k in range(2)]
+    return rows
+
+
+def test_links_of_large_nodes_across_components(make_docs, monkeypatch):
+    for name, value in (("NODE", 8), ("PIVOTS", 2), ("DEPTH", 1)):
+        monkeypatch.setattr(chosen_path, name, value)
+    # chains beside near copies: few of them are linked with a pivot
+    rows = templates(60, 16, 60) + [(5000 + i, edited(BASE, *range(0, 8 * (i % 12), 8), 190 - i % 7)) for i in range(36)]
+    assert found(make_docs(rows)) == components(rows)
+
+
 def test_empty_table(make_docs):
     docs = make_docs([]).where("doc_id > 0")
     assert found(docs) == []
