@@ -9,8 +9,10 @@ every link. Nodes that stay larger after ``DEPTH`` levels are mostly near copies
 that all meet the node's pivots, and vertices that no pivot reaches become the next pivots, as long as that pays. What may be
 linked then but lies in different components is joined exactly: of two linked sets, the rarest shingles, ``1 - J`` of each set
 and one more, have one in common, so each such shingle is a node, compared exhaustively in pairs of blocks if it is large.
+The exact join takes every vertex that branched in any tree, so branching costs no recall: a pair is only missed if one of
+the two never branched and all trees part them at the first level.
 
-A pair at the threshold is missed with probability (1 - J)^TREES in nodes that need no branching.
+A pair at the threshold is missed with probability (1 - J)^trees of at most ``MISS``; ``TREES`` trees are the least.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; fewer words than a shingle make one shingle
 of the whole sequence; equal rows are equal vertices; a null id comes after all others.
@@ -18,6 +20,7 @@ of the whole sequence; equal rows are equal vertices; a null id comes after all
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +39,27 @@ WORTHWHILE = 0.1
 #: counters that tell common shingles from rare ones; any order of shingles is exact, this one only keeps nodes small
 SLOT_BITS = 18
 SKETCH = TREES * DEPTH
-#: matches among the sketch bytes that a pair at 0.85 reaches but for about one in 10^7; other thresholds scale from there
-PLAUSIBLE = 28
-_SEEDS = rolling.mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: the chance to miss a pair at the threshold, by the trees and by the sketches each
+MISS = 2e-7
 
 SIGNATURE = "_id long, _key int, v binary, n_shingles long, paths array<long>, sketch binary"
 
 
+def trees_for(percent: int) -> int:
+    """Trees that part a pair at the threshold at their first level with probability ``MISS`` at most."""
+    return max(TREES, math.ceil(math.log(MISS) / math.log1p(-percent / 100))) if percent < 100 else TREES
+
+
+def least_matches(percent: int) -> int:
+    """Matches among the sketch bytes that a pair at the threshold reaches but for ``MISS``."""
+    p, below = percent / 100, 0.0
+    for k in range(SKETCH + 1):
+        below += math.comb(SKETCH, k) * p**k * (1 - p)**(SKETCH - k)
+        if below > MISS:
+            return k
+    return SKETCH
+
+
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each document, end to end, and where each document's begin."""
     lowered = rolling.LOWER[data]
@@ -63,8 +80,11 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.n
     return (np.concatenate(sets) if sets else shingles[:0]), starts
 
 
-def signatures(documents: DataFrame, width: int) -> DataFrame:
+def signatures(documents: DataFrame, width: int, trees: int = TREES) -> DataFrame:
     """Set size, set fingerprint ``v`` and the selected token of every tree and level, as paths and as a sketch."""
+    selected = trees * DEPTH
+    seeds = rolling.mix(np.arange(1, selected + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
     def apply(batches):
         for batch in batches:
             ids, keys = batch.column("_id"), batch.column("_key")
@@ -73,23 +93,24 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
                 sizes = np.diff(starts)
                 full = np.flatnonzero(sizes)
                 at = starts[:-1][full]
-                paths = np.zeros((len(sizes), SKETCH), np.uint64)
+                paths = np.zeros((len(sizes), selected), np.uint64)
                 sketch = np.zeros((len(sizes), SKETCH), np.uint8)
                 prints = np.zeros((len(sizes), 2), np.uint64)
                 if len(full):
                     prints[full, 0] = np.add.reduceat(tokens, at)
                     prints[full, 1] = np.bitwise_xor.reduceat(tokens * np.uint64(0xD6E8FEB86659FD93), at)
-                    for k in range(SKETCH):
-                        low = np.minimum.reduceat(tokens * _SEEDS[k], at)
+                    for k in range(selected):
+                        low = np.minimum.reduceat(tokens * seeds[k], at)
                         rolling.mix(low)
-                        sketch[full, k] = low.astype(np.uint8)
+                        if k < SKETCH:
+                            sketch[full, k] = low.astype(np.uint8)
                         parent = paths[full, k - 1] if k % DEPTH else np.full(len(full), k + 1, np.uint64)
                         paths[full, k] = rolling.mix(low ^ parent * np.uint64(0x9FB21C651E98DF25))
                 n = len(sizes)
                 flat = pa.array(paths.reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(row, n), keys.slice(row, n), pa.array([p.tobytes() for p in prints], pa.binary()),
-                     pa.array(sizes), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * SKETCH, flat),
+                     pa.array(sizes), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * selected, flat),
                      pa.array([s.tobytes() for s in sketch], pa.binary())],
                     ["_id", "_key", "v", "n_shingles", "paths", "sketch"])
 
@@ -149,7 +170,7 @@ def _dealt(rows: DataFrame, tasks: int) -> DataFrame:
 
 def plausible_members(nodes: DataFrame, percent: int, tasks: int) -> DataFrame:
     """The rows of (``node``, ``v``, ``n_shingles``, ``sketch``) with a plausible partner in their node."""
-    least = PLAUSIBLE * percent // 85
+    least = least_matches(percent)
 
     def apply(batches):
         for table, cuts in whole_groups(batches, "node"):
@@ -166,7 +187,7 @@ def plausible_members(nodes: DataFrame, percent: int, tasks: int) -> DataFrame:
 
 def confirmed_links(members: DataFrame, texts: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
     """Links (``a``, ``b``) that full sets confirm, enough to connect what is linked inside each node."""
-    least = PLAUSIBLE * percent // 85
+    least = least_matches(percent)
     dealt = _dealt(members.join(texts, "v"), tasks)
 
     def of_node(part):
@@ -207,13 +228,15 @@ def confirmed_links(members: DataFrame, texts: DataFrame, width: int, percent: i
     return dealt.mapInArrow(apply, "a binary, b binary")
 
 
-def branched(vertices: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame | None]:
-    """The nodes of every tree that are small enough, and what is still larger at the last level (None if nothing)."""
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+def branched(vertices: DataFrame, tasks: int,
+             trees: int = TREES) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The nodes of every tree that are small enough, what is still larger at the last level, and every vertex whose first
+    node is larger in some tree (None if nothing)."""
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     rows = vertices.select("v", "n_shingles", "sketch", "paths", tree.alias("tree"))
     rows = rows.select("v", "n_shingles", "sketch", F.slice("paths", F.col("tree") * DEPTH + 1, DEPTH).alias("path"))
     small = (F.col("size") <= NODE) & (F.col("shingles") <= NODE_SHINGLES)
-    done = None
+    done = hot = None
     for level in range(DEPTH):
         rows = rows.withColumn("node", F.col("path")[level])
         sizes = keep(rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"))
@@ -223,9 +246,11 @@ def branched(vertices: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame | No
         part = rows.where(small).select("node", "v", "n_shingles", "sketch")
         done = part if done is None else done.unionByName(part)
         if sizes.where(~small).isEmpty():
-            return done, None
+            return done, None, hot
         rows = rows.where(~small)
-    return done, rows
+        if level == 0:
+            hot = keep(rows.select("v", "n_shingles", "sketch").dropDuplicates(["v"]), tasks)
+    return done, rows, hot
 
 
 def in_blocks(large: DataFrame, state: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
@@ -323,14 +348,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     spark = docs.sparkSession
     prepare(spark)
     documents = spans.keyed(docs, id_column, text_column)
-    rows = keep(signatures(documents, width))
+    trees = trees_for(percent)
+    rows = keep(signatures(documents, width, trees))
     tasks = tasks_for(rows.count(), spark)
     vertices = keep(rows.where("n_shingles > 0").groupBy("v").agg(
         F.min("_id").alias("least_id"), F.min(F.struct("_id", "_key")).alias("at"), F.first("n_shingles").alias("n_shingles"),
         F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), tasks)
-    nodes, large = branched(vertices, tasks)
+    nodes, large, hot = branched(vertices, tasks, trees)
     members = keep(plausible_members(nodes, percent, tasks), tasks)
-    hot = None if large is None else keep(large.select("v", "n_shingles", "sketch").dropDuplicates(["v"]), tasks)
     wanted = members.select("v") if hot is None else members.select("v").unionByName(hot.select("v"))
     places = vertices.select("v", "at._id", "at._key").join(wanted.distinct(), "v", "left_semi")
     found = documents.select("_id", "_key", "_text").join(places.hint("shuffle_hash"), ["_id", "_key"])

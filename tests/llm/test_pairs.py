@@ -90,6 +90,22 @@ def test_links_of_large_nodes_across_components(make_docs, monkeypatch):
     assert found(make_docs(rows)) == components(rows)
 
 
+def test_template_at_the_threshold_is_found_at_any_depth(make_docs, monkeypatch):
+    """Shingles of the template are two thirds of a pair's union, all hot; pairs are just over 0.8."""
+    monkeypatch.setattr(chosen_path, "NODE", 6)
+    rows = templates(150, 20, 20)
+    want = components(rows, 80)
+    assert len({c for _, _, c in want}) == 150
+    assert found(make_docs(rows), percent=80) == want
+
+
+def test_trees_and_sketches_reach_the_stated_recall():
+    for percent in (50, 80, 85, 95):
+        assert (1 - percent / 100) ** chosen_path.trees_for(percent) <= chosen_path.MISS
+    assert chosen_path.trees_for(85) == chosen_path.trees_for(80) == chosen_path.TREES < chosen_path.trees_for(50)
+    assert chosen_path.least_matches(80) < chosen_path.least_matches(85)
+
+
 def test_empty_table(make_docs):
     docs = make_docs([]).where("doc_id > 0")
     assert found(docs) == []
