@@ -35,8 +35,7 @@ def _fold(expression: str) -> str:
 SCORE_SQL = f"""WITH docs AS (SELECT 'doc:' || doc_id AS document_id, source AS source_type, lang || ' ' || source AS
     title, text, {_fold("lang || ' ' || source")} AS ft, {FOLD_DOC} AS fb,
     {_fold("'lang ' || lang || ' source ' || source")} AS fm FROM documents),
-  qs AS (SELECT item_id AS query_id, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\\s+'),
-    lambda w: w <> ''), 1, 5), ' ') AS query FROM benchmark),
+  qs AS (SELECT item_id AS query_id, text AS query FROM benchmark),
   fq AS (SELECT query_id, query, {_fold("query")} AS q FROM qs),
   tk AS (SELECT *, list_filter(list_distinct(string_split(q, ' ')), lambda t: len(t) >= 2) AS toks FROM fq),
   scores AS (SELECT query_id, query, toks, document_id, source_type, title, text, CAST(

@@ -1,5 +1,10 @@
+import os
+import pathlib
 import random
 import re
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -71,6 +76,21 @@ def test_names_agree_and_the_flagship_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("gone", [["tallgrid/llm", "tests/llm"], ["tallgrid/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_entry_works_without_text_preparation(tmp_path, gone):
+    """A copy of the repository without the optional folders still registers everything else."""
+    root = pathlib.Path(entry.__file__).parent
+    skipped = {str(root / g) for g in gone}
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda folder, names: [
+        n for n in names if n in (".git", "__pycache__") or f"{folder}/{n}" in skipped])
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), sum(n[:2] == 'op' for n in q), 'pipeline' in q, len(e.oracle_sql()))"
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=120,
+                         env={**os.environ, "PYTHONPATH": str(tmp_path / "copy")})
+    assert got.returncode == 0, got.stderr
+    total, operators, pipeline, oracles = got.stdout.split()
+    assert int(total) > 150 and operators == "0" and pipeline == "False" and int(oracles) > 140
+
+
 @pytest.mark.parametrize("name", ["q06_avg_by_variety", "q13_avg_plan_by_plot", "r04_top_k", "h01_h06_unpivoted_observations",
                                   "t18_t19_enriched_columns", "n10_plan_a"])
 def test_plans_stay_on_the_jvm_without_cross_joins(spark, name):
