@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrid.llm import chat, chosen_path, language, packing, repair, stable_search, suffix_levels, tiling, toxicity, window_dedup
+from tallgrid.llm import (chat, chosen_path, hard_negatives, language, packing, repair, stable_search, suffix_levels, tiling,
+                          toxicity, window_dedup)
 from tallgrid.llm.shared import LAST_ID, in_training
 
 
@@ -105,6 +106,27 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("_id") == F.col("component_id")).alias("kept"))
 
 
+def op12_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH x AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda v: floor(256 * CAST(v AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0),
+  scored AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS same,
+    CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score FROM x a JOIN x c ON len(a.v) = len(c.v)
+    WHERE a.vec_id % 100 = 0),
+  positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same AND other <> anchor_id
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER)
+  AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score QUALIFY rank <= 10"""
+
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = "list_filter(regexp_split_to_array({}, '[\\x09-\\x0D\\x20]+'), lambda w: w <> '')"
 
@@ -165,4 +187,5 @@ QUERIES = {
     "op10_chosen_path": (op10_chosen_path, OP10_SQL),
     "op8_schema_fingerprints": (op8_schema_fingerprints, OP8_SQL),
     "op9_suffix_levels": (op9_suffix_levels, OP9_SQL),
+    "op12_four_russians": (op12_four_russians, OP12_SQL),
 }
