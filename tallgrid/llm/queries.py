@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrid.llm import (chat, chosen_path, hard_negatives, language, packing, repair, stable_search, suffix_levels, tiling,
-                          toxicity, window_dedup)
+from tallgrid.llm import (chat, chosen_path, hard_negatives, language, packing, periodic_runs, repair, stable_search,
+                          suffix_levels, tiling, toxicity, window_dedup)
 from tallgrid.llm.shared import LAST_ID, in_training
 
 
@@ -127,6 +127,34 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p
 FROM positives JOIN scored USING (anchor_id)
 WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score QUALIFY rank <= 10"""
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """One document in ten repeats a stretch of its own words up to its end; where and what, its id decides."""
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x09-\\x0D\\x20]+"), lambda w: w != "")
+
+    def repeated(ws):
+        n, g = F.size(ws), F.floor(number / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        rest = F.transform(F.sequence(a, (n - 1).cast("long")), lambda i: F.get(ws, (a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(ws, 1, a.cast("int")), rest), " "))
+
+    return docs.withColumn("text", F.when((number % 10 == 0) & F.col("text").isNotNull(),
+                                          F.coalesce(F.get(F.transform(F.array(words), repeated), 0), "text")).otherwise(F.col("text")))
+
+
+def op13_scale_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.collapse(with_planted_runs(_table(spark, sf_dir, "documents")))
+    # runs come by start, then period: of equal exponents the first stays
+    longer = lambda best, r: r["length"] * best["period"] > best["length"] * r["period"]
+    best = F.aggregate("runs", F.get("runs", 0), lambda x, r: F.when(longer(x, r), r).otherwise(x))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = out.select("_row.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_best"),
+                     F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "_best.start", "_best.length", "_best.period",
+                      F.expr("1000 * _best.length div _best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = "list_filter(regexp_split_to_array({}, '[\\x09-\\x0D\\x20]+'), lambda w: w <> '')"
 
@@ -176,6 +204,39 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(m) AS component_id, do
 FROM sets JOIN reach ON v = doc_id GROUP BY doc_id, len(sh)"""
 
 
+# repeated five-word stretches at a distance q, in neighbouring places, are a stretch of period q; of equal stretches the
+# smallest period counts. A run of period q has at least max(5, 3 q) such words, so five-word stretches find all of them.
+OP13_SQL = f"""
+WITH ids AS (SELECT *, xor(4294967295, list_reduce(list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1),
+      lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)), lambda c, b: list_reduce(range(8),
+        lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), CAST(4294967295 AS BIGINT))) AS h FROM documents),
+  split AS (SELECT doc_id, h, h // 10 AS g, {_WORDS.format("coalesce(text, '')")} AS ws FROM ids),
+  cuts AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN g % len(ws) END AS a FROM split),
+  w AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i
+      ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS ws FROM cuts),
+  grams AS (SELECT doc_id, n, unnest(range(0, n - 4)) AS p, ws FROM w WHERE n >= 6),
+  five AS MATERIALIZED (SELECT doc_id, n, p, hash(array_to_string(ws[p + 1:p + 5], ' ')) AS h FROM grams),
+  pairs AS (SELECT a.doc_id, a.p, b.p - a.p AS q FROM five a JOIN five b ON a.doc_id = b.doc_id AND a.h = b.h AND a.p < b.p
+    AND 4 * (b.p - a.p) <= a.n),
+  islands AS (SELECT doc_id, q, p, p - row_number() OVER (PARTITION BY doc_id, q ORDER BY p) AS island FROM pairs),
+  stretches AS (SELECT doc_id, min(p) AS start, count(*) + 4 + q AS length, q AS period FROM islands
+    GROUP BY doc_id, q, island HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+  runs AS (SELECT doc_id, start, length, min(period) AS period FROM stretches GROUP BY doc_id, start, length),
+  symbols AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, n)) AS p FROM w),
+  steps AS (SELECT doc_id, p, sum(d) AS d FROM (SELECT doc_id, start + period AS p, 1 AS d FROM runs
+    UNION ALL SELECT doc_id, start + length, -1 FROM runs) GROUP BY doc_id, p),
+  marked AS (SELECT doc_id, word, p, sum(coalesce(d, 0)) OVER (PARTITION BY doc_id ORDER BY p) > 0 AS gone
+    FROM symbols LEFT JOIN steps USING (doc_id, p)),
+  kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS left_over FROM marked GROUP BY doc_id),
+  sums AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), ''
+    ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+  best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC,
+    start, period) = 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(left_over, '')) AS collapsed_sha256
+FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
 QUERIES = {
     "op1_repair_shards": (op1_repair_shards, None),
     "op4_stable_search": (op4_stable_search, None),
@@ -187,5 +248,6 @@ QUERIES = {
     "op10_chosen_path": (op10_chosen_path, OP10_SQL),
     "op8_schema_fingerprints": (op8_schema_fingerprints, OP8_SQL),
     "op9_suffix_levels": (op9_suffix_levels, OP9_SQL),
+    "op13_scale_tiles": (op13_scale_tiles, OP13_SQL),
     "op12_four_russians": (op12_four_russians, OP12_SQL),
 }
