@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrid.llm import (chat, chosen_path, hard_negatives, language, packing, periodic_runs, repair, stable_search,
+from tallgrid.llm import (chat, chosen_path, hard_negatives, language, outliers, packing, periodic_runs, repair, stable_search,
                           suffix_levels, tiling, toxicity, window_dedup)
 from tallgrid.llm.shared import LAST_ID, in_training
 
@@ -106,6 +106,65 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("_id") == F.col("component_id")).alias("kept"))
 
 
+def op11_covariance_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.assess(_table(spark, sf_dir, "documents")).select(
+        F.col("_id").alias("doc_id"), *outliers.COUNTS, "base_failed", "kept")
+
+
+def _op11_sql() -> str:
+    """The same steps in one statement: statistics by windows over words, then a query per concentration step."""
+    o = outliers
+    listed, names = lambda e: ", ".join(o.listed(e)), ", ".join(o.NAMES)
+    first = listed(o.start()).format(first=1, middle=2, last=3)
+    quartiles = ", ".join(f"quantile_cont({a}, [0.25, 0.5, 0.75]) AS q_{a}" for a in o.NAMES)
+    estimate, kept = ", ".join(o.ESTIMATE), ", ".join(f"e.{c}" for c in o.ESTIMATE)
+    own, steps = "PARTITION BY pool, start", []
+    for step in range(o.STEPS + 1):
+        last = step == o.STEPS
+        before = "best" if last else f"e{step}"
+        condition = o.REWEIGHTED if last else o.CONCENTRATED.replace("first", str(step == 0))
+        steps.append(f"""
+  d{step} AS (SELECT pool, start, {names}, {o.BAND} AS band FROM (SELECT pool, start, {names}, {listed(o.distance())}
+    FROM vectors JOIN {before} USING (pool))),
+  b{step} AS (SELECT *, sum(n) OVER ({own} ORDER BY band) - n AS before, sum(n) OVER ({own}) AS total
+    FROM (SELECT pool, start, band, {listed(o.SUMS)} FROM d{step} GROUP BY pool, start, band)),
+  m{step} AS (SELECT *, max(CASE WHEN before * 2 < total THEN band END) OVER ({own}) AS middle FROM b{step}),
+  e{step + 1} AS MATERIALIZED (SELECT pool, start, {estimate} FROM (SELECT pool, start, {listed(o.estimate())} FROM
+    (SELECT pool, start, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in o.SUMS)} FROM m{step} WHERE {condition}
+      GROUP BY pool, start)))""")
+        if step == o.STEPS - 1:
+            size = " * ".join(f"l_{a}_{a}" for a in o.NAMES)
+            steps.append(f"""
+  best AS (SELECT * FROM e{o.STEPS} QUALIFY row_number() OVER (PARTITION BY pool ORDER BY {size}, start) = 1)""")
+    return f"""
+WITH w AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text,
+    {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+  grams AS (SELECT k, unnest(range(1, len(ws) - 3)) AS p, ws FROM w WHERE len(ws) >= 5),
+  twice AS (SELECT k, p FROM (SELECT k, p, array_to_string(ws[p:p + 4], ' ') AS g FROM grams)
+    QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
+  repeats AS (SELECT k, sum(least(5, coalesce(later - p, 5))) AS n FROM (SELECT k, p, lead(p) OVER (PARTITION BY k ORDER BY p)
+    AS later FROM twice) GROUP BY k),
+  lines AS (SELECT k, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x09-\\x0D\\x20]')) AS ls FROM w),
+  counts AS (SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+      CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+      CAST(length(text) - length(translate(text, '{o.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+      CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+    FROM w JOIN lines USING (k) LEFT JOIN repeats USING (k)),
+  judged AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
+  sizes AS (SELECT *, sum(n) FILTER (n < {o.LEAST}) OVER (PARTITION BY lang) AS others FROM
+    (SELECT lang, source, count(*) AS n FROM judged WHERE NOT base_failed GROUP BY lang, source)),
+  pools AS (SELECT lang, source, CASE WHEN n >= {o.LEAST} THEN coalesce(length(lang) || ':' || lang, '-') || '/' ||
+    coalesce(length(source) || ':' || source, '-') WHEN others >= {o.LEAST} THEN coalesce(length(lang) || ':' || lang, '-')
+    ELSE '' END AS pool FROM sizes),
+  vectors AS MATERIALIZED (SELECT j.*, pool, {listed(o.VECTOR)} FROM judged j JOIN pools p ON j.lang IS NOT DISTINCT FROM p.lang
+    AND j.source IS NOT DISTINCT FROM p.source WHERE NOT base_failed),
+  q AS (SELECT pool, {quartiles} FROM vectors GROUP BY pool HAVING count(*) >= {o.LEAST}),
+  e0 AS (SELECT pool, unnest([1, 2]) AS start, {first} FROM q),{",".join(steps)},
+  measured AS (SELECT v.*, {listed(o.distance())} FROM vectors v LEFT JOIN e{o.STEPS + 1} e ON v.pool = e.pool)
+SELECT doc_id, {", ".join(o.COUNTS)}, base_failed, coalesce(d2 <= {o.CUTOFF}, TRUE) AS kept FROM measured
+UNION ALL SELECT doc_id, {", ".join(o.COUNTS)}, base_failed, FALSE FROM judged WHERE base_failed"""
+
+
 def op12_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -238,6 +297,7 @@ FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id) LEFT
 
 
 QUERIES = {
+    "op11_covariance_outliers": (op11_covariance_outliers, _op11_sql()),
     "op1_repair_shards": (op1_repair_shards, None),
     "op4_stable_search": (op4_stable_search, None),
     "op5_best_fit_packing": (op5_best_fit_packing, None),
