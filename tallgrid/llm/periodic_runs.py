@@ -225,7 +225,9 @@ def collapse(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     documents = spans.keyed(docs, id_column, text_column)
     run = F.struct("start", "length", "period")
     per_row = find_runs(documents).groupBy("_id", "_key").agg(F.sort_array(F.collect_list(run)).alias("runs"))
-    joined = documents.join(per_row.hint("shuffle_hash"), ["_id", "_key"], "left").select("_row", "_text", "runs")
+    # the text travels once, inside its row
+    joined = documents.select("_id", "_key", "_row").join(per_row.hint("shuffle_hash"), ["_id", "_key"], "left").select(
+        "_row", F.coalesce(F.col(f"_row.`{text_column}`").cast("string"), F.lit("")).alias("_text"), "runs")
     schema = joined.select("_row").schema.add("n_words", "long").add("runs", per_row.schema["runs"].dataType).add("kept", "binary")
 
     def apply(batches):
