@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tallgrid.llm.shared import keep, prepare
 
 BLANKS, SYMBOLS, STRETCH, LEAST = "\t\n\x0b\x0c\r ", "#*$%&|<>", 5, 100
-STEPS, BANDS, FARTHEST = 8, 32, 4096
+STEPS, BANDS, FARTHEST, SALT = 8, 32, 4096, 64
 CUTOFF, MEDIAN, NEAR = 28.473, 3.357, 11.143  # of chi-square with four degrees of freedom: at 0.99999, 0.5 and 0.975
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 VECTOR = {  # in 256ths: the square root of a ratio with 20 words of prior, words of five letters and without the rest
@@ -146,9 +146,15 @@ def pools(rows: DataFrame, least: int) -> DataFrame:
         F.col("_lang").alias("_in_lang"), F.col("_source").alias("_in_source"), pool.alias("pool"))
 
 
+def salted(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with the estimates of their pool. A pool may hold most rows, so its estimate goes to ``SALT`` shares of it."""
+    shares = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.join(shares, ["pool", "salt"], how).drop("salt")
+
+
 def _summed(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """Sums of the rows of each (pool, start, band), with the rows in nearer bands, all rows and the median band of the pool."""
-    near = rows.join(estimates, "pool").selectExpr("pool", "start", *NAMES, *listed(distance())).selectExpr(
+    near = salted(rows, estimates).selectExpr("pool", "start", *NAMES, *listed(distance())).selectExpr(
         "pool", "start", *NAMES, f"{BAND} AS band")
     bands = near.groupBy("pool", "start", "band").agg(*[F.expr(text).alias(name) for name, text in SUMS.items()])
     own = "PARTITION BY pool, start"
@@ -183,8 +189,9 @@ def assess(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     passed = rows.where("NOT base_failed")
     named = pools(passed, least)
     same = F.col("_lang").eqNullSafe(F.col("_in_lang")) & F.col("_source").eqNullSafe(F.col("_in_source"))
-    vectors = keep(passed.join(named, same).selectExpr("pool", "_id", *COUNTS, *listed(VECTOR)))
-    found = vectors.join(estimates(vectors.select("pool", *NAMES), least), "pool", "left").selectExpr(
+    salt = (F.monotonically_increasing_id() % SALT).cast("int").alias("salt")
+    vectors = keep(passed.join(named, same).selectExpr("pool", "_id", *COUNTS, *listed(VECTOR)).select("*", salt))
+    found = salted(vectors, estimates(vectors.select("pool", "salt", *NAMES), least), "left").selectExpr(
         "_id", *COUNTS, *listed(distance()))
     judged = found.select("_id", *COUNTS, F.lit(False).alias("base_failed"), F.col("d2").alias("distance"),
                           F.coalesce(F.col("d2") <= cutoff, F.lit(True)).alias("kept"))
