@@ -20,17 +20,21 @@ from tallgrid.sources.cells import SHEET, present
 
 EXTENT = ["r0", "r1", "c0", "c1"]
 BOX = [*SHEET, *EXTENT]
-ROW_BUCKET = 512
+ROW_BUCKET, COL_BUCKET = 512, 64
+
+
+def tiled(boxes: DataFrame) -> DataFrame:
+    """Every box once for each tile of ``ROW_BUCKET`` rows and ``COL_BUCKET`` columns that it touches (``_tr``, ``_tc``)."""
+    across = lambda low, high, size: F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size)))
+    return boxes.withColumn("_tr", across("r0", "r1", ROW_BUCKET)).withColumn("_tc", across("c0", "c1", COL_BUCKET))
 
 
 def cells_in(boxes: DataFrame, cells: DataFrame) -> DataFrame:
-    """G1: the cells inside every box, by an equi-join on row buckets and a test of the extents."""
+    """G1: the cells inside every box, by an equi-join on tiles and a test of the extents; a cell lies in one tile."""
     c = F.col
-    spread = boxes.withColumn("_bucket", F.explode(F.sequence(
-        F.floor(c("r0") / ROW_BUCKET), F.floor(c("r1") / ROW_BUCKET))))
-    placed = cells.withColumn("_bucket", F.floor(c("row_idx") / ROW_BUCKET))
-    return (spread.join(placed, [*SHEET, "_bucket"])
-            .filter(c("row_idx").between(c("r0"), c("r1")) & c("col_idx").between(c("c0"), c("c1"))).drop("_bucket"))
+    placed = cells.withColumn("_tr", F.floor(c("row_idx") / ROW_BUCKET)).withColumn("_tc", F.floor(c("col_idx") / COL_BUCKET))
+    return (tiled(boxes).join(placed, [*SHEET, "_tr", "_tc"])
+            .filter(c("row_idx").between(c("r0"), c("r1")) & c("col_idx").between(c("c0"), c("c1"))).drop("_tr", "_tc"))
 
 
 def meaningful(boxes: DataFrame, cells: DataFrame) -> DataFrame:
@@ -43,24 +47,41 @@ def meaningful(boxes: DataFrame, cells: DataFrame) -> DataFrame:
 def axis_counts(boxes: DataFrame, inside: DataFrame, along: str) -> DataFrame:
     """Per box and column (or data row) the cell count on data rows, density and running sums.
 
-    Adds idx, n, slots (cells a full line would have), dense, sum_n, sum_dense, next_n, next_dense, all_n, all_dense.
+    Adds idx, n, slots (cells a full line would have), dense, soft (nearly empty), sum_n, sum_dense, sum_soft, next_n,
+    next_dense, all_n, all_dense, first, last. Lines are summed inside chunks of an axis; only the chunks' totals are
+    summed over a box and handed back to its lines.
     """
     c = F.col
-    first = c("r0") + k.BOX_HEADER_ROWS
-    data = boxes.filter(first <= c("r1"))
-    low, high, position, slots = ((c("c0"), c("c1"), "col_idx", c("r1") - first + 1) if along == "col"
-                                  else (first, c("r1"), "row_idx", c("c1") - c("c0") + 1))
-    counted = (inside.filter(c("row_idx") >= first).groupBy(*BOX, c(position).cast("long").alias("idx"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    axis = data.select(*BOX, slots.alias("slots"), F.explode(F.sequence(low.cast("long"), high.cast("long")))
-                       .alias("idx"))
-    filled = cut(axis.join(counted, [*BOX, "idx"], "left").fillna(0, ["n"]).withColumn(
-        "dense", (c("n") / c("slots") >= k.DENSE_RATIO).cast("long")))  # one row per line of a box, read four times
-    summed = ranks.running_totals(filled, BOX, "idx", {"sum_n": "n", "sum_dense": "dense"})
-    following = filled.select(*BOX, (c("idx") - 1).alias("idx"), c("n").alias("next_n"), c("dense").alias("next_dense"))
-    totals = filled.groupBy(*BOX).agg(F.sum("n").alias("all_n"), F.sum("dense").alias("all_dense"),
-                                      F.min("idx").alias("first"), F.max("idx").alias("last"))
-    return summed.join(following, [*BOX, "idx"], "left").join(totals, BOX)
+    top = c("r0") + k.BOX_HEADER_ROWS
+    low, high, position, slots = ((c("c0"), c("c1"), "col_idx", c("r1") - top + 1) if along == "col"
+                                  else (top, c("r1"), "row_idx", c("c1") - c("c0") + 1))
+    line = lambda df, at, n: df.select(*BOX, slots.cast("long").alias("slots"), at.cast("long").alias("idx"), F.lit(n).alias("n"))
+    every = line(boxes.filter(top <= c("r1")).select(*BOX, F.explode(F.sequence(low.cast("long"), high.cast("long"))).alias("idx")),
+                 c("idx"), 0)
+    lines = (every.unionByName(line(inside.filter(c("row_idx") >= top), c(position), 1))
+             .groupBy(*BOX, "slots", F.floor(c("idx") / ranks.CHUNK).alias("_chunk"), "idx").agg(F.sum("n").alias("n"))
+             .withColumn("dense", (c("n") / c("slots") >= k.DENSE_RATIO).cast("long"))
+             .withColumn("soft", (c("n") / c("slots") <= k.SOFT_RATIO).cast("long")))
+    summed = ("n", "dense", "soft")
+    order = Window.partitionBy(*BOX, "_chunk").orderBy("idx")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    inner = lines.select("*", *[F.sum(x).over(running).alias(f"_i_{x}") for x in summed],
+                         *[F.lead(x).over(order).alias(f"_next_{x}") for x in ("n", "dense")])
+    chunks = lines.groupBy(*BOX, "_chunk").agg(
+        *[F.sum(x).alias(f"_t_{x}") for x in summed], *[F.min_by(x, "idx").alias(f"_head_{x}") for x in ("n", "dense")],
+        F.min("idx").alias("_first"), F.max("idx").alias("_last"))
+    whole = Window.partitionBy(*BOX)  # the chunks of one box
+    along_box = whole.orderBy("_chunk")
+    before = along_box.rowsBetween(Window.unboundedPreceding, -1)
+    totals = chunks.select(
+        *BOX, "_chunk", *[F.coalesce(F.sum(f"_t_{x}").over(before), F.lit(0)).alias(f"_o_{x}") for x in summed],
+        *[F.lead(f"_head_{x}").over(along_box).alias(f"_then_{x}") for x in ("n", "dense")],
+        *[F.sum(f"_t_{x}").over(whole).alias(f"all_{x}") for x in ("n", "dense")],
+        F.min("_first").over(whole).alias("first"), F.max("_last").over(whole).alias("last"))
+    return inner.join(totals, [*BOX, "_chunk"]).select(
+        *BOX, "idx", "slots", "n", "dense", "soft", *[(c(f"_i_{x}") + c(f"_o_{x}")).alias(f"sum_{x}") for x in summed],
+        *[F.coalesce(f"_next_{x}", f"_then_{x}").alias(f"next_{x}") for x in ("n", "dense")],
+        "all_n", "all_dense", "first", "last")
 
 
 def cut_bands(axis: DataFrame, near_empty: bool) -> DataFrame:
@@ -130,9 +151,7 @@ def horizontal_cut(rows: DataFrame) -> DataFrame:
 def separator_runs(axis: DataFrame) -> DataFrame:
     """Runs of near-empty lines with at least two dense lines on both sides."""
     c = F.col
-    empty = axis.filter(c("n") / c("slots") <= k.SOFT_RATIO).select(*BOX, "idx", "sum_dense", "all_dense")
-    numbered = ranks.positions(empty, BOX, "idx", "k")
-    runs = numbered.groupBy(*BOX, (c("idx") - c("k")).alias("g")).agg(
+    runs = axis.filter("soft = 1").groupBy(*BOX, (c("idx") - c("sum_soft")).alias("g")).agg(
         F.min("idx").alias("start"), F.max("idx").alias("stop"), F.min("sum_dense").alias("before"),
         F.max("all_dense").alias("all_dense"))
     return runs.filter((c("before") >= k.MIN_DENSE) & (c("all_dense") - c("before") >= k.MIN_DENSE)).select(
@@ -153,7 +172,7 @@ def segments(boxes: DataFrame, runs: DataFrame, low: str, high: str) -> DataFram
 
 def soft_split(boxes: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:
     """Row segments times column segments of every box that has a separator."""
-    col_runs, row_runs = cut(separator_runs(columns)), cut(separator_runs(rows))
+    col_runs, row_runs = separator_runs(columns), separator_runs(rows)
     touched = boxes.join(col_runs.select(*BOX).unionByName(row_runs.select(*BOX)).distinct(), BOX, "left_semi")
     tall = segments(touched, row_runs, "r0", "r1").select(*BOX, F.col("s0").alias("q0"), F.col("s1").alias("q1"))
     wide = segments(touched, col_runs, "c0", "c1").select(*BOX, F.col("s0").alias("p0"), F.col("s1").alias("p1"))
@@ -174,35 +193,43 @@ def recomponent(rects: DataFrame, cells: DataFrame) -> DataFrame:
 def split_once(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     """(box, n_r0, n_r1, n_c0, n_c1): the pieces of each box, or the box itself.
 
-    Vertical cuts come first, then horizontal ones, then soft separators; a way counts if it leaves a meaningful piece.
+    Vertical cuts come first, then horizontal ones, then soft separators; a way counts if it leaves a meaningful piece. What
+    several steps read is held by the executors for this call alone; where one is lost, its share is computed again.
     """
-    c = F.col
-    inside = cut(cells_in(boxes, cells))
-    columns, rows = cut(axis_counts(boxes, inside, "col")), cut(axis_counts(boxes, inside, "row"))
-    rects = cut(reduce(DataFrame.unionByName, [
+    c, held = F.col, []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return held[-1]
+
+    inside = hold(cells_in(boxes, cells))
+    columns, rows = hold(axis_counts(boxes, inside, "col")), hold(axis_counts(boxes, inside, "row"))
+    rects = hold(reduce(DataFrame.unionByName, [
         vertical_cut(columns, inside), horizontal_cut(rows), soft_split(boxes, columns, rows)]))
     pieces = recomponent(rects, cells).select(*SHEET, *RECT, *[c(e).alias(f"n_{e}") for e in EXTENT])
     offered = rects.join(pieces, [*SHEET, *RECT])
     best = offered.groupBy(*BOX).agg(F.min("priority").alias("priority"))
     chosen = offered.join(best, [*BOX, "priority"]).select(*BOX, *[f"n_{e}" for e in EXTENT]).distinct()
     kept = boxes.join(best, BOX, "left_anti").select(*BOX, *[c(e).cast("long").alias(f"n_{e}") for e in EXTENT])
-    return chosen.unionByName(kept)
+    out = cut(chosen.unionByName(kept))
+    for df in held:
+        df.unpersist()
+    return out
 
 
-def refine(boxes: DataFrame, cells: DataFrame, rounds: int = k.MAX_REFINE_ROUNDS) -> DataFrame:
-    """Split until nothing changes, five rounds at most; settled boxes leave the working set."""
+def refine(boxes: DataFrame, cells: DataFrame) -> DataFrame:
+    """Split until nothing changes; settled boxes leave the working set, the pieces of the others are smaller than they."""
     settled, working = [], boxes.select(*BOX)
-    for _ in range(rounds):
-        pieces = cut(split_once(working, cells))
+    while True:
+        pieces = split_once(working, cells)
         count = F.count(F.lit(1)).over(Window.partitionBy(*BOX))  # pieces of one box
         same = reduce(lambda a, b: a & b, [F.col(e) == F.col(f"n_{e}") for e in EXTENT])
         marked = pieces.withColumn("_settled", same & (count == 1))
         new = [F.col(f"n_{e}").alias(e) for e in EXTENT]
         settled.append(marked.filter("_settled").select(*SHEET, *new))
         working = cut(marked.filter("not _settled").select(*SHEET, *new).distinct())
-        if working.limit(1).count() == 0:
-            break
-    return reduce(DataFrame.unionByName, [*settled, working]).distinct()
+        if working.isEmpty():
+            return reduce(DataFrame.unionByName, settled).distinct()
 
 
 def stitch_same_span(boxes: DataFrame, cells: DataFrame) -> DataFrame:
@@ -228,13 +255,15 @@ def merge_overlaps(boxes: DataFrame) -> DataFrame:
     current = cut(boxes.select(*BOX).distinct())
     while True:
         node = F.xxhash64(*EXTENT)
-        spread = current.select(*BOX, node.alias("node")).withColumn("_bucket", F.explode(F.sequence(
-            F.floor(c("r0") / ROW_BUCKET), F.floor(c("r1") / ROW_BUCKET))))
-        left = spread.select(*SHEET, "_bucket", *[c(e).alias(f"l_{e}") for e in EXTENT], c("node").alias("a"))
-        right = spread.select(*SHEET, "_bucket", *EXTENT, c("node").alias("b"))
-        edges = cut(left.join(right, [*SHEET, "_bucket"]).filter(
-            "a < b and l_r0 <= r1 and r0 <= l_r1 and l_c0 <= c1 and c0 <= l_c1").select(*SHEET, "a", "b").distinct())
-        if edges.limit(1).count() == 0:
+        spread = tiled(current.select(*BOX, node.alias("node")))
+        left = spread.select(*SHEET, "_tr", "_tc", *[c(e).alias(f"l_{e}") for e in EXTENT], c("node").alias("a"))
+        right = spread.select(*SHEET, "_tr", "_tc", *EXTENT, c("node").alias("b"))
+        # the tile of the upper left corner that both have owns the pair, so that it comes once
+        owned = (F.floor(F.greatest("l_r0", "r0") / ROW_BUCKET) == c("_tr")) & (
+            F.floor(F.greatest("l_c0", "c0") / COL_BUCKET) == c("_tc"))
+        edges = cut(left.join(right, [*SHEET, "_tr", "_tc"]).filter(
+            "a < b and l_r0 <= r1 and r0 <= l_r1 and l_c0 <= c1 and c0 <= l_c1").filter(owned).select(*SHEET, "a", "b"))
+        if edges.isEmpty():
             return current
         labels = components.label_components(edges, SHEET)
         named = current.withColumn("node", node).join(labels, [*SHEET, "node"], "left")
@@ -320,11 +349,11 @@ def extend_header_context(blocks: DataFrame, cells: DataFrame) -> DataFrame:
 def context_dates(blocks: DataFrame, cells: DataFrame) -> DataFrame:
     """The first date in the six rows above each block, over all columns of the sheet."""
     c = F.col
-    area = blocks.filter("r0 >= 1").select(
-        *SHEET, "block_no", F.greatest(c("r0") - k.DATE_CONTEXT_ROWS, F.lit(0)).alias("r0"), (c("r0") - 1).alias("r1"),
-        F.lit(0).alias("c0"), F.lit(2**31 - 1).alias("c1"))
+    rows = F.explode(F.sequence(F.greatest(c("r0") - k.DATE_CONTEXT_ROWS, F.lit(0)), c("r0") - 1)).alias("row_idx")
+    area = blocks.filter("r0 >= 1").select(*SHEET, "block_no", rows)
     day = F.coalesce(cell_date(c("kind"), c("text")), F.when(_is_text(), v.dotted_date(c("text"))))
-    return (cells_in(area, cells).withColumn("day", day).filter(c("day").isNotNull()).groupBy(*SHEET, "block_no")
+    dates = cells.withColumn("day", day).filter(c("day").isNotNull())
+    return (area.join(dates, [*SHEET, "row_idx"]).groupBy(*SHEET, "block_no")
             .agg(F.min_by("day", F.struct("row_idx", "col_idx")).alias("context_date")))
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallgrid.session import cut
 
-ROW_CHUNK, COL_BUCKET = 4096, 64
+TILE_ROWS, TILE_COLS = 512, 64
 NODE_COLUMNS = 1 << 31  # a column index is an int, so a row and a column make one long
 
 
-def label_components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, node, label) for every node that has an edge; the label is the smallest node of its component.
+def label_components(edges: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(keys, node, label) for every node that has an edge; the label is the smallest node of its component. None: no edges.
 
     ``edges``: keys, a, b. Alternates two star operations (every node points its larger neighbours, then its smaller
     ones, at the smallest neighbour) until nothing changes. A hub is reduced by partial aggregation; the join back
@@ -21,7 +23,9 @@ def label_components(edges: DataFrame, keys: list[str]) -> DataFrame:
     pairs = cut(edges.select(*keys, F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
                 .filter("hi <> lo").distinct())
     known = _fingerprint(pairs, keys)
-    while known[0]:
+    if not known[0]:
+        return None
+    while True:
         both = pairs.select(*keys, F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             pairs.select(*keys, F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -46,41 +50,78 @@ def _fingerprint(pairs: DataFrame, keys: list[str]) -> tuple:
     return tuple(row)
 
 
-def slabs(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells merged into rectangles: horizontal runs per row, equal runs of consecutive rows stacked.
-
-    Rows are stacked inside chunks of rows, so a very tall sheet is spread over many tasks.
-    """
-    in_row = Window.partitionBy(*keys, "row_idx").orderBy("col_idx")
-    runs = (cells.withColumn("g", F.col("col_idx") - F.row_number().over(in_row))
-            .groupBy(*keys, "row_idx", "g").agg(F.min("col_idx").alias("c0"), F.max("col_idx").alias("c1")))
-    chunk = F.floor(F.col("row_idx") / ROW_CHUNK)
-    stack = Window.partitionBy(*keys, "c0", "c1", "chunk").orderBy("row_idx")
-    return (runs.withColumn("chunk", chunk).withColumn("g", F.col("row_idx") - F.row_number().over(stack))
-            .groupBy(*keys, "c0", "c1", "chunk", "g")
-            .agg(F.min("row_idx").alias("r0"), F.max("row_idx").alias("r1"))
-            .select(*keys, "r0", "r1", "c0", "c1", (F.col("r0") * NODE_COLUMNS + F.col("c0")).alias("node")))
+def _local_components(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """The first cell of each cell's 4-neighbour component, for distinct cells sorted by row and column."""
+    n = len(rows)
+    code = rows * NODE_COLUMNS + cols
+    below = np.searchsorted(code, code + NODE_COLUMNS)
+    down = np.flatnonzero((below < n) & (code[np.minimum(below, n - 1)] == code + NODE_COLUMNS))
+    run = np.cumsum(np.append(1, code[1:] != code[:-1] + 1)) - 1  # cells side by side
+    upper, lower, label = run[down], run[below[down]], np.arange(run[-1] + 1)
+    while True:
+        low = np.minimum(label[upper], label[lower])
+        new = label.copy()
+        for side in (upper, lower):
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, label[side], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    return first[label][run]
 
 
-def touching(rects: DataFrame, keys: list[str]) -> DataFrame:
-    """Vertical contacts of slabs: one ends in the row above the other begins, and their columns overlap.
+def tile_components(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The components inside each tile of ``TILE_ROWS`` by ``TILE_COLS`` cells, one group of the function each.
 
-    Column buckets keep the candidates per row linear in the row's width.
+    Per component: keys, node (its first cell), r0, r1, c0, c1, the cells beyond the tile's lower and right border that it
+    would touch (``beyond``) and its own cells on the upper and left border (``border``).
     """
-    spread = rects.withColumn("bucket", F.explode(F.sequence(
-        F.floor(F.col("c0") / COL_BUCKET), F.floor(F.col("c1") / COL_BUCKET))))
-    upper = spread.select(*keys, "bucket", (F.col("r1") + 1).alias("at"), F.col("node").alias("a"),
-                          F.col("c0").alias("a0"), F.col("c1").alias("a1"))
-    lower = spread.select(*keys, "bucket", F.col("r0").alias("at"), F.col("node").alias("b"),
-                          F.col("c0").alias("b0"), F.col("c1").alias("b1"))
-    return (upper.join(lower, [*keys, "bucket", "at"]).filter("a0 <= b1 and b0 <= a1")
-            .select(*keys, "a", "b").distinct())
+    named = [f"{k} {dict(cells.dtypes)[k]}" for k in keys]
+
+    def label(key, table):
+        rows, cols = (table.column(c).to_numpy().astype(np.int64) for c in ("row_idx", "col_idx"))
+        order = np.lexsort((cols, rows))
+        distinct = np.unique(rows[order] * NODE_COLUMNS + cols[order])
+        rows, cols = distinct // NODE_COLUMNS, distinct % NODE_COLUMNS
+        first = _local_components(rows, cols)
+        order = np.argsort(first, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(first[order]) > 0))
+        low = lambda x: np.minimum.reduceat(x[order], starts)
+        high = lambda x: np.maximum.reduceat(x[order], starts)
+        at = first[order][starts]
+
+        def lists(*parts):
+            owner, codes = (np.concatenate(x) for x in zip(*parts))
+            back = np.argsort(owner, kind="stable")
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[back], np.append(at, len(first))), pa.int32()),
+                                            pa.array(codes[back], pa.int64()))
+
+        bottom, right = rows % TILE_ROWS == TILE_ROWS - 1, cols % TILE_COLS == TILE_COLS - 1
+        top, left = (rows % TILE_ROWS == 0) & (rows > 0), (cols % TILE_COLS == 0) & (cols > 0)
+        columns = [pa.repeat(scalar, len(at)) for scalar in key[:len(keys)]]
+        columns += [pa.array(x, pa.int64()) for x in (distinct[at], low(rows), high(rows), low(cols), high(cols))]
+        columns += [lists((first[bottom], distinct[bottom] + NODE_COLUMNS), (first[right], distinct[right] + 1)),
+                    lists((first[top | left], distinct[top | left]))]
+        return pa.table(columns, names=[*keys, "node", "r0", "r1", "c0", "c1", "beyond", "border"])
+
+    schema = ", ".join([*named, *(f"{c} long" for c in ("node", "r0", "r1", "c0", "c1")), "beyond array<long>", "border array<long>"])
+    tile = [F.floor(F.col(c) / n).alias(t) for c, n, t in (("row_idx", TILE_ROWS, "_tr"), ("col_idx", TILE_COLS, "_tc"))]
+    return cells.select(*keys, "row_idx", "col_idx", *tile).groupBy(*keys, "_tr", "_tc").applyInArrow(label, schema)
 
 
 def component_boxes(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Bounding boxes (keys, r0, r1, c0, c1) of the 4-neighbour components of ``cells`` per key."""
-    rects = cut(slabs(cells, keys))
-    labels = label_components(touching(rects, keys), keys)
-    named = rects.join(labels, [*keys, "node"], "left").withColumn("label", F.coalesce("label", "node"))
-    return named.groupBy(*keys, "label").agg(
-        F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("label")
+    """Bounding boxes (keys, r0, r1, c0, c1) of the 4-neighbour components of ``cells`` per key.
+
+    Tiles are labelled first; only contacts across tile borders are labelled in rounds, so these depend on how far a component
+    winds through tiles, not on the height of a sheet. A component inside one tile takes no round.
+    """
+    parts = cut(tile_components(cells, keys))
+    across = parts.select(*keys, F.col("node").alias("a"), F.explode("beyond").alias("at")).join(
+        parts.select(*keys, F.col("node").alias("b"), F.explode("border").alias("at")), [*keys, "at"])
+    labels = label_components(across.select(*keys, "a", "b"), keys)
+    named = parts if labels is None else parts.join(labels, [*keys, "node"], "left").withColumn(
+        "node", F.coalesce("label", "node"))
+    return named.groupBy(*keys, "node").agg(
+        F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("node")

@@ -179,6 +179,9 @@ def load_corpus(schema: DataFrame | None, raw: DataFrame | None, upload_session_
     return reduce(DataFrame.unionByName, chosen)
 
 
+PHRASE, PROBES = 25, 10  # points of a whole query found; documents probed for each wanted one
+
+
 def fold_docs(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", x.fold_document(F.col("title")).alias("_title"),
                        x.fold_document(F.col("text")).alias("_body"),
@@ -237,6 +240,88 @@ def top_k(scores: DataFrame, docs: DataFrame, k: int = catalog.CONTEXT_LIMIT_MAX
         "query_id", "rank", "document_id", "source_type", "title", "score")
 
 
+def _token_stats(words: DataFrame, matches: DataFrame) -> DataFrame:
+    """Per token the most points that any document can get for it, and a bound on the number of documents that hold it."""
+    has = lambda w: F.max(F.col(f"_{w}")) * w
+    return matches.join(words, "word").groupBy("token").agg(
+        (has(5) + has(2) + has(1)).alias("top"), F.sum("docs").alias("spread"))
+
+
+def thresholds(asked: DataFrame, index: DataFrame, matches: DataFrame, k: int) -> DataFrame:
+    """(query_id, bar): the k-th best score, without phrases, among the ``PROBES`` k documents of most words."""
+    widest = index.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "document_id").limit(PROBES * k)
+    best = lambda w: F.max(F.when(F.col("weight") == w, w).otherwise(0))
+    hits = (index.join(widest.select("document_id"), "document_id", "left_semi").join(matches, "word")
+            .groupBy("document_id", "token").agg((best(5) + best(2) + best(1)).alias("points")))
+    known = hits.join(asked, "token").groupBy("query_id", "document_id").agg(F.sum("points").alias("points"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("points")))
+    return known.withColumn("_place", place).filter(F.col("_place") == k).select("query_id", F.col("points").alias("bar"))
+
+
+def candidates(queries_df: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, document_id, sure, _query, _tokens, _rest): the pairs that can still be among a query's k best.
+
+    Postings are opened from the rarest token on. The tokens whose best points in sum stay below the bar of the query, the most
+    frequent ones first, are never opened: a document that holds none of the others cannot reach the bar. What is found
+    in the opened lists (``sure``) plus the best points of the rest (``_rest``, still to be looked up) is a pair's upper bound.
+    """
+    folded = queries_df.select("query_id", x.fold_document(F.col("query")).alias("_query"))
+    asked = cut(folded.select("query_id", F.explode(x.tokens(F.col("_query"))).alias("token")))
+    index = cut(postings(docs))  # read for the vocabulary, the probes and the opened lists
+    words = index.groupBy("word").agg(F.count(F.lit(1)).alias("docs"), *[
+        F.max((F.col("weight") == w).cast("int")).alias(f"_{w}") for w in (5, 2, 1)])
+    words = cut(words)
+    matches = cut(matching.contained(words.select("word"), "word", asked.select("token").distinct(), "token")
+                  .select("word", "token"))
+    stats = _token_stats(words, matches)
+    common = Window.partitionBy("query_id").orderBy(F.desc("spread"), "token")
+    bars = thresholds(asked, index, matches, k)
+    ranked = asked.join(stats, "token").join(bars, "query_id", "left").withColumn(
+        "_below", F.sum("top").over(common.rowsBetween(Window.unboundedPreceding, 0)))
+    opened = F.col("_below") >= F.coalesce("bar", F.lit(0))
+    lists = cut(ranked.withColumn("opened", opened))
+    need = lists.groupBy("query_id").agg(
+        F.coalesce(F.first("bar"), F.lit(0)).alias("bar"), F.count_if("opened").alias("n_opened"),
+        F.sum(F.when(F.col("opened"), 0).otherwise(F.col("top"))).alias("best_rest"),
+        F.collect_list(F.when(~F.col("opened"), F.col("token"))).alias("_rest"))
+    best = lambda w: F.max(F.when(F.col("weight") == w, w).otherwise(0))
+    wanted = lists.filter("opened").select("query_id", "token")
+    hits = (index.join(matches.join(wanted.select("token").distinct(), "token", "left_semi"), "word")
+            .groupBy("document_id", "token").agg((best(5) + best(2) + best(1)).alias("points")))
+    found = hits.join(wanted, "token").groupBy("query_id", "document_id").agg(
+        F.sum("points").alias("sure"), F.count(F.lit(1)).alias("n_found"))
+    sizes = folded.select("query_id", "_query", F.size(x.tokens(F.col("_query"))).alias("n_tokens"))
+    reach = F.col("sure") + F.col("best_rest") + F.when(F.col("n_found") == F.col("n_opened"), PHRASE).otherwise(0)
+    return found.join(need, "query_id").filter(reach >= F.col("bar")).join(sizes, "query_id").select(
+        "query_id", "document_id", "sure", "n_found", "n_tokens", "_query", "_rest")
+
+
+def ranked(queries_df: DataFrame, docs: DataFrame, k: int = catalog.CONTEXT_LIMIT_MAX) -> DataFrame:
+    """R3 and R4 together, (query_id, rank, document_id, source_type, title, score), without scoring all pairs.
+
+    The rows are those of ``top_k(score(...))``. Only the pairs that ``candidates`` leaves meet the texts, where the frequent
+    tokens and the phrase are looked up.
+    """
+    catalog.check_limit(k, catalog.CONTEXT_LIMIT_MAX)
+    c = F.col
+    pairs = candidates(queries_df, docs, k)
+    texts = docs.select("document_id", x.fold_document(c("title")).alias("_title"), x.fold_document(c("text")).alias("_body"),
+                        x.fold_document(x.metadata_text(c("metadata"))).alias("_meta"))
+    held = lambda field: F.filter("_rest", lambda t: c(field).contains(t))
+    whole = F.concat_ws(" ", *[F.nullif(c(f), F.lit("")) for f in ("_title", "_body", "_meta")])
+    looked = pairs.join(texts, "document_id").select(
+        "query_id", "document_id", "sure", "n_found", "n_tokens", *[held(f).alias(f) for f in ("_title", "_body", "_meta")],
+        whole.contains(c("_query")).alias("_phrase"))
+    together = lambda name: F.array_distinct(F.flatten(F.collect_list(name)))
+    summed = looked.groupBy("query_id", "document_id").agg(
+        F.first("sure").alias("sure"), F.first("n_found").alias("n_found"), F.first("n_tokens").alias("n_tokens"),
+        F.bool_or("_phrase").alias("_phrase"), *[together(f).alias(f) for f in ("_title", "_body", "_meta")])
+    n_held = c("n_found") + F.size(F.array_distinct(F.concat("_title", "_body", "_meta")))
+    points = c("sure") + 5 * F.size("_title") + 2 * F.size("_body") + F.size("_meta")
+    bonus = F.when(c("_phrase") & (n_held == c("n_tokens")), PHRASE).otherwise(0)
+    return top_k(summed.select("query_id", "document_id", (points + bonus).cast("double").alias("score")), docs, k)
+
+
 def attach_snippet(hits: DataFrame, docs: DataFrame, queries_df: DataFrame | None = None) -> DataFrame:
     """Snippets around the first token of the query, or the first 220 characters without a query."""
     texts = docs.filter(F.col("part") == 0).select("document_id", "text")
@@ -250,7 +335,7 @@ def attach_snippet(hits: DataFrame, docs: DataFrame, queries_df: DataFrame | Non
 
 def search(queries_df: DataFrame, docs: DataFrame, k: int = catalog.CONTEXT_LIMIT_MAX) -> DataFrame:
     """R3-R5 together."""
-    return attach_snippet(top_k(score(queries_df, docs), docs, k), docs, queries_df)
+    return attach_snippet(ranked(queries_df, docs, k), docs, queries_df)
 
 
 def explain_metadata(schema: DataFrame, topics: DataFrame, k: int = 5) -> DataFrame:
@@ -260,7 +345,7 @@ def explain_metadata(schema: DataFrame, topics: DataFrame, k: int = 5) -> DataFr
 
 def _hits_as_stage(docs: DataFrame, text: str, limit: int, stage: int) -> DataFrame:
     asked = docs.sparkSession.createDataFrame([("q", text)], "query_id string, query string")
-    found = top_k(score(asked, docs), docs, limit)
+    found = ranked(asked, docs, limit)
     return found.select("document_id", F.lit(stage).alias("stage"), F.col("rank").cast("long").alias("ord"))
 
 

@@ -39,7 +39,9 @@ STITCHED = [[(0, 59, 0, 6), (0, 59, 9, 23)], BOXES[1], [(0, 13, 0, 23), (15, 29,
 def grid_cells(spark, sf):
     c = F.col
     size = lambda i: F.element_at(F.array(*[F.lit(layout[i]) for layout in LAYOUTS]), (c("s_suppkey") % 4 + 1).cast("int"))
-    spread = (table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", size(0).alias("rows"), size(1).alias("cols"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a supplier becomes a thousand cells
+    spread = (table(spark, sf, "supplier").repartition(tasks, "s_suppkey")
+              .select("s_suppkey", "s_nationkey", size(0).alias("rows"), size(1).alias("cols"))
               .withColumn("r", F.explode(F.sequence(F.lit(0), c("rows") - 1)))
               .withColumn("c", F.explode(F.sequence(F.lit(0), c("cols") - 1))))
     filled = F.coalesce(*[F.when(c("s_suppkey") % 4 == i, F.expr(layout[2])) for i, layout in enumerate(LAYOUTS)])

@@ -132,7 +132,7 @@ QUERIES = {
           list_distinct(flatten(list(warnings)))), ', '), 'none') || '.' AS text FROM profiled GROUP BY artifact_id"""),
     "r03_score": (lambda spark, sf: r.score(asked(spark, sf), corpus(spark, sf)),
                   SCORE_SQL + "SELECT query_id, document_id, score FROM scores WHERE score > 0"),
-    "r04_top_k": (lambda spark, sf: r.top_k(r.score(asked(spark, sf), corpus(spark, sf)), corpus(spark, sf), 10),
+    "r04_top_k": (lambda spark, sf: r.ranked(asked(spark, sf), corpus(spark, sf), 10),
                   SCORE_SQL + "SELECT query_id, rank, document_id, source_type, title, score FROM hits WHERE rank <= 10"),
     "r05_search_with_snippets": (
         lambda spark, sf: r.search(asked(spark, sf), corpus(spark, sf), 5).select("query_id", "rank", "document_id",

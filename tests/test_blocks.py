@@ -38,7 +38,8 @@ def test_components_equal_a_search(spark, make_cells, monkeypatch):
             [(k, 0) for k in range(2, 9)] + [(2, k) for k in range(7)] + [(k, 6) for k in range(2, 7)]:
         spiral[i][j] = 1
     grids = {"a": noise(25, 30, .55), "b": noise(40, 5, .6), "c": spiral, "d": [[1] * 150] * 3}
-    monkeypatch.setattr(comp, "ROW_CHUNK", 4)  # rows of one table in many chunks
+    monkeypatch.setattr(comp, "TILE_ROWS", 4)  # components wind through many tiles
+    monkeypatch.setattr(comp, "TILE_COLS", 3)
     cells, _ = make_cells(grids)
     found = comp.component_boxes(cells.select(*SHEET, "row_idx", "col_idx"), SHEET).cache()
     for name, grid in grids.items():
@@ -59,6 +60,54 @@ def stacked():
     return rows
 
 
+def test_one_tile_takes_no_rounds(spark, make_cells, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(comp, "label_components", lambda edges, keys: rounds.append(edges.count()))
+    cells, _ = make_cells({"a": [[1, 1, None, 1], [None, 1, None, 1], [1, None, None, 1]]})
+    assert extents(comp.component_boxes(cells.select(*SHEET, "row_idx", "col_idx"), SHEET), "a") == [
+        (0, 1, 0, 1), (0, 2, 3, 3), (2, 2, 0, 0)]
+    assert rounds == [0]
+
+
+def test_refinement_runs_until_nothing_changes(make_cells):
+    """A row of tables bridged pairwise by one cell each: one vertical cut a round, far more rounds than five."""
+    tables = 9
+    grid = []
+    for i in range(14):
+        row = []
+        for t in range(tables):
+            row += [f"h{t}{j}" if i == 0 else i * (j + 1) + t for j in range(4)]
+            if t < tables - 1:
+                row.append("N0" if i in (4, 9) else None)
+        grid.append(row)
+    cells, _ = make_cells({"wide": grid})
+    assert extents(b.refined_boxes(cells), "wide") == [(0, 13, 5 * t, 5 * t + 3) for t in range(tables)]
+
+
+def test_overlap_pairs_come_once_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(b, "ROW_BUCKET", 5)
+    monkeypatch.setattr(b, "COL_BUCKET", 3)
+    g = random.Random(8)
+    boxes = sorted({(r, r + g.randrange(12), c, c + g.randrange(7)) for r, c in ((g.randrange(90), g.randrange(60)) for _ in range(120))})
+    seen = []
+    real = comp.label_components
+    monkeypatch.setattr(comp, "label_components", lambda edges, keys: (seen.append((edges.count(), edges.distinct().count())), real(edges, keys))[1])
+    got = b.merge_overlaps(spark.createDataFrame([("a", 1, *x) for x in boxes], "artifact_id string, sheet_index int, r0 long, r1 long, c0 long, c1 long"))
+    want = [list(x) for x in boxes]
+    while True:
+        pair = next(((x, y) for i, x in enumerate(want) for y in want[:i]
+                     if x[0] <= y[1] and y[0] <= x[1] and x[2] <= y[3] and y[2] <= x[3]), None)
+        if pair is None:
+            break
+        x, y = pair
+        want.remove(x)
+        want.remove(y)
+        want.append([min(x[0], y[0]), max(x[1], y[1]), min(x[2], y[2]), max(x[3], y[3])])
+    assert extents(got, "a") == sorted(map(tuple, want))
+    overlapping = sum(x[0] <= y[1] and y[0] <= x[1] and x[2] <= y[3] and y[2] <= x[3] for i, x in enumerate(boxes) for y in boxes[:i])
+    assert seen[0] == (overlapping, overlapping)
+
+
 def test_splits_and_stitching(make_cells):
     cells, _ = make_cells({"side": side_by_side(), "stack": stacked(), "tiny": [[1, 2], [3, 4]]})
     refined = b.refined_boxes(cells)

@@ -62,6 +62,21 @@ def test_benchmark_queries_are_whole_texts(spark):
         k: v for k, v in ranked.items() if k[1] <= 5}
 
 
+def test_pruned_ranking_equals_full_scores(spark):
+    """The same rows as ranking all scores, from a fraction of the pairs, on whole benchmark texts and on odd queries."""
+    from tallgrid.registry import retrieving
+    docs = retrieving.corpus(spark, SMALL)
+    odd = spark.createDataFrame([(10_001, "src1"), (10_002, "! a"), (10_003, "en src3 the of and"), (10_004, "zzzzzz qqqqq"),
+                                 (10_005, "the"), (10_006, "lang en source src2"), (10_007, None)], "query_id long, query string")
+    asked = retrieving.asked(spark, SMALL).unionByName(odd)
+    rows = lambda df: sorted((x.query_id, x["rank"], x.document_id, x.score) for x in df.collect())
+    for k in (1, 7):
+        assert rows(r.ranked(asked, docs, k)) == rows(r.top_k(r.score(asked, docs), docs, k))
+    long = retrieving.asked(spark, SMALL)
+    read, every = r.candidates(long, docs, 1).count(), r.score(long, docs).count()
+    assert read < 0.35 * every, (read, every)
+
+
 def test_context_prefers_schema_documents(spark, seed):
     docs = r.schema_docs(spark, seed)
     chosen = r.select_context(docs, variable="yield", question="moisture percent", limit=8).orderBy("stage", "ord").collect()
