@@ -122,6 +122,54 @@ def snippet(text: Column, query_tokens: Column) -> Column:
                                                     lambda first: cut(cleaned, first)))
 
 
+PAIR = "struct<left:string,right:string>"
+
+
+def _longest_block(left: Column, right: Column) -> Column:
+    """(size, first, at) of the longest common block: the earliest in ``left`` (``first`` is minus its place), then in ``right``."""
+    def block(i: Column, size: Column) -> Column:
+        at = F.instr(right, F.substring(left, i, size))
+        return F.struct(F.when(at > 0, size).otherwise(0).alias("size"), (-i).alias("first"), at.alias("at"))
+
+    places = F.sequence(F.lit(1), F.length(left))
+    return F.array_max(F.flatten(F.transform(places, lambda i: F.transform(
+        F.sequence(F.lit(1), F.length(left) - i + 1), lambda size: block(i, size)))))
+
+
+def matching_letters(left: Column, right: Column) -> Column:
+    """Letters in matching blocks: the longest common block, then in the same way what lies before it and what lies behind it.
+
+    The parts still to be compared wait in an array; each step takes one, so twice the shorter length bounds the steps.
+    """
+    state = f"struct<parts:array<{PAIR}>,total:int>"
+    part = lambda a, b: F.struct(a.alias("left"), b.alias("right"))
+    made = lambda parts, total: F.struct(parts.alias("parts"), total.cast("int").alias("total")).cast(state)
+
+    def split(now: Column, top: Column, block: Column) -> Column:
+        rest = F.slice(now["parts"], F.lit(2), F.size(now["parts"]))
+        i, j, size = -block["first"], block["at"], block["size"]
+        before = part(F.substring(top["left"], F.lit(1), i - 1), F.substring(top["right"], F.lit(1), j - 1))
+        behind = part(F.substring(top["left"], i + size, F.length(top["left"])),
+                      F.substring(top["right"], j + size, F.length(top["right"])))
+        new = F.filter(F.array(before, behind), lambda p: (p["left"] != "") & (p["right"] != ""))
+        return F.when(size == 0, made(rest, now["total"])).otherwise(made(F.concat(new, rest), now["total"] + size))
+
+    def step(now: Column, _: Column) -> Column:
+        return F.when(F.size(now["parts"]) == 0, now).otherwise(bind(F.element_at(now["parts"], 1), lambda top: bind(
+            _longest_block(top["left"], top["right"]), lambda block: split(now, top, block))))
+
+    shorter = F.least(F.length(left), F.length(right))
+    steps = F.sequence(F.lit(0), 2 * shorter)
+    return F.when(shorter > 0, F.aggregate(steps, made(F.array(part(left, right)), F.lit(0)), step)["total"]).otherwise(0)
+
+
+def shared_letters(left: Column, right: Column) -> Column:
+    """Letters that both have, as often as both have them: an upper bound of ``matching_letters``."""
+    times = lambda text, letter: F.length(text) - F.length(F.replace(text, letter, F.lit("")))
+    letters = F.array_distinct(F.split(left, ""))
+    return F.aggregate(F.filter(letters, lambda a: a != ""), F.lit(0), lambda n, a: n + F.least(times(left, a), times(right, a)))
+
+
 def join_counts(pairs: Column) -> Column:
     """``k=n`` pairs of an array of (k, n) structs, sorted by key, positive counts only."""
     kept = F.array_sort(F.filter(pairs, lambda p: p["n"] > 0))

@@ -125,9 +125,9 @@ def alias_rows() -> list[tuple[int, str, str, int, str, str]]:
 def fuzzy_aliases(questions: DataFrame, max_hints: int | None = None) -> DataFrame:
     """(question_id, section, hint_no, token, canonical_name, matched_alias), the first ``max_hints`` of each section.
 
-    Each distinct token of three or more characters is compared once with the fixed aliases; an alias matches when its edit
-    distance is at most 28 % of the longer length, and the most similar alias of every canonical name counts. (The measure is
-    edit distance, where the modelled system takes a sequence-matcher ratio: it is built in and symmetric.)
+    Each distinct token of three or more characters is compared once with the fixed aliases. Likeness is twice the letters in
+    matching blocks by the letters of both; an alias matches from ``MATCH_PERCENT`` on, and the most similar alias of every
+    canonical name counts (of equals the last in alphabetic order). Lengths and shared letters rule out most pairs before.
     """
     c = F.col
     words = F.split(F.trim(F.regexp_replace(x.fold_ascii(c("question")), r"[?,\s]+", " ")), " ")
@@ -135,11 +135,14 @@ def fuzzy_aliases(questions: DataFrame, max_hints: int | None = None) -> DataFra
     names = ("ord", "section", "canonical_name", "alias_no", "matched_alias", "folded")
     fixed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in alias_rows()])
     pairs = tokens.select("token").distinct().select("token", F.explode(fixed).alias("a")).select("token", "a.*")
-    longer = F.greatest(F.length("token"), F.length("folded"))
-    kept = longer - F.levenshtein("token", "folded")
-    close = pairs.withColumn("likeness", kept / longer).filter(100 * kept >= MATCH_PERCENT * longer)
+    both = F.length("token") + F.length("folded")
+    enough = lambda letters: 200 * letters >= MATCH_PERCENT * both
+    near = pairs.filter(enough(F.least(F.length("token"), F.length("folded")))).filter(
+        enough(x.shared_letters(c("folded"), c("token"))))
+    close = near.withColumn("_letters", x.matching_letters(c("folded"), c("token"))).withColumn(
+        "likeness", 2.0 * c("_letters") / both).filter(enough(c("_letters")))
     best = close.groupBy("token", "ord", "section", "canonical_name").agg(
-        F.max_by("matched_alias", F.struct("likeness", -c("alias_no"))).alias("matched_alias"))
+        F.max_by("matched_alias", F.struct("likeness", "folded", "alias_no")).alias("matched_alias"))
     place = Window.partitionBy("question_id", "section").orderBy("pos", "ord")
     hints = tokens.join(best, "token").withColumn("hint_no", F.row_number().over(place) - 1)
     shown = hints if max_hints is None else hints.filter(c("hint_no") < max_hints)

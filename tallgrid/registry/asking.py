@@ -335,6 +335,11 @@ def _groups(spark, sf, shift):
         .alias("normalized_unit"))
 
 
+# the longest common block of two texts: the earliest in a, then in b
+BLOCK = """list_sort(flatten([[{{'size': CASE WHEN instr({b}, {a}[i:i + k - 1]) > 0 THEN k ELSE 0 END, 'i': -i,
+    'j': instr({b}, {a}[i:i + k - 1])}} for k in range(1, len({a}) - i + 2)] for i in range(1, len({a}) + 1)]), 'DESC')[1]"""
+
+
 QUERIES = {
     "n01_n05_tags_a": (
         lambda spark, sf: _flat(_bits(tags_a(spark, sf).drop("question", "q")), "statuses"),
@@ -387,15 +392,20 @@ QUERIES = {
                      "row_limit"),
     "n13_fuzzy_aliases": (
         lambda spark, sf: nq.fuzzy_aliases(asked(spark, sf)),
-        "WITH x AS (SELECT 1)" + ASKED_SQL + f""", al(ord, section, canonical_name, alias_no, matched_alias, folded) AS (VALUES
-            {", ".join(str(r) for r in nq.alias_rows())}),
+        "WITH RECURSIVE x AS (SELECT 1)" + ASKED_SQL + f""", al(ord, section, canonical_name, alias_no, matched_alias, folded) AS
+            (VALUES {", ".join(str(r) for r in nq.alias_rows())}),
           tk AS (SELECT question_id, unnest(ws) AS token, unnest(range(len(ws))) AS pos FROM (SELECT question_id, string_split(
             trim(regexp_replace({FOLD_ASCII}, '[?,\\s]+', ' ', 'g')), ' ') AS ws FROM qs)),
-          near AS (SELECT token, ord, section, canonical_name, alias_no, matched_alias, greatest(len(token), len(folded)) AS g,
-            greatest(len(token), len(folded)) - levenshtein(token, folded) AS kept FROM (SELECT DISTINCT token FROM tk WHERE
-            len(token) >= 3), al),
-          best AS (SELECT token, ord, section, canonical_name, arg_max(matched_alias, (kept / g, -alias_no)) AS matched_alias
-            FROM near WHERE 100 * kept >= 72 * g GROUP BY 1, 2, 3, 4)
+          pairs AS (SELECT DISTINCT token, folded FROM tk, al WHERE len(token) >= 3
+            AND 200 * least(len(token), len(folded)) >= 72 * (len(token) + len(folded))),
+          parts(token, folded, a, b, block) AS (SELECT token, folded, folded, token, {BLOCK.format(a="folded", b="token")} FROM pairs
+            UNION ALL SELECT token, folded, l, r, {BLOCK.format(a="l", b="r")} FROM (SELECT token, folded,
+              unnest([a[:-block.i - 1], a[block.size - block.i:]]) AS l, unnest([b[:block.j - 1], b[block.j + block.size:]]) AS r
+              FROM parts WHERE block.size > 0) WHERE l <> '' AND r <> ''),
+          near AS (SELECT token, folded, CAST(sum(block.size) AS BIGINT) AS n FROM parts GROUP BY token, folded),
+          best AS (SELECT token, ord, section, canonical_name, arg_max(matched_alias, (2.0 * n / (len(token) + len(folded)), folded,
+            alias_no)) AS matched_alias FROM near JOIN al USING (folded) WHERE 200 * n >= 72 * (len(token) + len(folded))
+            GROUP BY 1, 2, 3, 4)
           SELECT question_id, section, row_number() OVER (PARTITION BY question_id, section ORDER BY pos, ord) - 1 AS hint_no,
             token, canonical_name, matched_alias FROM tk JOIN best USING (token)"""),
     "a01_key_findings": (

@@ -1,8 +1,11 @@
 import datetime
+import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallgrid.functions import text as x
 from tallgrid.operators import digest, quality, queries as q
 from tallgrid.operators import questions as nq
 from tallgrid.plans import batch
@@ -121,3 +124,31 @@ def test_fuzzy_aliases(spark):
     asked = spark.createDataFrame([(1, "Averge yiel per variet?")], "question_id int, question string")
     found = {(r.section, r.token, r.canonical_name) for r in nq.fuzzy_aliases(asked).collect()}
     assert {("aggregation", "averge", "avg"), ("measure", "yiel", "yield"), ("dimension", "variet", "variety")} <= found
+
+
+def test_likeness_is_the_ratio_of_matching_blocks(spark):
+    """Equality with the standard library's ratio on random words, and the hints that stems and plurals need."""
+    g = random.Random(17)
+    word = lambda: "".join(g.choice("abcd" if g.random() < .5 else "abcdefghijé") for _ in range(g.randint(0, 14)))
+    pairs = [(word(), word()) for _ in range(400)]
+    pairs += [(a, "".join(x for x in a + word() if g.random() < .8)) for a, _ in pairs[:200]] + [("", ""), ("a", "a"), ("aaaa", "aa")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: (r.m, r.s) for r in df.select("i", x.matching_letters(F.col("a"), F.col("b")).alias("m"),
+                                             x.shared_letters(F.col("a"), F.col("b")).alias("s")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        blocks = sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+        assert got[i][0] == blocks <= got[i][1], (a, b, got[i])
+
+
+def test_hints_equal_close_matches(spark):
+    text = "varieties humid farming counting blocked the meen yieldes how many tretment statuses a of locaton plots 12 moistur"
+    asked = spark.createDataFrame([(1, text)], "question_id int, question string")
+    got = {(r.section, r.token, r.canonical_name, r.matched_alias) for r in nq.fuzzy_aliases(asked).collect()}
+    groups, want = {}, set()
+    for _, section, name, _, alias, folded in nq.alias_rows():
+        groups.setdefault((section, name), {})[folded] = alias
+    for token in text.split():
+        for (section, name), aliases in groups.items():
+            best = difflib.get_close_matches(token, list(aliases), n=1, cutoff=0.72) if len(token) >= 3 else []
+            want |= {(section, token, name, aliases[best[0]])} if best else set()
+    assert got == want and ("dimension", "varieties", "variety", "variety") in got
