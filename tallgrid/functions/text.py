@@ -11,29 +11,37 @@ from pyspark.sql import functions as F
 
 from tallgrid.functions.values import WHITESPACE, strip
 
-FOLD_RANGES = ((0xA0, 0x24F), (0x1E00, 0x1EFF), (0x2070, 0x209F), (0x2100, 0x214F), (0xFB00, 0xFB06),
-               (0xFF01, 0xFF5E))
-COMBINING = "".join(chr(i) for i in range(0x300, 0x370))
 SNIPPET = 220
 
 
+def _decomposed(char: str) -> str:
+    """A character's case-folded decomposition without marks; what is not ASCII becomes a blank."""
+    parts = unicodedata.normalize("NFKD", char.casefold())
+    return "".join(p if p.isascii() else " " for p in parts if not unicodedata.combining(p))
+
+
+def _plain(char: str) -> str:
+    return unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
+
+
 @lru_cache
-def fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """(from, to) for one-letter folds and a list of longer folds, derived from the Unicode database."""
-    single, longer = [], []
-    for low, high in FOLD_RANGES:
-        for code in range(low, high + 1):
-            char = chr(code)
-            parts = unicodedata.normalize("NFKD", char.casefold())
-            folded = "".join(p for p in parts if not unicodedata.combining(p))
-            if folded == char or not folded:
-                continue
-            ascii_only = "".join(p if p.isascii() else " " for p in folded)
-            if len(ascii_only) == 1:
-                single.append((char, ascii_only))
-            elif any(p.isalnum() for p in ascii_only):
-                longer.append((char, ascii_only))
-    return "".join(a for a, _ in single), "".join(b for _, b in single), tuple(longer)
+def fold_tables(fold) -> tuple[str, str, str, str]:
+    """(from, to) of one-letter folds, the characters that fold to nothing, and the longer folds as ``a\x01bc\x02...``.
+
+    All code points beyond ASCII take part, as the Unicode database decomposes them.
+    """
+    single, nothing, longer = [], [], []
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
+        char = chr(code)
+        folded = fold(char)
+        if len(folded) == 1 and (fold is _plain or folded != " "):
+            single.append((char, folded))
+        elif not folded and fold is _decomposed:
+            nothing.append(char)
+        elif len(folded) > 1 and (fold is _plain or (folded.strip() and char.lower() == char)):
+            longer.append((char, folded))
+    return "".join(a for a, _ in single), "".join(b for _, b in single), "".join(nothing), "\x02".join(
+        f"{a}\x01{b}" for a, b in longer)
 
 
 ASCII = "".join(chr(i) for i in range(1, 128))
@@ -48,10 +56,12 @@ def _only_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.length(c)
 
 
-def _replace_each(c: Column, pairs) -> Column:
-    for char, text in pairs:
-        c = F.replace(c, F.lit(char), F.lit(text))
-    return c
+def _unfold(c: Column, longer: str) -> Column:
+    """Characters that fold to several letters; texts without any stay as they are."""
+    chars = "".join(entry[0] for entry in longer.split("\x02"))
+    table = F.str_to_map(F.lit(longer), F.lit("\x02"), F.lit("\x01"))
+    letters = F.transform(F.split(c, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch))
+    return F.when(c.rlike(f"[{chars}]"), F.array_join(letters, "")).otherwise(c)
 
 
 def _fold_words(c: Column, kept: str) -> Column:
@@ -60,15 +70,14 @@ def _fold_words(c: Column, kept: str) -> Column:
     One character table does nearly all the work; folds to several letters and the removal of other scripts only
     touch texts that are not plain ASCII by then.
     """
-    source, target, longer = fold_tables()
+    source, target, nothing, longer = fold_tables(_decomposed)
     other = "".join(ch for ch in ASCII if ch not in kept and not ch.isalnum() and ch != " ")
     target = "".join(t if t in kept or t.isdigit() or t.islower() else " " for t in target)
-    sharp = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
-    mapped = F.translate(sharp, source + other + COMBINING, target + " " * len(other))
-    rare = [(char, text) for char, text in longer if char.lower() == char and char != "ß"]
+    sharp = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))  # the one longer fold that common texts hold
+    mapped = F.translate(sharp, source + other + nothing, target + " " * len(other))
     allowed = "a-z0-9" + re.escape(kept)
     plain = bind(mapped, lambda m: F.when(_only_ascii(m), m).otherwise(
-        F.regexp_replace(_replace_each(m, rare), f"[^{allowed} ]", " ")))
+        F.regexp_replace(_unfold(m, longer), f"[^{allowed} ]", " ")))
     return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
@@ -89,11 +98,8 @@ def fold_document(c: Column) -> Column:
 
 def fold_ascii(c: Column) -> Column:
     """accents dropped, other non-ASCII removed, punctuation kept."""
-    source, _, longer = fold_tables()
-    plain = lambda char: unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
-    single = [(char, plain(char)) for char in source if len(plain(char)) == 1]
-    several = [(char, plain(char)) for char, _ in longer if plain(char)]
-    folded = F.translate(_replace_each(c, several), "".join(a for a, _ in single), "".join(b for _, b in single))
+    source, target, _, longer = fold_tables(_plain)
+    folded = F.translate(_unfold(c, longer), source, target)
     kept = F.when(_only_ascii(c), c).otherwise(F.regexp_replace(folded, r"[^\x00-\x7f]", ""))
     return squeeze(F.lower(kept))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallgrid import catalog
-from tallgrid.operators import digest, evaluate as ev, queries as q
+from tallgrid.operators import digest, evaluate as ev, queries as q, retrieval
 from tallgrid.operators import questions as nq
 from tallgrid.plans import batch
 from tallgrid.registry.read_queries import SQL_ORDER
@@ -184,20 +185,26 @@ LIST_A_SQL = TAG_A + f""", mine AS (SELECT * FROM pa WHERE intent = 'select'),
     WHERE NOT dd OR d = 1)"""
 
 
-FINDINGS_A_SQL = AGG_A_SQL + re.sub(r"\bmine\b", "asked_lists", LIST_A_SQL[len(TAG_A):]) + """,
-  shown AS (SELECT * FROM ranked WHERE intent <> 'top_group' OR rank = 1),
-  best AS (SELECT question_id, count(*) AS groups, arg_max({'g': group_value, 'm': metric_value, 'c': record_count, 'u':
-    normalized_unit}, (metric_value, coalesce(group_value, ''))) AS b FROM shown GROUP BY 1),
-  told AS (SELECT pa.*, groups, b, coalesce(nullif(b.g, ''), 'n/a') AS name, CAST(round(b.m, 6) AS VARCHAR) ||
-    coalesce(' ' || nullif(b.u, ''), '') AS amount FROM pa LEFT JOIN best USING (question_id)),
+VALIDATION_IDS = ",".join([digest.RESULT, "validation:overview", *(f"validation:flag:{f}" for f in catalog.FLAG_TEXT)])
+
+
+def _findings_sql(head: str, lists: str, plans: str, shown: str) -> str:
+    """All finding kinds over the plans of one rule set, its ranked groups and its lists."""
+    return head + re.sub(r"\bmine\b", "asked_lists", lists) + f""",
+  shown AS (SELECT * FROM ranked WHERE {shown}),
+  best AS (SELECT question_id, count(*) AS groups, arg_max({{'g': group_value, 'm': metric_value, 'c': record_count, 'u':
+    normalized_unit}}, (metric_value, coalesce(group_value, ''))) AS b FROM shown GROUP BY 1),
+  told AS (SELECT {plans}.*, groups, b, coalesce(nullif(b.g, ''), 'n/a') AS name, CAST(round(b.m, 6) AS VARCHAR) ||
+    coalesce(' ' || nullif(b.u, ''), '') AS amount FROM {plans} LEFT JOIN best USING (question_id)),
   recs AS (SELECT * FROM listed WHERE rank <= row_limit),
   sizes AS (SELECT question_id, count(*) AS n FROM recs GROUP BY 1),
   states AS (SELECT question_id, string_agg(k || '=' || n, ', ' ORDER BY k) AS t FROM (SELECT question_id, validation_status AS
     k, count(*) AS n FROM recs WHERE validation_status IN ('warning', 'invalid') GROUP BY 1, 2) GROUP BY 1),
   flags AS (SELECT question_id, string_agg(k || '=' || n, ', ' ORDER BY k) AS t FROM (SELECT question_id, k, count(*) AS n FROM
     (SELECT question_id, unnest(quality_flags) AS k FROM recs) WHERE k <> '' GROUP BY 1, 2) GROUP BY 1)
-SELECT question_id, 'support_status' AS finding_id, 'Answerable' AS label, 'This kind of question cannot be answered.' AS
-  statement FROM pa WHERE status <> 'supported'
+SELECT *, CASE WHEN finding_id IN ('status_mix', 'quality_flags') THEN '{VALIDATION_IDS}' ELSE '{digest.RESULT}' END AS evidence
+FROM (SELECT question_id, 'support_status' AS finding_id, 'Answerable' AS label, 'This kind of question cannot be answered.' AS
+  statement FROM {plans} WHERE status <> 'supported'
 UNION ALL SELECT question_id, 'top_group', 'Leader', name || ' leads every other ' || group_by || ' in mean ' || f_variable ||
   ' with ' || amount || '.' FROM told WHERE intent = 'top_group' AND b IS NOT NULL
 UNION ALL SELECT question_id, 'top_group_record_count', 'Observations behind it', 'Its mean rests on ' || b.c ||
@@ -206,10 +213,21 @@ UNION ALL SELECT question_id, 'aggregation_group_count', 'Groups', coalesce(grou
   'None') || ' have a value of ' || coalesce(f_variable, 'None') || '.' FROM told WHERE intent = 'aggregate'
 UNION ALL SELECT question_id, 'highest_group', 'Largest group', 'Largest: ' || name || ' with ' || amount || '.' FROM told
   WHERE intent = 'aggregate' AND b IS NOT NULL
-UNION ALL SELECT question_id, 'record_count', 'Matches', coalesce(n, 0) || ' observations match.' FROM pa LEFT JOIN sizes USING
+UNION ALL SELECT question_id, 'record_count', 'Matches', coalesce(n, 0) || ' observations match.' FROM {plans} LEFT JOIN sizes USING
   (question_id) WHERE intent = 'select'
 UNION ALL SELECT question_id, 'status_mix', 'Statuses', 'Not all are valid: ' || t || '.' FROM states
-UNION ALL SELECT question_id, 'quality_flags', 'Flags', 'Flags on them: ' || t || '.' FROM flags"""
+UNION ALL SELECT question_id, 'quality_flags', 'Flags', 'Flags on them: ' || t || '.' FROM flags)"""
+
+
+FINDINGS_A_SQL = _findings_sql(AGG_A_SQL, LIST_A_SQL[len(TAG_A):], "pa", "intent <> 'top_group' OR rank = 1")
+FINDINGS_B_SQL = _findings_sql(AGG_B_SQL, LIST_B_SQL[len(TAG_B):], "pb", "rank <= coalesce(top, row_limit)")
+
+
+def findings(spark, sf, rules):
+    """All findings, with the documents on validation of the schema as sources."""
+    documents = retrieval.schema_docs(spark, observations(spark, sf))
+    found = digested(spark, sf, rules, lambda *results: digest.key_findings(*results, documents))
+    return found.withColumn("evidence", F.array_join("evidence_source_ids", ",")).drop("evidence_source_ids")
 
 
 def aggregates(spark, sf, rules):
@@ -249,6 +267,12 @@ def _graded(spark, sf):
         (c("n_chars") % 7 == 0).cast("int").alias("guess_toxic"), "n_chars")
 
 
+def _leaders(spark, sf, shift):
+    """The largest group of every customer."""
+    first = Window.partitionBy("question_id").orderBy(F.desc("record_count"), "group_value")
+    return _groups(spark, sf, shift).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+
+
 def fields_of(spark, sf):
     g = _graded(spark, sf).select(
         "question_id", F.col("quality").alias("e_supported"), F.col("guess").alias("a_supported"),
@@ -409,23 +433,9 @@ QUERIES = {
           SELECT question_id, section, row_number() OVER (PARTITION BY question_id, section ORDER BY pos, ord) - 1 AS hint_no,
             token, canonical_name, matched_alias FROM tk JOIN best USING (token)"""),
     "a01_key_findings": (
-        lambda spark, sf: digested(spark, sf, "a", digest.key_findings), FINDINGS_A_SQL),
+        lambda spark, sf: findings(spark, sf, "a"), FINDINGS_A_SQL),
     "a01_record_findings": (
-        lambda spark, sf: digested(spark, sf, "b", digest.key_findings)
-        .filter(F.col("finding_id").isin("record_count", "aggregation_group_count", "support_status"))
-        .select("question_id", "finding_id", "statement"),
-        AGG_B_SQL + f""", mineb AS (SELECT * FROM pb),
-          listed AS (SELECT p.question_id, row_limit, row_number() OVER (PARTITION BY p.question_id) AS rank FROM
-            mineb p JOIN obs o ON intent = 'select' AND {MEETS_B}),
-          sizes AS (SELECT question_id, count(*) AS n FROM listed WHERE rank <= row_limit GROUP BY 1),
-          kept AS (SELECT question_id, count(*) AS n FROM ranked WHERE rank <= coalesce(top, row_limit) GROUP BY 1)
-          SELECT question_id, 'support_status' AS finding_id, 'This kind of question cannot be answered.'
-            AS statement FROM mineb WHERE status <> 'supported'
-          UNION ALL SELECT question_id, 'record_count', coalesce(n, 0) || ' observations match.'
-            FROM mineb LEFT JOIN sizes USING (question_id) WHERE intent = 'select'
-          UNION ALL SELECT question_id, 'aggregation_group_count', coalesce(n, 0) || ' groups by ' ||
-            coalesce(group_by, 'None') || ' have a value of ' || coalesce(f_variable, 'None') || '.'
-            FROM mineb LEFT JOIN kept USING (question_id) WHERE intent = 'aggregate'"""),
+        lambda spark, sf: findings(spark, sf, "b"), FINDINGS_B_SQL),
     "a02_quality_notes": (
         lambda spark, sf: digested(spark, sf, "a", lambda p, _, records: digest.quality_notes(p, records)),
         LIST_A_SQL + """, shown AS (SELECT * FROM listed WHERE rank <= row_limit),
@@ -460,6 +470,16 @@ QUERIES = {
             "question_id % 7 > 0 OR group_value <> 'P'"))),
         "SELECT o_custkey AS question_id, CAST(o_custkey % 10 <> 0 AND (o_custkey % 7 > 0 OR NOT bool_or(o_orderstatus = "
         "'P')) AS INTEGER) AS matched FROM orders GROUP BY 1"),
+    "e04_match_top_group": (
+        lambda spark, sf: _bits(ev.match_top_group(_leaders(spark, sf, 0.0), _leaders(spark, sf, 0.5).filter("question_id % 7 > 0"))),
+        "SELECT o_custkey AS question_id, CAST(o_custkey % 10 <> 0 AND o_custkey % 7 > 0 AS INTEGER) AS matched FROM orders "
+        "GROUP BY 1"),
+    "e04_match_unsupported": (
+        lambda spark, sf: _bits(ev.match_unsupported(table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("question_id")).agg(
+            F.when(F.col("o_custkey") % 3 > 0, F.count_if(F.col("o_orderkey") % 2 == 0)).alias("expected_count"),
+            F.count_if(F.col("o_totalprice") > 100000).alias("actual_count")))),
+        "SELECT o_custkey AS question_id, CAST(o_custkey % 3 = 0 OR count(*) FILTER (o_orderkey % 2 = 0) = count(*) FILTER "
+        "(o_totalprice > 100000) AS INTEGER) AS matched FROM orders GROUP BY 1"),
     "e04_match_shape": (
         lambda spark, sf: _bits(ev.match_shape(table(spark, sf, "orders").select(
             F.col("o_orderkey").alias("question_id"),

@@ -533,9 +533,11 @@ QUERIES = {
           UNION ALL SELECT CAST(s AS VARCHAR), 3, row_no, sheet_row, CAST(r * 2 AS VARCHAR) FROM rows
           UNION ALL SELECT CAST(s AS VARCHAR), 1, row_no, sheet_row, CASE WHEN r < 13 THEN 'Early' ELSE 'Late' END FROM rows"""),
     "t20_inherit_headers": (
-        lambda spark, sf: stacked_tables(spark, sf)[1].filter("col_pos = 2").select("artifact_id", "block_id", "column"),
-        "SELECT CAST(s_suppkey AS VARCHAR) AS artifact_id, 'S1_B' || n AS block_id, CASE WHEN n < 4 THEN 'yield_one' ELSE "
-        "'column_3' END AS \"column\" FROM supplier, (SELECT unnest(range(1, 5)) AS n)"),
+        lambda spark, sf: stacked_tables(spark, sf)[1].select("artifact_id", "block_id", "col_pos", "column"),
+        "SELECT CAST(s_suppkey AS VARCHAR) AS artifact_id, 'S1_B' || n AS block_id, j - 1 AS col_pos, CASE WHEN n = 4 THEN "
+        "'column_' || j ELSE ['plot_id', 'column_2', 'yield_one', CASE WHEN s_suppkey % 2 = 0 THEN 'yield_one_2' ELSE "
+        "'yield_two' END, 'column_5'][j] END AS \"column\" FROM supplier, (SELECT unnest(range(1, 5)) AS n), (SELECT "
+        "unnest(range(1, 6)) AS j)"),
     "t20_t21_inherited_facts": (
         lambda spark, sf: stacked_tables(spark, sf)[0].select(
             "artifact_id", "block_id", "inherited_from", "table_unit", F.col("table_year").cast("string").alias("year"),
