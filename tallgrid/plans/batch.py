@@ -149,7 +149,7 @@ def execute_aggregates(plans: DataFrame, obs: DataFrame) -> DataFrame:
     """(question_id, rank, group_value, metric_value, record_count, normalized_unit) of aggregate plans.
 
     Observations are reduced to sums per used filter values and group before they meet the plans, so the join input
-    is as small as the catalogue of values, however many plans there are.
+    is as small as the catalogue of values, however many plans there are. Only sums are copied to the filter combinations.
     """
     asked = cut(_per_status(
         plans.filter((F.col("status") == "supported") & F.col("intent").isin("aggregate", "top_group"))
@@ -157,14 +157,16 @@ def execute_aggregates(plans: DataFrame, obs: DataFrame) -> DataFrame:
     combinations = _combinations(asked, "grouping")
     if not combinations:
         return _empty_aggregates(plans)
-    usable = F.col("normalized_value").isNotNull()
-    keyed = _row_keys(_dated(obs), combinations,
-                      lambda name: F.col(name).cast("string") if name else F.lit(None).cast("string"))
+    # observations are read and shuffled once, to sums at the finest level in use; every combination is a roll-up of these
+    used = sorted({FILTERS[f] for signature, _ in combinations for f in signature.split(",") if f}
+                  | {name for _, name in combinations if name} | {"validation_status"})
     # the unit is a key here, not a maximum, so that the large aggregation hashes numbers only
-    reduced = keyed.groupBy("combination", "key", "group_value", "validation_status",
-                            F.when(usable, F.col("normalized_unit")).alias("unit")).agg(
-        F.count(F.lit(1)).alias("n"), F.count("normalized_value").alias("n_value"),
-        F.sum("normalized_value").alias("s_value"))
+    finest = _dated(obs).groupBy(*used, F.when(F.col("normalized_value").isNotNull(), F.col("normalized_unit")).alias("unit")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("normalized_value").alias("n_value"), F.sum("normalized_value").alias("s_value"))
+    keyed = _row_keys(finest, combinations,
+                      lambda name: F.col(name).cast("string") if name else F.lit(None).cast("string"))
+    reduced = keyed.groupBy("combination", "key", "group_value", "validation_status", "unit").agg(
+        *[F.sum(name).alias(name) for name in ("n", "n_value", "s_value")])
     mine = _plan_keys(asked, combinations, "grouping").drop("validation_status")
     joined = mine.join(reduced, ["combination", "key"]).filter(
         ~F.col("exclude_invalid") | (F.col("validation_status") != "invalid"))
