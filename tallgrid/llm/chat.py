@@ -1,15 +1,17 @@
 """Chat formatting: layouts are recognised by a fingerprint of their nested field paths and mapped to canonical turns.
 
 Only DataFrame and SQL functions are used. A layout is a set of field paths plus the turns that they hold; its fingerprint is
-the hash of the sorted paths. A frame is matched by the paths of its schema, a JSON record by the paths of its own value, in
-both cases without regard to fields that no layout knows.
+the hash of the sorted paths. A frame is matched by the paths of its schema, a JSON record by the paths of its own value (a
+field of an array's elements counts if any element has it), in both cases without regard to fields that no layout knows. Where
+no fingerprint is the same, the layout with the most paths among them all is taken. A ``system`` field becomes the first
+turn in every layout. Records without a layout are listed by ``rejected_records``.
 
 The template writes ``<|im_start|>role``, a line break, the text, ``<|im_end|>`` and a line break for each turn. In texts and
 roles a backslash is doubled, then ``<|`` becomes ``<\\|``, and in roles a line break becomes ``<\\n>``; what stands between
 two marks can so hold no mark, and reading back is exact. ``loss`` lists (start, length) of every assistant text in the
 formatted string.
 
-Defined cases: a null text or role is empty; turns are ordered by number (null first), then role, then text, repeated rows
+Defined cases: a null text or role is empty; null elements of a turn array are no turns; turns are ordered by number (null first), then role, then text, repeated rows
 stay; a null conversation id is one conversation; an empty table gives an empty result. A conversation is one row of the
 result, so its turns meet in one task.
 """
@@ -76,11 +78,17 @@ def schema_paths(schema: StructType, prefix: str = "") -> list[str]:
     return found
 
 
+def by_size() -> list[Layout]:
+    """Record layouts, those of most paths first; of equals the order of ``LAYOUTS``."""
+    return sorted((layout for layout in LAYOUTS if not layout.rows), key=lambda layout: -len(layout.paths))
+
+
 def layout_of(df: DataFrame) -> Layout:
-    """The layout of a frame, by the fingerprint of its field paths: those that records know, else those of turn rows."""
+    """The layout of a frame: by the fingerprint of its field paths or the most of them, those that records know before those
+    of turn rows."""
     paths = set(schema_paths(df.schema))
-    for known in (RECORD_PATHS, ROW_PATHS):
-        layout = BY_PRINT.get(fingerprint_of(known & paths))
+    for known, layouts in ((RECORD_PATHS, by_size()), (ROW_PATHS, [layout for layout in LAYOUTS if layout.rows])):
+        layout = BY_PRINT.get(fingerprint_of(known & paths)) or next((x for x in layouts if paths >= set(x.paths)), None)
         if layout is not None:
             return layout
     raise ValueError(f"no layout has the field paths {sorted(paths)}")
@@ -109,8 +117,16 @@ def field_turns(layout: Layout, get) -> Column:
     return F.filter(turns, lambda t: t["text"] != "")
 
 
+def with_system(layout: Layout, turns: Column, system: Column) -> Column:
+    """The turns after a system turn, where the record has a text for one that the layout itself does not place."""
+    if any(role == "system" for role, _ in layout.fields):
+        return turns
+    first = F.array(F.struct(F.lit("system").alias("role"), _text(system).alias("text")))
+    return F.when(_text(system) != "", F.concat(first, turns)).otherwise(turns)
+
+
 def array_turns(array: Column, role: str, text: str) -> Column:
-    return F.transform(array, lambda t: F.struct(_role(t[role]).alias("role"), _text(t[text]).alias("text")))
+    return F.transform(F.filter(array, lambda t: t.isNotNull()), lambda t: F.struct(_role(t[role]).alias("role"), _text(t[text]).alias("text")))
 
 
 def canonical_turns(df: DataFrame) -> DataFrame:
@@ -129,37 +145,63 @@ def canonical_turns(df: DataFrame) -> DataFrame:
         turns = array_turns(F.col(array), role, text)
     else:
         turns = field_turns(layout, F.col)
+    if "system" in schema_paths(df.schema):
+        turns = with_system(layout, turns, F.col("system"))
     return df.select(number.alias("conv_id"), F.posexplode(turns).alias("place", "turn")).select(
         "conv_id", F.col("place").cast("long").alias("place"), "turn.role", "turn.text")
 
 
 def record_paths(value: Column) -> Column:
-    """Sorted known field paths of a variant, arrays by their first element."""
-    found = [F.when(F.schema_of_variant(F.variant_get(value, f"$.{p.replace('.', '[0].')}", "variant")).isNotNull(), F.lit(p))
-             for p in sorted(RECORD_PATHS)]
-    return F.array_compact(F.array(*found))
+    """Sorted known field paths of a variant; a field of array elements is there if any element has it."""
+    def there(path: str) -> Column:
+        outer, _, field = path.partition(".")
+        if not field:
+            return F.schema_of_variant(F.try_variant_get(value, f"$.{outer}", "variant")).isNotNull()
+        elements = F.try_variant_get(value, f"$.{outer}", "array<variant>")
+        return F.coalesce(F.exists(elements, lambda e: F.schema_of_variant(F.try_variant_get(e, f"$.{field}", "variant"))
+                                   .isNotNull()), F.lit(False))
 
+    return F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in sorted(RECORD_PATHS)]))
 
-def canonical_records(df: DataFrame, id_column: str, json_column: str) -> DataFrame:
-    """As ``canonical_turns``, from JSON records of mixed layouts; a record of no known layout gives no turn."""
+
+def _recognised(df: DataFrame, id_column: str, json_column: str) -> DataFrame:
+    """``conv_id``, ``_value``, ``_paths``, the fingerprint ``_print`` and the name of the layout, null without one."""
     value = F.try_parse_json(F.col(json_column).cast("string"))
     records = df.select(F.col(id_column).alias("conv_id"), value.alias("_value")).withColumn(
-        "_print", F.crc32(F.array_join(record_paths(F.col("_value")), "\n").cast("binary")))
+        "_paths", record_paths(F.col("_value"))).withColumn(
+        "_print", F.crc32(F.array_join("_paths", "\n").cast("binary")))
+    same = [F.when(F.col("_print") == layout.fingerprint, layout.name) for layout in by_size()]
+    most = [F.when(F.size(F.array_except(F.array(*map(F.lit, layout.paths)), "_paths")) == 0, layout.name)
+            for layout in by_size()]
+    return records.withColumn("_layout", F.coalesce(*same, *most))
+
+
+def canonical_records(df: DataFrame, id_column: str, json_column: str) -> DataFrame:
+    """As ``canonical_turns``, from JSON records of mixed layouts; ``rejected_records`` has the others."""
+    records = _recognised(df, id_column, json_column)
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     get = lambda path, kind="string": F.try_variant_get("_value", "$." + path, kind)
-    for layout in LAYOUTS:
-        if layout.rows:
-            continue
+    for layout in by_size():
         if layout.array:
             array, role, text = layout.array
-            own = array_turns(get(array, f"array<struct<`{role}`:string,`{text}`:string>>"), role, text)
+            each = get(array, "array<variant>")
+            own = F.transform(F.filter(each, lambda t: t.isNotNull() & ~F.is_variant_null(t)), lambda t: F.struct(
+                _role(F.try_variant_get(t, f"$.{role}", "string")).alias("role"),
+                _text(F.try_variant_get(t, f"$.{text}", "string")).alias("text")))
         else:
             own = field_turns(layout, get)
-        turns = F.when(F.col("_print") == layout.fingerprint, own).otherwise(turns)
+        turns = F.when(F.col("_layout") == layout.name, with_system(layout, own, get("system"))).otherwise(turns)
     return records.select("conv_id", F.posexplode(turns).alias("place", "turn")).select(
         "conv_id", F.col("place").cast("long").alias("place"), "turn.role", "turn.text")
 
 
+def rejected_records(df: DataFrame, id_column: str, json_column: str) -> DataFrame:
+    """``conv_id``, ``fingerprint`` of the known field paths, ``paths`` and ``readable`` of the records without a layout."""
+    return _recognised(df, id_column, json_column).where("_layout IS NULL").select(
+        "conv_id", F.col("_print").alias("fingerprint"), F.col("_paths").alias("paths"),
+        F.col("_value").isNotNull().alias("readable"))
+
+
 def escaped(column: Column, role: bool = False) -> Column:
     out = F.replace(F.replace(column, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
     return F.replace(out, F.lit("\n"), F.lit("<\\n>")) if role else out

@@ -145,3 +145,26 @@ def test_layouts_by_fingerprint(spark):
         "id long, body string")
     got = sorted((r["conv_id"], r["role"], r["text"]) for r in chat.canonical_records(records, "id", "body").collect())
     assert got == [(1, "assistant", "c"), (1, "user", "p"), (2, "user", ""), (6, "assistant", "v")]
+
+
+def test_records_with_more_fields_are_mapped_or_listed(spark):
+    records = [(1, '{"system": "s", "prompt": "p", "completion": "c"}'), (2, '{"messages": [{"role": "user", "content": "m"}], "prompt": "x"}'),
+               (3, '{"instruction": "i", "input": "n", "output": "o", "system": "s"}'),
+               (4, '{"system": "s", "conversations": [{}, null, {"from": "human", "value": "h"}, {"value": "alone"}]}'),
+               (5, '{"system": "s", "prompt": "p", "response": "r"}'), (6, '{"prompt": "p"}'), (7, "{"), (8, None), (9, "[]"),
+               (10, '{"messages": []}'), (11, '{"system": "", "prompt": "p", "response": "r", "input": "x"}')]
+    df = spark.createDataFrame(records, "id long, body string")
+    got = {}
+    for r in chat.canonical_records(df, "id", "body").orderBy("conv_id", "place").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    assert got == {1: [("system", "s"), ("user", "p"), ("assistant", "c")], 2: [("user", "m")],
+                   3: [("system", "s"), ("user", "i\nn"), ("assistant", "o")],
+                   4: [("system", "s"), ("", ""), ("user", "h"), ("", "alone")],
+                   5: [("system", "s"), ("user", "p"), ("assistant", "r")], 11: [("user", "p"), ("assistant", "r")]}
+    rejected = {r["conv_id"]: r for r in chat.rejected_records(df, "id", "body").collect()}
+    assert set(rejected) == {6, 7, 8, 9, 10} and set(rejected) | set(got) == {i for i, _ in records}
+    assert rejected[6]["fingerprint"] == chat.fingerprint_of(["prompt"]) and rejected[6]["paths"] == ["prompt"]
+    assert not rejected[7]["readable"] and rejected[9]["readable"]
+    frame = spark.createDataFrame([("s", "p", "c", 5)], "system string, prompt string, completion string, conv_id int")
+    assert [(r["conv_id"], r["role"], r["text"]) for r in chat.canonical_turns(frame).orderBy("place").collect()] == [
+        (5, "system", "s"), (5, "user", "p"), (5, "assistant", "c")]
