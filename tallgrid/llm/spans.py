@@ -48,14 +48,25 @@ def pairs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut_out(documents: DataFrame, marks: DataFrame, length: int, by_word: bool) -> DataFrame:
+def whole_characters(gone: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Marks of bytes, spread over all bytes of a character that is marked in part."""
+    character = np.cumsum((data & 0xC0) != 0x80)
+    return (np.bincount(character, weights=gone) > 0)[character] if len(data) else gone
+
+
+def cut_out(documents: DataFrame, marks: DataFrame, length: int, by_word: bool, text_column: str = "text",
+            characters: bool = False) -> DataFrame:
     """The rows of ``keyed`` documents without the symbols that marked windows cover.
 
+    With ``characters`` a character goes as a whole if one of its bytes does. The text travels once, inside its row.
+
     ``marks`` has ``_id``, ``_key`` and ``_pairs``, packed (first window, number of windows). Returns ``_row``, ``kept``
     (binary; words are joined by one blank), ``n_symbols``, ``n_removed`` and ``n_spans``.
     """
     per_row = marks.groupBy("_id", "_key").agg(F.collect_list("_pairs").alias("_marks"))
-    joined = documents.join(per_row.hint("shuffle_hash"), ["_id", "_key"], "left").select("_row", "_text", "_marks")
+    text = F.coalesce(F.col(f"_row.`{text_column}`").cast("string"), F.lit("")).alias("_text")
+    joined = documents.select("_id", "_key", "_row").join(per_row.hint("shuffle_hash"), ["_id", "_key"], "left").select(
+        "_row", text, "_marks")
     schema = (joined.select("_row").schema.add("kept", "binary").add("n_symbols", "long").add("n_removed", "long")
               .add("n_spans", "long"))
 
@@ -78,6 +89,8 @@ def cut_out(documents: DataFrame, marks: DataFrame, length: int, by_word: bool)
                         at = np.frombuffer(b"".join(found), PAIR)
                         first = at["start"].astype(np.int64)
                         gone = rolling.covered(n, first, first + at["count"] + (length - 1))
+                        if characters and not by_word:
+                            gone = whole_characters(gone, data[bounds[i]:bounds[i + 1]])
                     stay = ~gone
                     if not by_word:
                         piece = data[bounds[i]:bounds[i + 1]]

@@ -230,8 +230,11 @@ def match_levels(batches: DataFrame, windows: bool) -> DataFrame:
     return batches.groupBy("bucket").applyInArrow(apply, MARK)
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 50) -> DataFrame:
-    """``_row`` (the input row), ``kept`` (binary), ``n_symbols`` (bytes), ``n_removed`` and ``n_spans``."""
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 50,
+                   characters: bool = False) -> DataFrame:
+    """``_row`` (the input row), ``kept`` (binary), ``n_symbols`` (bytes), ``n_removed`` and ``n_spans``.
+
+    With ``characters`` a character goes as a whole if one of its bytes does."""
     spark = docs.sparkSession
     prepare(spark)
     n_buckets = partitions(spark)
@@ -241,4 +244,4 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     opened = documents.drop("_row").join(partial.hint("shuffle_hash"), ["_id", "_key"])
     second, _ = keep_at(match_levels(suffix_batches(opened, length, n_buckets), True))
     marks = first.where("not partial").unionByName(second).select("_id", "_key", "_pairs")
-    return spans.cut_out(documents, marks, length, False)
+    return spans.cut_out(documents, marks, length, False, text_column, characters)

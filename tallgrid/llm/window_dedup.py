@@ -95,4 +95,4 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     single = (windows.join(least, "hash").where("_id > first_id")
               .select("_id", "_key", "start", F.lit(1).cast("long").alias("count")))
     marks = packed(whole.unionByName(single))
-    return spans.cut_out(documents, marks, length, True)
+    return spans.cut_out(documents, marks, length, True, text_column)

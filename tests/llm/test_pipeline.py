@@ -25,10 +25,24 @@ def cut(rows):
         for k in range(len(data) - LENGTH + 1):
             if first[data[k:k + LENGTH]] < i:
                 gone[k:k + LENGTH] = b"\1" * LENGTH
-        out[i] = bytes(b for b, g in zip(data, gone) if not g).decode(errors="ignore")
+        at, kept = 0, []
+        for ch in t:  # a character cut in part goes as a whole
+            size = len(ch.encode())
+            kept += [] if any(gone[at:at + size]) else [ch]
+            at += size
+        out[i] = "".join(kept)
     return out
 
 
+def test_cuts_fall_between_characters_and_keep_replacement_characters(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    shared = "é" * 40
+    rows = [(1, "a" + shared + "\u2014z", "en", "s", 9), (2, "x\ufffdy \u00e8" + shared + "\u2013 \ufffd", "en", "s", 9), (3, "\ufffd only", "en", "s", 9)]
+    got = {r["doc_id"]: r["text"] for r in pipeline.cut_repeats(spark, spark.createDataFrame(rows, schema), SF).collect()}
+    assert got == cut([(i, t) for i, t, *_ in rows])
+    assert got[2] == "x\ufffdy \u00e8 \ufffd" and got[3] == "\ufffd only"
+
+
 def test_stages_match_brute_force(spark):
     source = spark.read.parquet(f"{SF}/documents.parquet")
     tables, docs = [], source
