@@ -27,9 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte strings that also start in an earlier document; characters cut in part go as a whole."""
-    out = suffix_levels.remove_repeats(docs)
-    valid = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    text = F.when(F.col("n_removed") > 0, valid).otherwise(F.col("_row.text"))
+    out = suffix_levels.remove_repeats(docs, characters=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("_row.text"))
     changed = {"text": text, "n_chars": F.length(text).cast("long")}
     return out.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
