@@ -273,6 +273,20 @@ def _rebuilt(spark, sf):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+def _written_files(spark, sf, whole):
+    """The suppliers of every nation written as a text file of its own, then registered."""
+    path = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    (table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", F.concat_ws(",", "s_suppkey", "s_name").alias("line"))
+     .repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").select("s_nationkey", "line")
+     .write.partitionBy("s_nationkey").text(path))
+    nation = F.regexp_extract("artifact_id", "s_nationkey=([0-9]+)", 1).cast("int")
+    return delimited.register_artifacts(spark, path, whole).select(nation.alias("s_nationkey"), "file_size_bytes", "file_hash_sha256")
+
+
+FILES_SQL = """SELECT s_nationkey, CAST(strlen(body) AS BIGINT) AS file_size_bytes, sha256(body) AS file_hash_sha256 FROM (SELECT
+  s_nationkey, string_agg(s_suppkey || ',' || s_name || chr(10), '' ORDER BY s_suppkey) AS body FROM supplier GROUP BY 1)"""
+
+
 def _audit(spark, sf):
     e = table(spark, sf, "events")
     return store.with_fingerprint(e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("correlation_id"),
@@ -356,6 +370,8 @@ QUERIES = {
     "s01_register_artifacts": (
         lambda spark, sf: delimited.register_artifacts(spark, sf).select("original_filename", "mime_type", "file_size_bytes",
                                                                          "file_hash_sha256", "parser_version"), None),
+    "s01_digests_of_written_files": (lambda spark, sf: _written_files(spark, sf, delimited.WHOLE_FILE), FILES_SQL),
+    "s01_streamed_digests": (lambda spark, sf: _written_files(spark, sf, 0), FILES_SQL),
     "s02_decode_text": (
         lambda spark, sf: delimited.decode_text(encoded_lines(spark, sf)).select("artifact_id", "line_no", "text"),
         "SELECT CAST(doc_id AS VARCHAR) AS artifact_id, pos - 1 AS line_no, parts[pos] AS text FROM (SELECT doc_id, parts, "

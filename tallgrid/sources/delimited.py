@@ -6,8 +6,11 @@ record boundaries are decided per file from aggregates and prefix scans over its
 
 from __future__ import annotations
 
+import codecs
+import hashlib
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,21 +20,77 @@ from tallgrid.session import cut
 
 SEPARATORS = (",", ";", "\t", "|")  # fixed value: candidates in order of preference
 UNDEFINED_1250 = r"[\x{81}\x{83}\x{88}\x{90}\x{98}]"  # bytes without a meaning in cp1250
+WHOLE_FILE = 64 << 20
+COMPRESSED = ("gz", "bz2", "deflate", "snappy", "lz4", "zst")  # suffixes that the text reader unpacks
 MIME_TYPES = {"csv": "text/csv", "tsv": "text/tab-separated-values", "xls": "application/vnd.ms-excel",
               "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"}
 
 
-def register_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Name, type, size, SHA-256 and provenance of every file under ``path``."""
+def _named(path: Column) -> tuple[Column, Column]:
+    """Name and lower-case suffix of a file."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return name, F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+
+
+def streamed_digests(spark: SparkSession, path: str, above: int) -> DataFrame:
+    """(path, digest): SHA-256 of the files of more than ``above`` bytes, read in splits and never held whole.
+
+    Splits hand on their lines; the task of a file takes them in order through one running digest, a batch at a time. The text
+    reader drops line ends and a leading byte order mark: the file's size tells which of these to put back.
+    """
+    c = F.col
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        c("_metadata.file_path").alias("path"), c("_metadata.file_size").alias("size"),
+        c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        c("value").cast("binary").alias("line")).filter(c("size") > above)
+    # bytes not accounted for by lines and one line end each: -1 without a last line end, 3 more with a mark
+    missing = c("size") - F.sum(F.octet_length("line") + 1)
+    facts = lines.groupBy("path", "size").agg(missing.alias("missing")).select(
+        c("path"), (c("missing") >= 2).alias("mark"), c("missing").isin(0, 3).alias("ended"))
+
+    def digest(batches):
+        current, running, ended = None, None, False
+        for batch in batches:
+            paths, marks, ends, bodies = (batch.column(n) for n in ("path", "mark", "ended", "line"))
+            for i in range(len(paths)):
+                name = paths[i].as_py()
+                if name != current:
+                    if running is not None:
+                        running.update(b"\n" if ended else b"")
+                        yield pa.RecordBatch.from_pydict({"path": [current], "digest": [running.hexdigest()]})
+                    current, running, ended = name, hashlib.sha256(codecs.BOM_UTF8 if marks[i].as_py() else b""), ends[i].as_py()
+                else:
+                    running.update(b"\n")
+                running.update(memoryview(bodies[i].as_buffer()))
+        if running is not None:
+            running.update(b"\n" if ended else b"")
+            yield pa.RecordBatch.from_pydict({"path": [current], "digest": [running.hexdigest()]})
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lines.join(facts, "path").repartition(tasks, "path").sortWithinPartitions("path", "block", "at")
+    return ordered.select("path", "mark", "ended", "line").mapInArrow(digest, "path string, digest string")
+
+
+def register_artifacts(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """Name, type, size, SHA-256 and provenance of every file under ``path``.
+
+    Files of up to ``whole`` bytes are read as one value, larger ones in splits. Compressed files are always read as one value
+    (splits would hand on what they hold, not their bytes), so these are limited to 2 GB. Empty files are not listed.
+    """
+    c = F.col
     files = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    name, suffix = _named(c("path"))
+    single = (c("length") <= whole) | suffix.isin(*COMPRESSED)
+    small = files.filter(single).select(c("_metadata.file_path").alias("_file"), F.sha2("content", 256).alias("digest"))
+    streamed = streamed_digests(spark, path, whole).select(c("path").alias("_file"), "digest")
+    large = streamed.filter(~_named(c("_file"))[1].isin(*COMPRESSED))
     mime = F.coalesce(*[F.when(suffix == s, F.lit(m)) for s, m in MIME_TYPES.items()],
                       F.lit("application/octet-stream"))
-    return files.select(
-        F.col("path").alias("artifact_id"), F.url_decode(name).alias("original_filename"), mime.alias("mime_type"),
-        F.col("length").alias("file_size_bytes"), F.sha2("content", 256).alias("file_hash_sha256"),
-        F.lit(catalog.PARSER_VERSION).alias("parser_version"), F.col("modificationTime").alias("uploaded_at"))
+    listed = files.select("path", "length", "modificationTime", c("_metadata.file_path").alias("_file"))
+    return listed.join(small.unionByName(large), "_file").select(
+        c("path").alias("artifact_id"), F.url_decode(name).alias("original_filename"), mime.alias("mime_type"),
+        c("length").alias("file_size_bytes"), c("digest").alias("file_hash_sha256"),
+        F.lit(catalog.PARSER_VERSION).alias("parser_version"), c("modificationTime").alias("uploaded_at"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,9 @@
+import codecs
 import csv
+import gzip
+import hashlib
 import io
+import random
 
 from pyspark.sql import functions as F
 
@@ -88,3 +92,23 @@ def test_audit_and_status(spark):
     events = spark.createDataFrame([("s", 1, "preview_ready", None), ("s", 2, "failed", "boom")],
                                    "session_id string, seq int, status string, commit_error string")
     assert store.current_status(events).first().commit_error == "boom"
+
+
+def test_digests_of_files_read_whole_and_in_splits(spark, tmp_path):
+    """Any bytes: marks, line ends of all kinds, none at the end, no text at all, an empty file, a packed file."""
+    g = random.Random(31)
+    noise = bytes(g.randrange(256) for _ in range(60_000))
+    bodies = {"plain.csv": b"a,b\n1,2\n", "open.csv": b"a,b\n1,2", "mark.csv": codecs.BOM_UTF8 + b"a\nb\n", "mark open.tsv": codecs.BOM_UTF8 + b"a\nb",
+              "windows.csv": b"a\r\nb\r\n\r\n", "noise.bin": noise, "lines.txt": noise.replace(b"a", b"\n") + b"\n", "empty.csv": b"", "blank.csv": b"\n",
+              "long.csv": b"x" * 200_000, "packed.gz": gzip.compress(noise), "two marks.csv": codecs.BOM_UTF8 * 2 + b"\n" * 5}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    want = {name: (len(body), hashlib.sha256(body).hexdigest()) for name, body in bodies.items() if body}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        for whole in (0, 1000, delimited.WHOLE_FILE):
+            got = delimited.register_artifacts(spark, str(tmp_path), whole).collect()
+            assert {r.original_filename: (r.file_size_bytes, r.file_hash_sha256) for r in got} == want
+            assert {r.original_filename: r.mime_type for r in got}["open.csv"] == "text/csv"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
