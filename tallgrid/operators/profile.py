@@ -19,6 +19,9 @@ BLOCK = ["artifact_id", "block_id"]
 COLUMN = [*BLOCK, "col_pos"]
 
 
+SKETCH_BITS = 8  # 256 words, far above the distinct words that a threshold asks about
+
+
 def cell_is_numeric(kind: Column, text: Column) -> Column:
     return (kind == "num") | ((kind == "str") & v.is_numeric(text))
 
@@ -32,7 +35,11 @@ def cell_number(kind: Column, text: Column) -> Column:
 
 
 def column_aggregates(values: DataFrame) -> DataFrame:
-    """One pass over all values; every measure is a partial aggregate."""
+    """One pass over all values; every measure is a partial aggregate.
+
+    ``n_distinct`` comes from a sketch that keeps 2 ** ``SKETCH_BITS`` words a column: exact below that number, which is all
+    that a threshold of ``REPEATED_DISTINCT`` words needs.
+    """
     c = F.col
     marked = values.select(
         *COLUMN, "row_no", "kind", "text",
@@ -48,7 +55,7 @@ def column_aggregates(values: DataFrame) -> DataFrame:
         F.count("word").alias("n_str"),
         F.count_if(textual).alias("n_text"),
         F.count_if(short).alias("n_short"),
-        F.count_distinct(F.lower("word")).alias("n_distinct"),
+        F.theta_sketch_estimate(F.theta_sketch_agg(F.concat(F.lit("="), F.lower("word")), F.lit(SKETCH_BITS))).alias("n_distinct"),
         *[e.alias(name) for name, e in semantics.label_aggregates(c("text")).items()])
 
 
