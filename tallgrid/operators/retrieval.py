@@ -303,8 +303,13 @@ def ranked(queries_df: DataFrame, docs: DataFrame, k: int = catalog.CONTEXT_LIMI
     tokens and the phrase are looked up.
     """
     catalog.check_limit(k, catalog.CONTEXT_LIMIT_MAX)
+    return top_k(looked_up(candidates(queries_df, docs, k), docs), docs, k)
+
+
+def looked_up(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, document_id, score) of given pairs: ``sure`` points of ``n_found`` tokens are known, the tokens ``_rest`` and the
+    phrase ``_query`` are looked up in the texts."""
     c = F.col
-    pairs = candidates(queries_df, docs, k)
     texts = docs.select("document_id", x.fold_document(c("title")).alias("_title"), x.fold_document(c("text")).alias("_body"),
                         x.fold_document(x.metadata_text(c("metadata"))).alias("_meta"))
     held = lambda field: F.filter("_rest", lambda t: c(field).contains(t))
@@ -319,7 +324,7 @@ def ranked(queries_df: DataFrame, docs: DataFrame, k: int = catalog.CONTEXT_LIMI
     n_held = c("n_found") + F.size(F.array_distinct(F.concat("_title", "_body", "_meta")))
     points = c("sure") + 5 * F.size("_title") + 2 * F.size("_body") + F.size("_meta")
     bonus = F.when(c("_phrase") & (n_held == c("n_tokens")), PHRASE).otherwise(0)
-    return top_k(summed.select("query_id", "document_id", (points + bonus).cast("double").alias("score")), docs, k)
+    return summed.select("query_id", "document_id", (points + bonus).cast("double").alias("score"))
 
 
 def attach_snippet(hits: DataFrame, docs: DataFrame, queries_df: DataFrame | None = None) -> DataFrame:
@@ -343,45 +348,82 @@ def explain_metadata(schema: DataFrame, topics: DataFrame, k: int = 5) -> DataFr
     return search(topics, schema, k)
 
 
-def _hits_as_stage(docs: DataFrame, text: str, limit: int, stage: int) -> DataFrame:
-    asked = docs.sparkSession.createDataFrame([("q", text)], "query_id string, query string")
-    found = ranked(asked, docs, limit)
-    return found.select("document_id", F.lit(stage).alias("stage"), F.col("rank").cast("long").alias("ord"))
+FIXED_DOCS = ("schema:overview", "query:metadata", "validation:overview")
+RAW_STAGES = {"raw_artifact": 3, "preview_block": 4, "sheet_manifest": 5, "parse_warning": 6}
 
 
-def select_context(docs: DataFrame, variable: str | None = None, question: str | None = None,
-                   include_schema: bool = True, include_raw: bool = True, limit: int = 10) -> DataFrame:
-    """Ordered union of preferred documents and hits; the first occurrence of a document counts."""
+def _scope_hits(docs: DataFrame, scopes: DataFrame, text: str, stage: int) -> DataFrame:
+    """The best ``limit`` documents of each scope for a text of it. Documents on the schema, which all scopes share, go through
+    the index; those of an upload meet the scopes that ask for it."""
     c = F.col
-    docs = cut(docs)  # the documents of one scope; every stage reads them
+    asked = scopes.filter(F.coalesce(text, F.lit("")) != "").select(
+        c("scope_id").alias("query_id"), c(text).alias("query"), "upload_session_id", "limit")
+    shared = score(asked.select("query_id", "query"), docs.filter(c("upload_session_id").isNull()))
+    folded = x.fold_document(c("query"))
+    raw = docs.filter(c("upload_session_id").isNotNull())
+    pairs = asked.select("query_id", "upload_session_id", folded.alias("_query"), x.tokens(folded).alias("_rest")).join(
+        raw.select("document_id", "upload_session_id").distinct(), "upload_session_id").select(
+        "query_id", "document_id", F.lit(0).alias("sure"), F.lit(0).alias("n_found"), F.size("_rest").alias("n_tokens"),
+        "_query", "_rest")
+    found = shared.unionByName(looked_up(pairs, raw).filter("score > 0"))
+    return top_k(found, docs).join(asked.select("query_id", "limit"), "query_id").filter(c("rank") <= c("limit")).select(
+        c("query_id").alias("scope_id"), "document_id", F.lit(stage).alias("stage"), c("rank").cast("long").alias("ord"))
+
+
+def select_contexts(docs: DataFrame, scopes: DataFrame, include_schema: bool = True, include_raw: bool = True) -> DataFrame:
+    """R6 for a table of scopes: (scope_id, place, stage, ord, document columns), the first ``limit`` documents of each scope.
+
+    ``scopes``: scope_id, upload_session_id, variable, question, limit. ``docs`` holds the documents on the schema and those of
+    all uploads; a scope sees the former and those of its own upload. Stages fill a scope in turn: the overviews, the
+    documents of its measure, its upload by kind, hits of its question, hits of its variable. The first occurrence counts.
+    A scope that no stage fills gets its documents in their order.
+    """
+    c = F.col
+    schema, own = c("upload_session_id").isNull(), ["scope_id", "variable", "upload_session_id"]
+    asked = docs.join(scopes.select("upload_session_id").distinct(), "upload_session_id", "left_semi")
+    docs = cut(docs.filter(schema).select(*DOC_COLUMNS).unionByName(asked.select(*DOC_COLUMNS)))
     heads = docs.filter(c("part") == 0)
-    stage = lambda df, number: df.select("document_id", F.lit(number).alias("stage"), "ord")
-    stages = []
+    named = lambda ids: scopes.select("scope_id", "variable", F.explode(F.array(*ids)).alias("document_id"))
+    stage = lambda df, number: df.select("scope_id", "document_id", F.lit(number).alias("stage"), "ord")
+    parts, shared = [], heads.filter(schema)
     if include_schema:
-        stages.append(stage(heads.filter(c("document_id").isin("schema:overview", "query:metadata",
-                                                               "validation:overview")), 1))
-        if variable:
-            stages.append(stage(heads.filter(c("upload_session_id").isNull() & (
-                (c("metadata")["canonical_measure"] == variable)
-                | c("document_id").isin(f"canonical:measure:{variable}", f"units:{variable}"))), 2))
+        parts.append(stage(named([F.lit(i) for i in FIXED_DOCS]).join(heads, "document_id"), 1))
+        about = named([F.concat(F.lit(kind), "variable") for kind in ("canonical:measure:", "units:")])
+        parts.append(stage(about.filter(c("document_id").isNotNull()).join(shared, "document_id"), 2))
+        parts.append(stage(scopes.select("scope_id", "variable").join(
+            shared.withColumn("variable", c("metadata")["canonical_measure"]), "variable"), 2))
     if include_raw:
-        raw = heads.filter(c("upload_session_id").isNotNull())
-        listed = F.array_contains(F.split(c("metadata")["canonical_measures"], " "), variable) if variable else F.lit(True)
-        order = ("raw_artifact", "preview_block", "sheet_manifest", "parse_warning")
-        for number, kind in enumerate(order, start=3):
-            rows = raw.filter(c("source_type") == kind)
-            stages.append(stage(rows.filter(listed) if kind == "preview_block" else rows, number))
-    if question:
-        stages.append(_hits_as_stage(docs, question, limit, 7))
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    if variable:  # stages are taken in order, so this one only fills what the limit leaves
-        stages.append(_hits_as_stage(docs, variable, limit, 8))
-    if not stages or union(stages).isEmpty():
-        stages = [stage(heads, 9)]
-    first = union(stages).groupBy("document_id").agg(F.min(F.struct("stage", "ord")).alias("place"))
-    chosen = first.orderBy("place", "document_id").limit(limit)
+        number = F.coalesce(*[F.when(c("source_type") == kind, n) for kind, n in RAW_STAGES.items()])
+        listed = c("variable").isNull() | F.coalesce(F.array_contains(
+            F.split(c("metadata")["canonical_measures"], " "), c("variable")), F.lit(False))
+        mine = scopes.select(*own).join(heads, "upload_session_id").withColumn("stage", number).filter(
+            c("stage").isNotNull() & ((c("source_type") != "preview_block") | listed))
+        parts.append(mine.select("scope_id", "document_id", "stage", "ord"))
+    parts += [_scope_hits(docs, scopes, "question", 7), _scope_hits(docs, scopes, "variable", 8)]
+    first = cut(reduce(DataFrame.unionByName, parts).groupBy("scope_id", "document_id").agg(
+        F.min(F.struct("stage", "ord")).alias("at")))
+    bare = scopes.join(first.select("scope_id"), "scope_id", "left_anti").select("scope_id", "upload_session_id")
+    every = bare.join(heads, "upload_session_id").select("scope_id", "document_id", "ord").unionByName(
+        bare.withColumn("_all", F.lit(1)).join(shared.withColumn("_all", F.lit(1)).drop("upload_session_id"), "_all")
+        .select("scope_id", "document_id", "ord"))
+    filled = first.unionByName(every.select("scope_id", "document_id", F.struct(F.lit(9).alias("stage"), "ord").alias("at")))
+    place = F.row_number().over(Window.partitionBy("scope_id").orderBy("at", "document_id"))
+    chosen = filled.withColumn("place", place).filter(c("place") <= catalog.CONTEXT_LIMIT_MAX).join(
+        scopes.select("scope_id", "limit"), "scope_id").filter(c("place") <= c("limit"))
     return chosen.join(heads.drop("ord"), "document_id").select(
-        c("place.stage").alias("stage"), c("place.ord").alias("ord"), *[n for n in DOC_COLUMNS if n != "ord"])
+        "scope_id", "place", c("at.stage").alias("stage"), c("at.ord").alias("ord"), *[n for n in DOC_COLUMNS if n != "ord"])
+
+
+def select_context(docs: DataFrame, variable: str | None = None, question: str | None = None,
+                   include_schema: bool = True, include_raw: bool = True, limit: int = 10) -> DataFrame:
+    """R6 for one scope: ``docs`` are its documents, of whatever upload."""
+    catalog.check_limit(limit, catalog.CONTEXT_LIMIT_MAX)
+    one = docs.sparkSession.createDataFrame([("scope", "own", variable, question, limit)],
+                                            "scope_id string, upload_session_id string, variable string, question string, limit int")
+    uploads = docs.filter("part = 0").select("document_id", "upload_session_id")
+    alone = docs.withColumn("upload_session_id", F.when(F.col("upload_session_id").isNotNull(), "own"))
+    chosen = select_contexts(alone, one, include_schema, include_raw)
+    return chosen.drop("scope_id", "place", "upload_session_id").join(uploads, "document_id")
 
 
 def source_summary(docs: DataFrame) -> DataFrame:
@@ -423,3 +465,37 @@ def context_summary(selected: DataFrame, variable: str | None = None,
     return selected.agg(F.concat(
         F.lit("Found "), F.count(F.lit(1)).cast("string"), F.lit(f" documents{suffix}; their kinds: "),
         F.coalesce(F.nullif(types, F.lit("")), F.lit("none")), F.lit(".")).alias("summary"))
+
+
+def _scope_text(*names: str) -> Column:
+    """``name=value`` of the columns of a scope that are set."""
+    return F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), F.col(n)) for n in names])
+
+
+def scope_sections(selected: DataFrame, scopes: DataFrame) -> DataFrame:
+    """R8 for ``select_contexts``: (scope_id, section_no, title, body, source_document_ids)."""
+    c = F.col
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "document_id"))), lambda d: d["document_id"])
+    grouped = selected.groupBy("scope_id", c("upload_session_id").isNull().alias("is_schema")).agg(
+        F.count(F.lit(1)).alias("n"), ids.alias("ids"))
+    sections = grouped.select(
+        "scope_id", F.when(c("is_schema"), 2).otherwise(3).alias("section_no"),
+        F.when(c("is_schema"), "About the data model").otherwise("About the files").alias("title"),
+        F.when(c("is_schema"), _fmt("{} documents describe the model.", c("n")))
+        .otherwise(_fmt("{} documents describe uploads.", c("n"))).alias("body"), c("ids").alias("source_document_ids"))
+    asked = _scope_text("variable", "question")
+    heads = scopes.filter(asked != "").select(
+        "scope_id", F.lit(1).alias("section_no"), F.lit("Asked for").alias("title"),
+        F.concat(F.lit("Chosen by "), asked, F.lit(".")).alias("body"), F.array().cast("array<string>").alias("source_document_ids"))
+    return heads.unionByName(sections)
+
+
+def scope_summaries(selected: DataFrame, scopes: DataFrame) -> DataFrame:
+    """R8 for ``select_contexts``: (scope_id, summary), also of scopes without documents."""
+    kinds = F.array_join(F.array_sort(F.collect_set("source_type")), ", ")
+    found = selected.groupBy("scope_id").agg(F.count(F.lit(1)).alias("n"), kinds.alias("kinds"))
+    asked = _scope_text("variable", "upload_session_id")
+    return scopes.join(found, "scope_id", "left").select("scope_id", F.concat(
+        F.lit("Found "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" documents"),
+        F.when(asked != "", F.concat(F.lit(" for "), asked)).otherwise(""), F.lit("; their kinds: "),
+        F.coalesce(F.nullif("kinds", F.lit("")), F.lit("none")), F.lit(".")).alias("summary"))

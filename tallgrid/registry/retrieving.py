@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallgrid import catalog
 from tallgrid.operators import digest, retrieval as r
 from tallgrid.registry.profiles import PROFILE_SQL, profiled
 from tallgrid.registry.scalars import FOLD_DOC
@@ -111,9 +112,98 @@ def _lit_topics(spark, sf):
                                                   (F.col("n_nationkey") % 3 + 1).cast("int"))).alias("query"))
 
 
+# --- contexts of many scopes --------------------------------------------------------------------------------------
+ASKED = ("which sheet has blocking flags", "units of plant height and moisture", "file size and checksum of the upload", None)
+
+
+def scopes(spark, sf):
+    """Every supplier asks about its own upload: a measure, a question, both or neither."""
+    c, s = F.col, F.col("s_suppkey")
+    one = lambda values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (s % 4 + 1).cast("int"))
+    question = F.element_at(F.array(*[F.lit(v).cast("string") for v in ASKED]), (F.floor(s / 4) % 4 + 1).cast("int"))
+    return table(spark, sf, "supplier").select(
+        s.alias("scope_id"), s.cast("string").alias("upload_session_id"), one((*catalog.MEASURES, None)).alias("variable"),
+        question.alias("question"), (s % 12 + 5).cast("int").alias("limit"))
+
+
+def contexts(spark, sf):
+    docs = r.load_corpus(schema(spark, sf), None, None).unionByName(raw_docs(spark, sf))
+    return r.select_contexts(docs, scopes(spark, sf))
+
+
+def _quoted(value) -> str:
+    return "NULL" if value is None else "'" + str(value).replace("'", "''") + "'"
+
+
+def _fixed_rows() -> str:
+    rows = []
+    for place, (i, kind, title, text, meta) in enumerate(r._fixed_docs()):
+        words = " ".join(w for pair in meta.items() for w in pair)
+        rows.append(f"({_quoted(i)}, {place if place == 0 else place + 1}, {_quoted(kind)}, {_quoted(title)}, {_quoted(text)}, "
+                    f"{_quoted(words)}, {_quoted(meta.get('canonical_measure'))}, NULL)")
+    return ", ".join(rows)
+
+
+_SUPPORTED = " ".join(w for k, names in (("supported_filters", catalog.LIST_FILTERS), ("supported_group_bys", catalog.LIST_GROUPS),
+                                         ("supported_metrics", catalog.LIST_METRICS)) for w in (k, " ".join(names)))
+_listing = lambda field: f"coalesce(string_agg(DISTINCT {field}, ', ' ORDER BY {field}), 'none')"
+SCHEMA_DOCS_SQL = f"""known AS ({" UNION ALL ".join(f"SELECT '{label}' AS name, {field} AS value FROM (SELECT DISTINCT {field} FROM obs)"
+                                                    for field, label in r.AVAILABLE.items())}),
+  fixed(document_id, ord, source_type, title, text, meta, measure, u) AS (VALUES {_fixed_rows()}),
+  schemas AS (SELECT *, 0 AS part FROM fixed UNION ALL SELECT 'query:metadata', 1, 'query_metadata', 'What can be asked',
+    'Filters: {", ".join(catalog.LIST_FILTERS)}. Groupings: {", ".join(catalog.LIST_GROUPS)}. Metrics: {", ".join(catalog.LIST_METRICS)}. '
+    || 'Variables in the data: ' || {_listing("variable")} || '. Units in the data: ' || {_listing("normalized_unit")} || '.',
+    '{_SUPPORTED}', NULL, NULL, 0 FROM obs UNION ALL SELECT 'query:metadata', 1, 'query_metadata', 'What can be asked', '',
+    name || ' ' || value, NULL, NULL, 1 FROM known WHERE value IS NOT NULL)"""
+FOUND_SQL = f"""fq AS (SELECT *, {_fold("query")} AS q FROM asks),
+  tk AS (SELECT *, list_filter(list_distinct(string_split(q, ' ')), lambda t: len(t) >= 2) AS toks FROM fq),
+  folded AS (SELECT *, {_fold("title")} AS ft, {_fold("text")} AS fb, {_fold("meta")} AS fm FROM docs),
+  met AS (SELECT scope_id, stage, document_id, toks, unnest(toks) AS t, ft, fb, fm, q FROM tk JOIN folded ON folded.u IS NULL OR
+    folded.u = tk.u WHERE len(toks) > 0),
+  points AS (SELECT scope_id, stage, document_id, t, any_value(len(toks)) AS n, bool_or(contains(concat_ws(' ', nullif(ft, ''),
+    nullif(fb, ''), nullif(fm, '')), q)) AS phrase, max(CASE WHEN contains(ft, t) THEN 5 ELSE 0 END) + max(CASE WHEN contains(fb, t)
+    THEN 2 ELSE 0 END) + max(CASE WHEN contains(fm, t) THEN 1 ELSE 0 END) AS p FROM met GROUP BY ALL),
+  scored AS (SELECT scope_id, stage, document_id, CAST(sum(p) + CASE WHEN bool_or(phrase) AND count(*) FILTER (p > 0) = any_value(n)
+    THEN 25 ELSE 0 END AS DOUBLE) AS score FROM points GROUP BY scope_id, stage, document_id HAVING sum(p) > 0),
+  hits AS (SELECT scope_id, stage, document_id, score, row_number() OVER (PARTITION BY scope_id, stage ORDER BY score DESC,
+    source_type, lower(title), document_id) AS rank FROM scored JOIN docs USING (document_id) WHERE part = 0)"""
+CONTEXT_SQL = OBS_SQL + f""", {SCHEMA_DOCS_SQL}, {SHEETS_SQL},
+  warned AS (SELECT u, s, row_number() OVER (PARTITION BY u ORDER BY s) AS n FROM sheets WHERE blocks = 0),
+  told AS ({RAW_DOCS_SQL[RAW_DOCS_SQL.index("SELECT 'upload:'"):]}),
+  facts AS (SELECT 'upload:' || s_suppkey || ':artifact' AS document_id, 1000000000 AS ord, 'upload_session_id ' || s_suppkey ||
+      ' original_filename ' || s_name || '.csv parser_version v1 mime_type ' || CASE WHEN s_suppkey % 9 = 0 THEN 'None' ELSE 'text/csv'
+      END || ' file_size_bytes ' || s_nationkey || ' file_hash_sha256 ' || sha256(s_name) AS meta, CAST(s_suppkey AS VARCHAR) AS u
+      FROM supplier
+    UNION ALL SELECT 'upload:' || u || ':sheet:' || s, 2000000000 + ascii(s), 'upload_session_id ' || u || ' sheet_name ' || s ||
+      ' sheet_index ' || ascii(s) || ' row_count ' || rows || ' max_column_count ' || cols || ' non_empty_cell_count ' || filled ||
+      ' detected_block_count ' || blocks, u FROM sheets
+    UNION ALL SELECT 'upload:' || u || ':warning:' || n, 3000000000 + n, 'upload_session_id ' || u || ' warning no_blocks_detected:'
+      || s, u FROM warned),
+  docs AS (SELECT document_id, ord, source_type, title, text, meta, measure, u, part FROM schemas UNION ALL
+    SELECT document_id, ord, source_type, title, text, meta, NULL, u, 0 FROM told JOIN facts USING (document_id)),
+  scopes AS (SELECT s_suppkey AS scope_id, CAST(s_suppkey AS VARCHAR) AS u, [{", ".join(map(_quoted, (*catalog.MEASURES, None)))}]
+    [s_suppkey % 4 + 1] AS variable, [{", ".join(map(_quoted, ASKED))}][s_suppkey // 4 % 4 + 1] AS question, s_suppkey % 12 + 5 AS lim
+    FROM supplier),
+  asks AS (SELECT scope_id, u, 7 AS stage, question AS query FROM scopes WHERE question IS NOT NULL UNION ALL SELECT scope_id, u, 8,
+    variable FROM scopes WHERE variable IS NOT NULL),
+  {FOUND_SQL},
+  staged AS (SELECT scope_id, document_id, 1 AS stage, ord FROM scopes, docs WHERE part = 0 AND document_id IN
+      ('schema:overview', 'query:metadata', 'validation:overview')
+    UNION ALL SELECT scope_id, document_id, 2, ord FROM scopes JOIN docs ON measure = variable
+    UNION ALL SELECT scope_id, document_id, CASE source_type WHEN 'raw_artifact' THEN 3 WHEN 'sheet_manifest' THEN 5 ELSE 6 END, ord
+      FROM scopes JOIN docs USING (u)
+    UNION ALL SELECT scope_id, document_id, stage, rank FROM hits JOIN scopes USING (scope_id) WHERE rank <= lim),
+  first AS (SELECT scope_id, document_id, min((stage, ord)) AS spot FROM staged GROUP BY scope_id, document_id),
+  chosen AS (SELECT scope_id, lim, document_id, spot, row_number() OVER (PARTITION BY scope_id ORDER BY spot, document_id) AS place
+    FROM first JOIN scopes USING (scope_id)),
+  selected AS (SELECT c.*, source_type, title, u FROM chosen c JOIN docs USING (document_id) WHERE part = 0 AND place <= lim)
+"""
+
+
 QUERIES = {
     "r01_schema_docs": (
-        lambda spark, sf: schema(spark, sf).select("document_id", "part", "source_type", "title", "text"), None),
+        lambda spark, sf: schema(spark, sf).select("document_id", "part", "source_type", "title", "text"),
+        OBS_SQL + ", " + SCHEMA_DOCS_SQL + " SELECT document_id, part, source_type, title, text FROM schemas"),
     "r01_available_values": (
         lambda spark, sf: schema(spark, sf).filter("part = 1").select(
             "document_id", F.explode("metadata").alias("name", "value")),
@@ -145,6 +235,23 @@ QUERIES = {
             CASE WHEN hit > 40 THEN '...' ELSE '' END || trim(substr(t, greatest(hit - 40, 0) + 1, 220)) || CASE WHEN
             least(greatest(hit - 40, 0) + 220, len(t)) < len(t) THEN '...' ELSE '' END END AS snippet FROM pos"""),
     "r06_select_context": (lambda spark, sf: selected(spark, sf).select("document_id", "stage", "title"), None),
+    "r06_select_contexts": (
+        lambda spark, sf: contexts(spark, sf).select("scope_id", "place", "stage", "ord", "document_id", "title"),
+        CONTEXT_SQL + "SELECT scope_id, place, struct_extract_at(spot, 1) AS stage, struct_extract_at(spot, 2) AS ord, document_id, title FROM selected"),
+    "r08_scope_sections": (
+        lambda spark, sf: r.scope_sections(contexts(spark, sf), scopes(spark, sf)).withColumn(
+            "source_document_ids", F.array_join("source_document_ids", ",")),
+        CONTEXT_SQL + """SELECT scope_id, CASE WHEN u IS NULL THEN 2 ELSE 3 END AS section_no, CASE WHEN u IS NULL THEN 'About the data
+          model' ELSE 'About the files' END AS title, count(*) || CASE WHEN u IS NULL THEN ' documents describe the model.' ELSE
+          ' documents describe uploads.' END AS body, string_agg(document_id, ',' ORDER BY place) AS source_document_ids FROM selected
+          GROUP BY scope_id, u UNION ALL SELECT scope_id, 1, 'Asked for', 'Chosen by ' || concat_ws(', ', 'variable=' || variable,
+          'question=' || question) || '.', '' FROM scopes WHERE variable IS NOT NULL OR question IS NOT NULL""".replace(
+            "data\n          model", "data model")),
+    "r08_scope_summaries": (
+        lambda spark, sf: r.scope_summaries(contexts(spark, sf), scopes(spark, sf)),
+        CONTEXT_SQL + """SELECT s.scope_id, 'Found ' || count(document_id) || ' documents for ' || concat_ws(', ', 'variable=' || variable,
+          'upload_session_id=' || s.u) || '; their kinds: ' || coalesce(string_agg(DISTINCT source_type, ', ' ORDER BY source_type),
+          'none') || '.' AS summary FROM scopes s LEFT JOIN selected t USING (scope_id) GROUP BY s.scope_id, variable, s.u"""),
     "r07_source_summary": (
         lambda spark, sf: r.source_summary(raw_docs(spark, sf)),
         f"WITH d AS ({RAW_DOCS_SQL}) SELECT source_type, split_part(document_id, ':', 2) AS upload_session_id, count(*) AS "
@@ -158,7 +265,12 @@ QUERIES = {
             "document_id", "title", "text"),
         f"WITH d AS ({RAW_DOCS_SQL}) SELECT document_id, title, text FROM d WHERE split_part(document_id, ':', 2) = '3'"),
     "r10_explain_metadata": (
-        lambda spark, sf: r.explain_metadata(schema(spark, sf), _lit_topics(spark, sf), 3), None),
+        lambda spark, sf: r.explain_metadata(schema(spark, sf), _lit_topics(spark, sf), 3).select(
+            "query_id", "rank", "document_id", "source_type", "title", "score"),
+        OBS_SQL + f""", {SCHEMA_DOCS_SQL}, docs AS (FROM schemas), asks AS (SELECT n_nationkey AS scope_id, NULL AS u, 0 AS stage,
+            'outlier ranges for ' || ['yield', 'plant height', 'moisture'][n_nationkey % 3 + 1] AS query FROM nation), {FOUND_SQL}
+          SELECT scope_id AS query_id, rank, document_id, source_type, title, score FROM hits JOIN docs USING (document_id)
+          WHERE part = 0 AND rank <= 3"""),
     "a03_context_counts": (
         lambda spark, sf: digest.context_counts(raw_docs(spark, sf)),
         f"WITH d AS ({RAW_DOCS_SQL}) SELECT 'raw' AS context, source_type, count(*) AS documents, count(DISTINCT "
