@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallgrid.operators import blocks as b
 from tallgrid.operators import components, extract
 from tallgrid.operators import ingest as ing
-from tallgrid.registry.tables import OBS_SQL, observations, raw_observations, table
+from tallgrid.registry.tables import OBS_SQL, observations, raw_observations, table, validated
 from tallgrid.registry.scalars import pick
 from tallgrid.session import cut, ensure_checkpoint_dir
 from tallgrid.sources import delimited, golden, store
@@ -273,6 +273,14 @@ def _rebuilt(spark, sf):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+def _committed_validated(spark, sf):
+    """Normalise, flag and judge all observations and commit them: the whole write path."""
+    path = f"{ensure_checkpoint_dir(spark)}/observations-{uuid.uuid4().hex}"
+    store.rebuild_partition(validated(spark, sf), path)
+    return spark.read.parquet(path).groupBy("upload_session_id", "validation_status").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("quality_flags", "duplicate_candidate")).alias("n_duplicates"))
+
+
 def _written_files(spark, sf, whole):
     """The suppliers of every nation written as a text file of its own, then registered."""
     path = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
@@ -410,6 +418,9 @@ QUERIES = {
     "s08_rebuild_partition": (
         _rebuilt, OBS_SQL + "SELECT upload_session_id, count(*) AS n, round(sum(value) * CASE WHEN upload_session_id IN ('u1', "
                             "'u2') THEN 2 ELSE 1 END, 2) AS total FROM obs WHERE upload_session_id <> 'u3' GROUP BY 1"),
+    "s08_commit_validated": (
+        _committed_validated, OBS_SQL + "SELECT upload_session_id, validation_status, count(*) AS n, count(*) FILTER (list_contains("
+                                        "quality_flags, 'duplicate_candidate')) AS n_duplicates FROM obs GROUP BY 1, 2"),
     "s09_promote": (
         lambda spark, sf: store.promote(raw_observations(spark, sf).withColumn("variable", F.when(
             F.col("source_row_index") % 3 > 0, F.col("variable")).when(F.col("source_row_index") % 2 == 0, " ")))

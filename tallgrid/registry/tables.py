@@ -58,15 +58,27 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.validate(quality.normalise_observation(raw_observations(spark, sf_dir)))
 
 
-_committed: dict[tuple[str, str], str] = {}
+RAW_TABLES = ("lineitem", "supplier", "nation", "part")
+_committed: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Change time and size of the tables behind the observations, so that new tables are committed anew."""
+    out = []
+    for name in RAW_TABLES:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+        out.append((status.getModificationTime(), status.getLen()))
+    return tuple(out)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table that the commit of ``validated`` observations wrote, partitioned by upload; once per application.
+    """The table that the commit of ``validated`` observations wrote, partitioned by upload; once per application
+    and state of the tables.
 
     Flags are settled at the commit, so reading is a scan of one table with its columns pruned and its filters pushed down.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key not in _committed:
         path = f"{ensure_checkpoint_dir(spark)}/observations-{uuid.uuid4().hex}"
         store.rebuild_partition(validated(spark, sf_dir), path)

@@ -124,3 +124,12 @@ def test_snippet_cuts_around_the_first_hit(spark):
     shown = spark.createDataFrame([(text,)], "t string").select(
         x.snippet(F.col("t"), F.array(F.lit("needle"), F.lit("zzz"))).alias("s")).first().s
     assert shown.startswith("...") and shown.endswith("...") and "needle" in shown and len(shown) <= 226
+
+
+def test_distinct_words_are_exact_around_the_threshold(spark):
+    from tallgrid.operators import profile
+    rows = [("a", "b", col, n, "str", f"Word {n % d}" if n % 3 else f"word {n % d} ") for col, d in enumerate((1, 31, 32, 33, 200))
+            for n in range(600)]
+    df = spark.createDataFrame(rows, "artifact_id string, block_id string, col_pos int, row_no int, kind string, text string").repartition(7)
+    got = {r.col_pos: r.n_distinct for r in profile.column_aggregates(df).collect()}
+    assert got == {0: 1, 1: 31, 2: 32, 3: 33, 4: 200}
