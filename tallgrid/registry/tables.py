@@ -58,7 +58,7 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.validate(quality.normalise_observation(raw_observations(spark, sf_dir)))
 
 
-RAW_TABLES = ("lineitem", "supplier", "nation", "part")
+RAW_TABLES = ("lineitem", "orders", "customer", "nation", "part")
 _committed: dict[tuple, str] = {}
 
 
