@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +34,12 @@ def clear_uploads(observations: DataFrame, path: str, uploads: list[str]) -> Non
     spark = observations.sparkSession
     kept = {r[0] for r in observations.filter(F.col("upload_session_id").isin(uploads))
             .select("upload_session_id").distinct().collect()}  # at most the named uploads
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for entry in files.listStatus(folder):
-        name, _, value = entry.getPath().getName().partition("=")
-        if name == "upload_session_id" and unquote(value) in set(uploads) - kept:
-            files.delete(entry.getPath(), True)
+    named = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for upload in set(uploads) - kept:  # the named folders alone; the table may hold any number of others
+        files.delete(jvm.org.apache.hadoop.fs.Path(folder, named.getPartitionPathString("upload_session_id", upload)), True)
 
 
 def list_sessions(sessions: DataFrame, artifacts: DataFrame, limit: int = 50) -> DataFrame:
