@@ -16,7 +16,7 @@ from tallgrid.functions import values as v
 from tallgrid.operators import components, ranks
 from tallgrid.operators.profile import cell_date
 from tallgrid.session import cut
-from tallgrid.sources.cells import SHEET, present
+from tallgrid.sources.cells import SHEET, present, unsent
 
 EXTENT = ["r0", "r1", "c0", "c1"]
 BOX = [*SHEET, *EXTENT]
@@ -33,7 +33,7 @@ def cells_in(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     """G1: the cells inside every box, by an equi-join on tiles and a test of the extents; a cell lies in one tile."""
     c = F.col
     placed = cells.withColumn("_tr", F.floor(c("row_idx") / ROW_BUCKET)).withColumn("_tc", F.floor(c("col_idx") / COL_BUCKET))
-    return (tiled(boxes).join(placed, [*SHEET, "_tr", "_tc"])
+    return (tiled(boxes).join(unsent(placed), [*SHEET, "_tr", "_tc"])
             .filter(c("row_idx").between(c("r0"), c("r1")) & c("col_idx").between(c("c0"), c("c1"))).drop("_tr", "_tc"))
 
 
@@ -353,7 +353,7 @@ def context_dates(blocks: DataFrame, cells: DataFrame) -> DataFrame:
     area = blocks.filter("r0 >= 1").select(*SHEET, "block_no", rows)
     day = F.coalesce(cell_date(c("kind"), c("text")), F.when(_is_text(), v.dotted_date(c("text"))))
     dates = cells.withColumn("day", day).filter(c("day").isNotNull())
-    return (area.join(dates, [*SHEET, "row_idx"]).groupBy(*SHEET, "block_no")
+    return (area.join(unsent(dates), [*SHEET, "row_idx"]).groupBy(*SHEET, "block_no")
             .agg(F.min_by("day", F.struct("row_idx", "col_idx")).alias("context_date")))
 
 

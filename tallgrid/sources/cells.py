@@ -19,6 +19,12 @@ def present(cells: DataFrame) -> DataFrame:
     return cells.filter(~((F.col("kind") == "str") & is_missing(F.col("text"))) & F.col("text").isNotNull())
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """A side of a join that no task gets whole. The planner judges exploded rows by the size of what they were exploded from, so
+    a thousand cells of one small row look small enough to be sent to the driver and from there to every task."""
+    return df.hint("merge")
+
+
 def expand_merged(cells: DataFrame, sheets: DataFrame, merged: DataFrame) -> DataFrame:
     """The top-left value over every merged rectangle, clipped to the sheet; the last range wins.
 
