@@ -16,6 +16,7 @@ from tallgrid.operators import ranks, semantics
 from tallgrid.operators.profile import BLOCK, COLUMN, cell_is_numeric
 from tallgrid.operators.blocks import _is_text
 from tallgrid.session import cut
+from tallgrid.sources.cells import unsent
 
 HEAD_ROWS = k.HEADER_SCAN_ROWS + k.MAX_HEADER_ROWS
 
@@ -30,7 +31,7 @@ def row_signals(blocks: DataFrame, cells: DataFrame) -> DataFrame:
         F.min(word).alias("low"), F.max(word).alias("high"))
     uniform = (c("n_str") >= 2) & F.coalesce(c("low") == c("high"), F.lit(False))
     strings, numbers = c("n_str") / c("n"), c("n_num") / c("n")
-    return counted.join(blocks.select(*BLOCK, "col_count"), BLOCK).select(
+    return unsent(counted).join(blocks.select(*BLOCK, "col_count"), BLOCK).select(
         *BLOCK, "r", (c("n") / c("col_count")).alias("fill"),
         ((c("n") >= 2) & ~uniform & (strings >= 0.6) & (numbers <= 0.4)).alias("is_header"),
         ((c("n") <= 1) | uniform | (c("n") / c("col_count") <= k.PREAMBLE_FILL)).alias("is_preamble"),
@@ -64,7 +65,7 @@ def find_headers(blocks: DataFrame, signals: DataFrame) -> DataFrame:
 def preamble_facts(headed: DataFrame, cells: DataFrame) -> DataFrame:
     """T5: unit, year and date named in the rows above the header (at most four rows)."""
     c = F.col
-    above = cells.filter(c("r") < k.HEADER_SCAN_ROWS).join(
+    above = unsent(cells.filter(c("r") < k.HEADER_SCAN_ROWS)).join(
         headed.filter("header_start > 0").select(*BLOCK, "header_start"), BLOCK).filter("r < header_start")
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
         _is_text(), F.struct("r", "col_pos", v.strip(c("text")).alias("w"))))), lambda s: s["w"]), " ")
@@ -78,7 +79,7 @@ def preamble_facts(headed: DataFrame, cells: DataFrame) -> DataFrame:
 def compose_headers(headed: DataFrame, cells: DataFrame) -> DataFrame:
     """T4: one to three header rows joined per column, normalised and made unique; column_i without header."""
     c = F.col
-    rows = cells.filter(c("r") < HEAD_ROWS).join(
+    rows = unsent(cells.filter(c("r") < HEAD_ROWS)).join(
         headed.filter(c("header_start").isNotNull()).select(*BLOCK, "header_start", "header_rows"), BLOCK).filter(
         (c("r") >= c("header_start")) & (c("r") < c("header_start") + c("header_rows")))
     named = rows.groupBy(*COLUMN).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
@@ -116,7 +117,7 @@ def sparse_text_columns(columns: DataFrame, cells: DataFrame, blocks: DataFrame)
     c = F.col
     unnamed = columns.filter(c("column").startswith(k.GENERIC_PREFIX)).select(*COLUMN)
     textual = _is_text() & ~v.is_numeric(c("text"))
-    counted = cells.join(unnamed, COLUMN).groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("n"),
+    counted = unsent(cells).join(unnamed, COLUMN).groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("n"),
                                                              F.count_if(textual).alias("n_text"))
     return counted.join(blocks.select(*BLOCK, "data_rows"), BLOCK).filter(
         (c("n") / c("data_rows") <= k.SPARSE_FILL) & (c("n_text") / c("n") >= k.SPARSE_TEXT)).select(*COLUMN)
@@ -127,13 +128,13 @@ def group_label_columns(columns: DataFrame, cells: DataFrame, blocks: DataFrame)
     c = F.col
     sparse = sparse_text_columns(columns, cells, blocks)
     word = F.when(_is_text(), F.lower(v.strip(c("text"))))
-    spread = cells.join(sparse, COLUMN).groupBy(*COLUMN).agg(F.min(word).alias("low"), F.max(word).alias("high"))
+    spread = unsent(cells).join(sparse, COLUMN).groupBy(*COLUMN).agg(F.min(word).alias("low"), F.max(word).alias("high"))
     labels = semantics.label_aggregates(c("text"))
     facts = cells.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("n"), *[e.alias(n) for n, e in labels.items()])
     meaning = F.coalesce(semantics.header_dimension(c("column")), semantics.value_dimension(
         *[c(n) for n in ("n", "all_roman", "any_treatment", "any_variety", "n_numbered")]))
     order = Window.partitionBy(*BLOCK).orderBy("col_pos")  # the columns of one block
-    known = (columns.join(facts, COLUMN, "left").fillna(0, ["n"]).withColumn("means", meaning)
+    known = (columns.join(unsent(facts), COLUMN, "left").fillna(0, ["n"]).withColumn("means", meaning)
              .withColumn("beside", F.lead("means").over(order)))
     several = F.coalesce(c("low") != c("high"), F.lit(False))
     alone = F.coalesce((c("beside") == "replicate") & (c("means") == "variety"), F.lit(False))
@@ -145,7 +146,7 @@ def fill_group_labels(candidates: DataFrame, cells: DataFrame) -> DataFrame:
     c = F.col
     rows = cells.groupBy(*BLOCK, "r").agg(F.min("sheet_row").alias("sheet_row"))
     runs = ranks.positions(rows, BLOCK, "r", "p").withColumn("run", c("r") - c("p"))
-    labelled = cells.join(candidates, COLUMN)
+    labelled = unsent(cells).join(candidates, COLUMN)
     first = (labelled.join(runs.select(*BLOCK, "r", "run"), [*BLOCK, "r"]).groupBy(*COLUMN, "run")
              .agg(F.min_by(F.struct("kind", "text"), "r").alias("label")))
     filled = runs.join(first, [*BLOCK, "run"]).join(labelled.select(*COLUMN, "r"), [*COLUMN, "r"], "left_anti")
@@ -158,14 +159,14 @@ def drop_annotations(columns: DataFrame, cells: DataFrame, blocks: DataFrame) ->
     sparse = sparse_text_columns(columns, cells, blocks).withColumn("sparse", F.lit(True))
     word = v.strip(c("text"))
     descriptive = _is_text() & (word.contains(" ") | (F.length(word) > k.LABEL_TOKEN_LENGTH))
-    return cells.join(sparse, COLUMN, "left").filter(
+    return unsent(cells).join(sparse, COLUMN, "left").filter(
         ~(F.coalesce("sparse", F.lit(False)) & descriptive)).drop("sparse")
 
 
 def number_rows(cells: DataFrame) -> DataFrame:
     """Rows without cells are gone; the others are numbered from 1 per block."""
     rows = ranks.positions(cells.select(*BLOCK, "r").distinct(), BLOCK, "r", "row_no")
-    return cells.join(rows, [*BLOCK, "r"]).select(*COLUMN, "row_no", "sheet_row", "kind", "text")
+    return unsent(cells).join(rows, [*BLOCK, "r"]).select(*COLUMN, "row_no", "sheet_row", "kind", "text")
 
 
 def extract_tables(blocks: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -176,7 +177,7 @@ def extract_tables(blocks: DataFrame, cells: DataFrame) -> tuple[DataFrame, Data
     headed = cut(headed.join(preamble_facts(headed, cells), BLOCK, "left"))
     resolved, columns = inherit_headers(headed, cut(compose_headers(headed, cells)))
     resolved, columns = cut(resolved), cut(columns)
-    data = cells.join(resolved.select(*BLOCK, "data_row_start"), BLOCK).filter(
+    data = unsent(cells).join(resolved.select(*BLOCK, "data_row_start"), BLOCK).filter(
         c("r") >= c("data_row_start")).drop("data_row_start")
     sized = resolved.withColumn("data_rows", c("row_count") - c("data_row_start"))
     filled = cut(fill_group_labels(cut(group_label_columns(columns, data, sized)), data))

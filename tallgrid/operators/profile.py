@@ -14,6 +14,7 @@ from tallgrid import catalog
 from tallgrid.functions import units
 from tallgrid.functions import values as v
 from tallgrid.operators import semantics
+from tallgrid.sources.cells import unsent
 
 BLOCK = ["artifact_id", "block_id"]
 COLUMN = [*BLOCK, "col_pos"]
@@ -82,7 +83,7 @@ def generic_dimension() -> Column:
 def date_issues(values: DataFrame, typed: DataFrame, examples: int = catalog.MAX_DATE_EXAMPLES) -> DataFrame:
     """The first ``examples`` distinct unparseable texts of each date column, in order of appearance."""
     dated = typed.filter(F.col("suggested") == "date").select(*COLUMN)
-    bad = (values.join(dated, COLUMN)
+    bad = (unsent(values).join(dated, COLUMN)
            .filter(cell_date(F.col("kind"), F.col("text")).isNull())
            .groupBy(*COLUMN, "text").agg(F.min("row_no").alias("row_no")))
     order = Window.partitionBy(*COLUMN).orderBy("row_no")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallgrid.operators import blocks as b
+from tallgrid.operators import extract
 from tallgrid.sources.cells import SHEET
 
 
@@ -28,3 +29,11 @@ def test_cells_are_not_sent_to_every_task(spark):
     dates = b.context_dates(b.number_blocks(boxes), cells)
     assert "BroadcastHashJoin" not in _plan(dates)
     assert dates.count() == 3
+
+
+def test_block_cells_are_not_sent_to_every_task(spark):
+    cells = _exploded(spark).select("artifact_id", F.lit("S1_B1").alias("block_id"), F.col("row_idx").alias("r"), F.lit(0).alias("col_pos"),
+                                    (F.col("row_idx") + 1).alias("sheet_row"), "kind", "text")
+    numbered = extract.number_rows(cells)
+    assert "BroadcastHashJoin" not in _plan(numbered)
+    assert numbered.filter("row_no <> sheet_row").count() == 0 and numbered.count() == 300
