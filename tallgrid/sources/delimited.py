@@ -22,6 +22,7 @@ SEPARATORS = (",", ";", "\t", "|")  # fixed value: candidates in order of prefer
 UNDEFINED_1250 = r"[\x{81}\x{83}\x{88}\x{90}\x{98}]"  # bytes without a meaning in cp1250
 WHOLE_FILE = 64 << 20
 COMPRESSED = ("gz", "bz2", "deflate", "snappy", "lz4", "zst")  # suffixes that the text reader unpacks
+PACKED_NAMES = "*.{" + ",".join("".join(f"[{x}{x.upper()}]" if x.isalpha() else x for x in s) for s in COMPRESSED) + "}"
 MIME_TYPES = {"csv": "text/csv", "tsv": "text/tab-separated-values", "xls": "application/vnd.ms-excel",
               "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"}
 
@@ -80,8 +81,10 @@ def register_artifacts(spark: SparkSession, path: str, whole: int = WHOLE_FILE)
     c = F.col
     files = spark.read.format("binaryFile").load(path)
     name, suffix = _named(c("path"))
-    single = (c("length") <= whole) | suffix.isin(*COMPRESSED)
-    small = files.filter(single).select(c("_metadata.file_path").alias("_file"), F.sha2("content", 256).alias("digest"))
+    # the reader skips the bytes of the other files only for a plain test of their length, so packed files are named apart
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", PACKED_NAMES).load(path).filter(c("length") > whole)
+    small = files.filter(c("length") <= whole).select("_metadata", "content").unionByName(packed.select("_metadata", "content")).select(
+        c("_metadata.file_path").alias("_file"), F.sha2("content", 256).alias("digest"))
     streamed = streamed_digests(spark, path, whole).select(c("path").alias("_file"), "digest")
     large = streamed.filter(~_named(c("_file"))[1].isin(*COMPRESSED))
     mime = F.coalesce(*[F.when(suffix == s, F.lit(m)) for s, m in MIME_TYPES.items()],

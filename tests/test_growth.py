@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tallgrid.operators import blocks as b
-from tallgrid.operators import extract
+from tallgrid.operators import extract, quality
+from tallgrid.sources import delimited
 from tallgrid.sources.cells import SHEET
 
 
@@ -37,3 +38,26 @@ def test_block_cells_are_not_sent_to_every_task(spark):
     numbered = extract.number_rows(cells)
     assert "BroadcastHashJoin" not in _plan(numbered)
     assert numbered.filter("row_no <> sheet_row").count() == 0 and numbered.count() == 300
+
+
+def test_only_small_files_are_read_whole(spark, tmp_path):
+    import gzip
+    import hashlib
+    bodies = {"a.csv": b"x\n", "b.csv": b"line\n" * 50, "c.CSV.Gz": gzip.compress(bytes(range(256)) * 9), "d.txt": b"y" * 40}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    found = delimited.register_artifacts(spark, str(tmp_path), 30)
+    assert {r.original_filename: r.file_hash_sha256 for r in found.collect()} == {
+        n: hashlib.sha256(x).hexdigest() for n, x in bodies.items()}
+    scans = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "content#" in line and "FileScan" in line]
+    assert scans and all("LessThanOrEqual(length,30)" in x or "GreaterThan(length,30)" in x for x in scans)
+
+
+def test_duplicate_keys_travel_as_hashes(spark, seed):
+    twice = seed.unionByName(seed.filter("plot_id = 'M1'"))
+    moved = twice.unionByName(seed.filter("plot_id = 'M1'").withColumns({  # the same fields with the NULLs elsewhere
+        "variety": F.col("location"), "location": F.lit(None).cast("string")}))
+    flagged = quality.flag_duplicates(moved)
+    assert flagged.filter("is_duplicate").select("plot_id", "location").collect() == [("M1", "north")] * 2
+    assert flagged.columns == [*moved.columns, "is_duplicate"] and flagged.count() == seed.count() + 2
+    assert "struct" not in _plan(flagged) and "_key1" in _plan(flagged)
