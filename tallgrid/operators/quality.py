@@ -49,9 +49,9 @@ def flag_duplicates(df: DataFrame) -> DataFrame:
     """H9: ``is_duplicate`` for groups of two or more on the twelve keys, NULLs being equal.
 
     Counting is a partial aggregation, so a key that holds a third of all rows is one row per task before the
-    shuffle. Keys are counted and looked up as two 64-bit hashes of them, not as twelve columns, so that rows carry
-    16 more bytes on their way instead of a second copy of the key; 10^9 keys hold two of equal hashes with a probability
-    of about 10^-21. Only repeated keys come back; the adaptive planner broadcasts them when their measured
+    shuffle. Keys are counted and looked up as two 64-bit hashes of them, not as twelve columns; 10^9 keys hold two of
+    equal hashes with a probability of about 10^-21. The join names the hashes as expressions, so that rows carry
+    nothing more on their way. Only repeated keys come back; the adaptive planner broadcasts them when their measured
     size allows and otherwise splits skewed partitions of the sort-merge join. The hashes treat NULL fields as equal, stay
     a plain equi-join, and let the optimizer drop the join when a query never looks at duplicates.
     """
@@ -61,17 +61,22 @@ def flag_duplicates(df: DataFrame) -> DataFrame:
     hashes = {"_key1": F.xxhash64(*fields, *marks), "_key2": F.xxhash64(F.lit("second"), *marks, *reversed(fields))}
     counted = df.groupBy(*[h.alias(n) for n, h in hashes.items()]).agg(F.count(F.lit(1)).alias("_n"))
     repeated = counted.filter(F.col("_n") > 1).select(*hashes, F.lit(True).alias("_dup"))
-    joined = df.withColumns(hashes).join(repeated, list(hashes), "left")
-    return joined.withColumn("is_duplicate", F.coalesce(F.col("_dup"), F.lit(False))).drop(*hashes, "_dup", "_n")
+    joined = df.join(repeated, [h == F.col(n) for n, h in hashes.items()], "left")
+    return joined.select(*[F.col(n) for n in df.columns], F.coalesce(F.col("_dup"), F.lit(False)).alias("is_duplicate"))
 
 
 def validate(df: DataFrame, requires_date: Column | None = None) -> DataFrame:
     """Add ``quality_flags`` and ``validation_status``."""
+    return judge(flag_duplicates(df), requires_date)
+
+
+def judge(flagged: DataFrame, requires_date: Column | None = None) -> DataFrame:
+    """H7, H8 and H10 on rows with ``is_duplicate``: row by row, so that it can follow the last shuffle of the rows."""
     requires_date = F.lit(True) if requires_date is None else requires_date
     flags = narrow_flags(requires_date)
     blocking = flags[0].isNotNull() | flags[2].isNotNull() | flags[3].isNotNull()
     soft = flags[1].isNotNull() | flags[4].isNotNull() | F.col("is_duplicate")
-    return flag_duplicates(df).withColumns({
+    return flagged.withColumns({
         "quality_flags": F.array_compact(F.array(
             *flags, F.when(F.col("is_duplicate"), F.lit("duplicate_candidate")))),
         # nested, so that "is it invalid" folds to the blocking rules and no longer needs the duplicate count

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,6 +38,28 @@ def apply_settings(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+# up to this number of shuffle partitions the tasks write each apart and hold no rows back in memory
+FINE = 200
+HASHED = {  # a side of at most this size per partition is hashed, so the other side is not sorted
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB"}
+
+
+@contextmanager
+def finely_dealt(spark: SparkSession) -> Iterator[None]:
+    """For one run over wide rows: shuffles are dealt into ``FINE`` partitions at least, and small sides of joins are hashed, so that
+    sorts fit the memory of a task and spill nothing. The adaptive planner puts small partitions together again."""
+    dealt = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    wanted = {dealt: str(max(FINE, int(spark.conf.get("spark.sql.shuffle.partitions")))), **HASHED}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: what the cluster names; on one machine, where none is named, a fresh local one."""
     context = spark.sparkContext
@@ -54,3 +79,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise an iteration's result in the reliable checkpoint folder and drop its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+LOOKUP_ROWS = 20_000
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """A table that far more rows look up: materialised, and sent to every task where it has few rows.
+
+    The adaptive planner leaves a table of a handful of keys to a sort-merge join, where all rows meet in as many tasks as there
+    are keys.
+    """
+    held = cut(df)
+    return F.broadcast(held) if held.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else held

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrid import catalog
+from tallgrid.session import finely_dealt
 
 
 def promote(staging: DataFrame) -> DataFrame:
@@ -15,16 +17,19 @@ def promote(staging: DataFrame) -> DataFrame:
     return staging.filter(F.length(F.trim("variable")) > 0)
 
 
-def rebuild_partition(observations: DataFrame, path: str, uploads: list[str] | None = None) -> None:
+def rebuild_partition(observations: DataFrame, path: str, uploads: list[str] | None = None,
+                      finish: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
     """Replace the partitions of the uploads in ``observations``; other uploads stay. Safe to repeat.
 
     ``uploads`` names all uploads of this commit: those that yield no rows any more are cleared. Rows are rebalanced by
-    upload, so Spark splits a large upload over as many tasks as its size asks for.
+    upload, so Spark splits a large upload over as many tasks as its size asks for. ``finish`` adds columns that follow from
+    the row alone, after the rows moved and were sorted.
     """
-    (observations.hint("rebalance", "upload_session_id")
-     .sortWithinPartitions("upload_session_id", "variable", "observation_date")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("upload_session_id").parquet(path))
+    with finely_dealt(observations.sparkSession):
+        (finish(observations.hint("rebalance", "upload_session_id")
+                .sortWithinPartitions("upload_session_id", "variable", "observation_date"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("upload_session_id").parquet(path))
     if uploads:
         clear_uploads(observations, path, uploads)
 

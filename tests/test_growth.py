@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tallgrid.operators import blocks as b
-from tallgrid.operators import extract, quality
-from tallgrid.sources import delimited
+from tallgrid.operators import extract, harmonize, quality
+from tallgrid.sources import delimited, store
 from tallgrid.sources.cells import SHEET
 
 
@@ -61,3 +61,36 @@ def test_duplicate_keys_travel_as_hashes(spark, seed):
     assert flagged.filter("is_duplicate").select("plot_id", "location").collect() == [("M1", "north")] * 2
     assert flagged.columns == [*moved.columns, "is_duplicate"] and flagged.count() == seed.count() + 2
     assert "struct" not in _plan(flagged) and "_key1" in _plan(flagged)
+
+
+def test_rows_carry_no_hashes_and_are_judged_after_they_moved(spark, seed, tmp_path):
+    rows = seed.drop("normalized_value", "normalized_unit", "validation_status", "quality_flags")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "hashpartitioning(xxhash64(" in _plan(quality.flag_duplicates(rows))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before, seen = spark.conf.get(dealt, None), []
+
+    def finish(moved):
+        seen.append(int(spark.conf.get(dealt)))
+        return quality.judge(quality.normalise_observation(moved))
+    store.rebuild_partition(quality.flag_duplicates(rows), str(tmp_path / "obs"), finish=finish)
+    assert seen == [200] and spark.conf.get(dealt, None) == before
+    expected = quality.validate(quality.normalise_observation(rows))
+    written = spark.read.parquet(str(tmp_path / "obs")).select(*expected.columns)
+    assert sorted(map(str, written.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_a_few_columns_are_looked_up_without_a_shuffle_of_the_cells(spark):
+    # the planner takes this table of two rows for 10^7 rows
+    few = spark.range(10**7).select((F.col("id") % 2).cast("int").alias("col_pos")).distinct()
+    columns = few.select(F.lit("a").alias("artifact_id"), F.lit("S1_B1").alias("block_id"), "col_pos", F.lit("yield").alias("column"),
+                         F.lit("measure").alias("semantic_role"), F.lit(None).cast("string").alias("canonical_dimension"))
+    values = spark.range(40).select(F.lit("a").alias("artifact_id"), F.lit("S1_B1").alias("block_id"), (F.col("id") % 2).cast("int").alias(
+        "col_pos"), F.floor(F.col("id") / 2).alias("row_no"), F.col("id").alias("sheet_row"), F.lit("num").alias("kind"),
+        F.col("id").cast("string").alias("text"))
+    facts = harmonize.row_facts(values, columns)
+    assert facts.count() == 20
+    assert "BroadcastHashJoin" in _plan(facts)
