@@ -10,6 +10,7 @@ from tallgrid.functions import units
 from tallgrid.functions import values as v
 from tallgrid.operators import quality
 from tallgrid.operators.profile import BLOCK, COLUMN, cell_date, cell_number, last_wins
+from tallgrid.session import cut, lookup
 
 
 def row_facts(values: DataFrame, columns: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def row_facts(values: DataFrame, columns: DataFrame) -> DataFrame:
                   .agg(F.min("col_pos").alias("date_pos")))
     roles = columns.select(*COLUMN, "column", "semantic_role", "canonical_dimension").join(first_date, BLOCK, "left")
     # the row key must survive even when all its cells sit in ignored columns, so nothing is filtered here
-    joined = values.join(roles, COLUMN)
+    joined = values.join(lookup(roles), COLUMN)
     dimension = c("semantic_role") == "dimension"
     return joined.groupBy(*BLOCK, "row_no").agg(
         F.max(F.when((c("semantic_role") == "date") & (c("col_pos") == c("date_pos")),
@@ -42,8 +43,19 @@ def build_observations(values: DataFrame, columns: DataFrame, blocks: DataFrame)
     year_override, commit_decision. ``values`` also carries sheet_row, the true 1-based sheet row.
     """
     c = F.col
+    columns = cut(columns)
+    # what a header says is worked out once per column, not once per row
+    measure = v.allowed_or_null(c("canonical_measure"), catalog.MEASURES)
+    meta = v.measure_column_meta(c("column"), measure)
+    defaults = F.filter(F.array(F.struct(F.lit("raw_measure_name").alias("key"), c("column").alias("value")), *[
+        F.struct(F.lit(name).alias("key"), meta[name].alias("value"))
+        for name in ("meaning", "treatment", "replicate_column_code", "replicate")]), lambda e: e["value"].isNotNull())
+    headed = F.struct(
+        "col_pos", c("column").alias("source_column"), measure.alias("measure"), meta["treatment"].alias("treatment"),
+        F.coalesce(measure, meta["meaning"], "column").alias("variable"), units.normalize_unit(c("unit")).alias("unit"),
+        defaults.alias("defaults"))
     measures = columns.filter(c("semantic_role") == "measure").groupBy(*BLOCK).agg(
-        F.array_sort(F.collect_list(F.struct("col_pos", "column", "canonical_measure", "unit"))).alias("measures"))
+        F.array_sort(F.collect_list(headed)).alias("measures"))
     dated = columns.filter(c("semantic_role") == "date").select(*BLOCK, F.lit(True).alias("has_date")).distinct()
     context = (blocks.filter(c("commit_decision") != "skip_summary_block").join(measures, BLOCK)
                .join(dated, BLOCK, "left").select(
@@ -52,32 +64,17 @@ def build_observations(values: DataFrame, columns: DataFrame, blocks: DataFrame)
                    F.coalesce("inferred_observation_date", F.when(
                        c("year_override").isNotNull(), F.make_date("year_override", F.lit(1), F.lit(1))))
                    .alias("fallback_date")))
-    rows = row_facts(values, columns).join(context, BLOCK)
+    rows = row_facts(values, columns).withColumn("dims", last_wins(c("dims"), "key", "value")).join(lookup(context), BLOCK)
     spread = rows.select("*", F.explode("measures").alias("m")).drop("measures")
-    measure = v.allowed_or_null(c("m.canonical_measure"), catalog.MEASURES)
-    meta = v.measure_column_meta(c("m.column"), measure)
-    dims = last_wins(c("dims"), "key", "value")
-    staged = spread.select(
-        *BLOCK, "row_no", "sheet_row", "sheet_name", "has_date",
-        (c("row_start") + c("data_row_start") + c("row_no") - 1).cast("long").alias("source_row_index"),
-        c("m.column").alias("source_column"),
-        F.coalesce("row_date", "fallback_date").alias("observation_date"),
-        dims.alias("dims"), measure.alias("measure"),
-        *[e.alias(f"meta_{name}") for name, e in meta.items()],
-        c("numbers")[c("m.col_pos")].alias("value"), units.normalize_unit(c("m.unit")).alias("unit"))
-    defaults = F.map_from_entries(F.filter(F.array(
-        F.struct(F.lit("raw_measure_name"), c("source_column").alias("value")),
-        *[F.struct(F.lit(name), c(f"meta_{name}").alias("value"))
-          for name in ("meaning", "treatment", "replicate_column_code", "replicate")]), lambda e: e["value"].isNotNull()))
-    absent = F.map_filter(defaults, lambda k, _: ~F.map_contains_key(c("dims"), k))
-    facts = staged.select(
+    absent = F.map_from_entries(F.filter("m.defaults", lambda e: ~F.map_contains_key(c("dims"), e["key"])))
+    facts = spread.select(
         c("artifact_id").alias("upload_session_id"), "block_id", c("sheet_name").alias("source_sheet"),
-        "source_row_index", "sheet_row", "source_column", "observation_date",
+        (c("row_start") + c("data_row_start") + c("row_no") - 1).cast("long").alias("source_row_index"),
+        "sheet_row", "m.source_column", F.coalesce("row_date", "fallback_date").alias("observation_date"),
         c("dims")["plot_id"].alias("plot_id"), c("dims")["variety"].alias("variety"),
-        F.coalesce(c("dims")["treatment"], c("meta_treatment")).alias("treatment"),
-        c("dims")["location"].alias("location"),
-        F.coalesce("measure", "meta_meaning", "source_column").alias("variable"),
-        "value", "unit", "measure", F.map_concat("dims", absent).alias("dimensions_json"), "has_date")
+        F.coalesce(c("dims")["treatment"], "m.treatment").alias("treatment"), c("dims")["location"].alias("location"),
+        "m.variable", c("numbers")[c("m.col_pos")].alias("value"), "m.unit", "m.measure",
+        F.map_concat("dims", absent).alias("dimensions_json"), "has_date")
     normalised = quality.normalise_observation(facts, "measure").drop("measure")
     return normalised.withColumn("replicate", c("dimensions_json")["replicate"])
 
