@@ -11,13 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallgrid.functions.text import substring_positions
+from tallgrid.session import lookup
+from tallgrid.sources.cells import unsent
 
 HEAD = 5
 
 
 def contained(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """All (text row, pattern row) pairs where the pattern occurs in the text; column names must be disjoint."""
+    """All (text row, pattern row) pairs where the pattern occurs in the text; column names must be disjoint.
+
+    A text opens into a row per window, which the planner takes for as small as the text, so these rows are never sent whole to
+    the driver; patterns are sent where they are few.
+    """
     windows = F.array_distinct(F.concat(*[substring_positions(F.col(text), n) for n in range(1, HEAD + 1)]))
     heads = patterns.filter(F.length(pattern) > 0).withColumn("_head", F.substring(F.col(pattern), 1, HEAD))
     opened = texts.withColumn("_head", F.explode(windows))
-    return opened.join(heads, "_head").filter(F.col(text).contains(F.col(pattern))).drop("_head")
+    return unsent(opened).join(lookup(heads), "_head").filter(F.col(text).contains(F.col(pattern))).drop("_head")

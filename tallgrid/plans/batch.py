@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallgrid import catalog
 from tallgrid.functions import units
 from tallgrid.operators import queries
-from tallgrid.session import cut
+from tallgrid.session import LOOKUP_ROWS, cut
 
 FILTERS = {"f_upload_session_id": "upload_session_id", "f_variable": "variable", "f_variety": "variety",
            "f_location": "location", "f_treatment": "treatment", "f_plot_id": "plot_id",
@@ -206,24 +206,49 @@ def _empty_aggregates(plans: DataFrame) -> DataFrame:
 
 
 LISTED = tuple(catalog.LIST_COLUMNS)
+UNDATED = 2**31 - 1
+
+
+def _month(rows: DataFrame) -> DataFrame:
+    """Adds the month of an observation, counted from year 0; rows without a date come last."""
+    day = F.col("observation_date")
+    return rows.withColumn("_month", F.coalesce(F.year(day) * 12 + F.month(day), F.lit(UNDATED)))
+
+
+def _leading_months(asked_keys: DataFrame, obs: DataFrame, combinations: list[tuple]) -> DataFrame:
+    """(combination, key, bar) of the asked keys: the month up to which a key has ``PLAN_LIMIT_MAX`` rows, if it has as many.
+
+    Lists are ordered by date first, so no row of a later month leads its key. Counting hashes keys and months and sorts no rows.
+    """
+    fields = sorted({FILTERS[f] for signature, in combinations for f in signature.split(",") if f})
+    counted = (_row_keys(_month(_dated(obs)).select(*fields, "_month"), combinations)
+               .groupBy("combination", "key", "_month").agg(F.count(F.lit(1)).alias("n")))
+    far = F.sum("n").over(Window.partitionBy("combination", "key").orderBy("_month"))
+    bars = counted.withColumn("_far", far).filter(F.col("_far") >= catalog.PLAN_LIMIT_MAX).groupBy("combination", "key").agg(
+        F.min("_month").alias("bar"))
+    return asked_keys.join(bars, ["combination", "key"], "left").select("combination", "key", F.coalesce("bar", F.lit(UNDATED)).alias("bar"))
 
 
 def execute_lists(plans: DataFrame, obs: DataFrame) -> DataFrame:
     """(question_id, rank, observation columns) of record plans.
 
     No plan asks for more than ``PLAN_LIMIT_MAX`` rows, so only that many leading rows of every key meet the plans (ranked
-    per task before the shuffle).
+    per task before the shuffle). Where few keys are asked for, only their rows up to the month that fills a list are ranked.
     """
     asked = cut(_per_status(plans.filter((F.col("status") == "supported") & (F.col("intent") == "select"))))
     combinations = _combinations(asked)
     if not combinations:
         return plans.limit(0).select("question_id", F.lit(1).alias("rank")).join(obs.limit(0).select(*LISTED), F.lit(False))
     first = Window.partitionBy("combination", "key").orderBy(*queries.list_order(), F.col("upload_session_id"))
-    leading = (_row_keys(_dated(obs).select(*LISTED, "observation_year"), combinations)
-               .withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= catalog.PLAN_LIMIT_MAX))
-    mine = _plan_keys(asked, combinations).select(
+    mine = cut(_plan_keys(asked, combinations).select(
         "combination", "key", "question_id", "row_limit", "dedupe",
-        F.array_position("statuses", F.col("f_status")).alias("status_no"))
+        F.array_position("statuses", F.col("f_status")).alias("status_no")))
+    rows = _row_keys(_month(_dated(obs)).select(*LISTED, "observation_year", "_month"), combinations)
+    asked_keys = cut(mine.select("combination", "key").distinct())
+    if asked_keys.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
+        bars = cut(_leading_months(asked_keys, obs, combinations))
+        rows = rows.join(F.broadcast(bars), ["combination", "key"]).filter(F.col("_month") <= F.col("bar"))
+    leading = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= catalog.PLAN_LIMIT_MAX)
     united = mine.join(leading, ["combination", "key"]).select("question_id", "row_limit", "dedupe", "status_no", *LISTED)
     order = [*queries.list_order(), F.col("upload_session_id")]
     per_status = Window.partitionBy("question_id", "status_no").orderBy(*order)

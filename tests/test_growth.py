@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from tallgrid.operators import blocks as b
-from tallgrid.operators import extract, harmonize, quality
+from tallgrid.operators import extract, harmonize, matching, quality
 from tallgrid.sources import delimited, store
+from tallgrid.plans import batch
 from tallgrid.sources.cells import SHEET
 
 
@@ -94,3 +95,30 @@ def test_a_few_columns_are_looked_up_without_a_shuffle_of_the_cells(spark):
     facts = harmonize.row_facts(values, columns)
     assert facts.count() == 20
     assert "BroadcastHashJoin" in _plan(facts)
+
+
+def test_lists_rank_only_rows_up_to_the_month_that_fills_them(spark, seed):
+    obs = seed.filter("plot_id in ('P1', 'P4')").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(899)))).withColumns({
+        "observation_date": F.when(F.col("_i") % 9 > 0, F.date_add("observation_date", F.col("_i"))), "source_row_index": F.col("_i") + 1}
+    ).drop("_i")
+    keys = spark.createDataFrame([(0, "Apex"), (0, "Nova"), (0, "none")], "combination int, key string")
+    bars = batch._leading_months(keys, obs, [("f_variety",)])
+    # eight of nine rows have a date: 225 days hold 200 of them, from 1 and from 4 May 2026
+    assert {r.key: r.bar for r in bars.collect()} == {"Apex": 2026 * 12 + 12, "Nova": 2026 * 12 + 12, "none": batch.UNDATED}
+    assert bars.filter("key = 'none'").count() == 1
+    plan = spark.createDataFrame([(1, "Apex", 200, ["valid"])], "question_id int, f_variety string, row_limit int, statuses array<string>").select(
+        "*", F.lit("supported").alias("status"), F.lit("select").alias("intent"), F.lit(False).alias("dedupe"),
+        *[F.lit(None).cast("date" if f == "f_day" else "int" if f == "f_year" else "string").alias(f)
+          for f in batch.FILTERS if f not in ("f_variety", "f_status")])
+    listed = batch.execute_lists(plan, obs)
+    assert "bar" in listed._jdf.queryExecution().optimizedPlan().toString()
+    got = [r.source_row_index for r in listed.orderBy("rank").collect()]
+    assert got == [i + 1 for i in range(900) if i % 9][:200]
+
+
+def test_windows_of_texts_are_not_sent_to_every_task(spark):
+    texts = spark.createDataFrame([("show north and south",)], "text string")
+    few = spark.range(10**7).select(F.element_at(F.array(F.lit("north"), F.lit("west")), (F.col("id") % 2 + 1).cast("int")).alias("value")).distinct()
+    found = matching.contained(texts, "text", few, "value")
+    assert [r.value for r in found.collect()] == ["north"]
+    assert "BuildRight" in _plan(found) and "BuildLeft" not in _plan(found)
