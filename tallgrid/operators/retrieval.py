@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallgrid import catalog
 from tallgrid.functions import text as x
 from tallgrid.operators import matching, queries
-from tallgrid.session import cut
+from tallgrid.session import LOOKUP_ROWS, cut
 
 DOC_SCHEMA = ("document_id string, part int, ord long, source_type string, title string, text string, "
               "metadata map<string,string>, upload_session_id string")
@@ -188,45 +188,72 @@ def fold_docs(docs: DataFrame) -> DataFrame:
                        x.fold_document(x.metadata_text(F.col("metadata"))).alias("_meta"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(document_id, word, weight): 5 title, 2 body, 1 metadata; words are distinct inside a field."""
+def opened_words(texts: DataFrame) -> DataFrame:
+    """(document_id, word, weight) of folded texts: 5 title, 2 body, 1 metadata; words are distinct inside a field."""
     words = lambda c, weight: F.transform(F.array_distinct(F.split(c, " ")), lambda w: F.struct(
         w.alias("word"), F.lit(weight).alias("weight")))
     fields = F.concat(words(F.col("_title"), 5), words(F.col("_body"), 2), words(F.col("_meta"), 1))
-    return fold_docs(docs).select("document_id", F.explode(fields).alias("p")).select("document_id", "p.*")
+    return texts.select("document_id", F.explode(fields).alias("p")).select("document_id", "p.*")
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """(document_id, word, weight) of documents."""
+    return opened_words(fold_docs(docs))
+
+
+def _best_points() -> Column:
+    """The points of a token in a document: each field that holds it counts once."""
+    best = lambda w: F.max(F.when(F.col("weight") == w, w).otherwise(0))
+    return (best(5) + best(2) + best(1)).alias("points")
+
+
+def _hits_by_words(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(document_id, token, points): tokens are matched against the distinct vocabulary and reach documents through the postings."""
+    index = cut(postings(docs))  # read for the vocabulary and for the postings
+    matches = matching.contained(index.select("word").distinct(), "word", tokens, "token").select("word", "token")
+    return index.join(matches, "word").groupBy("document_id", "token").agg(_best_points())
+
+
+def _hits_in_place(texts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The same from folded texts that stay where they are, for tokens that every task can hold."""
+    return matching.contained_in_place(opened_words(texts), "word", tokens, "token").groupBy("document_id", "token").agg(_best_points())
+
+
+PAIRS = 1 << 18  # pairs of a query and a document whose points one task adds up in memory
 
 
 def score(queries_df: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, document_id, score) for every positive score, queries given as (query_id, query).
 
-    A query token has no blanks, so it occurs in a text exactly when it occurs in one of the text's words: tokens
-    are matched against the distinct vocabulary and reach documents through the postings. Only documents that
-    hold every token of a query can hold the whole query, so the phrase test reads those candidates only.
+    Only documents that hold every token of a query can hold the whole query, so the phrase test reads those candidates only.
+    Where the tokens asked for fit into every task, texts are dealt by document once and neither words nor pairs move after
+    that. Otherwise tokens meet the vocabulary: a token has no blanks, so it occurs in a text exactly when it occurs in one of
+    the text's words.
     """
-    folded = queries_df.select("query_id", x.fold_document(F.col("query")).alias("_query"))
-    asked = folded.select("query_id", F.explode(x.tokens(F.col("_query"))).alias("token"))
-    index = cut(postings(docs))  # read for the vocabulary and for the postings
-    words = index.select("word").distinct()
-    tokens = asked.select("token").distinct()
-    matches = matching.contained(words, "word", tokens, "token").select("word", "token")
-    best = lambda w: F.max(F.when(F.col("weight") == w, w).otherwise(0))
-    hits = (index.join(matches, "word").groupBy("document_id", "token")
-            .agg((best(5) + best(2) + best(1)).alias("points")))
-    scored = (hits.join(asked, "token").groupBy("query_id", "document_id")
-              .agg(F.sum("points").alias("points"), F.count(F.lit(1)).alias("matched")))
-    need = folded.select("query_id", "_query", F.size(x.tokens(F.col("_query"))).alias("needed"))
-    known = scored.join(need, "query_id")
+    c = F.col
+    folded = queries_df.select("query_id", x.fold_document(c("query")).alias("_query"))
+    asked = cut(folded.select("query_id", F.explode(x.tokens(c("_query"))).alias("token")))
+    need = folded.select("query_id", "_query", F.size(x.tokens(c("_query"))).alias("needed"))
+    tokens, texts = asked.select("token").distinct(), fold_docs(docs)
+    if asked.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
+        pairs = docs.count() * asked.select("query_id").distinct().count()
+        tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS))
+        texts = texts.repartition(tasks, "document_id")
+        hits, asked = _hits_in_place(texts, tokens), F.broadcast(asked)
+    else:
+        hits = _hits_by_words(docs, tokens)
+    known = hits.join(asked, "token").groupBy("query_id", "document_id").agg(
+        F.sum("points").alias("points"), F.count(F.lit(1)).alias("matched")).join(need, "query_id")
     # a query of one word is found wherever its token is; only longer ones are looked up in the texts
-    single = ~F.col("_query").contains(" ")
-    full = known.filter((F.col("matched") == F.col("needed")) & ~single).select("query_id", "document_id", "_query")
-    joined = full.join(docs.select("document_id", "title", "text", "metadata"), "document_id")
-    whole = F.concat_ws(" ", *[F.nullif(x.fold_document(part), F.lit("")) for part in (
-        F.col("title"), F.col("text"), x.metadata_text(F.col("metadata")))])
-    phrase = joined.filter(whole.contains(F.col("_query"))).select("query_id", "document_id", F.lit(25).alias("bonus")) \
-        .distinct()
-    bonus = F.when(single, 25).otherwise(F.coalesce("bonus", F.lit(0)))
-    return (known.join(phrase, ["query_id", "document_id"], "left")
-            .select("query_id", "document_id", (F.col("points") + bonus).cast("double").alias("score")))
+    single = ~c("_query").contains(" ")
+    marked = known.select("query_id", "document_id", "points", single.alias("_single"), F.when(
+        (c("matched") == c("needed")) & ~single, c("_query")).alias("_phrase"))
+    whole = F.concat_ws(" ", *[F.nullif(f, F.lit("")) for f in ("_title", "_body", "_meta")])
+    held = texts.select(c("document_id").alias("_id"), whole.alias("_whole")).hint("shuffle_hash")
+    met = marked.join(held, (c("document_id") == c("_id")) & c("_phrase").isNotNull() & c("_whole").contains(c("_phrase")), "left")
+    found = F.when(c("_single") | c("_id").isNotNull(), PHRASE).otherwise(0)
+    return met.groupBy("query_id", "document_id").agg(  # a document may hold the query in several parts
+        (F.first("points") + F.max(found)).cast("double").alias("score"))
 
 
 def top_k(scores: DataFrame, docs: DataFrame, k: int = catalog.CONTEXT_LIMIT_MAX) -> DataFrame:

@@ -122,3 +122,21 @@ def test_windows_of_texts_are_not_sent_to_every_task(spark):
     found = matching.contained(texts, "text", few, "value")
     assert [r.value for r in found.collect()] == ["north"]
     assert "BuildRight" in _plan(found) and "BuildLeft" not in _plan(found)
+
+
+def test_scores_are_added_up_where_the_texts_are(spark):
+    from tallgrid.operators import retrieval as r
+    docs = spark.createDataFrame([("a", 0, 0, "t", "red barn", "wheat in rows", {"k": "v1"}, None), ("a", 1, 0, "t", "", "late wheat", {}, None),
+                                  ("b", 0, 1, "t", "blue", "wheatfield", {}, None), ("c", 0, 2, "t", "x", None, {}, None)], r.DOC_SCHEMA)
+    asked = spark.createDataFrame([(1, "late wheat"), (2, "wheat"), (3, "red rows"), (4, "nothing")], "query_id int, query string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = r.score(asked, docs)
+        plan = _plan(scores)
+        got = {(x.query_id, x.document_id): x.score for x in scores.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(1, "a"): 29.0, (1, "b"): 2.0, (2, "a"): 27.0, (2, "b"): 27.0, (3, "a"): 7.0}
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line]
+    assert not [line for line in moved if "hashpartitioning(word" in line or "hashpartitioning(document_id#" in line and "token#" in line.split("]")[0]], moved
+    assert not [line for line in moved if "hashpartitioning(token" in line], moved
