@@ -249,12 +249,13 @@ def execute_lists(plans: DataFrame, obs: DataFrame) -> DataFrame:
         bars = cut(_leading_months(asked_keys, obs, combinations))
         rows = rows.join(F.broadcast(bars), ["combination", "key"]).filter(F.col("_month") <= F.col("bar"))
     leading = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= catalog.PLAN_LIMIT_MAX)
-    united = mine.join(leading, ["combination", "key"]).select("question_id", "row_limit", "dedupe", "status_no", *LISTED)
+    # a question asks for one key per status, so the place in the key is the place in the list of that status; what several
+    # statuses list meets by question, once for both windows
+    limited = mine.join(leading, ["combination", "key"]).filter(F.col("_n") <= F.col("row_limit")).select(
+        "question_id", "row_limit", "dedupe", "status_no", "_n", *LISTED).repartition("question_id")
     order = [*queries.list_order(), F.col("upload_session_id")]
-    per_status = Window.partitionBy("question_id", "status_no").orderBy(*order)
-    limited = united.withColumn("_s", F.row_number().over(per_status)).filter(F.col("_s") <= F.col("row_limit"))
     same = Window.partitionBy("question_id", "upload_session_id", "source_sheet", "source_row_index",
-                              "source_column").orderBy("status_no", "_s")
+                              "source_column").orderBy("status_no", "_n")
     unique = limited.withColumn("_d", F.row_number().over(same)).filter(~F.col("dedupe") | (F.col("_d") == 1))
     whole = Window.partitionBy("question_id").orderBy(*order)
     return (unique.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= F.col("row_limit"))

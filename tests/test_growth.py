@@ -140,3 +140,20 @@ def test_scores_are_added_up_where_the_texts_are(spark):
     moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line]
     assert not [line for line in moved if "hashpartitioning(word" in line or "hashpartitioning(document_id#" in line and "token#" in line.split("]")[0]], moved
     assert not [line for line in moved if "hashpartitioning(token" in line], moved
+
+
+def test_lists_meet_by_question_once(spark, seed):
+    asked = spark.createDataFrame([(i, "supported", "select", 2, i == 2, ["valid", "warning"]) for i in (1, 2)],
+                                  "question_id long, status string, intent string, row_limit int, dedupe boolean, statuses array<string>")
+    made = asked.select("*", *[F.lit(None).cast("string").alias(f) for f in batch.FILTERS if f not in ("f_status", "f_day", "f_year")],
+                        F.lit(None).cast("date").alias("f_day"), F.lit(None).cast("int").alias("f_year"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        listed = batch.execute_lists(made, seed)
+        plan = _plan(listed)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(question_id" in line]
+    assert len(moved) == 1 and "REPARTITION_BY_COL" in moved[0], moved
+    places = {q: [r["rank"] for r in listed.filter(F.col("question_id") == q).orderBy("rank").collect()] for q in (1, 2)}
+    assert places == {1: [1, 2], 2: [1, 2]}
