@@ -1,6 +1,7 @@
 """Table blocks in sheets, for all sheets of all files together.
 
 Boxes are rows (artifact_id, sheet_index, r0, r1, c0, c1), 0-based and inclusive; a box is identified by its extents.
+Their number follows the input, so no join of boxes, bands or lines sends a side through the driver (``unsent``).
 Sheets may be very tall: cells meet boxes through row buckets, and running sums along rows go through chunks.
 """
 
@@ -78,7 +79,7 @@ def axis_counts(boxes: DataFrame, inside: DataFrame, along: str) -> DataFrame:
         *[F.lead(f"_head_{x}").over(along_box).alias(f"_then_{x}") for x in ("n", "dense")],
         *[F.sum(f"_t_{x}").over(whole).alias(f"all_{x}") for x in ("n", "dense")],
         F.min("_first").over(whole).alias("first"), F.max("_last").over(whole).alias("last"))
-    return inner.join(totals, [*BOX, "_chunk"]).select(
+    return unsent(inner).join(unsent(totals), [*BOX, "_chunk"]).select(
         *BOX, "idx", "slots", "n", "dense", "soft", *[(c(f"_i_{x}") + c(f"_o_{x}")).alias(f"sum_{x}") for x in summed],
         *[F.coalesce(f"_next_{x}", f"_then_{x}").alias(f"next_{x}") for x in ("n", "dense")],
         "all_n", "all_dense", "first", "last")
@@ -112,7 +113,7 @@ def label_bands(bands: DataFrame, inside: DataFrame) -> DataFrame:
     text = F.when((c("kind") == "str") & ~v.is_numeric(c("text")), v.strip(c("text")))
     words = inside.filter(c("row_idx") >= c("r0") + k.BOX_HEADER_ROWS).select(
         *BOX, c("col_idx").cast("long").alias("idx"), text.alias("word"))
-    return (lines.join(words, [*BOX, "idx"]).groupBy(*BOX, "start", "stop", "cost")
+    return (lines.join(unsent(words), [*BOX, "idx"]).groupBy(*BOX, "start", "stop", "cost")
             .agg(F.count("word").alias("n_text"), F.count_distinct("word").alias("n_words"))
             .filter((c("n_text") / c("cost") >= k.LABEL_BAND_TEXT) & (c("n_words") <= k.LABEL_BAND_DISTINCT))
             .select(*BOX, "start", "stop", F.lit(True).alias("label_like")))
@@ -139,7 +140,7 @@ def _halves(cuts: DataFrame, priority: int, along: str) -> DataFrame:
 def vertical_cut(columns: DataFrame, inside: DataFrame) -> DataFrame:
     """G7."""
     bands = cut_bands(columns, near_empty=False)
-    labelled = bands.join(label_bands(bands, inside), [*BOX, "start", "stop"], "left")
+    labelled = bands.join(unsent(label_bands(bands, inside)), [*BOX, "start", "stop"], "left")
     return _halves(best_cut(labelled.filter(F.col("sparse") | F.col("label_like"))), 1, "col")
 
 
@@ -165,7 +166,7 @@ def segments(boxes: DataFrame, runs: DataFrame, low: str, high: str) -> DataFram
     between = runs.select(*BOX, (F.coalesce(F.lag("stop").over(order) + 1, c(low).cast("long"))).alias("s0"),
                           (c("start") - 1).alias("s1"))
     last = runs.groupBy(*BOX).agg((F.max("stop") + 1).alias("s0"))
-    tail = boxes.join(last, BOX, "left").select(
+    tail = boxes.join(unsent(last), BOX, "left").select(
         *BOX, F.coalesce("s0", c(low).cast("long")).alias("s0"), c(high).cast("long").alias("s1"))
     return between.unionByName(tail).filter("s0 <= s1")
 
@@ -173,10 +174,10 @@ def segments(boxes: DataFrame, runs: DataFrame, low: str, high: str) -> DataFram
 def soft_split(boxes: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:
     """Row segments times column segments of every box that has a separator."""
     col_runs, row_runs = separator_runs(columns), separator_runs(rows)
-    touched = boxes.join(col_runs.select(*BOX).unionByName(row_runs.select(*BOX)).distinct(), BOX, "left_semi")
+    touched = boxes.join(unsent(col_runs.select(*BOX).unionByName(row_runs.select(*BOX)).distinct()), BOX, "left_semi")
     tall = segments(touched, row_runs, "r0", "r1").select(*BOX, F.col("s0").alias("q0"), F.col("s1").alias("q1"))
     wide = segments(touched, col_runs, "c0", "c1").select(*BOX, F.col("s0").alias("p0"), F.col("s1").alias("p1"))
-    return tall.join(wide, BOX).select(*BOX, F.lit(3).alias("priority"), "q0", "q1", "p0", "p1")
+    return tall.join(unsent(wide), BOX).select(*BOX, F.lit(3).alias("priority"), "q0", "q1", "p0", "p1")
 
 
 RECT = ["q0", "q1", "p0", "p1"]
@@ -187,7 +188,7 @@ def recomponent(rects: DataFrame, cells: DataFrame) -> DataFrame:
     areas = rects.select(*SHEET, *RECT).distinct().select("*", *[F.col(a).alias(b) for a, b in zip(RECT, EXTENT)])
     local = cells_in(areas, cells.select(*SHEET, "row_idx", "col_idx")).select(*SHEET, *RECT, "row_idx", "col_idx")
     found = components.component_boxes(local, [*SHEET, *RECT])
-    return found.join(meaningful(found, cells), BOX, "left_semi")
+    return found.join(unsent(meaningful(found, cells)), BOX, "left_semi")
 
 
 def split_once(boxes: DataFrame, cells: DataFrame) -> DataFrame:
@@ -207,10 +208,10 @@ def split_once(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     rects = hold(reduce(DataFrame.unionByName, [
         vertical_cut(columns, inside), horizontal_cut(rows), soft_split(boxes, columns, rows)]))
     pieces = recomponent(rects, cells).select(*SHEET, *RECT, *[c(e).alias(f"n_{e}") for e in EXTENT])
-    offered = rects.join(pieces, [*SHEET, *RECT])
+    offered = rects.join(unsent(pieces), [*SHEET, *RECT])
     best = offered.groupBy(*BOX).agg(F.min("priority").alias("priority"))
-    chosen = offered.join(best, [*BOX, "priority"]).select(*BOX, *[f"n_{e}" for e in EXTENT]).distinct()
-    kept = boxes.join(best, BOX, "left_anti").select(*BOX, *[c(e).cast("long").alias(f"n_{e}") for e in EXTENT])
+    chosen = offered.join(unsent(best), [*BOX, "priority"]).select(*BOX, *[f"n_{e}" for e in EXTENT]).distinct()
+    kept = boxes.join(unsent(best), BOX, "left_anti").select(*BOX, *[c(e).cast("long").alias(f"n_{e}") for e in EXTENT])
     out = cut(chosen.unionByName(kept))
     for df in held:
         df.unpersist()
@@ -242,8 +243,8 @@ def stitch_same_span(boxes: DataFrame, cells: DataFrame) -> DataFrame:
         *SHEET, (c("end") + 1).alias("r0"), (c("r0") - 1).alias("r1"), "c0", "c1", c("r0").alias("at"))
     filled = cells_in(band, cells.select(*SHEET, "row_idx", "col_idx")).select(
         *SHEET, c("at").alias("r0"), "c0", "c1").distinct()
-    joinable = near.join(filled, [*SHEET, "r0", "c0", "c1"], "left_anti").select(*BOX, F.lit(0).alias("breaks"))
-    grouped = gaps.join(joinable, BOX, "left").withColumn(
+    joinable = near.join(unsent(filled), [*SHEET, "r0", "c0", "c1"], "left_anti").select(*BOX, F.lit(0).alias("breaks"))
+    grouped = gaps.join(unsent(joinable), BOX, "left").withColumn(
         "g", F.sum(F.coalesce("breaks", F.lit(1))).over(order))
     return grouped.groupBy(*SHEET, "c0", "c1", "g").agg(
         F.min("r0").alias("r0"), F.max_by("r1", "r0").alias("r1")).select(*BOX)

@@ -33,6 +33,22 @@ def test_cells_are_not_sent_to_every_task(spark):
     assert dates.count() == 3
 
 
+def test_lines_and_words_of_boxes_are_not_sent_to_every_task(spark):
+    cells = _exploded(spark).withColumn("col_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
+    boxes = spark.range(3).select(F.col("id").cast("string").alias("artifact_id"), F.lit(1).alias("sheet_index"), *[
+        F.lit(n).cast("long").alias(e) for e, n in zip(b.EXTENT, (0, 99, 0, 9))])
+    inside = b.cells_in(boxes, cells)
+    for along, lines in (("col", 30), ("row", 294)):
+        axis = b.axis_counts(boxes, inside, along)
+        assert "BroadcastHashJoin" not in _plan(axis)
+        assert axis.count() == lines and axis.filter("all_n <> 980 or first > idx or last < idx").count() == 0
+    bands = boxes.select(*b.BOX, F.lit(4).cast("long").alias("start"), F.lit(5).cast("long").alias("stop"), F.lit(196).alias("cost"),
+                         F.lit(False).alias("sparse"), F.lit(0.5).alias("norm"))
+    found = b.label_bands(bands, inside)
+    assert "BroadcastHashJoin" not in _plan(found)
+    assert found.count() == 3
+
+
 def test_block_cells_are_not_sent_to_every_task(spark):
     cells = _exploded(spark).select("artifact_id", F.lit("S1_B1").alias("block_id"), F.col("row_idx").alias("r"), F.lit(0).alias("col_pos"),
                                     (F.col("row_idx") + 1).alias("sheet_row"), "kind", "text")
