@@ -251,7 +251,29 @@ def stitch_same_span(boxes: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def merge_overlaps(boxes: DataFrame) -> DataFrame:
-    """Intersecting boxes become their common bounding box, until no two intersect."""
+    """Intersecting boxes become their common bounding box, until no two intersect.
+
+    One sweep down the rows of a sheet parts the boxes into stacks, each a chain of overlapping rows; boxes of different stacks
+    never meet. Boxes of a stack that share a column meet all along the chain and are one box. Only the others are paired.
+    """
+    c = F.col
+    lines = cut(boxes.groupBy(*SHEET, "r0").agg(F.max("r1").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"),
+                                                F.max("c0").alias("in0"), F.min("c1").alias("in1")))
+    swept = ranks.running_max(lines, SHEET, "r0", "r1", "reach").withColumn(
+        "starts", (c("reach").isNull() | (c("r0") > c("reach"))).cast("long"))
+    placed = ranks.running_totals(swept, SHEET, "r0", {"stack": "starts"})
+    stacks = cut(placed.groupBy(*SHEET, "stack").agg(
+        F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"),
+        (F.max("in0") <= F.min("in1")).alias("one")))
+    settled, mixed = stacks.filter("one").select(*BOX), stacks.filter("not one").select(*SHEET, "stack")
+    if mixed.isEmpty():
+        return settled
+    rows = placed.join(unsent(mixed), [*SHEET, "stack"], "left_semi").select(*SHEET, "r0")
+    return settled.unionByName(_merge_pairs(boxes.join(unsent(rows), [*SHEET, "r0"], "left_semi")))
+
+
+def _merge_pairs(boxes: DataFrame) -> DataFrame:
+    """The overlap merge by rounds over intersecting pairs."""
     c = F.col
     current = cut(boxes.select(*BOX).distinct())
     while True:

@@ -49,6 +49,25 @@ def test_lines_and_words_of_boxes_are_not_sent_to_every_task(spark):
     assert found.count() == 3
 
 
+def test_boxes_that_share_a_column_merge_in_one_sweep(spark, monkeypatch):
+    paired = []
+    real = b._merge_pairs if hasattr(b, "_merge_pairs") else b.merge_overlaps
+    monkeypatch.setattr(b, "_merge_pairs", lambda boxes: (paired.append(boxes.count()), real(boxes))[1], raising=False)
+    monkeypatch.setattr(b.ranks, "CHUNK", 4)
+    labelled = []
+    label = b.components.label_components
+    monkeypatch.setattr(b.components, "label_components", lambda *a: (labelled.append(a), label(*a))[1])
+    schema = "artifact_id string, sheet_index int, r0 long, r1 long, c0 long, c1 long"
+    chain = [("a", 1, r, r + 3, 0, r // 3 % 3) for r in range(0, 30, 3)] + [("a", 1, 40, 41, 2, 2), ("b", 1, 0, 90, 1, 5), ("b", 1, 7, 7, 5, 9)]
+    got = lambda rows: sorted(tuple(x) for x in b.merge_overlaps(spark.createDataFrame(rows, schema)).select("artifact_id", *b.EXTENT).collect())
+    merged = [("a", 0, 30, 0, 2), ("a", 40, 41, 2, 2), ("b", 0, 90, 1, 9)]
+    assert got(chain) == merged and not paired and not labelled
+    # side by side, and one that only the common box of two others meets
+    mixed = [("c", 1, 0, 9, 0, 1), ("c", 1, 2, 5, 4, 5), ("d", 1, 0, 3, 0, 4), ("d", 1, 3, 9, 4, 4), ("d", 1, 8, 8, 0, 1), ("d", 1, 8, 9, 7, 7)]
+    assert got(chain + mixed) == merged + [("c", 0, 9, 0, 1), ("c", 2, 5, 4, 5), ("d", 0, 9, 0, 4), ("d", 8, 9, 7, 7)]
+    assert paired == [6] and got([]) == []
+
+
 def test_block_cells_are_not_sent_to_every_task(spark):
     cells = _exploded(spark).select("artifact_id", F.lit("S1_B1").alias("block_id"), F.col("row_idx").alias("r"), F.lit(0).alias("col_pos"),
                                     (F.col("row_idx") + 1).alias("sheet_row"), "kind", "text")
