@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,11 +45,7 @@ HASHED = {  # a side of at most this size per partition is hashed, so the other
 
 
 @contextmanager
-def finely_dealt(spark: SparkSession) -> Iterator[None]:
-    """For one run over wide rows: shuffles are dealt into ``FINE`` partitions at least, and small sides of joins are hashed, so that
-    sorts fit the memory of a task and spill nothing. The adaptive planner puts small partitions together again."""
-    dealt = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    wanted = {dealt: str(max(FINE, int(spark.conf.get("spark.sql.shuffle.partitions")))), **HASHED}
+def _set(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
     before = {key: spark.conf.get(key, None) for key in wanted}
     try:
         for key, value in wanted.items():
@@ -60,6 +56,18 @@ def finely_dealt(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def finely_dealt(spark: SparkSession) -> AbstractContextManager[None]:
+    """For one run over wide rows: shuffles are dealt into ``FINE`` partitions at least, and small sides of joins are hashed, so that
+    sorts fit the memory of a task and spill nothing. The adaptive planner puts small partitions together again."""
+    return _set(spark, {"spark.sql.adaptive.coalescePartitions.initialPartitionNum":
+                        str(max(FINE, int(spark.conf.get("spark.sql.shuffle.partitions")))), **HASHED})
+
+
+def without_shuffle_files(spark: SparkSession) -> AbstractContextManager[None]:
+    """For one run whose result is a table: its shuffle files go when it ends, so they never stand beside those of a later step."""
+    return _set(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: what the cluster names; on one machine, where none is named, a fresh local one."""
     context = spark.sparkContext
