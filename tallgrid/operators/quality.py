@@ -45,8 +45,16 @@ def narrow_flags(requires_date: Column) -> list[Column]:
     ]
 
 
-def flag_duplicates(df: DataFrame) -> DataFrame:
-    """H9: ``is_duplicate`` for groups of two or more on the twelve keys, NULLs being equal.
+def _key_hashes() -> dict[str, Column]:
+    # hashes pass over NULL fields, so where these are is hashed too
+    marks = [F.col(name).isNull() for name in catalog.DUPLICATE_KEY]
+    fields = [F.col(name) for name in catalog.DUPLICATE_KEY]
+    return {"_key1": F.xxhash64(*fields, *marks), "_key2": F.xxhash64(F.lit("second"), *marks, *reversed(fields))}
+
+
+def flag_duplicates(df: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """H9: ``is_duplicate`` for groups of two or more on the twelve keys, NULLs being equal; ``among`` holds the rows that are counted
+    where ``df`` is a choice of them.
 
     Counting is a partial aggregation, so a key that holds a third of all rows is one row per task before the
     shuffle. Keys are counted and looked up as two 64-bit hashes of them, not as twelve columns; 10^9 keys hold two of
@@ -55,11 +63,8 @@ def flag_duplicates(df: DataFrame) -> DataFrame:
     size allows and otherwise splits skewed partitions of the sort-merge join. The hashes treat NULL fields as equal, stay
     a plain equi-join, and let the optimizer drop the join when a query never looks at duplicates.
     """
-    # hashes pass over NULL fields, so where these are is hashed too
-    marks = [F.col(name).isNull() for name in catalog.DUPLICATE_KEY]
-    fields = [F.col(name) for name in catalog.DUPLICATE_KEY]
-    hashes = {"_key1": F.xxhash64(*fields, *marks), "_key2": F.xxhash64(F.lit("second"), *marks, *reversed(fields))}
-    counted = df.groupBy(*[h.alias(n) for n, h in hashes.items()]).agg(F.count(F.lit(1)).alias("_n"))
+    hashes = _key_hashes()
+    counted = (df if among is None else among).groupBy(*[h.alias(n) for n, h in hashes.items()]).agg(F.count(F.lit(1)).alias("_n"))
     repeated = counted.filter(F.col("_n") > 1).select(*hashes, F.lit(True).alias("_dup"))
     joined = df.join(repeated, [h == F.col(n) for n, h in hashes.items()], "left")
     return joined.select(*[F.col(n) for n in df.columns], F.coalesce(F.col("_dup"), F.lit(False)).alias("is_duplicate"))
@@ -84,6 +89,42 @@ def judge(flagged: DataFrame, requires_date: Column | None = None) -> DataFrame:
     }).drop("is_duplicate")
 
 
+def sure_status() -> Column:
+    """The status that rows have by themselves: ``invalid``, ``warning``, or NULL where a duplicate decides between ``valid`` and ``warning``."""
+    flags = narrow_flags(F.lit(True))
+    return F.when(flags[0].isNotNull() | flags[2].isNotNull() | flags[3].isNotNull(), "invalid").when(
+        flags[1].isNotNull() | flags[4].isNotNull(), "warning")
+
+
+def status_sums(df: DataFrame, fields: list[str], duplicates: bool = True) -> DataFrame:
+    """(``fields``, variable, validation_status, normalized_unit, n, n_value, s_value) of normalised rows that are not judged yet, in
+    parts to be added up. ``fields`` follow from the duplicate key, so one row per key travels, as two hashes with its sums, and no
+    row comes back; keys whose status is settled without counting are summed by their fields. Without ``duplicates`` nothing is
+    counted by key, and a row that only a duplicate makes a warning is ``valid``.
+    """
+    c = F.col
+    flags = narrow_flags(F.lit(True))
+    settled = (flags[2].isNotNull() | flags[3].isNotNull() | c("unit").isNull()) if duplicates else F.lit(True)
+    kept = [f for f in fields if f != "variable"]
+    own = F.coalesce(sure_status(), F.lit("valid"))
+    sums = []
+    for status in catalog.STATUSES:
+        mine = own == status
+        sums += [F.count_if(mine).alias(f"n_{status}"), F.count(F.when(mine, c("normalized_value"))).alias(f"v_{status}"),
+                 F.sum(F.when(mine, c("normalized_value"))).alias(f"s_{status}")]
+    keys = df.groupBy(*kept, "variable", *[F.when(~settled, h).alias(n) for n, h in _key_hashes().items()]).agg(*sums)
+    repeated = c("_key1").isNotNull() & (c("n_valid") + c("n_warning") + c("n_invalid") > 1)
+    unit = units.canonical_unit(c("variable"))
+    entries = []
+    for status in catalog.STATUSES:
+        name = F.when(repeated, "warning").otherwise("valid") if status == "valid" else F.lit(status)
+        n, v, s = (c(f"{x}_{status}") for x in "nvs")
+        entries += [F.struct(name.alias("validation_status"), unit.alias("normalized_unit"), v.alias("n"), v.alias("n_value"), s.alias("s_value")),
+                    F.struct(name.alias("validation_status"), F.lit(None).cast("string").alias("normalized_unit"), (n - v).alias("n"),
+                             F.lit(0).cast("long").alias("n_value"), F.lit(None).cast("double").alias("s_value"))]
+    return keys.select(*kept, "variable", F.inline(F.array(*entries))).filter(c("n") > 0)
+
+
 def status_of_flags(flags: Column) -> Column:
     """H10 from an existing flag array."""
     blocking = F.array(*[F.lit(f) for f in catalog.BLOCKING_FLAGS])
