@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallgrid import catalog
 from tallgrid.functions import units
-from tallgrid.operators import queries
+from tallgrid.operators import quality, queries
 from tallgrid.session import LOOKUP_ROWS, cut
 
 FILTERS = {"f_upload_session_id": "upload_session_id", "f_variable": "variable", "f_variety": "variety",
@@ -133,10 +133,12 @@ def _plan_keys(plans: DataFrame, combinations: list[tuple], *extra: str) -> Data
     return plans.withColumns({"combination": number, "key": key})
 
 
-def _row_keys(rows: DataFrame, combinations: list[tuple], group=None) -> DataFrame:
-    """One row per observation and combination, with its key (and group value) there; a single scan of the rows."""
+def _row_keys(rows: DataFrame, combinations: list[tuple], group=None, only=None) -> DataFrame:
+    """One row per observation and combination (of the numbers in ``only``), with its key (and group value) there; a single scan of the rows."""
     entries = []
     for i, (signature, *rest) in enumerate(combinations):
+        if only is not None and i not in only:
+            continue
         fields = [F.lit(i).alias("combination"), _key([FILTERS[f] for f in signature.split(",") if f]).alias("key")]
         if group:
             fields.append(group(rest[0]).alias("group_value"))
@@ -145,8 +147,9 @@ def _row_keys(rows: DataFrame, combinations: list[tuple], group=None) -> DataFra
         F.col("key").isNotNull())
 
 
-def execute_aggregates(plans: DataFrame, obs: DataFrame) -> DataFrame:
-    """(question_id, rank, group_value, metric_value, record_count, normalized_unit) of aggregate plans.
+def execute_aggregates(plans: DataFrame, obs: DataFrame, judged: bool = True) -> DataFrame:
+    """(question_id, rank, group_value, metric_value, record_count, normalized_unit) of aggregate plans. Not ``judged``
+    observations are normalised but have no status yet; duplicates are then counted only where a plan tells valid from warning.
 
     Observations are reduced to sums per used filter values and group before they meet the plans, so the join input
     is as small as the catalogue of values, however many plans there are. Only sums are copied to the filter combinations.
@@ -161,8 +164,15 @@ def execute_aggregates(plans: DataFrame, obs: DataFrame) -> DataFrame:
     used = sorted({FILTERS[f] for signature, _ in combinations for f in signature.split(",") if f}
                   | {name for _, name in combinations if name} | {"validation_status"})
     # the unit is a key here, not a maximum, so that the large aggregation hashes numbers only
-    finest = _dated(obs).groupBy(*used, F.when(F.col("normalized_value").isNotNull(), F.col("normalized_unit")).alias("unit")).agg(
-        F.count(F.lit(1)).alias("n"), F.count("normalized_value").alias("n_value"), F.sum("normalized_value").alias("s_value"))
+    unit = F.when(F.col("n_value") > 0, F.col("normalized_unit")).alias("unit")
+    if judged:
+        parts = _dated(obs).withColumns({"n": F.lit(1), "n_value": F.col("normalized_value").isNotNull().cast("int"),
+                                         "s_value": F.col("normalized_value")})
+    else:
+        telling = (F.col("grouping") == "validation_status") | F.col("f_status").isin("valid", "warning")
+        parts = quality.status_sums(_dated(obs), [f for f in used if f not in ("validation_status", "normalized_unit")],
+                                    not asked.filter(telling).isEmpty())
+    finest = parts.groupBy(*used, unit).agg(*[F.sum(name).alias(name) for name in ("n", "n_value", "s_value")])
     keyed = _row_keys(finest, combinations,
                       lambda name: F.col(name).cast("string") if name else F.lit(None).cast("string"))
     reduced = keyed.groupBy("combination", "key", "group_value", "validation_status", "unit").agg(
@@ -229,7 +239,28 @@ def _leading_months(asked_keys: DataFrame, obs: DataFrame, combinations: list[tu
     return asked_keys.join(bars, ["combination", "key"], "left").select("combination", "key", F.coalesce("bar", F.lit(UNDATED)).alias("bar"))
 
 
-def execute_lists(plans: DataFrame, obs: DataFrame) -> DataFrame:
+def _judged_rows(obs: DataFrame, combinations: list[tuple], asked_rows, lead) -> DataFrame:
+    """Rows for the lists from observations that are not judged yet, with flags and status.
+
+    The leading rows of a key without a status are the same whatever their status is, so they are ranked first and only they
+    are judged. Where a status is part of the key, the rows that may have it are judged.
+    """
+    plain = [i for i, (signature,) in enumerate(combinations) if "f_status" not in signature.split(",")]
+    by_status = [i for i in range(len(combinations)) if i not in plain]
+    fields = ["combination", "key", "_maybe", *obs.columns]
+    sets = []
+    if plain:
+        sets.append(lead(asked_rows(obs, plain)).withColumn("_maybe", F.lit(None).cast("string")).select(*fields))
+    if by_status:
+        sure = quality.sure_status()
+        maybe = F.explode(F.when(sure.isNull(), F.array(F.lit("valid"), F.lit("warning"))).otherwise(F.array(sure)))
+        sets.append(asked_rows(obs.withColumn("validation_status", maybe), by_status)
+                    .withColumn("_maybe", F.col("validation_status")).select(*fields))
+    flagged = quality.judge(quality.flag_duplicates(reduce(DataFrame.unionByName, sets), among=obs))
+    return flagged.filter(F.col("_maybe").isNull() | (F.col("_maybe") == F.col("validation_status")))
+
+
+def execute_lists(plans: DataFrame, obs: DataFrame, judged: bool = True) -> DataFrame:
     """(question_id, rank, observation columns) of record plans.
 
     No plan asks for more than ``PLAN_LIMIT_MAX`` rows, so only that many leading rows of every key meet the plans (ranked
@@ -243,12 +274,23 @@ def execute_lists(plans: DataFrame, obs: DataFrame) -> DataFrame:
     mine = cut(_plan_keys(asked, combinations).select(
         "combination", "key", "question_id", "row_limit", "dedupe",
         F.array_position("statuses", F.col("f_status")).alias("status_no")))
-    rows = _row_keys(_month(_dated(obs)).select(*LISTED, "observation_year", "_month"), combinations)
     asked_keys = cut(mine.select("combination", "key").distinct())
-    if asked_keys.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
-        bars = cut(_leading_months(asked_keys, obs, combinations))
-        rows = rows.join(F.broadcast(bars), ["combination", "key"]).filter(F.col("_month") <= F.col("bar"))
-    leading = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= catalog.PLAN_LIMIT_MAX)
+    few = asked_keys.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
+    # the status that a row has without its duplicates counts as asked for only where it is sure, so the bar of a key is never early
+    told = obs if judged else obs.withColumn("validation_status", quality.sure_status())
+    bars = cut(_leading_months(asked_keys, told, combinations)) if few else None
+
+    def asked_rows(rows: DataFrame, only=None) -> DataFrame:
+        keyed = _row_keys(_month(_dated(rows)), combinations, only=only)
+        return keyed.join(F.broadcast(bars), ["combination", "key"]).filter(F.col("_month") <= F.col("bar")) if few else keyed
+
+    def lead(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= catalog.PLAN_LIMIT_MAX)
+    if judged:
+        leading = lead(asked_rows(obs.select(*LISTED)))
+    else:
+        bare = obs.select(*[name for name in LISTED if name not in ("validation_status", "quality_flags")])
+        leading = lead(_judged_rows(bare, combinations, asked_rows, lead))
     # a question asks for one key per status, so the place in the key is the place in the list of that status; what several
     # statuses list meets by question, once for both windows
     limited = mine.join(leading, ["combination", "key"]).filter(F.col("_n") <= F.col("row_limit")).select(

@@ -4,12 +4,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallgrid.operators import quality, queries as q
-from tallgrid.registry import read_queries, retrieving, tables
+from tallgrid.operators import questions as nq
+from tallgrid.plans import batch
+from tallgrid.registry import asking, read_queries, retrieving, tables
 
 SF = "/root/testdata/sf0.001"
+QUESTIONS = ["count valid records by treatment", "how many records by status", "count warning yield by variety", "average valid yield by location",
+             "show valid yield records", "show warning records for R", "show valid and warning moisture records from 2000", "list invalid records"]
+
 UNCOMMITTED = (
     (retrieving, ("r01_available_values", "r08_context_summary", "r08_scope_sections", "r10_explain_metadata", "a03_context_body")),
-    (read_queries, ("q07_count_by_status", "q11_plan_filters")),)
+    (read_queries, ("q07_count_by_status", "q11_plan_filters")),
+    (asking, ("n12_execute_aggregates_a", "n12_execute_aggregates_b", "n12_execute_lists_b", "a01_record_findings", "a02_quality_notes")))
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +37,13 @@ def _texts(df):
     return sorted(map(str, df.select(*sorted(df.columns)).collect()))
 
 
+def _plans(spark, rows, rules):
+    more = spark.createDataFrame([(i, t) for i, t in enumerate(QUESTIONS)], "question_id long, question string")
+    asked = asking.asked(spark, SF).limit(40).unionByName(more)
+    tag, plan = {"a": (nq.tag_a, batch.plan_a), "b": (nq.tag_b, batch.plan_b)}[rules]
+    return plan(tag(asked, q.distinct_values(rows, nq.VALUE_FIELDS))).cache()
+
+
 def test_sums_by_key_equal_those_of_judged_rows(rows, judged):
     by = ["treatment", "variable", "validation_status", "normalized_unit"]
     of = [F.sum("n").alias("n"), F.sum("v").alias("v"), F.round(F.sum("s"), 1).alias("s")]
@@ -54,6 +67,21 @@ def test_filters_on_the_duplicate_key_come_before_the_count(rows, judged):
     assert "Brand#1" in counted or "brand#1" in counted.lower()
 
 
+@pytest.mark.parametrize("rules, few", [("a", True), ("b", True), ("b", False)])
+def test_plans_on_rows_that_are_not_judged(spark, rows, judged, rules, few, monkeypatch):
+    if not few:
+        monkeypatch.setattr(batch, "LOOKUP_ROWS", 0)
+    plans = _plans(spark, rows, rules)
+    rounded = lambda df: df.withColumn("metric_value", F.round("metric_value", 6))
+    want = _texts(rounded(batch.execute_aggregates(plans, judged)))
+    assert want and _texts(rounded(batch.execute_aggregates(plans, rows, judged=False))) == want
+    want = batch.execute_lists(plans, judged)
+    found = batch.execute_lists(plans, rows, judged=False)
+    assert found.columns == want.columns and _texts(found) == _texts(want)
+    statuses = {r[0] for r in want.select("validation_status").distinct().collect()}
+    assert statuses == {"valid", "warning", "invalid"}
+
+
 @pytest.mark.parametrize("module, name", [(m, n) for m, names in UNCOMMITTED for n in names])
 def test_queries_that_need_no_commit_make_none(spark, module, name, monkeypatch):
     def refuse(*_, **__):
