@@ -96,11 +96,12 @@ def sure_status() -> Column:
         flags[1].isNotNull() | flags[4].isNotNull(), "warning")
 
 
-def status_sums(df: DataFrame, fields: list[str], duplicates: bool = True) -> DataFrame:
+def status_sums(df: DataFrame, fields: list[str], duplicates: bool = True, values: bool = True) -> DataFrame:
     """(``fields``, variable, validation_status, normalized_unit, n, n_value, s_value) of normalised rows that are not judged yet, in
     parts to be added up. ``fields`` follow from the duplicate key, so one row per key travels, as two hashes with its sums, and no
     row comes back; keys whose status is settled without counting are summed by their fields. Without ``duplicates`` nothing is
-    counted by key, and a row that only a duplicate makes a warning is ``valid``.
+    counted by key, and a row that only a duplicate makes a warning is ``valid``. Without ``values`` there are ``fields``, variable,
+    status and n only.
     """
     c = F.col
     flags = narrow_flags(F.lit(True))
@@ -110,17 +111,20 @@ def status_sums(df: DataFrame, fields: list[str], duplicates: bool = True) -> Da
     sums = []
     for status in catalog.STATUSES:
         mine = own == status
-        sums += [F.count_if(mine).alias(f"n_{status}"), F.count(F.when(mine, c("normalized_value"))).alias(f"v_{status}"),
-                 F.sum(F.when(mine, c("normalized_value"))).alias(f"s_{status}")]
+        value = F.when(mine, c("normalized_value"))
+        sums += [F.count_if(mine).alias(f"n_{status}"), *([F.count(value).alias(f"v_{status}"), F.sum(value).alias(f"s_{status}")] if values else [])]
     keys = df.groupBy(*kept, "variable", *[F.when(~settled, h).alias(n) for n, h in _key_hashes().items()]).agg(*sums)
     repeated = c("_key1").isNotNull() & (c("n_valid") + c("n_warning") + c("n_invalid") > 1)
     unit = units.canonical_unit(c("variable"))
     entries = []
     for status in catalog.STATUSES:
-        name = F.when(repeated, "warning").otherwise("valid") if status == "valid" else F.lit(status)
+        name = (F.when(repeated, "warning").otherwise("valid") if status == "valid" else F.lit(status)).alias("validation_status")
         n, v, s = (c(f"{x}_{status}") for x in "nvs")
-        entries += [F.struct(name.alias("validation_status"), unit.alias("normalized_unit"), v.alias("n"), v.alias("n_value"), s.alias("s_value")),
-                    F.struct(name.alias("validation_status"), F.lit(None).cast("string").alias("normalized_unit"), (n - v).alias("n"),
+        if not values:
+            entries.append(F.struct(name, n.alias("n")))
+            continue
+        entries += [F.struct(name, unit.alias("normalized_unit"), v.alias("n"), v.alias("n_value"), s.alias("s_value")),
+                    F.struct(name, F.lit(None).cast("string").alias("normalized_unit"), (n - v).alias("n"),
                              F.lit(0).cast("long").alias("n_value"), F.lit(None).cast("double").alias("s_value"))]
     return keys.select(*kept, "variable", F.inline(F.array(*entries))).filter(c("n") > 0)
 
