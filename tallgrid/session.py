@@ -56,11 +56,13 @@ def _set(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def finely_dealt(spark: SparkSession) -> AbstractContextManager[None]:
+def finely_dealt(spark: SparkSession, reads: bool = False) -> AbstractContextManager[None]:
     """For one run over wide rows: shuffles are dealt into ``FINE`` partitions at least, and small sides of joins are hashed, so that
-    sorts fit the memory of a task and spill nothing. The adaptive planner puts small partitions together again."""
+    sorts fit the memory of a task and spill nothing. The adaptive planner puts small partitions together again. With ``reads`` rows
+    may be sorted in the task that read them, so files are read in small pieces as well."""
     return _set(spark, {"spark.sql.adaptive.coalescePartitions.initialPartitionNum":
-                        str(max(FINE, int(spark.conf.get("spark.sql.shuffle.partitions")))), **HASHED})
+                        str(max(FINE, int(spark.conf.get("spark.sql.shuffle.partitions")))), **HASHED,
+                        **({"spark.sql.files.maxPartitionBytes": "16MB"} if reads else {})})
 
 
 def without_shuffle_files(spark: SparkSession) -> AbstractContextManager[None]:

@@ -18,16 +18,17 @@ def promote(staging: DataFrame) -> DataFrame:
 
 
 def rebuild_partition(observations: DataFrame, path: str, uploads: list[str] | None = None,
-                      finish: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+                      finish: Callable[[DataFrame], DataFrame] = lambda rows: rows, dealt: bool = False) -> None:
     """Replace the partitions of the uploads in ``observations``; other uploads stay. Safe to repeat.
 
     ``uploads`` names all uploads of this commit: those that yield no rows any more are cleared. Rows are rebalanced by
     upload, so Spark splits a large upload over as many tasks as its size asks for. ``finish`` adds columns that follow from
-    the row alone, after the rows moved and were sorted.
+    the row alone, after the rows moved and were sorted. Rows of a handful of uploads may be ``dealt`` already: they stay in their
+    tasks, each of which writes one file per upload.
     """
-    with finely_dealt(observations.sparkSession):
-        (finish(observations.hint("rebalance", "upload_session_id")
-                .sortWithinPartitions("upload_session_id", "variable", "observation_date"))
+    with finely_dealt(observations.sparkSession, dealt):
+        rows = observations if dealt else observations.hint("rebalance", "upload_session_id")
+        (finish(rows.sortWithinPartitions("upload_session_id", "variable", "observation_date"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("upload_session_id").parquet(path))
     if uploads:

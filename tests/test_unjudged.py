@@ -89,3 +89,17 @@ def test_queries_that_need_no_commit_make_none(spark, module, name, monkeypatch)
     monkeypatch.setattr(tables.store, "rebuild_partition", refuse)
     monkeypatch.setattr(tables, "_committed", {k: v for k, v in tables._committed.items() if k[0] == "raw"})
     assert module.QUERIES[name][0](spark, SF).count() > 0
+
+
+def test_a_commit_moves_no_row_for_its_upload(spark, monkeypatch):
+    monkeypatch.setattr(tables, "_committed", {})
+    raw = tables.raw_observations(spark, SF)
+
+    def refuse(*_):
+        raise AssertionError("rows were moved")
+    monkeypatch.setattr(type(raw), "hint", refuse)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    written = tables.observations(spark, SF)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    expected = tables.validated(spark, SF)
+    assert _texts(written) == _texts(expected) and written.select("upload_session_id").distinct().count() == 7
